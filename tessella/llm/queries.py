@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, packing
 from .common import Scratch, table
 
 
+#: The vocabulary of the packing query; its place is a parameter of the operator.
+WORD_VOCABULARY = "word_bpe_49k.json"
+CHAT_VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack(spark, docs, vocabulary(WORD_VOCABULARY), ["doc_id"], payload=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = Scratch(spark, "mix").write(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sized")
@@ -18,6 +35,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op10_mix_sources": op10_mix_sources,
 }
 

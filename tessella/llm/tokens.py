@@ -36,24 +36,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {chr(b): chr(b) for b in shown}
-    for n, b in enumerate(b for b in range(256) if b not in set(shown)):
-        out[chr(b)] = chr(256 + n)
-    return str.maketrans(out)
-
-
 class WordTokenizer:
     """ids(texts) for a vocabulary that lower-cases, drops white space and merges within words."""
 
-    def __init__(self, path: str, batch_chars: int = 1 << 20, words: int = 1 << 20):
+    def __init__(self, path: str, batch_chars: int = 1 << 21, words: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.batch_chars, self.words = self.tokenizer.model, batch_chars, words
-        self.alphabet = _byte_alphabet()
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.batch_chars, self.words = batch_chars, words
         points = [chr(i) for i in range(0x2100)]
         self.kind = np.array([0 if c.isspace() else 1 if c.isalpha() else 2 if c.isnumeric() else 3 for c in points], np.uint8)
         self._forget()
@@ -64,7 +55,7 @@ class WordTokenizer:
         self.used = 0
 
     def _learn(self, words: list[str], hashes: list[int]) -> None:
-        parts = [[t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))] for w in words]
+        parts = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         n, counts = len(self.known), [len(p) for p in parts]
         while n + len(parts) > len(self.first):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
