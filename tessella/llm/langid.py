@@ -161,7 +161,7 @@ def fit(texts: list[str], labels: list[str], s: Settings) -> Model:
             p = softmax(z / model.temperature)
             right = np.sort(p[at, truth][p.argmax(axis=1) == truth])
             # rejection costs at most alpha of the right ones, and never takes a text that is more likely right than not
-            model.threshold = float(min(0.5, right[int(s.alpha * len(right))])) if len(right) else 0.0
+            model.threshold = float(min(0.4, right[int(s.alpha * len(right))])) if len(right) else 0.0
     return model
 
 

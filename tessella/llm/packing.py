@@ -113,12 +113,12 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str], capacity: int = CAP
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import WordTokenizer
+        from .tokens import word_tokenizer
 
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         for big in batches:
-            for at in range(0, big.num_rows, 1024):
-                batch = big.slice(at, 1024)
+            for at in range(0, big.num_rows, 256):
+                batch = big.slice(at, 256)
                 row, piece, start, length, ids = [], [], [], [], []
                 texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
                 for k, found in enumerate(words.ids(texts)):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing
+from . import exact_topk, forest, langid, mixing, packing, placement
 from .common import Scratch, table
 
 
@@ -35,6 +35,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.place(spark, table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(spark, forest.from_embeddings(table(spark, sf_dir, "embeddings")))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(spark, exact_topk.from_embeddings(table(spark, sf_dir, "embeddings")))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = Scratch(spark, "mix").write(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sized")
@@ -44,10 +56,28 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
+    "op4_lookup_sharding": op4_lookup_sharding,
+    "op5_projection_forest": op5_projection_forest,
+    "op6_exact_topk": op6_exact_topk,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_lookup_sharding": f"""
+WITH d AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {placement.SLOTS})::INTEGER AS slot FROM documents)
+SELECT doc_id, slot, printf('shard-%03d', ({placement.lookup_table()}::INTEGER[])[slot + 1]) AS shard FROM d
+""",
+    "op6_exact_topk": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op10_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS n,

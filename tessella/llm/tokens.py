@@ -36,10 +36,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_HELD: dict[str, "WordTokenizer"] = {}
+
+
+def word_tokenizer(path: str) -> "WordTokenizer":
+    """The one tokenizer of this worker for a vocabulary: its known words outlive a task."""
+    if path not in _HELD:
+        _HELD[path] = WordTokenizer(path)
+    return _HELD[path]
+
+
 class WordTokenizer:
-    """ids(texts) for a vocabulary that lower-cases, drops white space and merges within words."""
+    """ids(texts) for a vocabulary that lower-cases, drops white space and merges within words.
+
+    Memory is bounded: batch_chars characters at a time, at most words known words.
+    """
 
-    def __init__(self, path: str, batch_chars: int = 1 << 21, words: int = 1 << 20):
+    def __init__(self, path: str, batch_chars: int = 1 << 19, words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
