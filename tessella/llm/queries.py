@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, forest, langid, mixing, packing, placement
+from . import chat, exact_topk, forest, langid, mixing, neardup, packing, placement
 from .common import Scratch, table
 
 
@@ -47,6 +47,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(spark, exact_topk.from_embeddings(table(spark, sf_dir, "embeddings")))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_control_probe(table(spark, sf_dir, "conversations"))
     return chat.read_back(chat.format_conversations(rows, vocabulary(CHAT_VOCABULARY)))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lookup_sharding": op4_lookup_sharding,
     "op5_projection_forest": op5_projection_forest,
     "op6_exact_topk": op6_exact_topk,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_chat_format": op9_chat_format,
     "op10_mix_sources": op10_mix_sources,
 }
