@@ -1,4 +1,67 @@
-"""stub"""
-STAGES = []
-def run(spark, sf_dir):
-    return spark.range(0)
+"""From documents to packed training sequences, in five stages.
+
+Each stage gets what the one before kept, stored as Parquet, and calls one
+operator.  ``STAGES`` names them in order; ``run`` applies them to documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import langid, mixing, neardup, packing, suffixes
+from tessella.llm.common import WORD, Scratch, table
+from tessella.llm.queries import WORD_VOCABULARY, vocabulary
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that language identification rejects: no text, no letter, or no language likely enough."""
+    return langid.predict(spark, docs, langid.train(docs)).where("NOT rejected").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate class."""
+    return neardup.keep_one(spark, docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every passage of 200 bytes or more that occurs again; documents of which nothing is left go."""
+    done = suffixes.remove_repeats(spark, docs)
+    done = done.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return done.where("n_removed < n_bytes OR n_bytes = 0").select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; one that is taken in part is cut after so many words (with single blanks)."""
+    mixed = mixing.mix(docs, mixing.word_count(F.col("text"))).where("taken > 0")
+    turns = mixed.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("_turn") - 1) * F.col("size"))
+    blank = WORD.replace("^", "")
+    cut = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{blank}", ""), blank), F.lit(1), words.cast("int")), " ")
+    text = F.when(words < F.col("size"), cut).otherwise(F.col("text"))
+    return turns.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of at most 2048 tokens."""
+    return packing.pack(spark, docs, vocabulary(WORD_VOCABULARY), ["doc_id"])
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
+    ("packed_sequences", packed_sequences),
+]
+
+#: Language identification, MinHash and packing are not expressible in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over documents; every stage but the last is a stored table for the next."""
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, forest, langid, mixing, neardup, packing, placement
+from . import chat, exact_topk, forest, langid, mixing, neardup, packing, placement, suffixes
 from .common import Scratch, table
 
 
@@ -47,6 +47,11 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(spark, exact_topk.from_embeddings(table(spark, sf_dir, "embeddings")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(spark, docs, payload=False)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lookup_sharding": op4_lookup_sharding,
     "op5_projection_forest": op5_projection_forest,
     "op6_exact_topk": op6_exact_topk,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_chat_format": op9_chat_format,
     "op10_mix_sources": op10_mix_sources,
