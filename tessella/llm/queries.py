@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, forest, langid, mixing, neardup, packing, placement, suffixes
+from . import chat, exact_topk, forest, langid, mixing, neardup, packing, placement, quality, suffixes
 from .common import Scratch, table
 
 
@@ -35,6 +35,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.classify(spark, table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.place(spark, table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
@@ -70,6 +75,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
+    "op3_quality": op3_quality,
     "op4_lookup_sharding": op4_lookup_sharding,
     "op5_projection_forest": op5_projection_forest,
     "op6_exact_topk": op6_exact_topk,
