@@ -12,10 +12,12 @@ compared with spans of the same leading k-gram:
   with the same leading bytes meet.  A bucket sorts the suffixes at all its
   window starts by multikey quicksort, eight bytes to a key, and compares
   neighbours.
-* a k-gram with very many different spans would be one hot bucket.  Its
-  suffixes are cut finer: they go, by their whole window, to range buckets that
-  may split between equal windows; each is sorted alike, and the first and last
-  windows of the buckets are compared across boundaries.
+* a k-gram with very many different spans would be one hot bucket.  Its spans
+  are cut into blocks of a few windows.  Equal blocks are repeats; a block whose
+  common middle stands alone holds none.  Only windows of the other blocks go,
+  by their whole content, to range buckets that may split between equal windows;
+  each is sorted alike, and the first and last windows of the buckets are
+  compared across boundaries.
 
 Only anchors and spans move; texts are read, not shuffled, except for one
 compressed copy that is dealt by row once.
@@ -43,7 +45,9 @@ class Settings:
     #: Bytes of an anchor's k-gram.
     gram: int = 32
     #: Different spans of one k-gram that one bucket may take.
-    crowd: int = 256
+    crowd: int = 1000
+    #: Windows of a crowded k-gram that are looked at together first.
+    block: int = 8
     #: Bytes of text that are looked at together.
     batch: int = 1 << 20
 
@@ -180,19 +184,24 @@ def _spans(store: DataFrame, s: Settings) -> DataFrame:
     return store.select("row", "text").mapInArrow(run, out)
 
 
-WINDOW = "row long, at long, high long, low long, lead long"
-CUT = "row long, start long, count int, single boolean, hot boolean, gram long, lead binary, body binary, digests binary"
+CUT = "row long, start long, count int, single boolean, hot boolean, lead binary, body binary, digests binary, whole binary, middle binary"
 
 
 def _cut(texts: DataFrame, s: Settings) -> DataFrame:
-    """The bytes of every wanted span (or, for hot k-grams, 16-byte digests of its windows) from row, z and the list of its spans."""
+    """The bytes of every wanted span from row, z and the list of its spans; for hot k-grams its blocks.
+
+    A block has the windows whose offset from the anchor falls in one multiple
+    of the block size: 16-byte digests of each window, of all bytes they cover
+    (whole) and of the bytes that every window of such a block covers (middle).
+    """
     out = T.StructType.fromDDL(CUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), *[pa.binary()] * 5]
         for big in batches:
             for top in range(0, big.num_rows, 128):
                 rows = []
@@ -201,10 +210,21 @@ def _cut(texts: DataFrame, s: Settings) -> DataFrame:
                     for w in r["wanted"]:
                         a, n, o = w["start"], w["count"], w["offset"]
                         body = text[a : a + n + s.length - 1]
-                        digests = b"".join(xxhash.xxh3_128_digest(body[k : k + s.length]) for k in range(n)) if w["hot"] else None
-                        rows.append((r["row"], a, n, w["single"], w["hot"], w["gram"], body[o : o + s.gram], None if w["hot"] else body, digests))
+                        if not w["hot"]:
+                            rows.append((r["row"], a, n, w["single"], False, body[o : o + s.gram], body, None, None, None))
+                            continue
+                        k = 0
+                        while k < n:
+                            q = (o - k) // s.block
+                            end = min(n, o - q * s.block + 1)  # windows k to end - 1 have their offsets in this block
+                            windows = b"".join(digest(body[i : i + s.length]) for i in range(k, end))
+                            tag = b"%d:%d" % (q, o - k)
+                            far = o - q * s.block  # the start of the block's last window
+                            whole = digest(tag + body[k : end - 1 + s.length])
+                            middle = digest(b"%d:" % q + body[far : far - s.block + 1 + s.length])
+                            rows.append((r["row"], a + k, end - k, w["single"], True, None, None, windows, whole, middle))
+                            k = end
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=out.names)
 
     return texts.mapInArrow(run, out)
@@ -244,8 +264,8 @@ def _bucket_repeats(spans: DataFrame, s: Settings) -> DataFrame:
     return spans.select("row", "start", "count", "single", "lead", "body").mapInArrow(run, out)
 
 
-def _windows(cut: DataFrame, s: Settings) -> DataFrame:
-    """A row for each window of the hot spans: its place, its digest and whether its span stands once."""
+def _windows(blocks: DataFrame) -> DataFrame:
+    """A row for each window of blocks: its place, its digest and whether its block stands once."""
     out = T.StructType.fromDDL("row long, at long, single boolean, high long, low long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +281,7 @@ def _windows(cut: DataFrame, s: Settings) -> DataFrame:
                     [b.column(0).take(take), pa.array(at), b.column(3).take(take), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=out.names
                 )
 
-    return cut.select("row", "start", "count", "single", "digests").mapInArrow(run, out)
+    return blocks.select("row", "start", "count", "single", "digests").mapInArrow(run, out)
 
 
 EDGE = "high long, low long, row long, at long, single boolean, sure boolean"
@@ -306,14 +326,20 @@ def repeats(scratch: Scratch, spark: SparkSession, store: DataFrame, packed: Dat
     whole = again.where("NOT mixed").select("row", "start", "count").unionByName(
         again.where("mixed").join(kinds.where("copies > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("row", "start", "count")
     )
-    wanted = kinds.join(crowds, "gram").select("one.*", (F.col("copies") == 1).alias("single"), "hot", "gram")
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "count", "offset", "single", "hot", "gram")).alias("wanted"))
+    wanted = kinds.join(crowds, "gram").select("one.*", (F.col("copies") == 1).alias("single"), "hot")
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "count", "offset", "single", "hot")).alias("wanted"))
     cut = scratch.write(_cut(packed.join(wanted, "row").select("row", "z", "wanted"), s), "cut")
     release(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = cut.where("NOT hot").repartitionByRange(width, "lead").sortWithinPartitions("lead")
     sorted_out = _bucket_repeats(buckets, s)
-    windows = scratch.write(_windows(cut.where("hot"), s), "windows")
+    kept = ["middle", "whole"]
+    blocks = cut.where("hot").groupBy(*kept).agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "count", "single", "digests")).alias("one"))
+    blocks = scratch.write(blocks, "blocks")
+    twins = cut.where("hot AND single").join(blocks.where("copies > 1").select(*kept), kept, "left_semi").select("row", "start", "count")
+    apart = blocks.groupBy("middle").agg(F.count("*").alias("_n")).where("_n > 1").select("middle")
+    unsure = blocks.join(apart, "middle", "left_semi").select("one.row", "one.start", "one.count", (F.col("one.single") & (F.col("copies") == 1)).alias("single"), "one.digests")
+    windows = scratch.write(_windows(unsure), "windows")
     most = partitions_for(spark, windows.count(), 1_000_000)
     salted = windows.withColumn("_salt", F.xxhash64("row", "at")).repartitionByRange(most, "high", "low", "_salt")
     edges = scratch.write(_window_repeats(salted), "edges")
@@ -322,7 +348,7 @@ def repeats(scratch: Scratch, spark: SparkSession, store: DataFrame, packed: Dat
     hot = edges.where("sure AND single").select("row", F.col("at").alias("start"), F.lit(1).alias("count")).unionByName(
         edges.where("NOT sure AND single").join(across, ["high", "low"], "left_semi").select("row", F.col("at").alias("start"), F.lit(1).alias("count"))
     )
-    return scratch.write(whole.unionByName(sorted_out).unionByName(hot), "runs")
+    return scratch.write(whole.unionByName(sorted_out).unionByName(twins).unionByName(hot), "runs")
 
 
 def _pack(store: DataFrame) -> DataFrame:

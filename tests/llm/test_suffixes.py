@@ -44,7 +44,7 @@ def test_against_brute_force(spark, length, gram, crowd, batch):
     texts = corpus(length)
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int").drop("row")
-    s = suffixes.Settings(length, gram, crowd, batch)
+    s = suffixes.Settings(length, gram, crowd=crowd, block=5, batch=batch)
     got = suffixes.remove_repeats(spark, docs, s=s).collect()
     want = brute([(t or "").encode() for _, t, _ in rows], length)
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((r[0], *w) for r, w in zip(rows, want))
