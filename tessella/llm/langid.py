@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
+#: Texts that the driver looks at together when it fits.
+FIT_BATCH = 64
 
 
 @dataclass(frozen=True)
@@ -127,9 +129,11 @@ def fit(texts: list[str], labels: list[str], s: Settings) -> Model:
     if not languages:
         return Model([], np.zeros((s.buckets, 0), np.float32), np.zeros(0), 1.0, 1.0, s)
     y = np.array([languages.index(v) for v in labels])
-    flat, total, _ = grams(texts, s)
-    rows = np.split(flat, np.cumsum(total)[:-1])
-    bags = [np.unique(r, return_counts=True) for r in rows]
+    bags, total = [], []
+    for at in range(0, len(texts), FIT_BATCH):  # few texts at a time: the driver holds distinct buckets only
+        flat, found, _ = grams(texts[at : at + FIT_BATCH], s)
+        bags += [tuple(x.astype(np.uint32) for x in np.unique(r, return_counts=True)) for r in np.split(flat, np.cumsum(found)[:-1])]
+        total += found.tolist()
     order = rng.permutation(len(texts))
     held = set(order[: int(len(texts) * s.calibration)].tolist()) if len(texts) >= 8 else set()
     train = [i for i in order.tolist() if i not in held and total[i]]
@@ -152,7 +156,8 @@ def fit(texts: list[str], labels: list[str], s: Settings) -> Model:
     model = Model(languages, emb @ soft, bias.astype(np.float64), 1.0, 0.0, s)
     check = sorted(held) or train
     if check:
-        mean, has = mean_scores(model.table, [texts[i] for i in check], s)
+        parts = [mean_scores(model.table, [texts[i] for i in check[at : at + FIT_BATCH]], s) for at in range(0, len(check), FIT_BATCH)]
+        mean, has = (np.concatenate(x) for x in zip(*parts, strict=True))
         z, truth = (mean + model.bias)[has], y[check][has]
         if len(z):
             at = np.arange(len(z))
