@@ -65,10 +65,13 @@ def keyword_leg(chunks: DataFrame, question: str, limit: int, c: RetrievalConfig
     phrases = [p for p in dict.fromkeys(tuple(_split(t)) for t in asked) if p]
     if not phrases:
         return chunks.limit(0).select("chunk_id", "item_id", "section_id", "kind", "status", F.lit(0.0).alias("score"), F.lit(0).alias("terms"))
-    words = fx.tokens(F.col("content"))
-    counted = chunks.withColumn("_words", words).select(
+    # words once per chunk, then only those that a phrase can begin with
+    words = chunks.select("chunk_id", "item_id", "section_id", "kind", "status", F.inline(F.array(F.struct(fx.tokens(F.col("content")).alias("_words")))))
+    narrow = words.withColumn("_hits", F.filter("_words", lambda w: w.isin(*[p[0] for p in phrases])))
+    counted = narrow.select(
         "chunk_id", "item_id", "section_id", "kind", "status", F.size("_words").alias("_len"),
-        F.array(*[_phrase_count(F.col("_words"), list(p)) for p in phrases]).alias("_tf"),
+        F.when(F.size("_hits") > 0, F.array(*[_phrase_count(F.col("_hits" if len(p) == 1 else "_words"), list(p)) for p in phrases]))
+        .otherwise(F.array(*[F.lit(0)] * len(phrases))).alias("_tf"),
     )
     n = len(phrases)
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"_df{i}") for i in range(n)])
