@@ -315,8 +315,10 @@ def repeats(scratch: Scratch, spark: SparkSession, store: DataFrame, packed: Dat
     """row and runs of repeated windows (start, count), from a stored (row, text) and its compressed copy (row, z)."""
     spans = scratch.write(_spans(store, s), "spans")
     grams = spans.groupBy("gram").agg(F.count("*").alias("_n"), F.min("span").alias("_least"), F.max("span").alias("_most")).where("_n > 1")
+    grams = scratch.write(grams, "grams")  # stored, so that a hot k-gram's side of the join can be split
     again = scratch.write(spans.join(grams, "gram").withColumn("mixed", F.col("_least") != F.col("_most")).drop("_n", "_least", "_most"), "again")
     scratch.drop("spans")
+    scratch.drop("grams")
     release(spark)
     kinds = (
         again.where("mixed").groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "count", "offset")).alias("one"))
