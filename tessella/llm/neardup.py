@@ -255,7 +255,8 @@ def _classes(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, s: Se
         .select(F.monotonically_increasing_id().alias("rid"), "*"), "texts",
     )
     keyed = one.select("rid", F.posexplode("sig").alias("band", "bucket"))
-    shared = keyed.groupBy("band", "bucket").count().where("count > 1")
+    # stored, so that a hot bucket's side of the join can be split
+    shared = scratch.write(keyed.groupBy("band", "bucket").count().where("count > 1"), "shared")
     dealt = scratch.write(
         keyed.join(shared, ["band", "bucket"])
         .withColumn("_blocks", F.ceil(F.col("count") / s.block).cast("int"))
