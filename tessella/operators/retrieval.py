@@ -44,6 +44,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     return grouped.join(lengths, "chunk_id")
 
 
+def _once(**columns: Column) -> Column:
+    """Columns made once per row by a generator of one row."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def _phrase_count(words: Column, phrase: list[str]) -> Column:
     """How often the words of a phrase stand next to each other."""
     if len(phrase) == 1:
@@ -65,14 +70,15 @@ def keyword_leg(chunks: DataFrame, question: str, limit: int, c: RetrievalConfig
     phrases = [p for p in dict.fromkeys(tuple(_split(t)) for t in asked) if p]
     if not phrases:
         return chunks.limit(0).select("chunk_id", "item_id", "section_id", "kind", "status", F.lit(0.0).alias("score"), F.lit(0).alias("terms"))
-    # words once per chunk, then only those that a phrase can begin with
-    words = chunks.select("chunk_id", "item_id", "section_id", "kind", "status", F.inline(F.array(F.struct(fx.tokens(F.col("content")).alias("_words")))))
-    narrow = words.withColumn("_hits", F.filter("_words", lambda w: w.isin(*[p[0] for p in phrases])))
-    counted = narrow.select(
-        "chunk_id", "item_id", "section_id", "kind", "status", F.size("_words").alias("_len"),
-        F.when(F.size("_hits") > 0, F.array(*[_phrase_count(F.col("_hits" if len(p) == 1 else "_words"), list(p)) for p in phrases]))
-        .otherwise(F.array(*[F.lit(0)] * len(phrases))).alias("_tf"),
-    )
+    # each step behind a generator: filters on its result are not pushed down and evaluated anew
+    ids = ["chunk_id", "item_id", "section_id", "kind", "status"]
+    words = chunks.select(*ids, _once(_words=fx.tokens(F.col("content"))))
+    firsts = F.filter("_words", lambda w: w.isin(*{p[0] for p in phrases}))
+    whole = F.col("_words") if any(len(p) > 1 for p in phrases) else F.array().cast("array<string>")
+    narrow = words.select(*ids, _once(_len=F.size("_words"), _hits=firsts, _all=whole))
+    counts = F.array(*[_phrase_count(F.col("_hits" if len(p) == 1 else "_all"), list(p)) for p in phrases])
+    none = F.array(*[F.lit(0)] * len(phrases))
+    counted = narrow.select(*ids, _once(_len=F.col("_len"), _tf=F.when(F.size("_hits") > 0, counts).otherwise(none)))
     n = len(phrases)
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"_df{i}") for i in range(n)])
     joined = counted.where(F.exists("_tf", lambda t: t > 0)).join(F.broadcast(stats))  # one row
