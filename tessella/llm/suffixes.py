@@ -1,8 +1,8 @@
 """Removal of long repeated passages by a sparse suffix array.
 
 A byte goes if a window of ``length`` bytes over it occurs at another place too.
-Every window has an anchor: the smallest k-gram hash in it.  Equal windows have
-equal anchors at equal offsets, so the windows of one anchor (a span) are only
+Every window has a pivot: the smallest k-gram hash in it.  Equal windows have
+equal pivots at equal offsets, so the windows of one pivot (a span) are only
 compared with spans of the same leading k-gram:
 
 * spans whose k-gram occurs once hold no repeat;
@@ -19,7 +19,7 @@ compared with spans of the same leading k-gram:
   each is sorted alike, and the first and last windows of the buckets are
   compared across boundaries.
 
-Only anchors and spans move; texts are read, not shuffled, except for one
+Only pivots and spans move; texts are read, not shuffled, except for one
 compressed copy that is dealt by row once.
 """
 
@@ -42,7 +42,7 @@ from .tokens import mixed, powers
 @dataclass(frozen=True)
 class Settings:
     length: int = 200
-    #: Bytes of an anchor's k-gram.
+    #: Bytes of a pivot's k-gram.
     gram: int = 32
     #: Different spans of one k-gram that one bucket may take.
     crowd: int = 1000
@@ -56,8 +56,8 @@ def _doc_ends(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths)
 
 
-def anchors(texts: list[bytes], s: Settings) -> tuple[np.ndarray, ...]:
-    """Spans: (text, first window start, number of windows, anchor's offset from the first start, k-gram hash, span hash)."""
+def pivots(texts: list[bytes], s: Settings) -> tuple[np.ndarray, ...]:
+    """Spans: (text, first window start, number of windows, pivot's offset from the first start, k-gram hash, span hash)."""
     import xxhash
 
     out = []
@@ -75,7 +75,7 @@ def anchors(texts: list[bytes], s: Settings) -> tuple[np.ndarray, ...]:
         step = max(4 * s.batch, s.length)
         for cut in range(0, max(1, len(joined) - s.length + 1), step) if len(which) == 1 else [0]:
             part = joined[cut : cut + step + s.length - 1] if len(which) == 1 else joined
-            found = _anchors(part, lengths if len(which) > 1 else np.array([len(part)]), s)
+            found = _pivots(part, lengths if len(which) > 1 else np.array([len(part)]), s)
             doc, start, count, offset, gram = found
             first = (_doc_ends(lengths) - lengths)[doc] if len(which) > 1 else np.zeros(len(doc), np.int64)
             view = memoryview(part)
@@ -86,7 +86,7 @@ def anchors(texts: list[bytes], s: Settings) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _anchors(joined: bytes, lengths: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+def _pivots(joined: bytes, lengths: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(joined, np.uint8)
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -175,7 +175,7 @@ def _spans(store: DataFrame, s: Settings) -> DataFrame:
             for top in range(0, big.num_rows, 1024):
                 b = big.slice(top, 1024)
                 texts = [(x or "").encode() for x in b.column(1).to_pylist()]
-                doc, start, count, offset, gram, span = anchors(texts, s)
+                doc, start, count, offset, gram, span = pivots(texts, s)
                 row = b.column(0).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
                     [row, pa.array(start), pa.array(count, pa.int32()), pa.array(offset, pa.int32()), pa.array(gram.view(np.int64)), pa.array(span.view(np.int64))], names=out.names
@@ -190,7 +190,7 @@ CUT = "row long, start long, count int, single boolean, hot boolean, lead binary
 def _cut(texts: DataFrame, s: Settings) -> DataFrame:
     """The bytes of every wanted span from row, z and the list of its spans; for hot k-grams its blocks.
 
-    A block has the windows whose offset from the anchor falls in one multiple
+    A block has the windows whose offset from the pivot falls in one multiple
     of the block size: 16-byte digests of each window, of all bytes they cover
     (whole) and of the bytes that every window of such a block covers (middle).
     """
