@@ -70,6 +70,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """df dealt by key into parts and checkpointed so: later joins on key leave it where it is.
+
+    A plan made adaptively does not tell its partitioning, so this one is made without.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(parts, key).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, else as it is (the join then shuffles)."""
     few = df.limit(limit + 1).count() <= limit

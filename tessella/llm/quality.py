@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, release, small_side
+from .common import Scratch, dealt, release, small_side
 
 #: Bytes of an n-gram; a start of text counts as zero bytes.
 ORDER = 4
@@ -61,7 +61,7 @@ def _chunks(docs: DataFrame, s: Settings) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        press, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        press, number = zstandard.ZstdCompressor(level=9), TaskContext.get().partitionId() << 32
         rows, size = [], 0
 
         def one() -> pa.RecordBatch:
@@ -202,7 +202,10 @@ def classify(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, s: Se
     scratch = Scratch(spark, "quality")
     ids = trusted_ids.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
     marked = docs.select("doc_id", "lang", "text").join(small_side(ids), F.col("doc_id") == F.col("_id"), "left")
-    chunks = scratch.write(_chunks(marked.select("doc_id", "lang", F.col("_id").isNotNull().alias("trusted"), "text"), s), "chunks", "uncompressed")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = marked.select("doc_id", "lang", F.col("_id").isNotNull().alias("trusted"), "text")
+    chunks = dealt(_chunks(rows, s), "chunk", width)  # the texts are not moved again to meet their answers
+    release(spark)
     counts = scratch.write(_trusted_counts(chunks), "counts")
     requests = scratch.write(_requests(chunks), "requests")
     model = probabilities(scratch, counts, requests.select("g").distinct())
