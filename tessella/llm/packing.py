@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -158,19 +159,16 @@ def place(spark: SparkSession, parts: DataFrame, capacity: int = CAPACITY, lengt
         .join(before, (F.col(length) == F.col("_len")) & (F.col("_salt") == F.col("_s")))
         .select(*columns, (F.col("_rank") + F.col("_base")).alias("_rank"))
     )
-    out = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = plan.value
-        for b in batches:
-            size = b.column(columns.index(length)).to_numpy().astype(np.int64)
-            rank = b.column(len(columns)).to_numpy()
-            at = np.searchsorted(p["key"], (size << 40) | rank, side="right") - 1
-            inside, each = rank - p["rank"][at], p["each"][at]
-            places = [p["bin"][at] + inside // each, p["offset"][at] + inside % each * size]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(x) for x in places]], names=out.names)
-
-    return ranked.mapInArrow(run, out)
+    @F.pandas_udf("sequence_id long, offset long")
+    def look_up(size: pd.Series, rank: pd.Series) -> pd.DataFrame:  # only these two columns leave the JVM, whatever the pieces carry
+        p, size, rank = plan.value, size.to_numpy(np.int64), rank.to_numpy(np.int64)
+        at = np.searchsorted(p["key"], (size << 40) | rank, side="right") - 1
+        inside, each = rank - p["rank"][at], p["each"][at]
+        return pd.DataFrame({"sequence_id": p["bin"][at] + inside // each, "offset": p["offset"][at] + inside % each * size})
+
+    placed = ranked.withColumn("_place", look_up(F.col(length), F.col("_rank")))
+    return placed.select(*columns, "_place.sequence_id", "_place.offset")
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: list[str], capacity: int = CAPACITY, payload: bool = True) -> DataFrame:
