@@ -285,20 +285,32 @@ _ARROW = re.compile(r"(\s*)(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:asyn
 
 
 def code_symbols(text: str, style: str, most: int = 500) -> list[tuple[str, str, int, int]]:
-    """(symbol path, kind, first line, last line); nesting by indentation, two levels deep at most."""
+    """(symbol path, kind, first line, last line); nesting by indentation, two levels deep at most.
+
+    Lines before the first symbol are a preamble without a path.  Past the most symbols of the brace style the lines stay
+    with the symbols that are open there; the indent style has no limit.
+    """
     lines, found = text.split("\n"), []
     for n, line in enumerate(lines, 1):
+        if style == "brace" and len(found) >= most:
+            break
         m = _SYMBOLS[style].match(line)
         arrow = _ARROW.match(line) if style == "brace" and not m else None
         if m or arrow:
             found.append((len((m or arrow)[1].expandtabs(4)), m[2] if m else "function", (m[3] if m else arrow[2]), n))
+    ends, still = [len(lines)] * len(found), []
+    for k, (indent, _, _, n) in enumerate(found):
+        while still and found[still[-1]][0] >= indent:
+            ends[still.pop()] = n - 1
+        still.append(k)
     out, stack = [], []
-    for k, (indent, kind, name, n) in enumerate(found[:most]):
+    if found and any(x.strip() for x in lines[: found[0][3] - 1]):
+        out.append(("", "preamble", 1, found[0][3] - 1))
+    for (indent, kind, name, n), end in zip(found, ends, strict=True):
         while stack and stack[-1][0] >= indent:
             stack.pop()
         if len(stack) >= 2:
             continue
-        end = next((o[3] - 1 for o in found[k + 1 :] if o[0] <= indent), len(lines))
         stack.append((indent, name))
         out.append((".".join(x for _, x in stack), kind, n, end))
     return out
@@ -310,7 +322,7 @@ def is_minified(text: str) -> bool:
 
 
 def config_entries(text: str, kind: str) -> list[tuple[str, int, int]]:
-    """(key, first line, last line) of the top-level entries of YAML, JSON or TOML text, by structure alone."""
+    """(key, first line, last line) of the top-level entries of YAML, JSON or TOML text, by structure alone; the first takes the lines above it."""
     lines, starts = text.split("\n"), []
     if kind in ("json", "jsonc"):
         depth, quoted, escaped, comment = 0, False, False, False
@@ -356,7 +368,7 @@ def config_entries(text: str, kind: str) -> list[tuple[str, int, int]]:
                 starts.append((m[2].strip().strip("\"'"), n))
             if re.search(r":\s*[|>][+-]?\s*$", line):
                 scalar = indent
-    return [(k, n, starts[i + 1][1] - 1 if i + 1 < len(starts) else len(lines)) for i, (k, n) in enumerate(starts)]
+    return [(k, n if i else 1, starts[i + 1][1] - 1 if i + 1 < len(starts) else len(lines)) for i, (k, n) in enumerate(starts)]
 
 
 _FIELD = re.compile(r"\s*(?:\*\*([A-Za-z ]+):\*\*|\*\*([A-Za-z ]+)\*\*:|([A-Z][a-z]+):)\s*(.*)")

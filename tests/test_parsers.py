@@ -2,6 +2,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tessella.functions import parsers as p
+from tessella.operators import structure
 
 
 def test_page_numbers_and_repeated_lines_go_at_page_edges_only():
@@ -67,6 +68,27 @@ def test_code_and_configuration():
     assert p.is_minified("x" * 3000) and not p.is_minified("x\n" * 3000)
 
 
+def test_chunks_of_code_and_configuration_cover_every_line():
+    many = "".join(f"def f{i}():\n    return {i}\n" for i in range(600))
+    brace = "".join(f"fn f{i}() {{\n  {i}\n}}\n" for i in range(600))
+    cases = {
+        "py": '"""Licence."""\nimport os\n\nLIMIT = 3\n' + many,
+        "rs": "// licence\nuse std::fmt;\n" + brace,
+        "ts": "import x\n\nexport class A {\n  go() {}\n}\nconst f = (a) => 1\n",
+        "yaml": "# comment\n---\n# more\na: 1\nb:\n  - c\n",
+        "json": '{\n  "a": 1,\n  "b": {"c": 2}\n}',
+        "toml": 'name = "x"\n\n[one]\nx = 1\n[[two]]\ny = 2',
+    }
+    for kind, text in cases.items():
+        lines, rows = text.split("\n"), structure.chunk(kind, text)
+        assert {n for _, _, a, b, _ in rows for n in range(a, b + 1)} == set(range(1, len(lines) + 1)), kind
+        assert all(content == "\n".join(lines[a - 1 : b]) for _, _, a, b, content in rows), kind
+    assert p.code_symbols(cases["py"], "indent")[0] == ("", "preamble", 1, 4)
+    assert len(p.code_symbols(cases["py"], "indent")) == 601
+    assert len(p.code_symbols(cases["rs"], "brace")) == 501 and p.code_symbols(cases["rs"], "brace")[-1][2:] == (2 + 499 * 3 + 1, 2 + 600 * 3 + 1)
+    assert p.code_symbols("\n\ndef f():\n    pass", "indent") == [("f", "def", 3, 4)]
+
+
 def test_hash_embedding():
     v = p.hash_embedding("a b a", 16)
     assert abs(sum(x * x for x in v) - 1) < 1e-12 and p.hash_embedding("", 8) == [0.0] * 8
