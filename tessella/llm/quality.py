@@ -6,6 +6,13 @@ counts by hash-sharded joins (counts never come to one place), and the answers
 go back to the chunk, which scores its documents on their whole texts.  A
 document's perplexity is held against a quantile of the trusted documents of
 its language.
+
+With ``words`` the byte model is only the base of a Kneser-Ney model of word
+pairs, so that the context spans words: a word with the white space after it has
+the probability of its pair, interpolated with that of the word over the words
+it follows, and that with its bytes.  Pairs and words are 64-bit hashes and meet
+their counts by the same sharded joins.  Most pairs of a document occur in it
+alone, so a trusted document is scored on the pair counts of the others.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, dealt, release, small_side
+from .shingles import batches, word_hashes
+from .tokens import mixed
 
 #: Bytes of an n-gram; a start of text counts as zero bytes.
 ORDER = 4
@@ -33,6 +42,8 @@ class Settings:
     chunk: int = 8 << 20
     #: Trusted documents of a language that stay under the threshold.
     quantile: float = 0.99
+    #: Whether word pairs are counted above the bytes.
+    words: bool = False
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,28 +176,171 @@ def probabilities(scratch: Scratch, counts: DataFrame, wanted: DataFrame) -> Dat
     return below.select(F.col("s").alias("g"), F.col("q").alias("p"))
 
 
-def _score(answered: DataFrame) -> DataFrame:
-    out = T.StructType.fromDDL("doc_id long, lang string, trusted boolean, perplexity double")
+def pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, word before, word, first byte, text) of every word of the texts; the word before the first is 0."""
+    words, start, cuts = word_hashes(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(cuts))
+    before = np.append(np.uint64(0), words[:-1]) if len(words) else words
+    first = cuts[:-1][np.diff(cuts) > 0]
+    before[first] = 0
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + words), before, words, start - text, text  # start without the separators
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+
+def _pair_counts(chunks: DataFrame) -> DataFrame:
+    """g, u, w, c of the word pairs of trusted texts."""
+    out = T.StructType.fromDDL("g long, u long, w long, c long")
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_:
+            for trusted, sizes, z in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                texts = [t for t, ok in zip(_texts(z, sizes), trusted, strict=True) if ok]
+                found = [pairs(texts[i:j])[:3] for i, j in batches(texts)]
+                if found:
+                    g, u, w = (np.concatenate(x) for x in zip(*found, strict=True))
+                    g, at, n = np.unique(g, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in (g, u[at], w[at])], pa.array(n)], names=out.names)
+
+    made = chunks.select("trusted", "sizes", "z").mapInArrow(run, out)
+    return made.groupBy("g", "u", "w").agg(F.sum("c").alias("c"))
+
+
+def _pair_requests(chunks: DataFrame) -> DataFrame:
+    """chunk and k: its distinct pairs and words."""
+    out = T.StructType.fromDDL("chunk long, k long")
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_:
+            for chunk, sizes, z in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                texts = _texts(z, sizes)
+                found = [np.unique(np.concatenate(pairs(texts[i:j])[:3])) for i, j in batches(texts)]
+                k = np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+                for a in range(0, len(k), 1 << 17):
+                    part = k[a : a + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part)], names=out.names)
+
+    return chunks.select("chunk", "sizes", "z").mapInArrow(run, out)
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """Discounts of pairs and of words, the number of distinct pairs, and what words spare of it."""
+
+    pair: tuple[float, float, float]
+    word: tuple[float, float, float]
+    total: float
+    spared: float
+
+
+def _above_zero(d: tuple[float, float, float]) -> tuple[float, float, float]:
+    return tuple(max(x, 0.01) for x in d)  # so that every order leaves something to the one below
+
+
+def pair_model(scratch: Scratch, chunks: DataFrame) -> tuple[DataFrame, Pairs]:
+    """(k, a, total, spared) of pairs (a: count) and words (a: distinct words before it; total and spared as the word before), and the numbers of one row."""
+    counts = scratch.write(_pair_counts(chunks), "pairs")
+    dp = _above_zero(discounts(counts))
+    follows = scratch.write(counts.groupBy("w").agg(F.count("*").alias("c")), "words")
+    dw = _above_zero(discounts(follows))
+    one = follows.agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), dw)).alias("spared")).first()
+    before = counts.groupBy("u").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), dp)).alias("spared"))
+    words = follows.join(before, follows.w == before.u, "full_outer").select(F.coalesce("w", "u").alias("k"), F.coalesce("c", F.lit(0)).alias("a"), "total", "spared")
+    none = F.lit(None)
+    model = counts.select(F.col("g").alias("k"), F.col("c").alias("a"), none.cast("long").alias("total"), none.cast("double").alias("spared")).unionByName(words)
+    return model, Pairs(dp, dw, float(one["total"] or 0), float(one["spared"] or 0))
+
+
+def _off(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """The discount of each count; none of 0."""
+    return np.array([0.0, *d])[np.clip(c, 0, 3).astype(np.int64)]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """values of the wanted keys, 0 where there is none; keys are sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
+
+
+def word_logs(g: np.ndarray, u: np.ndarray, w: np.ndarray, base: np.ndarray, answers: tuple[np.ndarray, ...], n: Pairs, own: bool) -> np.ndarray:
+    """Logarithms of the words of one text over those of their bytes; own: the text is in the counts and is taken out of them."""
+    k, a, total, spared = answers
+    c, follows, total, spared = (_looked_up(k, v, x) for v, x in ((a, g), (a, w), (total, u), (spared, u)))
+    words_total, words_spared = n.total, n.spared
+    if own:
+        _, at, back, mine = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
+        full, rest = c[at], c[at] - mine
+        _, u_of = np.unique(u, return_inverse=True)
+        _, w_of = np.unique(w, return_inverse=True)
+        total = total - np.bincount(u_of)[u_of]
+        spared = spared - np.bincount(u_of[at], _off(full, n.pair) - _off(rest, n.pair), u_of.max() + 1)[u_of]
+        left = follows - np.bincount(w_of[at], rest <= 0, w_of.max() + 1)[w_of]
+        _, one = np.unique(w, return_index=True)
+        words_total -= float((rest <= 0).sum())
+        words_spared -= float((_off(follows[one], n.word) - _off(left[one], n.word)).sum())
+        c, follows = rest[back], left
+    with np.errstate(divide="ignore", invalid="ignore"):
+        some = words_total > 0
+        p = (follows - _off(follows, n.word)) / words_total if some else np.zeros(len(g))
+        to_bytes = words_spared / words_total if some else 1.0
+        seen = total > 0
+        own_p, to_word = np.where(seen, (c - _off(c, n.pair)) / total, 0.0), np.where(seen, spared / total, 1.0)
+        return np.logaddexp(np.log(own_p + to_word * p), np.log(to_word * to_bytes) + base)
+
+
+def _perplexities(sizes: list[int], trusted: list[bool], z: bytes, g: np.ndarray, p: np.ndarray, words: tuple[np.ndarray, ...] | None, n: Pairs | None) -> np.ndarray:
+    order = np.argsort(g)
+    g, bits = g[order].astype(np.uint32), np.log(p[order])
+    texts, total = _texts(z, sizes), np.full(len(sizes), np.nan)
+    some = [i for i, t in enumerate(texts) if t]
+    for a in range(0, len(some), 256):
+        part = some[a : a + 256]
+        code, lengths = grams([texts[i] for i in part])
+        begin = np.cumsum(lengths) - lengths
+        logs = bits[np.searchsorted(g, code)]
+        sums = np.add.reduceat(logs, begin)
+        if words is not None:
+            for at, i in enumerate(part):
+                pair, u, w, start, _ = pairs([texts[i]])
+                if len(pair):
+                    own = logs[begin[at] : begin[at] + lengths[at]]
+                    sums[at] = own[: start[0]].sum() + word_logs(pair, u, w, np.add.reduceat(own, start), words, n, trusted[i]).sum()
+        total[part] = np.exp(-sums / lengths)
+    return total
+
+
+SCORED = "doc_id long, lang string, trusted boolean, perplexity double"
+
+
+def _score(answered: DataFrame, asked: DataFrame | None = None, n: Pairs | None = None) -> DataFrame:
+    """A row per document of the chunks with their answers; asked: chunk, k, a, total, spared of the words' model."""
+    out = T.StructType.fromDDL(SCORED)
+    names = ["doc_ids", "langs", "trusted", "sizes", "z", "answers"]
+    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.float64()]
+
+    def one(b, k: int, words: tuple[np.ndarray, ...] | None) -> list[pa.Array]:
+        ids, langs, trusted, sizes, z = (b.column(c)[k].as_py() for c in names[:5])
+        cells = b.column("answers")[k].values
+        total = _perplexities(sizes, trusted, z, cells.field("g").to_numpy(), cells.field("p").to_numpy(), words, n)
+        return [*[pa.array(x, t) for x, t in zip((ids, langs, trusted), kinds, strict=False)], pa.array(total, pa.float64(), mask=np.isnan(total))]
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_:
             for k in range(b.num_rows):
-                ids, langs, trusted, sizes, z = (b.column(c)[k].as_py() for c in range(5))
-                cells = b.column(5)[k].values
-                g, p = cells.field("g").to_numpy(), cells.field("p").to_numpy()
-                order = np.argsort(g)
-                g, bits = g[order].astype(np.uint32), np.log(p[order])
-                texts, total = _texts(z, sizes), np.full(len(sizes), np.nan)
-                some = [i for i, t in enumerate(texts) if t]
-                for a in range(0, len(some), 256):
-                    part = some[a : a + 256]
-                    code, lengths = grams([texts[i] for i in part])
-                    sums = np.add.reduceat(bits[np.searchsorted(g, code)], np.cumsum(lengths) - lengths)
-                    total[part] = np.exp(-sums / lengths)
-                arrays = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(trusted, pa.bool_()), pa.array(total, pa.float64(), mask=np.isnan(total))]
-                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
-
-    return answered.mapInArrow(run, out)
+                yield pa.RecordBatch.from_arrays(one(b, k, None), names=out.names)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names=out.names)
+        key = right.column("k").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        words = (key[order], *[np.nan_to_num(right.column(c).to_numpy()[order].astype(float)) for c in ("a", "total", "spared")])
+        found = [one(left, k, words) for k in range(left.num_rows)]
+        return pa.table([pa.concat_arrays(x) for x in zip(*found, strict=True)], names=out.names)
+
+    if asked is None:
+        return answered.select(*names).mapInArrow(run, out)
+    return answered.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(meet, out)
 
 
 def classify(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -211,8 +365,14 @@ def classify(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, s: Se
     model = probabilities(scratch, counts, requests.select("g").distinct())
     release(spark)
     answers = requests.join(model, "g").groupBy("chunk").agg(F.collect_list(F.struct("g", "p")).alias("answers"))
-    scored = chunks.join(answers, "chunk", "left").select("doc_ids", "langs", "trusted", "sizes", "z", F.coalesce("answers", F.array().cast("array<struct<g:bigint,p:double>>")).alias("answers"))
-    scored = scratch.write(_score(scored), "scored")
+    scored = chunks.join(answers, "chunk", "left").select("chunk", "doc_ids", "langs", "trusted", "sizes", "z", F.coalesce("answers", F.array().cast("array<struct<g:bigint,p:double>>")).alias("answers"))
+    if s.words:
+        table, numbers = pair_model(scratch, chunks)
+        release(spark)
+        scored = _score(scored, _pair_requests(chunks).join(table, "k"), numbers)
+    else:
+        scored = _score(scored)
+    scored = scratch.write(scored, "scored")
     good = scored.where("trusted AND perplexity IS NOT NULL")
     quantile = F.percentile_approx("perplexity", F.lit(s.quantile), F.lit(10_000))
     per_lang = good.groupBy(F.col("lang").alias("_lang")).agg(quantile.alias("_own"))  # a row per language

@@ -37,7 +37,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return quality.classify(spark, table(spark, sf_dir, "documents"), trusted)
+    return quality.classify(spark, table(spark, sf_dir, "documents"), trusted, quality.Settings(words=True))
 
 
 def op4_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

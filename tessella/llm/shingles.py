@@ -25,12 +25,8 @@ def batches(texts: list[bytes], most: int = 1 << 19):
         at = end
 
 
-def ngrams(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all n-grams, text by text, with repeats; their number per text).
-
-    Words are maximal runs of other bytes than ASCII white space.  A text of
-    fewer than n words has one n-gram of them all, one without words has none.
-    """
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word; its place in the texts joined by one byte each; where each text's words begin, and their number)."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     ends = np.cumsum(lengths)
@@ -42,6 +38,16 @@ def ngrams(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * down[:-1], out=sums[1:])
     words = mixed((sums[stop] - sums[start]) * up[start]) ^ (stop - start).astype(np.uint64)
     cuts = np.searchsorted(start, np.append(0, ends))
+    return words, start, cuts
+
+
+def ngrams(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all n-grams, text by text, with repeats; their number per text).
+
+    Words are maximal runs of other bytes than ASCII white space.  A text of
+    fewer than n words has one n-gram of them all, one without words has none.
+    """
+    words, _, cuts = word_hashes(texts)
     count = np.diff(cuts)
     total = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     out = np.zeros(int(total.sum()), np.uint64)

@@ -1,6 +1,9 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
+
 from tessella.llm import quality
 
 
@@ -58,3 +61,54 @@ def test_against_a_plain_model(spark):
     assert not [r for r in got if r.doc_id == 10][0].keep
     assert quality.classify(spark, docs.limit(0), trusted).count() == 0
     assert {r.keep for r in quality.classify(spark, docs, trusted.limit(0)).collect()} == {False}
+
+
+def test_scrambled_words_are_not_kept(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcdeimnorst", k=rng.randint(3, 7))) for _ in range(60)]
+    after = {w: rng.sample(names, 2) for w in names}
+
+    def walk():
+        out = [rng.choice(names)]
+        while len(out) < 80:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    clean = [walk() for _ in range(160)]
+    texts = [" ".join(w) for w in clean] + [" ".join(rng.sample(w, len(w))) for w in clean[120:]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(120)], "doc_id long")
+    got = {r.doc_id: r for r in quality.classify(spark, docs, trusted, quality.Settings(chunk=4000, words=True)).collect()}
+    assert len(got) == 200
+    assert not any(got[i].keep for i in range(160, 200))
+    assert sum(got[i].keep for i in range(120, 160)) >= 36
+
+
+def test_a_trusted_text_is_scored_as_if_it_were_not_counted(spark):
+    texts = ["the cat sat on the mat", "a cat sat on a log", "the dog ran", "  a dog\n", "", "the dog sat on the mat the cat sat"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    d = (0.7, 1.1, 1.4)
+    n_of = lambda held: Counter((u, w) for t in held for u, w in zip([0, *t.split()], t.split()))
+
+    def logs(held, text, own):
+        c = n_of(held)
+        cont, follow = Counter(w for _, w in c), {}
+        for (u, _), v in c.items():
+            follow.setdefault(u, []).append(v)
+        off = lambda v: [0, *d][min(v, 3)]
+        ids = {0: np.uint64(0)} | {w: h for t in texts for w, h in zip(t.split(), quality.pairs([t.encode()])[2])}
+        g, u, w, _, _ = quality.pairs([text.encode()])
+        key = {quality.pairs([f"{a} {b}".encode() if a else b.encode()])[0][-1]: v for (a, b), v in c.items()}
+        model = {k: (v, 0.0, 0.0) for k, v in key.items()}
+        for x, h in ids.items():
+            model[h] = (cont.get(x, 0), sum(follow.get(x, [])), sum(map(off, follow.get(x, []))))
+        k = np.array(sorted(model), np.uint64)
+        answers = (k, *np.array([model[x] for x in k], float).T)
+        n = quality.Pairs(d, d, float(sum(cont.values())), float(sum(map(off, cont.values()))))
+        return quality.word_logs(g, u, w, np.full(len(g), -9.0), answers, n, own)
+
+    assert np.allclose(logs(texts, texts[5], True), logs(texts[:5], texts[5], False))
+    got = quality.classify(spark, docs, docs.select("doc_id"), quality.Settings(words=True)).collect()
+    assert sorted(r.doc_id for r in got if r.perplexity is None) == [4] and all(r.perplexity > 0 for r in got if r.doc_id != 4)
+    assert quality.classify(spark, docs.limit(0), docs.select("doc_id"), quality.Settings(words=True)).count() == 0
+    assert {r.keep for r in quality.classify(spark, docs, docs.select("doc_id").limit(0), quality.Settings(words=True)).collect()} == {False}
