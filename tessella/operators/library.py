@@ -92,16 +92,50 @@ def evict(page: DataFrame, need: int) -> DataFrame:
 
 
 def shredded(text: Column) -> Column:
-    """Text that looks torn apart: most words of one or two characters over at least forty words."""
-    words = F.filter(F.split(F.substring(text, 1, 20_000), r"\s+"), lambda w: w != "")
+    """Text that looks torn apart: most words of one or two characters over at least forty words of the whole text."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     short = F.size(F.filter(words, lambda w: F.length(w) <= 2))
     return (F.size(words) >= 40) & (short > 0.6 * F.size(words))
 
 
-def quality_flags(items: DataFrame, events: DataFrame) -> DataFrame:
-    """item_id and flag: suspect from the text now, else repaired if an event says so, else null."""
+def split_suspects(text: str, known: frozenset[str]) -> tuple[int, int]:
+    """(short unknown fragments beside a word, and pairs that join to a known word with an unknown side; tokens) of a text."""
+    import re
+
+    words = [re.sub(r"^[\W_]+|[\W_]+$", "", w).lower() for w in text.split()]
+    words = [w for w in words if w]
+    plain = [re.fullmatch("[a-z]+", w) is not None for w in words]
+    found = 0
+    for i, w in enumerate(words):
+        beside = i > 0 and "a" <= words[i - 1][-1] <= "z" or i + 1 < len(words) and "a" <= words[i + 1][0] <= "z"
+        found += plain[i] and 2 <= len(w) <= 4 and w not in known and beside
+        if i + 1 < len(words) and plain[i] and plain[i + 1]:
+            v = words[i + 1]
+            found += len(w) >= 2 and len(v) >= 2 and len(w + v) >= 5 and w + v in known and not (w in known and v in known)
+    return found, len(words)
+
+
+def split_words(text: Column, known: frozenset[str]) -> Column:
+    """Six split words at least, and six in a thousand tokens; known: all words that are no fragments."""
+
+    @F.udf("boolean")
+    def trips(t: str | None) -> bool:
+        found, n = split_suspects(t or "", known)
+        return found >= 6 and found * 1000 >= n * 6
+
+    return trips(text)
+
+
+def quality_flags(items: DataFrame, events: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
+    """item_id and flag of every item: of PDF files suspect from the whole text now, else repaired if an event says so; else null.
+
+    With a list of known words split words are looked for, without one shredded text.
+    """
     fixed = events.select("item_id").distinct().withColumn("_fixed", F.lit(True))
-    return items.join(fixed, "item_id", "left").select("item_id", F.when(shredded(F.col("text")), "suspect").when(F.col("_fixed"), "repaired").alias("flag"))
+    suspect = shredded(F.col("text")) if known is None else split_words(F.col("text"), known)
+    pdf = F.lower(F.element_at(F.split("external_id", r"[/\\\\]"), -1)).endswith(".pdf")
+    flag = F.when(F.coalesce(pdf, F.lit(False)), F.when(suspect, "suspect").when(F.col("_fixed"), "repaired"))
+    return items.join(fixed, "item_id", "left").select("item_id", flag.alias("flag"))
 
 
 def entity_context(entities: DataFrame, chunks: DataFrame, width: int = 160) -> DataFrame:

@@ -1,3 +1,4 @@
+from tessella.operators import library as lb
 from tessella.plans import relational
 
 
@@ -12,3 +13,16 @@ def test_the_section_list_is_whole_and_in_order(spark, tmp_path):
     d = tables(spark, tmp_path, [(i, "x") for i in range(250)])
     got = [(r.level, r.section_id) for r in relational.QUERIES["r41_section_list"](spark, d).collect()]
     assert len(got) == 750 and got == sorted(got) and {v for v, _ in got} == {0, 1}
+
+
+def test_quality_flags_read_whole_texts_of_pdf_items_only(spark):
+    torn = "word " * 4_001 + "a b cd " * 4_000
+    split = "Cancellati ons and Correcti ons with noti fi cati ons for processi ng of subscripti ons"
+    rows = [(1, "a/x.PDF", torn), (2, "a/x.md", torn), (3, "a/pdf", torn), (4, "x.pdf", split), (5, "x.pdf", "fine " * 50), (6, "x.md", "fine"), (7, "x.pdf", None)]
+    items = spark.createDataFrame(rows, "item_id long, external_id string, text string")
+    events = items.where("item_id >= 5")
+    flags = lambda *a: {r.item_id: r.flag for r in lb.quality_flags(items, events, *a).collect()}
+    assert flags() == {1: "suspect", 2: None, 3: None, 4: None, 5: "repaired", 6: None, 7: "repaired"}
+    known = frozenset("a and with for of word fine b cd cancellations corrections processing subscriptions".split())
+    assert flags(known) == {1: None, 2: None, 3: None, 4: "suspect", 5: "repaired", 6: None, 7: "repaired"}
+    assert lb.split_suspects("sun day on line", frozenset("sun day sunday on line online".split())) == (0, 4)
