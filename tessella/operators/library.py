@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import LEAF_KINDS
+from .retrieval import keyword_scores
 
 
 def propose_tags(sections_text: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,13 +58,23 @@ def caption_chunks(assets: DataFrame) -> DataFrame:
     return own.select("chunk_id", "item_id", "section_id", F.lit("caption").alias("kind"), F.trim("caption").alias("content"))
 
 
-def filename_tokens(question: str) -> list[str]:
-    """Tokens with a dot inside, of four bytes or more, with a letter, that are no version."""
+def _file_names(question: str) -> list[str]:
     import re
 
     words = [w.strip("\"'`()[]{},;:?!") for w in question.split()]
     named = [w.rstrip(".") for w in words if "." in w.rstrip(".") and len(w.encode()) >= 4 and re.search(r"[A-Za-z]", w)]
-    return [w for w in named if not re.fullmatch(r"v?\d+(\.\d+)+([-+.]\w+)?", w)][:3]
+    return [w for w in named if not re.fullmatch(r"v?\d+(\.\d+)+([-+.]\w+)?", w)]
+
+
+def filename_tokens(question: str) -> list[str]:
+    """The first three tokens with a dot inside, of four bytes or more, with a letter, that are no version."""
+    return _file_names(question)[:3]
+
+
+def without_file_names(question: str) -> str:
+    for name in _file_names(question):
+        question = question.replace(name, " ")
+    return question
 
 
 def named_item(items: DataFrame, token: str) -> DataFrame:
@@ -73,13 +86,26 @@ def named_item(items: DataFrame, token: str) -> DataFrame:
     return found.withColumn("tier", tier).orderBy("tier", F.length("external_id"), "item_id").limit(1).select("item_id", "external_id", "tier")
 
 
-def boosted(hits: DataFrame, named: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
-    """hits with up to three leaves of the named item on top (score over all others) and the mark boosted."""
+def named_items(items: DataFrame, question: str) -> DataFrame:
+    """item_id of the up to three items whose files the question names."""
+    found = [named_item(items, token).select("item_id") for token in filename_tokens(question)]
+    return reduce(DataFrame.unionByName, found, items.select("item_id").limit(0)).distinct()
+
+
+def boosted(hits: DataFrame, named: DataFrame, chunks: DataFrame, question: str) -> DataFrame:
+    """hits with a leaf of each named item on top (score over all others) and the mark boosted.
+
+    The leaf is the item's best one for the question without its file names, and the first where none matches.
+    """
     top = hits.agg(F.max("score").alias("_top"))
-    leaves = chunks.where(F.col("kind").isin(*LEAF_KINDS)).join(F.broadcast(named.select("item_id")), "item_id", "left_semi")  # one item
-    first = leaves.orderBy("chunk_id").limit(most).join(F.broadcast(top)).select("chunk_id", "item_id", (F.coalesce("_top", F.lit(0.0)) + 1).alias("score"), F.lit(True).alias("boosted"))
-    rest = hits.join(first.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "item_id", "score", F.lit(False).alias("boosted"))
-    return first.unionByName(rest)
+    ids = F.broadcast(named.select("item_id").distinct())  # three items at most
+    first = chunks.where(F.col("kind").isin(*LEAF_KINDS)).join(ids, "item_id", "left_semi").groupBy("item_id").agg(F.min("chunk_id").alias("_first"))
+    matches = keyword_scores(chunks, without_file_names(question)).join(ids, "item_id", "left_semi")
+    best = matches.groupBy("item_id").agg(F.max_by("chunk_id", F.struct("score", -F.col("chunk_id"))).alias("_best"))
+    leaves = first.join(best, "item_id", "left").select(F.coalesce("_best", "_first").alias("chunk_id"), "item_id")
+    up = leaves.join(F.broadcast(top)).select("chunk_id", "item_id", (F.coalesce("_top", F.lit(0.0)) + 1).alias("score"), F.lit(True).alias("boosted"))
+    rest = hits.join(up.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "item_id", "score", F.lit(False).alias("boosted"))
+    return up.unionByName(rest)
 
 
 def evict(page: DataFrame, need: int) -> DataFrame:

@@ -59,6 +59,11 @@ def _phrase_count(words: Column, phrase: list[str]) -> Column:
 
 
 def keyword_leg(chunks: DataFrame, question: str, limit: int, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The best of keyword_scores."""
+    return keyword_scores(chunks, question, c, kinds, extra).orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
+def keyword_scores(chunks: DataFrame, question: str, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = ()) -> DataFrame:
     """BM25 over an OR of quoted phrases; chunk_id, item_id, section_id, kind, status, score, terms (distinct query phrases met).
 
     One scan makes the token counts, an aggregate of one row gives corpus size,
@@ -93,7 +98,7 @@ def keyword_leg(chunks: DataFrame, question: str, limit: int, c: RetrievalConfig
     out = joined.select("chunk_id", "item_id", "section_id", "kind", "status", F.round(score, 9).alias("score"), F.size(F.filter("_tf", lambda t: t > 0)).alias("terms"))
     if kinds is not None:
         out = out.where(F.col("kind").isin(*kinds))
-    return out.orderBy(F.desc("score"), "chunk_id").limit(limit)
+    return out
 
 
 def _split(term: str) -> list[str]:

@@ -135,7 +135,8 @@ x AS (SELECT * FROM b UNION ALL SELECT *, false FROM h WHERE chunk_id NOT IN (SE
 def r26(spark, d):
     chunks = m.chunks(spark, d)
     hits = rt.exact_leg(chunks, "theand", 50).withColumn("score", F.lit(0.5))
-    return lb.boosted(hits, m.items(spark, d).where("item_id = 4"), chunks)
+    question = "theand in readme_4.rs, main_7.md and guide_8.py"
+    return lb.boosted(hits, lb.named_items(m.items(spark, d), question), chunks, question)
 
 
 def _page(spark, d):

@@ -26,3 +26,17 @@ def test_quality_flags_read_whole_texts_of_pdf_items_only(spark):
     known = frozenset("a and with for of word fine b cd cancellations corrections processing subscriptions".split())
     assert flags(known) == {1: None, 2: None, 3: None, 4: "suspect", 5: "repaired", 6: None, 7: "repaired"}
     assert lb.split_suspects("sun day on line", frozenset("sun day sunday on line online".split())) == (0, 4)
+
+
+def test_each_named_file_brings_its_best_match_else_its_first_leaf(spark):
+    words = ["head", "one", "two", "fee table fee", "four"]
+    rows = [(i * 100 + k, i, None, None, "document", w, None) for i in (1, 2, 3, 4) for k, w in enumerate(words if i < 3 else ["head", "nothing"])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, item_id long, entity_id long, section_id long, kind string, content string, status string")
+    items = spark.createDataFrame([(1, "a/one.yml"), (2, "b/two.yml"), (3, "c/three.yml"), (4, "d/four.yml")], "item_id long, external_id string")
+    hits = spark.createDataFrame([(400, 4, 2.0), (103, 1, 1.0)], "chunk_id long, item_id long, score double")
+    question = "fee in one.yml, two.yml three.yml and four.yml"
+    got = {r.chunk_id: (r.score, r.boosted) for r in lb.boosted(hits, lb.named_items(items, question), chunks, question).collect()}
+    assert got == {103: (3.0, True), 203: (3.0, True), 300: (3.0, True), 400: (2.0, False)}
+    only = lb.boosted(hits, lb.named_items(items, "one.yml"), chunks, "one.yml").where("boosted").collect()
+    assert [r.chunk_id for r in only] == [100]
+    assert lb.boosted(hits, lb.named_items(items, "fee"), chunks, "fee").where("boosted").count() == 0
