@@ -1,5 +1,5 @@
 from tessella.operators import library as lb
-from tessella.plans import relational
+from tessella.plans import libraries, relational
 
 
 def tables(spark, tmp_path, documents):
@@ -40,3 +40,11 @@ def test_each_named_file_brings_its_best_match_else_its_first_leaf(spark):
     only = lb.boosted(hits, lb.named_items(items, "one.yml"), chunks, "one.yml").where("boosted").collect()
     assert [r.chunk_id for r in only] == [100]
     assert lb.boosted(hits, lb.named_items(items, "fee"), chunks, "fee").where("boosted").count() == 0
+
+
+def test_every_chunk_is_linked_to_its_tag(spark, tmp_path):
+    d = tables(spark, tmp_path, [(i, "x" * 2_000) for i in range(8)])  # three leaves and a summary each
+    run = lambda name: libraries.QUERIES[name](spark, d)
+    assert {r.name: r.usage for r in run("a11_tag_recount").collect()} == dict.fromkeys(["de", "en", "fr", "es"], 8)
+    assert [(r.name, r.usage) for r in run("r45_tag_list").collect()] == [(v, 8) for v in ("de", "en", "es", "fr")]
+    assert run("j3_tag_chunks").count() == 8 and {r.name: r.usage for r in run("m12_tag_ensure").collect()}["de"] == 13
