@@ -25,10 +25,14 @@ FIT_BATCH = 64
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled documents per language, at most; sample_chars: longer documents are not sampled (they are predicted whole like all others)."""
+    """sample: distinct labelled texts per language, at most; sample_chars: longer ones are sampled only where these are too few,
+
+    long_chars characters of them per language at most (all documents are predicted whole).
+    """
 
     sample: int = 600
     sample_chars: int = 20_000
+    long_chars: int = 1_000_000
     grams: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 15
     dim: int = 16
@@ -171,18 +175,30 @@ def fit(texts: list[str], labels: list[str], s: Settings) -> Model:
 
 
 def sample(docs: DataFrame, s: Settings) -> list[tuple[str, str]]:
-    """(text, lang) of at most s.sample labelled documents per language, by seeded hash; bounded, so the driver may hold it."""
-    fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= s.sample_chars))
-    order = F.xxhash64(F.lit(s.seed), F.col("text"))
-    ranked = fit_rows.select("lang", order.alias("_h")).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
-    limits = ranked.where(F.col("_n") <= s.sample).groupBy("lang").agg(F.max("_h").alias("_limit")).collect()
+    """(text, lang) of at most s.sample distinct labelled texts per language, by seeded hash; bounded, so the driver may hold it.
+
+    A language with too few texts of at most s.sample_chars takes its shortest longer ones too, of s.long_chars together.
+    Where even the only one is longer than that, its beginning is taken, so that no labelled language is left out.
+    """
+    fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    order, size = F.xxhash64(F.lit(s.seed), F.col("text")), F.length("text")
+    longer = F.when(size > s.sample_chars, size).otherwise(0)  # 0 for those that come first
+    distinct = fit_rows.select("lang", longer.alias("_long"), order.alias("_h")).distinct()
+    ranked = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_h"))).where(F.col("_n") <= s.sample)
+    limits: dict[str, tuple[int, int]] = {}
+    room: dict[str, int] = {}
+    for lang, n, h, _ in sorted(ranked.collect(), key=lambda r: (r["lang"], r["_n"])):
+        left = room.get(lang, s.long_chars) - n
+        if left >= 0 or lang not in limits:
+            limits[lang] = (n, h)
+        room[lang] = left
     if not limits:
         return []
-    wanted = [(F.col("lang") == F.lit(r["lang"])) & (order <= F.lit(r["_limit"])) for r in limits]
+    wanted = [(F.col("lang") == F.lit(lang)) & ((longer < n) | (longer == n) & (order <= F.lit(h))) for lang, (n, h) in limits.items()]
     clause: Column = wanted[0]
     for w in wanted[1:]:
         clause = clause | w
-    rows = fit_rows.where(clause).select("text", "lang").distinct().collect()
+    rows = fit_rows.where(clause).select(F.substring("text", 1, max(s.sample_chars, s.long_chars)).alias("text"), "lang").distinct().collect()
     return sorted((r["text"], r["lang"]) for r in rows)
 
 

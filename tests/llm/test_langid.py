@@ -52,3 +52,21 @@ def test_a_text_alone_scores_as_in_a_batch():
     together = langid.mean_scores(table, texts, langid.Settings())[0]
     alone = np.concatenate([langid.mean_scores(table, [t], langid.Settings())[0] for t in texts])
     assert np.allclose(together, alone)
+
+
+def test_copies_and_long_texts_in_the_sample(spark):
+    s = langid.Settings(sample=5, sample_chars=20, long_chars=100)
+    rows = [(f"copy {i % 2}", "aa") for i in range(400)] + [(f"text {i}", "aa") for i in range(30)]
+    rows += [("b" * n, "bb") for n in (10, 40, 50, 60, 70)] + [("c" * 500, "cc"), ("c" * 600, "cc")]
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string"), s)
+    assert len([t for t, v in got if v == "aa"]) == 5  # distinct, however often the copies come
+    assert sorted(len(t) for t, v in got if v == "bb") == [10, 40, 50]
+    assert [len(t) for t, v in got if v == "cc"] == [100]
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(3)
+    rows = [(i, made(rng, "abcdefg" if i % 2 else "hijklmñ", 40 if i % 2 else 400), "aa" if i % 2 else "bb") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, langid.Settings(sample=30, sample_chars=500, buckets=1 << 12, epochs=4))
+    assert all(r.lang_pred == r.lang for r in langid.predict(spark, docs, model).collect())
