@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The rows that a checked broadcast may have; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: The bytes that a checked broadcast may have; beyond it the join shuffles.
+BROADCAST_BYTES = 48 << 20
 
 #: Maximal runs of these are words (everything but ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         own = spark.sparkContext.getCheckpointDir()
         if own is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
             own = spark.sparkContext.getCheckpointDir()
         return own
@@ -35,19 +37,29 @@ class Scratch:
     """Tables of intermediate results as Parquet in the shared folder.
 
     A written table cuts the lineage and survives lost executors.  ``drop``
-    deletes one that no later step reads; the rest goes when the driver ends.
+    deletes one that no later step reads; the rest goes with ``drop_since``, or
+    when the driver ends.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark, self.tables = spark, []
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self.drop_all)
+        Scratch.made.append(self)
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """df stored in buckets by key: joins and groups on key leave its rows where they are."""
+        table = f"tessella_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, key).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -59,10 +71,21 @@ class Scratch:
     def drop_all(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
+                for table in self.tables:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {table}")
                 self._delete(self.root)
         except Exception:  # the JVM may be gone when the driver ends
             pass
 
+    @staticmethod
+    def drop_since(count: int) -> None:
+        """Drop all but the first count of the folders made so far: no one reads their tables any more."""
+        while len(Scratch.made) > count:
+            Scratch.made.pop().drop_all()
+
+
+atexit.register(Scratch.drop_since, 0)
+
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that no one holds any more."""
@@ -85,10 +108,18 @@ def dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is (the join then shuffles)."""
-    few = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if few else df
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most limit bytes, else as it is (the join then shuffles).
+
+    Give it a stored table or a cheap plan: it runs once for the measure.
+    """
+    kinds = [f.dataType.typeName() for f in df.schema.fields]
+    varying = [F.octet_length(c) for c, k in zip(df.columns, kinds, strict=True) if k in ("string", "binary")]
+    size = F.lit(8 * (len(kinds) + 1))
+    for v in varying:
+        size = size + F.coalesce(v, F.lit(0))
+    rows = limit // (8 * (len(kinds) + 1)) + 1  # more than these are too many in any case
+    return F.broadcast(df) if (df.limit(rows).agg(F.sum(size)).first()[0] or 0) <= limit else df
 
 
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:

@@ -4,9 +4,13 @@ Bins that have the same room left are alike, and so are pieces of one length.
 So the packing needs the number of pieces per length only: at most ``capacity``
 numbers, whatever the corpus has.  The driver runs best-fit decreasing on those
 groups; a segment tree over remaining capacities finds the tightest open room.
-The plan says, per length, which ranks go to which bins; executors rank the
-pieces of a length (salted, so no length meets in one task) and look up their
-places by binary search.
+The plan says, per length, which ranks go to which bins.
+
+Pieces are ranked without moving them: the task that cuts them numbers those of
+each length as it goes, and the small table of how many each task has of a
+length gives every task the rank of its first.  So a piece's place comes from a
+join with a table of (task, length) runs; token ids are never sorted, and cross
+a shuffle only where that table is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -14,17 +18,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, small_side
 
 CAPACITY = 2048
-#: Pieces of one length that one task ranks, about.
-RANKED_TOGETHER = 50_000
+#: Bytes of token ids that leave a Python worker at a time, about.
+BATCH_BYTES = 4 << 20
+#: The columns that packing makes; columns of the documents with these names are left out.
+MADE = ("piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")
 
 
 class RoomTree:
@@ -102,83 +107,91 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray
 
 
 def pieces(docs: DataFrame, tokenizer: str, keep: list[str], capacity: int = CAPACITY, text: str = "text") -> DataFrame:
-    """keep + piece, start, length, ids: each document's ids and a final 0, cut into pieces of at most capacity.
+    """kept (a struct of keep), piece, start, length, ids, task, turn: each document's ids and a final 0, cut into pieces of at most capacity.
 
-    ids is binary, little-endian uint32.  A null text counts as empty, so every
-    document has at least the piece of its final 0.  Executors open the
-    tokenizer's file at the given path, which is installed with the library.
+    ids is binary, little-endian uint32; turn numbers the pieces of one length
+    that one task makes.  A null text counts as empty, so every document has at
+    least the piece of its final 0.  Executors open the tokenizer's file at the
+    given path, which is installed with the library.
     """
-    schema = T.StructType(
-        [*[docs.schema[c] for c in keep], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
-         T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]
-    )
+    rows = docs.select(F.struct(F.lit(None).cast("int").alias("_"), *keep).alias("kept"), F.col(text).alias("text"))
+    schema = T.StructType.fromDDL("piece int, start long, length long, ids binary, task long, turn long")
+    schema = T.StructType([rows.schema["kept"], *schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         from .tokens import word_tokenizer
 
-        words = word_tokenizer(tokenizer)
+        words, task, seen = word_tokenizer(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+
+        def out(b: pa.RecordBatch, row: list, piece: list, start: list, ids: list) -> pa.RecordBatch:
+            length = np.array([len(x) // 4 for x in ids], np.int64)
+            order = np.argsort(length, kind="stable")
+            turn, first = np.empty_like(length), np.searchsorted(length[order], length[order])
+            turn[order] = np.arange(len(order)) - first + seen[length[order]]
+            np.add.at(seen, length, 1)
+            cells = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length), pa.array(ids, pa.binary()), pa.array(np.full(len(row), task)), pa.array(turn)]
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *cells], names=schema.names)
+
         for big in batches:
             for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
-                row, piece, start, length, ids = [], [], [], [], []
-                texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
-                for k, found in enumerate(words.ids(texts)):
+                b = big.slice(at, 256)
+                row, piece, start, ids, size = [], [], [], [], 0
+                for k, found in enumerate(words.ids([x or "" for x in b.column(1).to_pylist()])):
                     found = np.append(found, np.uint32(0)).astype("<u4")
                     for n, s in enumerate(range(0, len(found), capacity)):
-                        part = found[s : s + capacity]
-                        row.append(k), piece.append(n), start.append(s), length.append(len(part)), ids.append(part.tobytes())
-                kept = [batch.column(c).take(pa.array(row, pa.int64())) for c in range(len(keep))]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=schema.names,
-                )
+                        row.append(k), piece.append(n), start.append(s), ids.append(found[s : s + capacity].tobytes())
+                    size += found.nbytes
+                    if size > BATCH_BYTES:
+                        yield out(b, row, piece, start, ids)
+                        row, piece, start, ids, size = [], [], [], [], 0
+                if row:
+                    yield out(b, row, piece, start, ids)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def place(spark: SparkSession, parts: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
+def place(scratch: Scratch, parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts with sequence_id and offset: best-fit decreasing by length; bins are gapless from 0.
 
-    parts must be a stored table (it is read twice) whose lengths are 1 to
-    capacity.  Pieces of one length are interchangeable; they are ranked by all
-    other columns, so reruns differ at most in which of two equal rows is which.
+    parts is a stored table (it is read twice) with length (1 to capacity), task
+    and turn (0, 1, ... within a task and length).  Pieces of one length are
+    interchangeable: those of earlier tasks come first.
     """
-    columns = parts.columns
-    counts = {r[0]: r[1] for r in parts.groupBy(length).count().collect()}  # at most capacity rows
-    plan = spark.sparkContext.broadcast(best_fit_plan(counts, capacity))  # its size depends on capacity alone
-    salts = max(1, -(-max(counts.values(), default=1) // RANKED_TOGETHER))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
-    before = (
-        salted.groupBy(F.col(length).alias("_len"), F.col("_salt").alias("_s")).count()
-        .withColumn("_base", F.sum("count").over(Window.partitionBy("_len").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("_len", "_s", F.coalesce("_base", F.lit(0)).alias("_base"))
+    spark = parts.sparkSession
+    runs = scratch.write(parts.groupBy("task", "length").agg(F.count("*").alias("n")), "runs")
+    counts = {r[0]: r[1] for r in runs.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
+    plan = best_fit_plan(counts, capacity)
+    length = plan["key"] >> 40
+    upto = np.where(np.append(length[1:] == length[:-1], False), np.append(plan["rank"][1:], 0), [counts[n] for n in length.tolist()]) if len(length) else length
+    cells = [length, plan["rank"], upto, plan["bin"], plan["each"], plan["offset"]]
+    rows = list(zip(*[c.tolist() for c in cells], strict=True))  # their number depends on capacity alone
+    spots = spark.createDataFrame(rows, "_length long, rank long, upto long, bin long, each long, place long")
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    based = runs.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    met = (F.col("length") == F.col("_length")) & (F.col("rank") < F.col("base") + F.col("n")) & (F.col("upto") > F.col("base"))
+    runs = based.join(F.broadcast(spots), met).select(
+        F.col("task").alias("_task"), "_length", (F.greatest("rank", "base") - F.col("base")).alias("low"),
+        (F.least("upto", F.col("base") + F.col("n")) - F.col("base")).alias("high"), (F.col("base") - F.col("rank")).alias("shift"), "bin", "each", "place",
     )
-    group = Window.partitionBy(length, "_salt").orderBy(*[F.col(c) for c in columns if c != length])
-    ranked = (
-        salted.withColumn("_rank", F.row_number().over(group) - 1)
-        .join(before, (F.col(length) == F.col("_len")) & (F.col("_salt") == F.col("_s")))
-        .select(*columns, (F.col("_rank") + F.col("_base")).alias("_rank"))
+    here = (F.col("task") == F.col("_task")) & (F.col("length") == F.col("_length")) & (F.col("turn") >= F.col("low")) & (F.col("turn") < F.col("high"))
+    inside = F.col("turn") + F.col("shift")
+    return parts.join(small_side(scratch.write(runs, "spots")), here).select(
+        *parts.columns, (F.col("bin") + F.floor(inside / F.col("each"))).alias("sequence_id"), (F.col("place") + inside % F.col("each") * F.col("length")).alias("offset")
     )
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def look_up(size: pd.Series, rank: pd.Series) -> pd.DataFrame:  # only these two columns leave the JVM, whatever the pieces carry
-        p, size, rank = plan.value, size.to_numpy(np.int64), rank.to_numpy(np.int64)
-        at = np.searchsorted(p["key"], (size << 40) | rank, side="right") - 1
-        inside, each = rank - p["rank"][at], p["each"][at]
-        return pd.DataFrame({"sequence_id": p["bin"][at] + inside // each, "offset": p["offset"][at] + inside % each * size})
-
-    placed = ranked.withColumn("_place", look_up(F.col(length), F.col("_rank")))
-    return placed.select(*columns, "_place.sequence_id", "_place.offset")
-
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: list[str], capacity: int = CAPACITY, payload: bool = True) -> DataFrame:
     """keep + piece, start, length, ids_crc32, sequence_id, offset, and with payload the ids of each piece.
 
-    Null texts are empty; repeated rows are documents of their own; an empty
-    table gives no rows; columns of docs outside keep are not read.
+    Null texts are empty, so they are the piece of their final 0; texts of any
+    length are cut; repeated rows are documents of their own; an empty table
+    gives no rows; columns of docs outside keep are not read, and columns of
+    keep that are named like a new one are left out.
     """
-    cut = pieces(docs, tokenizer, keep, capacity)
-    cut = cut.withColumn("ids_crc32", F.crc32("ids"))
-    if not payload:
-        cut = cut.drop("ids")
-    return place(spark, Scratch(spark, "pack").write(cut, "pieces"), capacity)
+    keep = [c for c in keep if c not in MADE]
+    scratch = Scratch(spark, "pack")
+    cut = pieces(docs, tokenizer, keep, capacity).withColumn("ids_crc32", F.crc32("ids"))
+    placed = place(scratch, scratch.write(cut if payload else cut.drop("ids"), "pieces"), capacity)
+    return placed.select(*[F.col("kept")[c].alias(c) for c in keep], "piece", "start", "length", *(["ids"] if payload else []), "ids_crc32", "sequence_id", "offset")

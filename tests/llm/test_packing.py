@@ -78,3 +78,27 @@ def test_pack_round_trip(spark):
             end += n
         assert end <= 64
     assert packing.pack(spark, docs.limit(0), PATH, ["doc_id"]).count() == 0
+
+
+def test_columns_named_like_new_ones_are_left_out(spark):
+    rows = [(1, "a b", 7, "x", b"y", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int, length string, ids binary, task long, kept long")
+    got = packing.pack(spark, docs, PATH, ["doc_id", "piece", "length", "ids", "task", "kept"])
+    assert got.columns == ["doc_id", "task", "kept", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
+    r = got.first()
+    assert (r.task, r.kept, r.piece, r.length, r.offset) == (1, 2, 0, 3, 0)
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_places_do_not_depend_on_the_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(packing, "small_side", lambda df: packing.F.broadcast(df) if limit else df.hint("merge"))
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('word ', int(id * 7 % 90)) AS text").repartition(5)
+    spans = {}
+    for r in packing.pack(spark, docs, PATH, ["doc_id"], capacity=64, payload=False).collect():
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    lengths = [n for s in spans.values() for _, n in s]
+    assert sum(lengths) == sum(i * 7 % 90 + 1 for i in range(300))
+    for s in spans.values():
+        ends = [o + n for o, n in sorted(s)]
+        assert [o for o, _ in sorted(s)] == [0, *ends[:-1]] and ends[-1] <= 64
+    assert len(spans) == len(naive_best_fit(lengths, 64))
