@@ -15,24 +15,36 @@ from tessella.llm.queries import WORD_VOCABULARY, vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language identification rejects: no text, no letter, or no language likely enough."""
+    """Drops the documents that language identification rejects: no text (null or empty), no letter, or no language likely enough.
+
+    Whole texts count, however long; repeated rows are judged alike; all columns stay as they are.
+    """
     return langid.predict(spark, docs, langid.train(docs)).where("NOT rejected").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class."""
+    """Keeps one document of each near-duplicate class: that of the smallest doc_id, a null one last; repeated rows are copies.
+
+    Documents without words are no copies of each other and stay; all columns stay as they are.
+    """
     return neardup.keep_one(spark, docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every passage of 200 bytes or more that occurs again; documents of which nothing is left go."""
+    """Cuts every passage of 200 bytes or more that occurs again; documents of which nothing is left go.
+
+    Null and empty texts stay, as empty ones; a text of any length is read whole; repeated rows lose what they share.
+    """
     done = suffixes.remove_repeats(spark, docs)
     done = done.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
     return done.where("n_removed < n_bytes OR n_bytes = 0").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; one that is taken in part is cut after so many words (with single blanks)."""
+    """Every document as often as the mix takes it; one that is taken in part is cut after so many words (with single blanks).
+
+    A null source is the last one; documents without words (null and empty texts) are not taken; repeated rows count each.
+    """
     mixed = mixing.mix(docs, mixing.word_count(F.col("text"))).where("taken > 0")
     turns = mixed.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("_turn") - 1) * F.col("size"))
@@ -43,7 +55,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of at most 2048 tokens."""
+    """Token pieces with their places in sequences of at most 2048 tokens; a null text is the piece of its final 0."""
     return packing.pack(spark, docs, vocabulary(WORD_VOCABULARY), ["doc_id"])
 
 
@@ -60,8 +72,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents; every stage but the last is a stored table for the next."""
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    """The last stage's rows over documents; every stage but the last is a stored table for the next.
+
+    An empty table gives no rows.  Columns of documents beyond doc_id, text,
+    lang, source and n_chars stay up to the last stage.
+    """
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        mine = len(Scratch.made)
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        Scratch.drop_since(mine)  # the stage's own tables, and the one that it read
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
