@@ -53,10 +53,11 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-        """df stored in buckets by key: joins and groups on key leave its rows where they are."""
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int, *parts: str) -> DataFrame:
+        """df stored in buckets by key (and in folders by parts): joins and groups on key leave its rows where they are."""
         table = f"tessella_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, key).saveAsTable(table)
+        to = df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, key)
+        (to.partitionBy(*parts) if parts else to).saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 
@@ -122,6 +123,13 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.limit(rows).agg(F.sum(size)).first()[0] or 0) <= limit else df
 
 
+def width_for(df: DataFrame, each: int) -> int:
+    """Partitions of about so many bytes, by Spark's estimate of a scan's size; never fewer than the session's shuffle partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # plans that are no scans of files may not be estimated
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // each))
+
+
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Partitions for so many rows; never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
