@@ -1,4 +1,4 @@
-"""Quality by an interpolated modified Kneser-Ney model of word pairs of trusted text.
+"""Quality by interpolated modified Kneser-Ney models of trusted text: word pairs, and under them bytes.
 
 Documents are stored in chunks of many.  A chunk asks for its distinct pairs and
 words only, as sorted keys cut by shard and packed as the gaps between them; a
@@ -14,9 +14,12 @@ travel between them.
    different words a word follows, and how many pairs of count one, two and more
    it begins.  The shards of words add that up.
 3. Chunks ask for their words, and, in waves, for the pairs of other texts.
-4. With its answers a chunk scores its documents on their whole texts; most
-   pairs of a document occur in it alone, so a trusted document is scored on the
-   counts of the others.
+4. With its answers a chunk scores its documents on their whole texts.  A word
+   with the white space after it has the probability of its pair, interpolated
+   with that of the word over the words it follows, and that with its bytes,
+   which have a Kneser-Ney model of their own (step 0: n-grams of a few bytes
+   level off, so they are plain rows).  Most pairs of a document occur in it
+   alone, so a trusted document is scored on the pair counts of the others.
 
 A key has as many bits as the number of trusted words asks for, and ``doubt``
 more: a pair that the model lacks is taken for another with a chance of at most
@@ -32,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -41,6 +44,12 @@ from .shingles import batches, word_hashes
 from .tokens import mixed
 
 
+#: Bytes of an n-gram of the model under the words; a start of text counts as zero bytes.
+ORDER = 4
+#: Symbols that the uniform distribution under the single bytes spreads over.
+SYMBOLS = 256
+
+
 @dataclass(frozen=True)
 class Settings:
     #: Bytes of text per chunk, about (a longer text is a chunk of its own).
@@ -198,12 +207,96 @@ def _asked(chunks: DataFrame, packets: Callable[[list[bool], list[int], bytes],
     return chunks.select("chunk", "trusted", "sizes", "z").mapInArrow(run, from_arrow_schema(PACKET))
 
 
-#: A shard of the model (chunk is null) with how many of its counts are 1, 2, 3, 4, over 2, over 0, and their sum; or an answer to a chunk.
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the n-gram that ends at each byte, text by text; bytes per text)."""
+    pad = b"\0" * (ORDER - 1)
+    data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.uint32)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    code = data.copy()
+    for k in range(1, ORDER):
+        code[k:] |= data[:-k] << np.uint32(8 * k)
+    real = np.ones(len(data), bool)
+    begin = np.cumsum(lengths + ORDER - 1) - (lengths + ORDER - 1)
+    for k in range(ORDER - 1):
+        real[begin + k] = False
+    return code[real], lengths
+
+
+def _grams_of(chunks: DataFrame, trusted_only: bool) -> DataFrame:
+    """chunk, g, c: the n-grams of each chunk with how often they occur."""
+    schema = pa.schema({"chunk": pa.int64(), "g": pa.int64(), "c": pa.int64()})
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_:
+            for chunk, trusted, sizes, z in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                texts = _texts(z, sizes, trusted if trusted_only else None)
+                found = [np.unique(grams(texts[i:j])[0], return_counts=True) for i, j in batches(texts)]
+                if found:
+                    g, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+                    c = np.bincount(back, np.concatenate([f[1] for f in found]), len(g)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), chunk)), pa.array(g.astype(np.int64)), pa.array(c)], schema=schema)
+
+    return chunks.select("chunk", "trusted", "sizes", "z").mapInArrow(run, from_arrow_schema(schema))
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from how many occur once to four times; at least 0.01."""
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    wanted = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+    return tuple(min(max(d, 0.01), float(k)) for k, d in enumerate(wanted, 1))  # every order leaves something to the one below
+
+
+def _discount(c: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+
+def probabilities(scratch: Scratch, counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """g and p for every wanted n-gram: interpolated modified Kneser-Ney over counts (g, c).
+
+    Lower orders count the distinct n-grams one longer that end in theirs.  An
+    n-gram after an unseen context has the probability of the order below; the
+    order below unigrams is uniform.
+    """
+    tables = {ORDER: counts}
+    for n in range(ORDER - 1, 0, -1):
+        longer = tables[n + 1].select((F.col("g") % (1 << 8 * n)).alias("g"))
+        tables[n] = scratch.write(longer.groupBy("g").agg(F.count("*").alias("c")), f"order-{n}")
+    below: DataFrame | None = None
+    for n in range(1, ORDER + 1):
+        seen = {r["c"]: r["n"] for r in tables[n].where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
+        d = discounts(*[seen.get(k, 0) for k in (1, 2, 3, 4)])
+        context = (F.col("g") / 256).cast("long") if n > 1 else F.lit(0).cast("long")
+        c = F.col("c")
+        stats = tables[n].withColumn("u", context).groupBy("u").agg(F.sum("c").alias("total"), F.sum(_discount(c, d)).alias("spared"))
+        asked = wanted.select((F.col("g") % (1 << 8 * n)).alias("g")).distinct().withColumn("u", context)
+        joined = asked.join(tables[n], "g", "left").join(stats, "u", "left")
+        if below is None:
+            joined = joined.withColumn("q", F.lit(1.0 / SYMBOLS))
+        else:
+            joined = joined.withColumn("s", F.col("g") % (1 << 8 * (n - 1))).join(below, "s")
+        own = (F.coalesce(c, F.lit(0)) - F.when(c.isNull(), 0.0).otherwise(_discount(c, d))) / F.col("total")
+        p = F.when(F.col("total").isNull(), F.col("q")).otherwise(own + F.col("spared") / F.col("total") * F.col("q"))
+        below = scratch.write(joined.select(F.col("g").alias("s"), p.alias("q")), f"p-{n}")
+    return below.select(F.col("s").alias("g"), F.col("q").alias("p"))
+
+
+def _byte_answers(requests: DataFrame, model: DataFrame) -> DataFrame:
+    """Per chunk its n-grams and the bits of their probabilities."""
+
+    def gather(group: pa.Table) -> pa.Table:
+        g, p = group.column("g").to_numpy(), group.column("p").to_numpy()
+        order = np.argsort(g)
+        return _table([(0, group.column("chunk")[0].as_py(), pack(_gaps(g[order]), p[order].view(np.int64)))], PACKET)
+
+    return requests.join(model, "g").groupBy("chunk").applyInArrow(gather, from_arrow_schema(PACKET))
+
+
+#: A shard of the model (chunk is null) with how many of its counts are 1, 2, 3, 4, over 2, and their sum; or an answer to a chunk.
 COUNTED = pa.schema([*PACKET, pa.field("n", _IDS)])
 
 
 def _spectrum(c: np.ndarray) -> list[int]:
-    return [*[int((c == k).sum()) for k in (1, 2, 3, 4)], int((c > 2).sum()), int((c > 0).sum()), int(c.sum())]
+    return [*[int((c == k).sum()) for k in (1, 2, 3, 4)], int((c > 2).sum()), int(c.sum())]
 
 
 def _pair_counts(packets: DataFrame) -> DataFrame:
@@ -286,31 +379,23 @@ def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nd
     return np.where(keys[at] == wanted, values[at], 0).astype(np.int64)
 
 
-def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from how many occur once to four times; at least 0.01."""
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    wanted = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(d, 0.01), float(k)) for k, d in enumerate(wanted, 1))  # every order leaves something to the one below
-
-
 @dataclass(frozen=True)
 class Numbers:
-    """Discounts of pairs and of words, the number of distinct pairs, what words spare of it, and the number of words and one for all others."""
+    """Discounts of pairs and of words, the number of distinct pairs, and what words spare of it for their bytes."""
 
     pair: tuple[float, float, float]
     word: tuple[float, float, float]
     total: float
     spared: float
-    words: float
 
 
 def _numbers(model: DataFrame, words: DataFrame) -> Numbers:
     def of(df: DataFrame) -> list[int]:
-        return [x or 0 for x in df.agg(*[F.sum(F.col("n")[k]) for k in range(7)]).first()]
+        return [x or 0 for x in df.agg(*[F.sum(F.col("n")[k]) for k in range(6)]).first()]
 
     pair, word = of(model), of(words)
     d = discounts(*word[:4])
-    return Numbers(discounts(*pair[:4]), d, float(word[6]), d[0] * word[0] + d[1] * word[1] + d[2] * word[4], word[5] + 1.0)
+    return Numbers(discounts(*pair[:4]), d, float(word[5]), d[0] * word[0] + d[1] * word[1] + d[2] * word[4])
 
 
 def _off(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -318,12 +403,13 @@ def _off(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.clip(c, 0, 3).astype(np.int64)]
 
 
-def word_logs(c: np.ndarray, follows: np.ndarray, total: np.ndarray, spared: np.ndarray, n: Numbers, own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def word_logs(c: np.ndarray, follows: np.ndarray, total: np.ndarray, spared: np.ndarray, base: np.ndarray, n: Numbers, own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Logarithms of the probabilities of words.
 
     Per word: the count of its pair, the words it follows, the count of the word
-    before and what its pairs spare.  own: pair, word before and word, of one
-    text that is in the counts and is taken out of them.
+    before, what its pairs spare, and the logarithm of its bytes.  own: pair,
+    word before and word, of one text that is in the counts and is taken out of
+    them.
     """
     words_total, words_spared = n.total, n.spared
     if own is not None:
@@ -341,35 +427,53 @@ def word_logs(c: np.ndarray, follows: np.ndarray, total: np.ndarray, spared: np.
     with np.errstate(divide="ignore", invalid="ignore"):
         some = words_total > 0
         p = (follows - _off(follows, n.word)) / words_total if some else np.zeros(len(c))
-        p = p + (words_spared / words_total if some else 1.0) / n.words
+        to_bytes = words_spared / words_total if some else 1.0
         seen = total > 0
-        return np.log(np.where(seen, (c - _off(c, n.pair)) / total, 0.0) + np.where(seen, spared / total, 1.0) * p)
+        to_word = np.where(seen, spared / total, 1.0)
+        return np.logaddexp(np.log(np.where(seen, (c - _off(c, n.pair)) / total, 0.0) + to_word * p), np.log(to_word * to_bytes) + base)
+
 
+@dataclass(frozen=True)
+class Known:
+    """What a chunk was told: n-grams and logarithms; (pairs, counts) of the other texts and of the trusted ones; words, words followed, total, pairs of 1, 2, more begun."""
+
+    bytes: tuple[np.ndarray, np.ndarray]
+    others: tuple[np.ndarray, np.ndarray]
+    trusted: tuple[np.ndarray, np.ndarray]
+    words: tuple[np.ndarray, ...]
 
-def perplexities(texts: list[bytes], trusted: np.ndarray, keys: Keys, known: tuple[tuple, tuple, tuple], n: Numbers) -> np.ndarray:
-    """Per word; known: (pairs, counts) of the other texts, of the trusted ones, and (words, words followed, total, pairs of 1, 2, more begun)."""
+
+def perplexities(texts: list[bytes], trusted: np.ndarray, keys: Keys, known: Known, n: Numbers) -> np.ndarray:
+    """Per byte; nan for an empty text."""
     out = np.full(len(texts), np.nan)
-    for i, j in batches(texts):
-        g, u, w, length = keys.pairs(texts[i:j])
-        if not len(g):
-            continue
-        mine = np.repeat(trusted[i:j], length)
-        c = np.where(mine, looked_up(*known[1], g), looked_up(*known[0], g))
-        words, follows, total, *begun = known[2]
-        at, of = np.searchsorted(words, u), np.searchsorted(words, w)
-        spared = sum(d * b[at].astype(float) for d, b in zip(n.pair, begun, strict=True))
-        cells = c, follows[of].astype(np.int64), total[at].astype(np.int64), spared
-        logs, ends = word_logs(*cells, n), np.cumsum(length)
-        for k in np.flatnonzero(trusted[i:j] & (length > 0)).tolist():
-            part = slice(int(ends[k] - length[k]), int(ends[k]))
-            logs[part] = word_logs(*[x[part] for x in cells], n, (g[part], u[part], w[part]))
-        full = np.flatnonzero(length)
-        out[i + full] = np.exp(-np.add.reduceat(logs, (ends - length)[full]) / length[full])
+    full = np.array([k for k, t in enumerate(texts) if t], np.int64)
+    for i, j in batches([texts[k] for k in full]):
+        some = [texts[k] for k in full[i:j]]
+        code, sizes = grams(some)
+        logs, ends = known.bytes[1][np.searchsorted(known.bytes[0], code)], np.cumsum(sizes)
+        g, u, w, length = keys.pairs(some)
+        start = word_hashes(some)[1] - np.repeat(np.arange(len(some)), length)  # in the texts without separators
+        bounds = np.union1d(start, ends - sizes)
+        sums = np.add.reduceat(logs, bounds)
+        is_word = np.isin(bounds, start, assume_unique=True)
+        if len(g):
+            mine = np.repeat(trusted[full[i:j]], length)
+            c = np.where(mine, looked_up(*known.trusted, g), looked_up(*known.others, g))
+            words, follows, total, *begun = known.words
+            at, of = np.searchsorted(words, u), np.searchsorted(words, w)
+            spared = sum(d * b[at].astype(float) for d, b in zip(n.pair, begun, strict=True))
+            cells = c, follows[of].astype(np.int64), total[at].astype(np.int64), spared, sums[is_word]
+            scored, stops = word_logs(*cells, n), np.cumsum(length)
+            for k in np.flatnonzero(trusted[full[i:j]] & (length > 0)).tolist():
+                part = slice(int(stops[k] - length[k]), int(stops[k]))
+                scored[part] = word_logs(*[x[part] for x in cells], n, (g[part], u[part], w[part]))
+            sums[is_word] = scored
+        out[full[i:j]] = np.exp(-np.add.reduceat(sums, np.searchsorted(bounds, ends - sizes)) / sizes)
     return out
 
 
 SCORED = pa.schema({"doc_id": pa.int64(), "lang": pa.string(), "trusted": pa.bool_(), "perplexity": pa.float64()})
-OTHERS, TRUSTED, WORDS = 0, 1, 2
+OTHERS, TRUSTED, WORDS, BYTES = 0, 1, 2, 3
 
 
 def _score(chunks: DataFrame, answers: DataFrame, keys: Keys, n: Numbers) -> DataFrame:
@@ -385,7 +489,11 @@ def _score(chunks: DataFrame, answers: DataFrame, keys: Keys, n: Numbers) -> Dat
         for r in chunk.to_pylist():
             texts, trusted = _texts(r["z"], r["sizes"]), np.array(r["trusted"], bool)
             pairs = [keys.distinct([t for t, ok in zip(texts, trusted, strict=True) if ok == mine])[0] for mine in (False, True)]
-            known = (pairs[0], columns(OTHERS, 1)[0]), (pairs[1], columns(TRUSTED, 2)[0]), (keys.words(texts), *columns(WORDS, 5))
+            code, p = columns(BYTES, 2)
+            known = Known(
+                (np.cumsum(code.astype(np.uint64)).astype(np.uint32), np.log(p.view(np.float64))),
+                (pairs[0], columns(OTHERS, 1)[0]), (pairs[1], columns(TRUSTED, 2)[0]), (keys.words(texts), *columns(WORDS, 5)),
+            )
             found = perplexities(texts, trusted, keys, known, n).tolist()
             rows += [(d, v, t, None if math.isnan(p) else p) for d, v, t, p in zip(r["doc_ids"], r["langs"], r["trusted"], found, strict=True)]
         return _table(rows, SCORED)
@@ -410,6 +518,10 @@ def perplexity(scratch: Scratch, docs: DataFrame, width: int, s: Settings) -> Da
     def words(trusted, sizes, z):
         return keys.packets(keys.words(_texts(z, sizes)), of_words=True)
 
+    counts_of = _grams_of(chunks.where("trusted_words > 0"), True).groupBy("g").agg(F.sum("c").alias("c"))
+    requests = scratch.write(_grams_of(chunks, False).select("chunk", "g"), "requests")
+    spelling = scratch.write(_byte_answers(requests, probabilities(scratch, scratch.write(counts_of, "counts"), requests)), "spelling")
+    release(docs.sparkSession)
     learned = scratch.bucketed(_pair_counts(_asked(chunks.where("trusted_words > 0"), counts)), "pairs", "slot", width)
     release(docs.sparkSession)
     model, told = learned.where("chunk IS NULL"), learned.where("chunk IS NOT NULL").select("slot", "chunk", "z")
@@ -417,7 +529,7 @@ def perplexity(scratch: Scratch, docs: DataFrame, width: int, s: Settings) -> Da
     release(docs.sparkSession)
     answers = told.withColumn("kind", F.lit(TRUSTED))
     stored = scratch.write(_answers(_asked(chunks, words), contexts, 5), "word-answers")
-    answers = answers.unionByName(stored.withColumn("kind", F.lit(WORDS)))
+    answers = answers.unionByName(stored.withColumn("kind", F.lit(WORDS))).unionByName(spelling.withColumn("kind", F.lit(BYTES)))
     for wave in range(s.waves):
         release(docs.sparkSession)
         part = scratch.write(_answers(_asked(chunks.where(F.col("wave") == wave), pairs), model, 1), f"answers-{wave}")
@@ -427,14 +539,14 @@ def perplexity(scratch: Scratch, docs: DataFrame, width: int, s: Settings) -> Da
 
 
 def classify(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, lang, trusted, perplexity (per word), threshold, keep: a row per document.
+    """doc_id, lang, trusted, perplexity (per byte), threshold, keep: a row per document.
 
     docs: doc_id, lang, text; trusted_ids: doc_id.  The threshold is the
     quantile of the trusted documents' perplexity in the language (a null
     language is one of its own), or of all trusted ones where a language has
-    none.  Texts without words (null and empty ones) have a null perplexity and
-    are not kept; without trusted text all words are equally likely and
-    thresholds are null, so nothing is kept; repeated rows are scored each;
+    none.  Null and empty texts have a null perplexity and are not kept; without
+    trusted text all bytes are equally likely and thresholds are null, so
+    nothing is kept; repeated rows are scored each;
     texts of any length are scored whole; no rows give no rows; other columns
     are not read.
     """
