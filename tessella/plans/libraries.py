@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import model as m
+from ..functions import text as fx
 from ..operators import library as lb
 from ..operators import relations as r
 from ..operators import retrieval as rt
+from .ranked import bm25_sql
 from .relational import LEAF, Query
 
 QUERIES: dict[str, Query] = {}
@@ -24,7 +26,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_LINKS = "links AS (SELECT c.chunk_id, d.lang AS name FROM chunks c JOIN documents d ON d.doc_id = c.item_id WHERE c.chunk_id % 3 = 0)"
+_LINKS = "links AS (SELECT c.chunk_id, d.lang AS name FROM chunks c JOIN documents d ON d.doc_id = c.item_id)"
 
 
 def _links(spark, d):
@@ -51,7 +53,7 @@ def m12(spark, d):
     return lb.ensure_tags(spark.createDataFrame([("de", 5), ("zz", 2)], "name string, usage long"), _links(spark, d).where("name IS NOT NULL"))
 
 
-@query("r45_tag_list", m.with_tables("chunks") + _LINKS + ", x AS (SELECT name, count(*) AS usage FROM links WHERE name IS NOT NULL GROUP BY 1 ORDER BY usage DESC, name LIMIT 100) SELECT * FROM x")
+@query("r45_tag_list", m.with_tables("chunks") + _LINKS + ", x AS (SELECT name, count(*) AS usage FROM links WHERE name IS NOT NULL GROUP BY 1) SELECT * FROM x")
 def r45(spark, d):
     return _links(spark, d).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("usage")).orderBy(F.desc("usage"), "name")
 
@@ -126,8 +128,12 @@ def r25(spark, d):
     return lb.named_item(m.items(spark, d), "README_4")
 
 
-_BOOST = f"""h AS (SELECT chunk_id, item_id, 0.5 AS score FROM chunks WHERE {LEAF} AND contains(content, 'theand') ORDER BY item_id, chunk_id LIMIT 50),
-b AS (SELECT chunk_id, item_id, 1.5 AS score, true AS boosted FROM chunks WHERE item_id = 4 AND {LEAF} ORDER BY chunk_id LIMIT 3),
+_NAMED = "theand in readme_4.rs, main_7.md and guide_8.py"
+_BOOST = bm25_sql(fx.expanded(fx.query_terms(lb.without_file_names(_NAMED))), LEAF) + f""",
+h AS (SELECT chunk_id, item_id, 0.5 AS score FROM chunks WHERE {LEAF} AND contains(content, 'theand') ORDER BY item_id, chunk_id LIMIT 50),
+named AS (SELECT item_id, min(chunk_id) AS head FROM chunks WHERE {LEAF} AND item_id IN (4, 7, 8) GROUP BY 1),
+best AS (SELECT item_id, first(chunk_id ORDER BY score DESC, chunk_id) AS best FROM leg GROUP BY 1),
+b AS (SELECT coalesce(best, head) AS chunk_id, named.item_id, 1.5 AS score, true AS boosted FROM named LEFT JOIN best USING (item_id)),
 x AS (SELECT * FROM b UNION ALL SELECT *, false FROM h WHERE chunk_id NOT IN (SELECT chunk_id FROM b)) SELECT * FROM x"""
 
 
@@ -135,8 +141,7 @@ x AS (SELECT * FROM b UNION ALL SELECT *, false FROM h WHERE chunk_id NOT IN (SE
 def r26(spark, d):
     chunks = m.chunks(spark, d)
     hits = rt.exact_leg(chunks, "theand", 50).withColumn("score", F.lit(0.5))
-    question = "theand in readme_4.rs, main_7.md and guide_8.py"
-    return lb.boosted(hits, lb.named_items(m.items(spark, d), question), chunks, question)
+    return lb.boosted(hits, lb.named_items(m.items(spark, d), _NAMED), chunks, _NAMED)
 
 
 def _page(spark, d):
@@ -169,7 +174,7 @@ def r30(spark, d):
     return lb.claimed_neighbours(hits, rt.neighbours(chunks))
 
 
-@query("r47_quality_flag", """WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(substr(CASE WHEN doc_id % 9 = 0 THEN repeat('a b cd ', 30) ELSE text END, 1, 20000), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM documents)
+@query("r47_quality_flag", """WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(CASE WHEN doc_id % 9 = 0 THEN repeat('a b cd ', 30) ELSE text END, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM documents)
 SELECT doc_id AS item_id, CASE WHEN len(ws) >= 40 AND len(list_filter(ws, lambda w: length(w) <= 2)) > 0.6 * len(ws) THEN 'suspect' WHEN doc_id % 4 = 0 THEN 'repaired' END AS flag FROM w""")
 def r47(spark, d):
     n = F.col("item_id")

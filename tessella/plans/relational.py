@@ -590,7 +590,7 @@ def r43(spark, d):
     return r.node_links(m.sections(spark, d))
 
 
-@query("r41_section_list", m.with_tables("sections") + "x AS (SELECT section_id, level FROM sections WHERE level <= 1 ORDER BY level, section_id LIMIT 200) SELECT * FROM x")
+@query("r41_section_list", m.with_tables("sections") + "x AS (SELECT section_id, level FROM sections WHERE level <= 1) SELECT * FROM x")
 def r41(spark, d):
     return m.sections(spark, d).where("level <= 1").orderBy("level", "section_id").select("section_id", "level")
 
