@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import Scratch, release, small_side, width_for
-from .shingles import batches, word_hashes
+from .shingles import batches, word_counts, word_hashes
 from .tokens import mixed
 
 
@@ -116,22 +116,21 @@ class Keys:
         before[cuts[:-1][np.diff(cuts) > 0]] = 0
         return self.pair(before, word), before, word, np.diff(cuts)
 
-    def distinct(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """The sorted distinct pairs of texts: (pair, word before, word, how often)."""
-        found = []
-        for i, j in batches(texts):
-            pair, before, word, _ = self.pairs(texts[i:j])
-            pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-            found.append((pair, before[at], word[at], n))
-        if not found:
-            return (*[np.zeros(0, np.uint64)] * 3, np.zeros(0, np.int64))
-        pair, before, word, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        pair, at, back = np.unique(pair, return_index=True, return_inverse=True)
-        return pair, before[at], word[at], np.bincount(back, n, len(pair)).astype(np.int64)
+    def distinct(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct pairs of texts and how often each occurs."""
+        found = [self.pairs(texts[i:j])[0] for i, j in batches(texts)]
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+
+    def spelled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(word before, word) of the sorted distinct pairs of texts."""
+        found = [self.pairs(texts[i:j])[:3] for i, j in batches(texts)]
+        pair, before, word = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*found, strict=True) if found else [[]] * 3))
+        at = np.unique(pair, return_index=True)[1]
+        return before[at], word[at]
 
     def words(self, texts: list[bytes]) -> np.ndarray:
         """The sorted distinct words of texts and the 0 before the first."""
-        found = [np.unique(self.pairs(texts[i:j])[2]) for i, j in batches(texts)]
+        found = [np.unique(word_hashes(texts[i:j])[0]) >> np.uint64(64 - self.bits) for i, j in batches(texts)]
         return np.unique(np.concatenate([np.zeros(1, np.uint64), *found]))
 
     def packets(self, keys: np.ndarray, *columns: np.ndarray, of_words: bool) -> Iterator[tuple[int, bytes]]:
@@ -161,7 +160,7 @@ def _chunks(docs: DataFrame, s: Settings) -> DataFrame:
         def one() -> pa.RecordBatch:
             ids, langs, trusted, texts = zip(*rows, strict=True)
             full = [t or b"" for t in texts]
-            n = np.concatenate([np.diff(word_hashes(full[i:j])[2]) for i, j in batches(full)])
+            n = np.concatenate([word_counts(full[i:j]) for i, j in batches(full)])
             total, own = int(n.sum()), int(n[np.array(trusted)].sum())
             cells = [(task << 32) + number, (task + number) % s.waves, list(ids), list(langs), list(trusted), [-1 if t is None else len(t) for t in texts], total, own, press.compress(b"".join(full))]
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, CHUNK, strict=True)], schema=CHUNK)
@@ -332,7 +331,7 @@ def _word_packets(chunks: DataFrame, answers: DataFrame, keys: Keys) -> DataFram
         if not chunk.num_rows or not told.num_rows:
             return _table([], PACKET)
         r = chunk.to_pylist()[0]
-        _, before, word, _ = keys.distinct(_texts(r["z"], r["sizes"], r["trusted"]))
+        before, word = keys.spelled(_texts(r["z"], r["sizes"], r["trusted"]))
         total, owned = (np.concatenate(x) for x in zip(*[unpack(a["z"]) for a in _rows(told)], strict=True))
         own = owned > 0
         before, word, total = before[own], word[own], total[own]
@@ -372,13 +371,32 @@ def _answers(packets: DataFrame, model: DataFrame, many: int) -> DataFrame:
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """values of the wanted keys, 0 where there is none; keys are sorted."""
+    """values of the wanted keys, 0 where there is none; both are sorted."""
     if not len(keys):
         return np.zeros(len(wanted), np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], 0).astype(np.int64)
 
 
+class Places:
+    """Where keys stand among sorted keys of so many evenly spread bits: the first bits say where to look, and few steps remain."""
+
+    def __init__(self, keys: np.ndarray, bits: int):
+        top = min(bits, max(1, (2 * len(keys)).bit_length()))
+        self.shift = keys.dtype.type(bits - top)
+        self.first = np.searchsorted(keys, np.arange(1 << top, dtype=keys.dtype) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, keys.dtype.type(np.iinfo(keys.dtype).max))
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key; all of them must be there."""
+        at = self.first[wanted >> self.shift]
+        behind = np.flatnonzero(self.keys[at] < wanted)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < wanted[behind]]
+        return at
+
+
 @dataclass(frozen=True)
 class Numbers:
     """Discounts of pairs and of words, the number of distinct pairs, and what words spare of it for their bytes."""
@@ -433,38 +451,50 @@ def word_logs(c: np.ndarray, follows: np.ndarray, total: np.ndarray, spared: np.
         return np.logaddexp(np.log(np.where(seen, (c - _off(c, n.pair)) / total, 0.0) + to_word * p), np.log(to_word * to_bytes) + base)
 
 
+#: Spreads the numbers of n-grams evenly over 32 bits.
+_SPREAD = np.uint32(0x9E3779B1)
+
+
 @dataclass(frozen=True)
 class Known:
-    """What a chunk was told: n-grams and logarithms; (pairs, counts) of the other texts and of the trusted ones; words, words followed, total, pairs of 1, 2, more begun."""
+    """What a chunk was told.  Places of its n-grams (spread), of the pairs of its other and its trusted texts and of its words, and
+
+    the logarithms of n-grams, the counts of pairs, and of words: those followed, the total, pairs of 1, 2 and more begun.
+    """
 
-    bytes: tuple[np.ndarray, np.ndarray]
-    others: tuple[np.ndarray, np.ndarray]
-    trusted: tuple[np.ndarray, np.ndarray]
-    words: tuple[np.ndarray, ...]
+    grams: Places
+    logs: np.ndarray
+    pairs: tuple[Places, Places]
+    counts: tuple[np.ndarray, np.ndarray]
+    words: Places
+    columns: list[np.ndarray]
 
 
 def perplexities(texts: list[bytes], trusted: np.ndarray, keys: Keys, known: Known, n: Numbers) -> np.ndarray:
     """Per byte; nan for an empty text."""
     out = np.full(len(texts), np.nan)
     full = np.array([k for k, t in enumerate(texts) if t], np.int64)
+    follows, total, *begun = known.columns
+    spares = sum(d * b.astype(float) for d, b in zip(n.pair, begun, strict=True))
     for i, j in batches([texts[k] for k in full]):
-        some = [texts[k] for k in full[i:j]]
+        some, own = [texts[k] for k in full[i:j]], trusted[full[i:j]]
         code, sizes = grams(some)
-        logs, ends = known.bytes[1][np.searchsorted(known.bytes[0], code)], np.cumsum(sizes)
+        logs, ends = known.logs[known.grams.of(code * _SPREAD)], np.cumsum(sizes)
         g, u, w, length = keys.pairs(some)
         start = word_hashes(some)[1] - np.repeat(np.arange(len(some)), length)  # in the texts without separators
         bounds = np.union1d(start, ends - sizes)
         sums = np.add.reduceat(logs, bounds)
         is_word = np.isin(bounds, start, assume_unique=True)
         if len(g):
-            mine = np.repeat(trusted[full[i:j]], length)
-            c = np.where(mine, looked_up(*known.trusted, g), looked_up(*known.others, g))
-            words, follows, total, *begun = known.words
-            at, of = np.searchsorted(words, u), np.searchsorted(words, w)
-            spared = sum(d * b[at].astype(float) for d, b in zip(n.pair, begun, strict=True))
-            cells = c, follows[of].astype(np.int64), total[at].astype(np.int64), spared, sums[is_word]
+            mine, c = np.repeat(own, length), np.zeros(len(g), np.int64)
+            for k, of in enumerate((~mine, mine)):
+                c[of] = known.counts[k][known.pairs[k].of(g[of])]
+            at = known.words.of(w)
+            before = np.append(0, at[:-1])
+            before[u == 0] = 0  # the sorted words begin with the 0 before the first
+            cells = c, follows[at], total[before], spares[before], sums[is_word]
             scored, stops = word_logs(*cells, n), np.cumsum(length)
-            for k in np.flatnonzero(trusted[full[i:j]] & (length > 0)).tolist():
+            for k in np.flatnonzero(own & (length > 0)).tolist():
                 part = slice(int(stops[k] - length[k]), int(stops[k]))
                 scored[part] = word_logs(*[x[part] for x in cells], n, (g[part], u[part], w[part]))
             sums[is_word] = scored
@@ -490,9 +520,11 @@ def _score(chunks: DataFrame, answers: DataFrame, keys: Keys, n: Numbers) -> Dat
             texts, trusted = _texts(r["z"], r["sizes"]), np.array(r["trusted"], bool)
             pairs = [keys.distinct([t for t, ok in zip(texts, trusted, strict=True) if ok == mine])[0] for mine in (False, True)]
             code, p = columns(BYTES, 2)
+            code = np.cumsum(code.astype(np.uint64)).astype(np.uint32) * _SPREAD
+            order = np.argsort(code)
             known = Known(
-                (np.cumsum(code.astype(np.uint64)).astype(np.uint32), np.log(p.view(np.float64))),
-                (pairs[0], columns(OTHERS, 1)[0]), (pairs[1], columns(TRUSTED, 2)[0]), (keys.words(texts), *columns(WORDS, 5)),
+                Places(code[order], 32), np.log(p.view(np.float64))[order], tuple(Places(x, keys.bits) for x in pairs), (columns(OTHERS, 1)[0].astype(np.int64), columns(TRUSTED, 2)[0].astype(np.int64)),
+                Places(keys.words(texts), keys.bits), [c.astype(np.int64) for c in columns(WORDS, 5)],
             )
             found = perplexities(texts, trusted, keys, known, n).tolist()
             rows += [(d, v, t, None if math.isnan(p) else p) for d, v, t, p in zip(r["doc_ids"], r["langs"], r["trusted"], found, strict=True)]
@@ -509,8 +541,7 @@ def perplexity(scratch: Scratch, docs: DataFrame, width: int, s: Settings) -> Da
     keys = Keys.of(size[0] or 0, size[1] or 0, s)
 
     def counts(trusted, sizes, z):
-        pair, _, _, n = keys.distinct(_texts(z, sizes, trusted))
-        return keys.packets(pair, n, of_words=False)
+        return keys.packets(*keys.distinct(_texts(z, sizes, trusted)), of_words=False)
 
     def pairs(trusted, sizes, z):
         return keys.packets(keys.distinct(_texts(z, sizes, [not t for t in trusted]))[0], of_words=False)

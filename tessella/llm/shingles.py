@@ -41,6 +41,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return words, start, cuts
 
 
+def word_counts(texts: list[bytes]) -> np.ndarray:
+    """The number of words of each text."""
+    word = ~_SPACE[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    start = np.flatnonzero(word & ~np.append(False, word[:-1]))
+    return np.diff(np.searchsorted(start, np.append(0, np.cumsum([len(t) + 1 for t in texts]))))
+
+
 def ngrams(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all n-grams, text by text, with repeats; their number per text).
 
