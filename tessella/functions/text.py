@@ -39,7 +39,8 @@ RECORD_PATTERNS = (
     r"(?m)^#{1,6}\s+decision\b", r"\brevisit triggers?\b", r"(?m)^#{1,6}\s+action items?\s*:?\s*$", r"(?m)^\*\*action items?:?\*\*:?\s*$",
 )
 TAG_STOPWORDS = (
-    "this that with from have been were they them then will would about which when where what their there also into more than some such only other could should"
+    "the and for with this that from have will would about which when where what their there been also "
+    "into more than some such only other could should a an the and or but of in on at to for"
 ).split()
 
 #: Letters with marks and what the full-text tokenizer folds them to.
@@ -119,15 +120,20 @@ def bucket(text: Column) -> Column:
     return F.when(reduce(lambda a, b: a | b, found), "record").otherwise("reference")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In doubles; 0 when empty, of different width or of zero norm."""
+def dot(x: Column, y: Column) -> Column:
+    """In doubles."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def norm(x: Column) -> Column:
+    return F.sqrt(dot(x, x))
 
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    fits = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0)
-    return F.when(fits, dot(a, b) / norm).otherwise(0.0)
+
+def cosine(a: Column, b: Column) -> Column:
+    """In doubles; 0 when empty, of different width or of zero norm."""
+    size = norm(a) * norm(b)
+    fits = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (size > 0)
+    return F.when(fits, dot(a, b) / size).otherwise(0.0)
 
 
 def half_away(x: Column, digits: int) -> Column:

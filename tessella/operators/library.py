@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import LEAF_KINDS
+from .index import KeywordIndex
 from .retrieval import keyword_scores
 
 
@@ -92,15 +93,15 @@ def named_items(items: DataFrame, question: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found, items.select("item_id").limit(0)).distinct()
 
 
-def boosted(hits: DataFrame, named: DataFrame, chunks: DataFrame, question: str) -> DataFrame:
+def boosted(hits: DataFrame, named: DataFrame, chunks: DataFrame, question: str, index: KeywordIndex | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """hits with a leaf of each named item on top (score over all others) and the mark boosted.
 
-    The leaf is the item's best one for the question without its file names, and the first where none matches.
+    The leaf is the item's best one for the question without its file names (looked up in the index, if there is one), and the first where none matches.
     """
     top = hits.agg(F.max("score").alias("_top"))
     ids = F.broadcast(named.select("item_id").distinct())  # three items at most
     first = chunks.where(F.col("kind").isin(*LEAF_KINDS)).join(ids, "item_id", "left_semi").groupBy("item_id").agg(F.min("chunk_id").alias("_first"))
-    matches = keyword_scores(chunks, without_file_names(question)).join(ids, "item_id", "left_semi")
+    matches = keyword_scores(index or chunks, without_file_names(question), extra=extra, scope=ids)
     best = matches.groupBy("item_id").agg(F.max_by("chunk_id", F.struct("score", -F.col("chunk_id"))).alias("_best"))
     leaves = first.join(best, "item_id", "left").select(F.coalesce("_best", "_first").alias("chunk_id"), "item_id")
     up = leaves.join(F.broadcast(top)).select("chunk_id", "item_id", (F.coalesce("_top", F.lit(0.0)) + 1).alias("score"), F.lit(True).alias("boosted"))

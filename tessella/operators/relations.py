@@ -123,24 +123,6 @@ def section_sizes(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     return sections.join(n, "section_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_chunks", "chars")})
 
 
-def subtree_sizes(sections: DataFrame, chunks: DataFrame, depth: int = 8) -> DataFrame:
-    """section_id, chars, n_chunks of the whole subtree: characters, and four more for every chunk but the first.
-
-    Each section's own sums climb one level per round, so a round is one join on
-    parent_id; depth bounds the rounds (and a cycle).
-    """
-    own = section_sizes(sections.select("section_id", "parent_id"), chunks)
-    level = own.select("section_id", "parent_id", "chars", "n_chunks").withColumn("at", F.col("section_id"))
-    every = level.select("at", "chars", "n_chunks")
-    up = sections.select(F.col("section_id").alias("_s"), F.col("parent_id").alias("_p"))
-    climbing = level.select(F.col("parent_id").alias("at"), "chars", "n_chunks").where("at IS NOT NULL")
-    for _ in range(min(depth, 3)):
-        every = every.unionByName(climbing)
-        climbing = climbing.join(up, F.col("at") == F.col("_s")).where("_p IS NOT NULL").select(F.col("_p").alias("at"), "chars", "n_chunks")
-    total = every.groupBy("at").agg(F.sum("chars").alias("chars"), F.sum("n_chunks").alias("n_chunks"))
-    return total.select(F.col("at").alias("section_id"), (F.col("chars") + 4 * F.greatest(F.lit(0), F.col("n_chunks") - 1)).alias("chars"), "n_chunks")
-
-
 def conflict_pairs(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     """entity_id and counterpart for both directions of conflicts_with; stale counterparts are left out."""
     base = relationships.where("kind = 'conflicts_with'")
@@ -162,17 +144,6 @@ def first_chunk(entities: DataFrame, chunks: DataFrame) -> DataFrame:
     return entities.join(first, "item_id", "left").select("entity_id", "first_chunk")
 
 
-def ancestors(sections: DataFrame, depth: int = 3) -> DataFrame:
-    """section_id, ancestor and distance, itself at distance 0."""
-    up = sections.select(F.col("section_id").alias("_s"), F.col("parent_id").alias("_p"))
-    now = sections.select("section_id", F.col("section_id").alias("ancestor"), F.lit(0).alias("distance"))
-    every = now
-    for d in range(1, depth + 1):
-        now = now.join(up, F.col("ancestor") == F.col("_s")).where("_p IS NOT NULL").select("section_id", F.col("_p").alias("ancestor"), F.lit(d).alias("distance"))
-        every = every.unionByName(now)
-    return every
-
-
 def node_links(sections: DataFrame) -> DataFrame:
     """section_id with its parent, number of children and of siblings (roots of an item are siblings)."""
     kids = sections.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("section_id")).agg(F.count("*").alias("children"))
@@ -258,12 +229,23 @@ def running_pages(chunks: DataFrame) -> DataFrame:
     return seen.select("chunk_id", first.alias("first_page"), F.coalesce("_top", before).alias("last_page"))
 
 
-def section_ends(starts: DataFrame, total: str) -> DataFrame:
-    """start lines of headings with their end: the line before the next heading that is as shallow or shallower."""
-    by = Window.partitionBy("doc").orderBy("line")
-    later = F.collect_list(F.struct("line", "level")).over(by.rowsBetween(1, Window.unboundedFollowing))
-    hit = F.get(F.filter(F.col("_later"), lambda x: x["level"] <= F.col("level")), F.lit(0))
-    return starts.withColumn("_later", later).withColumn("end", F.coalesce(hit["line"] - 1, F.col(total))).drop("_later")
+def section_ends(starts: DataFrame, total: str, levels: int = 7) -> DataFrame:
+    """start lines of headings with their end: the line before the next heading that is as shallow or shallower.
+
+    Levels are 0 to levels: for each, the next line at that level or above it is
+    a running minimum from below, so memory does not grow with a document.
+    """
+    later = Window.partitionBy("doc").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    nexts = F.array(*[F.min(F.when(F.col("level") <= k, F.col("line"))).over(later) for k in range(levels + 1)])
+    marked = starts.withColumn("_next", nexts)
+    return marked.withColumn("end", F.coalesce(F.get("_next", F.col("level").cast("int")) - 1, F.col(total))).drop("_next")
+
+
+def heading_parents(heads: DataFrame, levels: int = 7) -> DataFrame:
+    """doc, line and parent: the line of the last heading before that is shallower."""
+    before = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = F.array(*[F.max(F.when(F.col("level") < k, F.col("line"))).over(before) for k in range(levels + 1)])
+    return heads.withColumn("_last", lasts).select("doc", "line", F.get("_last", F.col("level").cast("int")).alias("parent"))
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
@@ -318,6 +300,36 @@ def backfill(chunks: DataFrame, stale: list[str], items: DataFrame, sources: Dat
     return need.join(free, "item_id", "left_semi")
 
 
+def outdated(items: DataFrame, generations: dict[str, int], base: int = 1) -> DataFrame:
+    """item_id and wanted of the items whose chunks an older chunker made; generations: by extension, base for all others.
+
+    Items that host images are made anew by sync and are left out.
+    """
+    name = F.lower(F.element_at(F.split("external_id", r"[/\\]"), -1))
+    known = F.create_map(*[F.lit(x) for kv in generations.items() for x in kv]) if generations else F.create_map().cast("map<string,int>")
+    wanted = F.coalesce(F.when(name.contains("."), known[F.element_at(F.split(name, r"\."), -1)]), F.lit(base))
+    return items.where(~name.rlike(IMAGE_HOSTS)).withColumn("wanted", wanted).where(F.col("chunker_version") < F.col("wanted")).select("item_id", "wanted")
+
+
+#: Names of files with images inside.
+IMAGE_HOSTS = r"\.(html|htm|docx|docm|pptx|pptm|odt|odp|pdf|md|markdown)$"
+
+
+def embedding_gate(chunks: DataFrame, items: DataFrame, sources: DataFrame, least: float = 0.15, trusted: bool = False) -> DataFrame:
+    """chunk_id and embed: whether a chunk's raw text says enough, and may be shown to the provider (sensitive text only to a trusted one)."""
+    free = sensitivity(items, sources).select("item_id", (F.lit(trusted) | F.col("blocked_by").isNull()).alias("_free"))
+    rated = idf_signal(chunks).join(chunks.select("chunk_id", "item_id"), "chunk_id").join(free, "item_id", "left")
+    return rated.select("chunk_id", ((F.col("signal") >= least) & F.coalesce("_free", F.lit(False))).alias("embed"))
+
+
+def related(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """entity_id with other_id and kind for relations in both directions, each once; both ends must be there."""
+    ways = relationships.select(F.col("from_id").alias("entity_id"), F.col("to_id").alias("other_id"), "kind")
+    both = ways.unionByName(ways.select(F.col("other_id").alias("entity_id"), F.col("entity_id").alias("other_id"), "kind")).distinct()
+    there = entities.select("entity_id")
+    return both.join(there, "entity_id", "left_semi").join(there.withColumnRenamed("entity_id", "other_id"), "other_id", "left_semi").select("entity_id", "other_id", "kind")
+
+
 # ---- mutations --------------------------------------------------------------------
 
 
@@ -358,6 +370,39 @@ def replace_glossary(vocabulary: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.dropDuplicates(["item_id", "term", "expansion"]))
 
 
+def patch_captions(assets: DataFrame, changes: DataFrame, most: int = 4000) -> DataFrame:
+    """assets after people's changes (asset_id, caption, target, ignore; null leaves a field, an empty target clears it).
+
+    Captions are trimmed and cut at most characters.  Ignored wins; then any
+    caption or target makes the attribution manual; without both it is what sync
+    derives (sync_attribution).
+    """
+    new = changes.select("asset_id", F.substring(F.trim("caption"), 1, most).alias("_c"), F.col("target").alias("_t"), F.col("ignore").alias("_i"))
+    joined = assets.join(new, "asset_id", "left").withColumns({"caption": F.coalesce("_c", "caption", F.lit("")), "target": F.coalesce("_t", "target", F.lit(""))})
+    said = (F.length("caption") > 0) | (F.length("target") > 0)
+    ignored = F.coalesce("_i", F.col("attribution") == "ignored", F.lit(False))
+    changed = F.when(ignored, "ignored").when(said, "manual").otherwise(F.col("sync_attribution"))
+    touched = F.col("_c").isNotNull() | F.col("_t").isNotNull() | F.col("_i").isNotNull()
+    return joined.withColumn("attribution", F.when(touched, changed).otherwise(F.col("attribution"))).select(*assets.columns)
+
+
+def record_fingerprint(state: DataFrame, fp: str) -> tuple[DataFrame, DataFrame]:
+    """(state with fp as its one row, the warning event if the family changed); state: active_fp, no row before the first query."""
+    spark = state.sparkSession
+    family = F.substring_index("active_fp", ":", 1)
+    message = F.concat(F.lit("embedding model changed ("), "active_fp", F.lit(f" -> {fp}); older vectors are keyword-only until re-embedded"))
+    moved = state.where(F.col("active_fp").isNotNull() & (family != fp.split(":")[0]))
+    event = moved.select(F.lit("embedder").alias("component"), F.lit("warning").alias("level"), message.alias("message"), F.lit("").alias("detail"))
+    return spark.createDataFrame([(fp,)], "active_fp string"), event
+
+
+def export_embeddings(vectors: DataFrame, kind: str = "chunk_embedding") -> DataFrame:
+    """One typed JSON line per vector (uid, embedding binary, and embed_fp where there is one); rows without a vector are left out."""
+    some = vectors.where("uid IS NOT NULL AND embedding IS NOT NULL")
+    cells = [F.lit(kind).alias("type"), "uid", F.base64("embedding").alias("embedding_b64"), *(["embed_fp"] if "embed_fp" in vectors.columns else [])]
+    return some.select(F.lit(kind).alias("type"), F.to_json(F.struct(*cells)).alias("record"))
+
+
 def merge_last_writer(existing: DataFrame, incoming: DataFrame, key: str, stamp: str) -> DataFrame:
     """Full outer merge by key: the incoming row wins if its stamp is later; equal or missing stamps keep the old one."""
     cols = [c for c in existing.columns if c != key]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..model import LEAF_KINDS, SUMMARY_KINDS
+from .index import KeywordIndex
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,7 @@ class RetrievalConfig:
     half_life_days: float = 365.0
     decay_floor: float = 0.8
     relevance: float = 0.5
+    keyword_weight: float = 1.0
     pierce_terms: int = 3
     pierce_bm25: float = 5.0
     k1: float = 1.2
@@ -36,14 +38,6 @@ class RetrievalConfig:
     type_slots: int = 2
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, positions, length: the inverted index of all chunks (every kind counts in the statistics)."""
-    at = chunks.select("chunk_id", F.posexplode(fx.tokens(F.col("content"))).alias("pos", "term"))
-    lengths = chunks.select("chunk_id", F.size(fx.tokens(F.col("content"))).alias("length"))
-    grouped = at.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.join(lengths, "chunk_id")
-
-
 def _once(**columns: Column) -> Column:
     """Columns made once per row by a generator of one row."""
     return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
@@ -58,34 +52,38 @@ def _phrase_count(words: Column, phrase: list[str]) -> Column:
     return F.size(hit)
 
 
-def keyword_leg(chunks: DataFrame, question: str, limit: int, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = ()) -> DataFrame:
+def keyword_leg(
+    chunks: DataFrame | KeywordIndex, question: str, limit: int, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = (), scope: DataFrame | None = None
+) -> DataFrame:
     """The best of keyword_scores."""
-    return keyword_scores(chunks, question, c, kinds, extra).orderBy(F.desc("score"), "chunk_id").limit(limit)
+    return keyword_scores(chunks, question, c, kinds, extra, scope).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
-def keyword_scores(chunks: DataFrame, question: str, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = ()) -> DataFrame:
+def keyword_scores(
+    chunks: DataFrame | KeywordIndex, question: str, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = (), scope: DataFrame | None = None
+) -> DataFrame:
     """BM25 over an OR of quoted phrases; chunk_id, item_id, section_id, kind, status, score, terms (distinct query phrases met).
 
-    One scan makes the token counts, an aggregate of one row gives corpus size,
-    average length and document frequencies over chunks of every kind, and the
-    kind filter comes after.  A term with separators inside is a phrase of its
-    parts.  No terms or no chunks give no rows.
+    Over an index only the postings of the question's words are read.  Over
+    chunks without one, a scan makes the counts.  Document frequencies, corpus
+    size and average length are those of chunks of every kind; the filters on
+    kind and on items in scope come after.  A term with separators inside is a
+    phrase of its parts.  No terms or no chunks give no rows.
     """
     asked = [*fx.expanded(fx.query_terms(question)), *extra]
     phrases = [p for p in dict.fromkeys(tuple(_split(t)) for t in asked) if p]
+    indexed = isinstance(chunks, KeywordIndex)
     if not phrases:
-        return chunks.limit(0).select("chunk_id", "item_id", "section_id", "kind", "status", F.lit(0.0).alias("score"), F.lit(0).alias("terms"))
-    # each step behind a generator: filters on its result are not pushed down and evaluated anew
-    ids = ["chunk_id", "item_id", "section_id", "kind", "status"]
-    words = chunks.select(*ids, _once(_words=fx.tokens(F.col("content"))))
-    firsts = F.filter("_words", lambda w: w.isin(*{p[0] for p in phrases}))
-    whole = F.col("_words") if any(len(p) > 1 for p in phrases) else F.array().cast("array<string>")
-    narrow = words.select(*ids, _once(_len=F.size("_words"), _hits=firsts, _all=whole))
-    counts = F.array(*[_phrase_count(F.col("_hits" if len(p) == 1 else "_all"), list(p)) for p in phrases])
-    none = F.array(*[F.lit(0)] * len(phrases))
-    counted = narrow.select(*ids, _once(_len=F.col("_len"), _tf=F.when(F.size("_hits") > 0, counts).otherwise(none)))
+        none = chunks.postings if indexed else chunks
+        return none.limit(0).select("chunk_id", "item_id", "section_id", "kind", "status", F.lit(0.0).alias("score"), F.lit(0).alias("terms"))
     n = len(phrases)
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"_df{i}") for i in range(n)])
+    df = [F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"_df{i}") for i in range(n)]
+    if indexed:
+        counted = chunks.counted(phrases)
+        stats = chunks.stats.select(F.col("n").alias("_n"), F.col("average").alias("_avg")).join(F.broadcast(counted.agg(*df)))  # one row each
+    else:
+        counted = _scanned(chunks, phrases)
+        stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *df)
     joined = counted.where(F.exists("_tf", lambda t: t > 0)).join(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:
@@ -96,9 +94,21 @@ def keyword_scores(chunks: DataFrame, question: str, c: RetrievalConfig = Retrie
 
     score = reduce(lambda a, b: a + b, [part(i) for i in range(n)])
     out = joined.select("chunk_id", "item_id", "section_id", "kind", "status", F.round(score, 9).alias("score"), F.size(F.filter("_tf", lambda t: t > 0)).alias("terms"))
-    if kinds is not None:
-        out = out.where(F.col("kind").isin(*kinds))
-    return out
+    out = out if kinds is None else out.where(F.col("kind").isin(*kinds))
+    return out if scope is None else out.join(scope.select("item_id").distinct(), "item_id", "left_semi").select(*out.columns)
+
+
+def _scanned(chunks: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame:
+    """chunk_id, its own columns, _len and _tf of every chunk, without an index."""
+    # each step behind a generator: filters on its result are not pushed down and evaluated anew
+    ids = ["chunk_id", "item_id", "section_id", "kind", "status"]
+    words = chunks.select(*ids, _once(_words=fx.tokens(F.col("content"))))
+    firsts = F.filter("_words", lambda w: w.isin(*{p[0] for p in phrases}))
+    whole = F.col("_words") if any(len(p) > 1 for p in phrases) else F.array().cast("array<string>")
+    narrow = words.select(*ids, _once(_len=F.size("_words"), _hits=firsts, _all=whole))
+    counts = F.array(*[_phrase_count(F.col("_hits" if len(p) == 1 else "_all"), list(p)) for p in phrases])
+    none = F.array(*[F.lit(0)] * len(phrases))
+    return narrow.select(*ids, _once(_len=F.col("_len"), _tf=F.when(F.size("_hits") > 0, counts).otherwise(none)))
 
 
 def _split(term: str) -> list[str]:
@@ -108,11 +118,29 @@ def _split(term: str) -> list[str]:
     return regex.findall(r"[\p{L}\p{N}]+", term.lower().translate(table))
 
 
-def vector_leg(vectors: DataFrame, query: list[float], limit: int, floor: float = 0.2) -> DataFrame:
-    """vec rows with score: cosine above the floor, best first.  The query's norm is a literal, so only vectors are scanned."""
+def vector_leg(vectors: DataFrame, query: list[float], limit: int, floor: float = 0.2, key: str = "vec_id", family_of: str | None = None) -> DataFrame:
+    """vectors with score: cosine above the floor, best first; of the query's width, and of a family if one is given.
+
+    A stored norm is used where vectors have one (``with_norms``); the query's is a literal, so a row costs one product.
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.withColumn("score", F.round(fx.cosine(F.col("embedding"), q), 6))
-    return scored.where(F.col("score") > floor).orderBy(F.desc("score"), "vec_id").limit(limit)
+    size = sum(x * x for x in query) ** 0.5
+    own = vectors if family_of is None else vectors.where(family(F.col("fp")) == family_of)
+    norm = F.col("norm") if "norm" in vectors.columns else fx.norm(F.col("embedding"))
+    fits = (F.size("embedding") == len(query)) & (norm > 0) & F.lit(size > 0)
+    score = F.when(fits, fx.dot(F.col("embedding"), q) / (norm * size)).otherwise(0.0)
+    scored = own.withColumn("score", F.round(score, 6))
+    return scored.where(F.col("score") > floor).orderBy(F.desc("score"), key).limit(limit)
+
+
+def family(fp: Column) -> Column:
+    """The model of a vector's stamp: what stands before the colon."""
+    return F.substring_index(fp, ":", 1)
+
+
+def with_norms(vectors: DataFrame) -> DataFrame:
+    """vectors with their norm, to be stored with them."""
+    return vectors.withColumn("norm", fx.norm(F.col("embedding")))
 
 
 def exact_leg(chunks: DataFrame, needle: str, limit: int) -> DataFrame:
@@ -128,16 +156,28 @@ def ranked(leg: DataFrame, name: str) -> DataFrame:
 
 
 def fuse(legs: list[tuple[str, DataFrame, float]], c: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Reciprocal rank fusion: sum of weight / (60 + rank) per chunk; a single leg keeps its scores."""
-    parts = [ranked(df, name).withColumn("weight", F.lit(float(w))) for name, df, w in legs]
+    """Reciprocal rank fusion: sum of weight / (60 + rank) per chunk; a single leg keeps its scores.
+
+    keyword, rich (terms and score of a keyword match reach the bars of c) and
+    cosine tell what the legs knew of a chunk.
+    """
+    parts = [_told(ranked(df, name), name, c).withColumn("weight", F.lit(float(w))) for name, df, w in legs]
     base = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     score = F.sum(F.col("weight") / (c.rrf_k + F.col("leg_rank"))) if len(legs) > 1 else F.max("score")
     return base.groupBy("chunk_id", "item_id").agg(
         F.round(score, 9).alias("score"), F.first("status", True).alias("status"), F.first("kind", True).alias("kind"), F.first("section_id", True).alias("section_id"),
-        F.array_join(F.sort_array(F.collect_set("leg")), ",").alias("legs"), F.max(F.col("leg") == "keyword").alias("keyword"),
+        F.array_join(F.sort_array(F.collect_set("leg")), ",").alias("legs"), F.max("keyword").alias("keyword"), F.max("rich").alias("rich"), F.max("cosine").alias("cosine"),
     )
 
 
+def _told(leg: DataFrame, name: str, c: RetrievalConfig) -> DataFrame:
+    """A leg with keyword, rich and cosine, where it does not bring them."""
+    by_words = "terms" in leg.columns
+    rich = (F.col("terms") >= c.pierce_terms) & (F.col("score") >= c.pierce_bm25) if by_words and c.pierce_bm25 >= 0 else F.lit(False)
+    own = {"keyword": F.lit(by_words), "rich": rich, "cosine": F.col("score") if name == "vector" else F.lit(None).cast("double")}
+    return leg.withColumns({k: v for k, v in own.items() if k not in leg.columns})
+
+
 def age_decay(created: Column, now: Column, c: RetrievalConfig = RetrievalConfig()) -> Column:
     """max(0.5 ** (age in days / half life), floor); 1 for the future, a missing date or no half life."""
     days = (F.unix_timestamp(now) - F.unix_timestamp(created)) / 86_400.0
@@ -147,10 +187,9 @@ def age_decay(created: Column, now: Column, c: RetrievalConfig = RetrievalConfig
 
 
 def per_item_cap(hits: DataFrame, c: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """At most max_per_source hits of an item when at least three items are there, else top_k."""
-    by = Window.partitionBy("item_id").orderBy(F.desc("score"), "chunk_id")
-    n_items = hits.agg(F.count_distinct("item_id").alias("_items"))
-    numbered = hits.withColumn("_n", F.row_number().over(by)).join(F.broadcast(n_items))  # one row
+    """At most max_per_source hits of an item when at least three items are there, else top_k.  hits is what limits have left of the legs."""
+    by, over = Window.partitionBy("item_id").orderBy(F.desc("score"), "chunk_id"), Window.partitionBy(F.lit(0))
+    numbered = hits.withColumn("_n", F.row_number().over(by)).withColumn("_items", F.size(F.collect_set("item_id").over(over)))
     return numbered.where(F.col("_n") <= F.when(F.col("_items") >= 3, c.max_per_source).otherwise(c.top_k)).drop("_n", "_items")
 
 
@@ -171,50 +210,73 @@ def status_filter(rows: DataFrame, exclude_disputed: bool = False, status: str =
     return rows.where(F.col(status).isNull() | ~F.col(status).isin(*bad))
 
 
-def fuse_and_rank(legs, chunks: DataFrame, items: DataFrame, now: Column, c: RetrievalConfig = RetrievalConfig(), live_first: bool = True, tiers: bool = True) -> DataFrame:
-    """Fusion, decay, per-item cap, near-copy drop, live first, authority tiers, status filter, cut.
+def item_facts(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """hits with created_at, env and tier of their items; only the candidates' paths and heads are classified."""
+    own = items.select("item_id", "created_at", F.col("external_id").alias("_path"), F.col("text").alias("_text"))
+    facts = F.broadcast(hits).join(own, "item_id")  # hits are limited per leg
+    return facts.withColumns({"env": fx.env_class(F.col("_path"), F.col("_text")), "tier": fx.authority_tier(F.col("_path"))}).drop("_path", "_text")
+
+
+def page_order(live_first: bool = True, tiers: bool = True) -> list[Column]:
+    """Live before test, strong matches before others, then authority; the score decides what is left."""
+    env = [F.when(F.lit(live_first), F.col("env") == "test").otherwise(False)]
+    return [*env, *([~F.col("rich"), F.col("tier")] if tiers else []), F.desc("score"), F.col("chunk_id")]
+
 
-    Content and item text are joined to the few fused candidates only.
+def fuse_and_rank(
+    legs, chunks: DataFrame, items: DataFrame, now: Column, c: RetrievalConfig = RetrievalConfig(), live_first: bool = True, tiers: bool = True, exclude_disputed: bool = False, cut: bool = True
+) -> DataFrame:
+    """Fusion, decay, per-item cap, near-copy drop, live first, authority tiers (strong matches pierce), status filter, cut.
+
+    Content and item text are joined to the few fused candidates only.  Without
+    the cut, what is below it comes too.
     """
-    fused = fuse(legs, c)
-    facts = items.select("item_id", "created_at", fx.env_class(F.col("external_id"), F.col("text")).alias("env"), fx.authority_tier(F.col("external_id")).alias("tier"))
-    hits = F.broadcast(fused).join(facts, "item_id").join(chunks.select("chunk_id", "content"), "chunk_id")  # candidates are limited per leg
+    hits = item_facts(fuse(legs, c), items)
+    hits = F.broadcast(hits).join(chunks.select("chunk_id", "content"), "chunk_id")
     hits = hits.withColumn("score", F.round(F.col("score") * age_decay(F.col("created_at"), now, c), 9))
-    hits = drop_near_copies(per_item_cap(hits, c), signature(F.col("content")))
-    order = [F.col("env") == "test"] if live_first else []
-    order += [F.col("tier")] if tiers else []
-    kept = status_filter(hits)
-    place = Window.partitionBy(F.lit(0)).orderBy(*order, F.desc("score"), "chunk_id")
-    return kept.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= c.top_k).select("rank", "chunk_id", "item_id", "score", "env", "tier", "legs", "status")
+    hits = status_filter(drop_near_copies(per_item_cap(hits, c), signature(F.col("content"))), exclude_disputed)
+    ranked_hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*page_order(live_first, tiers))))
+    ranked_hits = ranked_hits.where(F.col("rank") <= c.top_k) if cut else ranked_hits
+    return ranked_hits.select("rank", "chunk_id", "item_id", "score", "env", "tier", "legs", "status", "section_id", "keyword", "rich", "cosine", "created_at")
 
 
 def relevance_gate(hits: DataFrame, keyword: Column, cosine: Column, c: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """All hits if any has a keyword match or a cosine of at least 0.5, else none."""
-    ok = hits.agg(F.coalesce(F.max(keyword | (cosine >= c.relevance)), F.lit(False)).alias("_ok"))
-    return hits.join(F.broadcast(ok)).where("_ok").drop("_ok")  # one row
+    """All hits if any has a keyword match (or a boost, if the caller says so) or a cosine of at least 0.5, else none."""
+    ok = F.max(F.coalesce(keyword, F.lit(False)) | F.coalesce(cosine >= c.relevance, F.lit(False))).over(Window.partitionBy(F.lit(0)))
+    return hits.withColumn("_ok", ok).where("_ok").drop("_ok")
 
 
 def admitted_sections(section_hits: DataFrame, per_item: int = 2, most: int = 10) -> DataFrame:
-    """Sections for the fenced search: at most two per item and ten in all, best first."""
+    """Sections for the fenced search: at most two per item and ten in all, best first; those marked test last, where a mark is there."""
+    last = [F.col("test")] if "test" in section_hits.columns else []
     by = Window.partitionBy("item_id").orderBy(F.desc("score"), "section_id")
-    over = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "section_id")
+    over = Window.partitionBy(F.lit(0)).orderBy(*last, F.desc("score"), "section_id")
     first = section_hits.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_item).drop("_n")
     return first.withColumn("place", F.row_number().over(over)).where(F.col("place") <= most)
 
 
-def toc_search(chunks: DataFrame, sections: DataFrame, question: str, c: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+#: Summaries that choose the sections of a fenced search.
+SUMMARIES = 15
+
+
+def toc_fence(summaries: DataFrame, sections: DataFrame) -> DataFrame:
+    """section_id of the sections that summary hits (item_id, score) admit; deeper sections count a little less."""
+    own = [c for c in ("item_id", "score", "test") if c in summaries.columns]
+    named = summaries.select(*own).join(sections.select("item_id", "section_id", "level"), "item_id")
+    return admitted_sections(named.select("section_id", *own[:1], *own[2:], F.round(F.col("score") - F.col("level") * 1e-3, 9).alias("score"))).select("section_id")
+
+
+def toc_search(chunks: DataFrame | KeywordIndex, sections: DataFrame, question: str, c: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """Summaries by keyword, sections admitted from the items they name, leaves fenced to those sections, five times top_k."""
-    summary = keyword_leg(chunks, question, c.top_k * 5, c, SUMMARY_KINDS)
-    named = summary.select("item_id", "score").join(sections.select("item_id", "section_id", "level"), "item_id")
-    fence = admitted_sections(named.select("item_id", "section_id", F.round(F.col("score") - F.col("level") * 1e-3, 9).alias("score")))
-    leaves = keyword_leg(chunks, question, 1 << 30, c)
-    return leaves.join(F.broadcast(fence.select("section_id")), "section_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(c.top_k * 5)
+    fence = toc_fence(keyword_leg(chunks, question, SUMMARIES, c, SUMMARY_KINDS), sections)
+    leaves = keyword_scores(chunks, question, c).join(F.broadcast(fence), "section_id", "left_semi")  # ten sections
+    return leaves.orderBy(F.desc("score"), "chunk_id").limit(c.top_k * 5)
 
 
 def keyword_slots(ranked_hits: DataFrame, floor_hits: DataFrame, c: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Up to two keyword hits that the list lacks, with half the reciprocal rank score."""
+    """Up to two keyword hits that the list lacks, with half the reciprocal rank score, and their leg_rank."""
     missing = ranked(floor_hits, "floor").join(ranked_hits.select("chunk_id"), "chunk_id", "left_anti")
-    return missing.orderBy("leg_rank").limit(c.keyword_slots).select("chunk_id", "item_id", F.round(F.lit(0.5) / (c.rrf_k + F.col("leg_rank")), 9).alias("score"))
+    return missing.orderBy("leg_rank").limit(c.keyword_slots).select("chunk_id", "item_id", F.round(F.lit(0.5) / (c.rrf_k + F.col("leg_rank")), 9).alias("score"), "leg_rank")
 
 
 def type_slots(hits: DataFrame, cut: int, kinds: int = 2) -> DataFrame:
@@ -225,23 +287,6 @@ def type_slots(hits: DataFrame, cut: int, kinds: int = 2) -> DataFrame:
     return below.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n").orderBy("rank").limit(kinds)
 
 
-def parent_return(hits: DataFrame, sections: DataFrame, sizes: DataFrame, limit: int = 8000) -> DataFrame:
-    """For each hit the smallest ancestor section whose subtree has at most limit characters (its own section if none has).
-
-    sizes: section_id, chars of the subtree.  Trees are shallow: the way up is
-    walked level by level, at most as many joins as levels.
-    """
-    up = sections.select(F.col("section_id").alias("_s"), "parent_id")
-    way = hits.select("chunk_id", "section_id").withColumn("at", F.col("section_id")).withColumn("step", F.lit(0))
-    every, now = way, way
-    for step in range(1, 4):
-        now = now.join(up, F.col("at") == F.col("_s")).where("parent_id IS NOT NULL").select("chunk_id", "section_id", F.col("parent_id").alias("at"), F.lit(step).alias("step"))
-        every = every.unionByName(now)
-    fits = every.join(sizes.select(F.col("section_id").alias("_z"), "chars"), F.col("at") == F.col("_z")).where((F.col("chars") <= limit) | (F.col("step") == 0))
-    best = fits.groupBy("chunk_id", "section_id").agg(F.max_by(F.struct("at", "chars"), "step").alias("p"))
-    return best.select("chunk_id", "section_id", F.col("p.at").alias("parent_section"), F.col("p.chars").alias("chars"))
-
-
 def neighbours(chunks: DataFrame, width: int = 1) -> DataFrame:
     """Each chunk with the ids before and after it in its item."""
     by = Window.partitionBy("item_id").orderBy("chunk_id")
@@ -249,13 +294,6 @@ def neighbours(chunks: DataFrame, width: int = 1) -> DataFrame:
     return chunks.select("chunk_id", "item_id", *cols)
 
 
-def answer_context(hits: DataFrame, per_hit: int = 2000, budget: int = 24_000) -> DataFrame:
-    """Windows of at most per_hit characters in rank order, numbered [S1].., until the budget is used."""
-    run = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    cut = hits.withColumn("window", F.substring("content", 1, per_hit)).withColumn("_sum", F.sum(F.length("window")).over(run))
-    return cut.where(F.col("_sum") <= budget).select("rank", "chunk_id", F.concat(F.lit("[S"), F.col("rank").cast("string"), F.lit("]")).alias("mark"), F.length("window").alias("chars"))
-
-
 # Fixed values, equal to those of the service whose results are matched.
 FOLLOWUP_WORDS = "it its this that these those they them their itself".split()
 NOT_ACRONYMS = "OK AM PM ID TODO FYI ASAP AND OR NOT THE".split()

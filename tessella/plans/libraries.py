@@ -202,8 +202,8 @@ def w10(spark, d):
     return m.table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).offset(50).limit(50).select("event_id")
 
 
-@query("c22_tag_links", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower('Item ' || doc_id || ' ' || text), '[\\p{L}\\p{N}]{4,}')) AS tag FROM documents),
-c AS (SELECT doc_id, tag, count(*) AS n FROM w WHERE NOT list_contains(['this','that','with','from','have','been','were','they','them','then','will','would','about','which','when','where','what','their','there','also','into','more','than','some','such','only','other','could','should'], tag) GROUP BY ALL),
+@query("c22_tag_links", f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower('Item ' || doc_id || ' ' || text), '[\\p{{L}}\\p{{N}}]{{4,}}')) AS tag FROM documents),
+c AS (SELECT doc_id, tag, count(*) AS n FROM w WHERE NOT list_contains({fx.TAG_STOPWORDS}, tag) GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tag)::INTEGER AS place FROM c) SELECT doc_id, tag, place FROM p WHERE place <= 4""")
 def c22(spark, d):
     titled = m.table(spark, d, "documents").select("doc_id", F.concat(F.lit("Item "), F.col("doc_id").cast("string"), F.lit(" "), F.col("text")).alias("text"))

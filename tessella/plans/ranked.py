@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions import text as fx
+from ..operators import answers as an
 from ..operators import relations as r
 from ..operators import retrieval as rt
+from ..operators import search as se
+from ..operators import trees
+from ..operators.index import KeywordIndex
+from ..storage import Scratch
 from .relational import _ENV_SQL, _TIER_SQL, LEAF, Query
 
 QUERIES: dict[str, Query] = {}
@@ -29,6 +34,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_INDEXES: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def index_of(spark, d: str) -> KeywordIndex:
+    """The keyword index of the chunks of a folder, built once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = KeywordIndex.build(m.chunks(spark, d), f"{Scratch(spark, 'index').root}/keyword")
+    return _INDEXES[key]
+
+
 def bm25_sql(terms: list[str], kinds: str) -> str:
     """BM25 over chunks as common table expressions; the last is leg(chunk_id, item_id, section_id, kind, status, score, terms)."""
     return f"""tok AS (SELECT chunk_id, item_id, section_id, kind, status, regexp_extract_all(translate(lower(content), '{fx.MARKED}', '{fx.PLAIN}'), '[\\p{{L}}\\p{{N}}]+') AS words FROM chunks),
@@ -49,21 +65,22 @@ def r5(spark, d):
 
 @query("r8_keyword_leg", m.with_tables("chunks") + bm25_sql(TERMS, LEAF) + " SELECT chunk_id, item_id, score, terms FROM leg ORDER BY score DESC, chunk_id LIMIT 100")
 def r8(spark, d):
-    return rt.keyword_leg(m.chunks(spark, d), QUESTION, 100).select("chunk_id", "item_id", "score", "terms")
+    return rt.keyword_leg(index_of(spark, d), QUESTION, 100).select("chunk_id", "item_id", "score", "terms")
 
 
 @query("r9_rich_match", m.with_tables("chunks") + bm25_sql(TERMS, LEAF) + " SELECT chunk_id, terms >= 3 AND score >= 5.0 AS rich FROM leg ORDER BY score DESC, chunk_id LIMIT 100")
 def r9(spark, d):
     c = rt.RetrievalConfig()
-    leg = rt.keyword_leg(m.chunks(spark, d), QUESTION, 100)
+    leg = rt.keyword_leg(index_of(spark, d), QUESTION, 100)
     return leg.select("chunk_id", ((F.col("terms") >= c.pierce_terms) & (F.col("score") >= c.pierce_bm25)).alias("rich"))
 
 
 @query("j2_postings", """WITH t AS (SELECT conv_id * 100 + turn AS chunk_id, unnest(regexp_extract_all(translate(lower(text), '%s', '%s'), '[\\p{L}\\p{N}]+')) AS term FROM conversations)
 SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM t GROUP BY 1""" % (fx.MARKED, fx.PLAIN))
 def j2(spark, d):
-    chunks = m.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), F.col("text").alias("content"))
-    return rt.postings(chunks).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    own = [F.col("conv_id").alias("item_id"), F.lit(None).cast("long").alias("section_id"), F.lit("document").alias("kind"), F.lit(None).cast("string").alias("status")]
+    chunks = m.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), *own, F.col("text").alias("content"))
+    return KeywordIndex.build(chunks, f"{Scratch(spark, 'index').root}/keyword").postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(
@@ -84,8 +101,7 @@ def r10(spark, d):
 )
 def f5(spark, d):
     stamped = m.table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("model"), F.col("label").cast("string"), F.lit(":64")).alias("fp"))
-    family = F.regexp_extract("fp", "^([^:]+):", 1)
-    return stamped.where(family.isin("model1", "model2"))
+    return stamped.where(rt.family(F.col("fp")).isin("model1", "model2"))
 
 
 @query("r13_exact_leg", m.with_tables("chunks") + f"x AS (SELECT chunk_id, item_id FROM chunks WHERE {LEAF} AND contains(content, '{NEEDLE}') ORDER BY item_id, chunk_id LIMIT 200) SELECT * FROM x")
@@ -100,21 +116,20 @@ x AS (SELECT DISTINCT section_id FROM t WHERE list_contains(regexp_extract_all(l
 )
 def r14(spark, d):
     words = F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), 0)
-    links = m.chunks(spark, d).where("section_id IS NOT NULL").select("section_id", F.explode(F.array_distinct(words)).alias("name"))
-    tags = spark.createDataFrame([(t,) for t in fx.query_terms("nicht") if len(t) >= 3], "name string")
-    return links.join(F.broadcast(tags), "name").select("section_id").distinct()  # the words of a question
+    tags = m.chunks(spark, d).where("section_id IS NOT NULL").select("section_id", F.explode(F.array_distinct(words)).alias("name"))
+    return se.tagged_sections(tags, "Is it nicht?")
 
 
 _LEGS = bm25_sql(TERMS, LEAF) + f""", kw AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rk FROM (SELECT * FROM leg ORDER BY score DESC, chunk_id LIMIT 100)),
 ex0 AS (SELECT chunk_id, item_id, status, 1.0 AS score FROM chunks WHERE {LEAF} AND contains(content, '{NEEDLE}') ORDER BY item_id, chunk_id LIMIT 100),
 ex AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rk FROM ex0),
-alll AS (SELECT chunk_id, item_id, status, 1.0 / (60 + rk) AS s, 'keyword' AS leg FROM kw UNION ALL SELECT chunk_id, item_id, status, 0.5 / (60 + rk), 'exact' FROM ex),
-fused AS (SELECT chunk_id, item_id, any_value(status) AS status, round(sum(s), 9) AS score, string_agg(DISTINCT leg, ',' ORDER BY leg) AS legs FROM alll GROUP BY chunk_id, item_id)"""
+alll AS (SELECT chunk_id, item_id, status, 1.0 / (60 + rk) AS s, 'keyword' AS leg, terms >= 3 AND score >= 5.0 AS rich FROM kw UNION ALL SELECT chunk_id, item_id, status, 0.5 / (60 + rk), 'exact', false FROM ex),
+fused AS (SELECT chunk_id, item_id, any_value(status) AS status, round(sum(s), 9) AS score, bool_or(rich) AS rich, string_agg(DISTINCT leg, ',' ORDER BY leg) AS legs FROM alll GROUP BY chunk_id, item_id)"""
 
 
 def _legs(spark, d):
     chunks = m.chunks(spark, d)
-    return [("keyword", rt.keyword_leg(chunks, QUESTION, 100), 1.0), ("exact", rt.exact_leg(chunks, NEEDLE, 100), 0.5)]
+    return [("keyword", rt.keyword_leg(index_of(spark, d), QUESTION, 100), 1.0), ("exact", rt.exact_leg(chunks, NEEDLE, 100), 0.5)]
 
 
 @query("r17_rrf_fusion", m.with_tables("chunks") + _LEGS + " SELECT chunk_id, item_id, score, legs FROM fused")
@@ -133,19 +148,20 @@ def r19(spark, d):
 
 
 _RANK = _LEGS + f""", facts AS (SELECT item_id, created_at, CASE WHEN {_ENV_SQL} THEN 'test' ELSE 'live' END AS env, ({_TIER_SQL})::INTEGER AS tier FROM items),
-h AS (SELECT f.chunk_id, f.item_id, f.status, f.legs, env, tier, content,
+h AS (SELECT f.chunk_id, f.item_id, f.status, f.legs, f.rich, env, tier, content,
   round(f.score * CASE WHEN created_at >= TIMESTAMP '{NOW}' THEN 1.0 ELSE greatest(pow(0.5, (epoch(TIMESTAMP '{NOW}') - epoch(created_at)) / 86400.0 / 365.0), 0.8) END, 9) AS score
   FROM fused f JOIN facts USING (item_id) JOIN chunks c ON c.chunk_id = f.chunk_id),
 capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS n, (SELECT count(DISTINCT item_id) FROM h) AS items FROM h) WHERE n <= CASE WHEN items >= 3 THEN 3 ELSE 10 END),
 sig AS (SELECT *, substr(regexp_replace(lower(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), '^[0-9]{{1,4}} +', ''), 1, 160) AS sg FROM capped),
 uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, sg ORDER BY score DESC, chunk_id) AS m FROM sig) WHERE m = 1),
 kept AS (SELECT * FROM uniq WHERE status IS NULL OR status <> 'stale'),
-page AS (SELECT *, row_number() OVER (ORDER BY env = 'test', tier, score DESC, chunk_id)::INTEGER AS rank FROM kept)"""
+page AS (SELECT *, row_number() OVER (ORDER BY env = 'test', NOT rich, tier, score DESC, chunk_id)::INTEGER AS rank FROM kept)"""
 
 
 @query("r20_fuse_and_rank", m.with_tables("chunks", "items") + _RANK + " SELECT rank, chunk_id, item_id, score, env, tier, legs, status FROM page WHERE rank <= 10")
 def r20(spark, d):
-    return rt.fuse_and_rank(_legs(spark, d), m.chunks(spark, d), m.items(spark, d), F.lit(NOW).cast("timestamp"))
+    hits = rt.fuse_and_rank(_legs(spark, d), m.chunks(spark, d), m.items(spark, d), F.lit(NOW).cast("timestamp"))
+    return hits.select("rank", "chunk_id", "item_id", "score", "env", "tier", "legs", "status")
 
 
 @query("w2_item_cap", m.with_tables("chunks") + _LEGS + """, n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS n, (SELECT count(DISTINCT item_id) FROM fused) AS items FROM fused)
@@ -164,7 +180,7 @@ miss AS (SELECT * FROM kw WHERE chunk_id NOT IN (SELECT chunk_id FROM top) ORDER
 def r22(spark, d):
     legs = _legs(spark, d)
     top = rt.fuse(legs).orderBy(F.desc("score"), "chunk_id").limit(5)
-    return rt.keyword_slots(top, legs[0][1])
+    return rt.keyword_slots(top, legs[0][1]).select("chunk_id", "item_id", "score")
 
 
 @query("w4_section_admission", m.with_tables("sections", "chunks") + """h AS (SELECT item_id, section_id, (length(content) % 97)::DOUBLE AS score FROM chunks WHERE section_id IS NOT NULL),
@@ -175,7 +191,7 @@ def w4(spark, d):
     return rt.admitted_sections(hits)
 
 
-_TOC = m.with_tables("chunks", "sections") + bm25_sql(TERMS, "true") + f""", summ AS (SELECT * FROM leg WHERE kind IN ('section_summary', 'doc_summary') ORDER BY score DESC, chunk_id LIMIT 50),
+_TOC = m.with_tables("chunks", "sections") + bm25_sql(TERMS, "true") + f""", summ AS (SELECT * FROM leg WHERE kind IN ('section_summary', 'doc_summary') ORDER BY score DESC, chunk_id LIMIT 15),
 cand AS (SELECT s.item_id, s.section_id, round(m.score - level * 1e-3, 9) AS score FROM summ m JOIN sections s ON s.item_id = m.item_id),
 adm AS (SELECT section_id, row_number() OVER (ORDER BY score DESC, section_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, section_id) AS n FROM cand) WHERE n <= 2)
 SELECT chunk_id, section_id, score FROM leg WHERE {LEAF} AND section_id IN (SELECT section_id FROM adm WHERE place <= 10) ORDER BY score DESC, chunk_id LIMIT 50"""
@@ -183,7 +199,7 @@ SELECT chunk_id, section_id, score FROM leg WHERE {LEAF} AND section_id IN (SELE
 
 @query("r15_toc_search", _TOC)
 def r15(spark, d):
-    return rt.toc_search(m.chunks(spark, d), m.sections(spark, d), QUESTION).select("chunk_id", "section_id", "score")
+    return rt.toc_search(index_of(spark, d), m.sections(spark, d), QUESTION).select("chunk_id", "section_id", "score")
 
 
 @query(
@@ -192,11 +208,12 @@ def r15(spark, d):
 sz AS (SELECT root, (coalesce(sum(length(content)), 0) + 4 * greatest(0, count(chunk_id) - 1))::BIGINT AS chars FROM down LEFT JOIN chunks c ON c.section_id = node GROUP BY 1),
 hit AS (SELECT chunk_id, section_id FROM chunks WHERE {LEAF} AND contains(content, '{NEEDLE}') ORDER BY item_id, chunk_id LIMIT 200),
 up(chunk_id, section_id, node, step) AS (SELECT chunk_id, section_id, section_id, 0 FROM hit UNION ALL SELECT up.chunk_id, up.section_id, s.parent_id, step + 1 FROM up JOIN sections s ON s.section_id = node WHERE s.parent_id IS NOT NULL),
-x AS (SELECT chunk_id, up.section_id, arg_max(node, step) AS parent_section, arg_max(chars, step) AS chars FROM up JOIN sz ON root = node WHERE chars <= 8000 OR step = 0 GROUP BY ALL) SELECT * FROM x""".replace("GROUP BY ALL) SELECT * FROM x", "GROUP BY chunk_id, up.section_id) SELECT * FROM x"),
+x AS (SELECT chunk_id, up.section_id, arg_min(node, step) FILTER (chars <= 8000) AS parent_section, arg_min(chars, step) FILTER (chars <= 8000) AS chars FROM up JOIN sz ON root = node GROUP BY chunk_id, up.section_id) SELECT * FROM x""",
 )
 def r29(spark, d):
     chunks, sections = m.chunks(spark, d), m.sections(spark, d)
-    return rt.parent_return(rt.exact_leg(chunks, NEEDLE, 200), sections, r.subtree_sizes(sections, chunks))
+    ways = trees.ancestors(sections)
+    return trees.parent_return(rt.exact_leg(chunks, NEEDLE, 200), ways, trees.subtree_sizes(ways, chunks))
 
 
 @query(
@@ -216,7 +233,7 @@ def r36(spark, d):
 
     hits = F.broadcast(rt.fuse(_legs(spark, d))).join(m.chunks(spark, d).select("chunk_id", "content"), "chunk_id")  # candidates are limited per leg
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "chunk_id")))
-    return rt.answer_context(ranked)
+    return an.answer_context(ranked).drop("window")
 
 
 @query(
@@ -271,4 +288,77 @@ def r49(spark, d):
     pending = m.table(spark, d, "embeddings").where("label % 5 = 0").agg(F.count("*").alias("pending"))
     failing = m.sources(spark, d).where("enabled AND error_count > 0").agg(F.count("*").alias("failing"))
     disputed = m.entities(spark, d).where("status = 'disputed'").agg(F.count("*").alias("disputed"))
-    return pending.join(failing).join(disputed)  # one row each
+    return pending.join(F.broadcast(failing)).join(F.broadcast(disputed))  # one row each
+
+
+#: Vectors of the first leaves and of the summaries, as far as documents have one of their number.
+_VECTORS_SQL = f"""vec AS (SELECT chunk_id, c.item_id, section_id, kind, status, embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.item_id AND (c.chunk_id % {m.ITEM_SPAN} = 0 OR kind = 'doc_summary')),
+asked AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+near AS (SELECT * EXCLUDE (embedding), round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM asked)::DOUBLE[]), 6) AS score FROM vec WHERE status IS NULL OR status <> 'stale')"""
+
+
+def _vectors(spark, d):
+    e = m.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    own = m.chunks(spark, d).where((F.col("chunk_id") % m.ITEM_SPAN == 0) | (F.col("kind") == "doc_summary")).drop("content", "entity_id")
+    return own.join(e, "item_id")
+
+
+_DECAY = f"CASE WHEN created_at >= TIMESTAMP '{NOW}' THEN 1.0 ELSE greatest(pow(0.5, (epoch(TIMESTAMP '{NOW}') - epoch(created_at)) / 86400.0 / 365.0), 0.8) END"
+_SEARCH_SQL = m.with_tables("chunks", "items", "sections") + bm25_sql(TERMS, "true") + f""", {_VECTORS_SQL},
+facts AS (SELECT item_id, created_at, CASE WHEN {_ENV_SQL} THEN 'test' ELSE 'live' END AS env, ({_TIER_SQL})::INTEGER AS tier FROM items),
+kw0 AS (SELECT *, terms >= 3 AND score >= 5.0 AS rich FROM leg WHERE {LEAF} AND (status IS NULL OR status <> 'stale')),
+nv0 AS (SELECT * FROM near WHERE {LEAF} AND score > 0.2),
+summ AS (SELECT * FROM near WHERE kind = 'doc_summary' AND score > 0.2 ORDER BY score DESC, chunk_id LIMIT 15),
+cand AS (SELECT s.item_id, s.section_id, env = 'test' AS test, round(q.score - level * 1e-3, 9) AS score FROM summ q JOIN sections s ON s.item_id = q.item_id JOIN facts f ON f.item_id = q.item_id),
+fence AS (SELECT section_id, row_number() OVER (ORDER BY test, score DESC, section_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, section_id) AS n FROM cand) WHERE n <= 2),
+fkw AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rk FROM kw0 WHERE section_id IN (SELECT section_id FROM fence WHERE place <= 10) ORDER BY rk LIMIT 100),
+fnv AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rk FROM nv0 WHERE section_id IN (SELECT section_id FROM fence WHERE place <= 10) ORDER BY rk LIMIT 100),
+tl AS (SELECT chunk_id, item_id, status, rich, 1.0 / (60 + rk) AS s FROM fkw UNION ALL SELECT chunk_id, item_id, status, false, 1.0 / (60 + rk) FROM fnv),
+toc0 AS (SELECT chunk_id, item_id, any_value(status) AS status, bool_or(rich) AS rich, round(sum(s), 9) AS score FROM tl GROUP BY chunk_id, item_id ORDER BY score DESC, chunk_id LIMIT 50),
+kw AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rk FROM kw0 ORDER BY rk LIMIT 100),
+nv AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rk FROM nv0 ORDER BY rk LIMIT 100),
+al AS (SELECT chunk_id, item_id, status, rich, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, chunk_id)) AS s FROM toc0
+  UNION ALL SELECT chunk_id, item_id, status, rich, 0.5 / (60 + rk) FROM kw UNION ALL SELECT chunk_id, item_id, status, false, 0.5 / (60 + rk) FROM nv),
+fused AS (SELECT chunk_id, item_id, any_value(status) AS status, bool_or(rich) AS rich, round(sum(s), 9) AS score FROM al GROUP BY chunk_id, item_id),
+h AS (SELECT q.chunk_id, q.item_id, q.status, rich, env, tier, created_at, content, round(q.score * {_DECAY}, 9) AS score FROM fused q JOIN facts USING (item_id) JOIN chunks c ON c.chunk_id = q.chunk_id),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS n, (SELECT count(DISTINCT item_id) FROM h) AS items FROM h) WHERE n <= CASE WHEN items >= 3 THEN 3 ELSE 10 END),
+sig AS (SELECT *, substr(regexp_replace(lower(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), '^[0-9]{{1,4}} +', ''), 1, 160) AS sg FROM capped),
+uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, sg ORDER BY score DESC, chunk_id) AS m FROM sig) WHERE m = 1),
+page AS (SELECT chunk_id, item_id, score, rich, env, tier, row_number() OVER (ORDER BY env = 'test', NOT rich, tier, score DESC, chunk_id) AS rank FROM uniq QUALIFY rank <= 10),
+miss AS (SELECT kw.chunk_id, kw.item_id, round(round(0.5 / (60 + rk), 9) * {_DECAY}, 9) AS score, rich, env, tier, 1000000 + rk AS rank FROM kw JOIN facts USING (item_id) WHERE chunk_id NOT IN (SELECT chunk_id FROM page) ORDER BY rk LIMIT 2),
+kept AS (SELECT * FROM page ORDER BY rank LIMIT 10 - (SELECT greatest(0, (SELECT count(*) FROM page) + (SELECT count(*) FROM miss) - 10)))
+SELECT row_number() OVER (ORDER BY env = 'test', NOT rich, tier, rank)::INTEGER AS rank, chunk_id, item_id, score, env, tier FROM (SELECT * FROM kept UNION ALL SELECT * FROM miss)"""
+
+
+def library_of(spark, d: str) -> se.Library:
+    return se.Library(m.items(spark, d), m.chunks(spark, d), m.sections(spark, d), index_of(spark, d), _vectors(spark, d))
+
+
+@query("r33_hybrid_search", _SEARCH_SQL)
+def r33(spark, d):
+    asked = m.table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]  # the query vector, one row
+    hits = se.search(library_of(spark, d), QUESTION, F.lit(NOW).cast("timestamp"), vector=asked, whole=False)
+    return hits.select("rank", "chunk_id", "item_id", "score", "env", "tier")
+
+
+_CITED = f"""h AS (SELECT chunk_id, item_id, section_id, content, row_number() OVER (ORDER BY item_id, chunk_id)::INTEGER AS rank FROM chunks WHERE {LEAF} AND contains(content, '{NEEDLE}') ORDER BY item_id, chunk_id LIMIT 5),
+rel AS (SELECT a.entity_id AS f, b.entity_id AS t FROM entities a JOIN entities b ON b.entity_id = a.entity_id + 3 WHERE a.entity_id % 2 = 0),
+live AS (SELECT entity_id, item_id FROM entities WHERE status IS NULL OR status <> 'stale'),
+bw AS (SELECT f, t FROM rel UNION SELECT t, f FROM rel),
+cf AS (SELECT chunk_id, list_sort(list(DISTINCT t)) AS conflicts_with FROM h JOIN live USING (item_id) JOIN bw ON f = entity_id WHERE t IN (SELECT entity_id FROM live) GROUP BY 1),
+x AS (SELECT rank, h.chunk_id, external_id AS item_path, s.path AS breadcrumb, s.path AS path, [lang] AS tags, coalesce(conflicts_with, []) AS conflicts_with
+  FROM h JOIN items USING (item_id) JOIN sections s ON s.section_id = h.section_id LEFT JOIN cf ON cf.chunk_id = h.chunk_id) SELECT * FROM x"""
+
+
+@query("r34_citations", m.with_tables("chunks", "items", "sections", "entities") + _CITED)
+def r34(spark, d):
+    from pyspark.sql import Window
+
+    from .relational import _relationships
+
+    chunks, e, items = m.chunks(spark, d), m.entities(spark, d), m.items(spark, d)
+    found = rt.exact_leg(chunks, NEEDLE, 5).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id", "chunk_id")))
+    hits = found.join(chunks.select("chunk_id", "content"), "chunk_id")
+    links = chunks.select("chunk_id", "item_id").join(items.select("item_id", F.col("lang").alias("name")), "item_id").select("chunk_id", "name")
+    cited = an.citations(hits, NEEDLE, items, m.sections(spark, d), e, _relationships(e), links)
+    return cited.select("rank", "chunk_id", "item_path", "breadcrumb", "path", "tags", "conflicts_with")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import model as m
 from ..functions import text as fx
 from ..operators import relations as r
+from ..operators import trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,7 +245,7 @@ x AS (SELECT root AS section_id, (coalesce(sum(length(content)), 0) + 4 * greate
   FROM down LEFT JOIN chunks c ON c.section_id = node GROUP BY 1) SELECT * FROM x""",
 )
 def j14(spark, d):
-    return r.subtree_sizes(m.sections(spark, d), m.chunks(spark, d))
+    return trees.subtree_sizes(trees.ancestors(m.sections(spark, d)), m.chunks(spark, d))
 
 
 @query(
@@ -253,7 +254,30 @@ def j14(spark, d):
   UNION ALL SELECT up.section_id, s.parent_id, distance + 1 FROM up JOIN sections s ON s.section_id = ancestor WHERE s.parent_id IS NOT NULL AND distance < 64) SELECT * FROM up""",
 )
 def j15(spark, d):
-    return r.ancestors(m.sections(spark, d))
+    return trees.ancestors(m.sections(spark, d))
+
+
+#: Documents as the sections of trees of 40 in a row, ten levels deep or more.
+_DEEP = "deep AS (SELECT doc_id AS section_id, CASE WHEN doc_id % 40 > 0 THEN doc_id - 1 - doc_id % 4 % 3 * (doc_id % 40 > 3)::INTEGER END AS parent_id, coalesce(length(text), 0) AS chars FROM documents)"
+
+
+def _deep(spark, d):
+    n = F.col("doc_id")
+    parent = F.when(n % 40 > 0, n - 1 - n % 4 % 3 * (n % 40 > 3).cast("int"))
+    return m.table(spark, d, "documents").select(n.alias("section_id"), parent.alias("parent_id"), n.alias("chunk_id"), F.lit("document").alias("kind"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+@query("j15_deep_ancestors", f"""WITH RECURSIVE {_DEEP}, up(section_id, ancestor, distance) AS (SELECT section_id, section_id, 0 FROM deep
+  UNION ALL SELECT up.section_id, s.parent_id, distance + 1 FROM up JOIN deep s ON s.section_id = ancestor WHERE s.parent_id IS NOT NULL) SELECT * FROM up""")
+def j15_deep(spark, d):
+    return trees.ancestors(_deep(spark, d))
+
+
+@query("j14_deep_subtree", f"""WITH RECURSIVE {_DEEP}, down(root, node) AS (SELECT section_id, section_id FROM deep UNION ALL SELECT root, s.section_id FROM down JOIN deep s ON s.parent_id = node)
+SELECT root AS section_id, (sum(chars) + 4 * (count(*) - 1))::BIGINT AS chars, count(*) AS n_chunks FROM down JOIN deep ON section_id = node GROUP BY 1""")
+def j14_deep(spark, d):
+    deep = _deep(spark, d)
+    return trees.subtree_sizes(trees.ancestors(deep), deep)
 
 
 @query(
@@ -384,10 +408,7 @@ SELECT doc, line, (SELECT max(b.line) FROM h b WHERE b.doc = a.doc AND b.line <
 )
 def w9(spark, d):
     heads = m.table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), (F.col("turn") * 10 + 1).alias("line"), ((F.col("conv_id") + F.col("turn")) % 3).alias("level"))
-    before = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("level") == k, F.col("line"))).over(before) for k in range(2)]
-    parent = F.when(F.col("level") == 1, F.col("_0")).when(F.col("level") == 2, F.greatest("_0", "_1"))
-    return heads.withColumn("_0", last[0]).withColumn("_1", last[1]).select("doc", "line", parent.alias("parent"))
+    return r.heading_parents(heads)
 
 
 @query("c19_chunk_numbering", m.with_tables("chunks") + f"x AS (SELECT chunk_id, 'item ' || item_id || CASE WHEN count(*) OVER (PARTITION BY item_id) > 1 THEN ' §' || row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) ELSE '' END AS label FROM chunks WHERE {LEAF}) SELECT * FROM x")
@@ -602,12 +623,8 @@ t AS (SELECT root, string_agg(content, chr(10) || chr(10) ORDER BY chunk_id) AS
 x AS (SELECT root AS section_id, length(body) AS total, length(body) > 32000 AS truncated, md5(substr(body, 1, 32000)) AS digest FROM t) SELECT * FROM x""",
 )
 def r44(spark, d):
-    s = m.sections(spark, d)
-    under = r.ancestors(s).select(F.col("section_id").alias("_at"), F.col("ancestor").alias("section_id"))
-    leaves = m.chunks(spark, d).where(F.col("kind").isin(*m.LEAF_KINDS)).select(F.col("section_id").alias("_at"), "chunk_id", "content")
-    parts = under.join(leaves, "_at").groupBy("section_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "content"))).alias("p"))
-    body = F.array_join(F.transform("p", lambda x: x["content"]), "\n\n")
-    return parts.withColumn("_b", body).select("section_id", F.length("_b").alias("total"), (F.length("_b") > 32_000).alias("truncated"), F.md5(F.substring("_b", 1, 32_000)).alias("digest"))
+    texts = trees.node_texts(trees.ancestors(m.sections(spark, d)), m.chunks(spark, d))
+    return texts.select("section_id", "total", "truncated", F.md5("body").alias("digest"))
 
 
 @query(
@@ -616,3 +633,90 @@ def r44(spark, d):
 )
 def r48(spark, d):
     return m.entities(spark, d).where("kind = 'decision' AND status = 'accepted'").orderBy(F.desc("created_at"), "entity_id").limit(2000).select("entity_id", "kind", "status")
+
+
+@query("r48_related", m.with_tables("entities") + """rel AS (SELECT a.entity_id AS f, b.entity_id AS t FROM entities a JOIN entities b ON b.entity_id = a.entity_id + 3 WHERE a.entity_id % 2 = 0),
+x AS (SELECT f AS entity_id, t AS other_id FROM rel UNION SELECT t, f FROM rel) SELECT *, 'conflicts_with' AS kind FROM x""")
+def r48_related(spark, d):
+    e = m.entities(spark, d)
+    return r.related(e, _relationships(e))
+
+
+_VERSIONED = "CASE doc_id % 3 WHEN 0 THEN 1 ELSE doc_id % 3 END"
+
+
+@query("i7_chunker_generation", m.with_tables("items") + f"""v AS (SELECT item_id, external_id, {_VERSIONED.replace('doc_id', 'item_id')} AS version, CASE WHEN regexp_matches(external_id, '\\.(yml|json)$') THEN 2 ELSE 1 END AS wanted FROM items),
+x AS (SELECT item_id, wanted FROM v WHERE version < wanted AND NOT regexp_matches(external_id, '\\.md$')) SELECT * FROM x""")
+def i7(spark, d):
+    n = F.col("item_id") % 3
+    items = m.items(spark, d).withColumn("chunker_version", F.when(n == 0, 1).otherwise(n))
+    return r.outdated(items, dict.fromkeys(("yaml", "yml", "json", "jsonc", "toml"), 2))
+
+
+@query("c34_embedding_gate", m.with_tables("chunks", "items", "sources") + """w AS (SELECT item_id, chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]{3,}')) AS w FROM chunks),
+p AS (SELECT item_id, chunk_id, w, count(*) AS tf FROM w GROUP BY ALL), q AS (SELECT *, sum(tf) OVER (PARTITION BY item_id, w) AS df FROM p), n AS (SELECT item_id, count(*) AS n FROM chunks GROUP BY 1),
+s AS (SELECT chunk_id, round(avg(greatest(0.0, ln((n + 1.0) / (df + 1.0)))), 6) AS signal FROM q JOIN n USING (item_id) GROUP BY 1),
+f AS (SELECT item_id, NOT (label IS NULL OR label = 'sensitive' OR coalesce(sensitive_override, false)) AS free FROM items LEFT JOIN sources USING (source_id)),
+x AS (SELECT c.chunk_id, coalesce(signal, 0) >= 0.15 AND free AS embed FROM chunks c JOIN f USING (item_id) LEFT JOIN s ON s.chunk_id = c.chunk_id) SELECT * FROM x""".replace("GROUP BY ALL", "GROUP BY item_id, chunk_id, w"))
+def c34(spark, d):
+    return r.embedding_gate(m.chunks(spark, d), m.items(spark, d), m.sources(spark, d))
+
+
+@query("m7_caption_patch", """WITH a AS (SELECT page_id AS asset_id, CASE WHEN page_id % 3 = 0 THEN 'old' ELSE '' END AS caption, CASE WHEN page_id % 5 = 0 THEN 'spot' ELSE '' END AS target,
+  CASE WHEN page_id % 8 = 0 THEN 'ignored' ELSE 'embedded' END AS attribution, 'embedded' AS sync FROM pages),
+c AS (SELECT page_id AS asset_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  new ' END AS caption, CASE WHEN page_id % 10 = 0 THEN '' END AS target, CASE WHEN page_id % 16 = 0 THEN false WHEN page_id % 7 = 0 THEN true END AS ignore FROM pages WHERE page_id % 2 = 0 OR page_id % 7 = 0 OR page_id % 4 = 1),
+j AS (SELECT a.asset_id, coalesce(trim(c.caption), a.caption) AS caption, coalesce(c.target, a.target) AS target, coalesce(ignore, attribution = 'ignored') AS ig, attribution, sync,
+  c.caption IS NOT NULL OR c.target IS NOT NULL OR ignore IS NOT NULL AS touched FROM a LEFT JOIN c USING (asset_id))
+SELECT asset_id, caption, target, CASE WHEN NOT touched THEN attribution WHEN ig THEN 'ignored' WHEN caption <> '' OR target <> '' THEN 'manual' ELSE sync END AS attribution FROM j""")
+def m7(spark, d):
+    n = F.col("page_id")
+    pages = m.table(spark, d, "pages")
+    assets = pages.select(n.alias("asset_id"), F.when(n % 3 == 0, "old").otherwise("").alias("caption"), F.when(n % 5 == 0, "spot").otherwise("").alias("target"),
+                          F.when(n % 8 == 0, "ignored").otherwise("embedded").alias("attribution"), F.lit("embedded").alias("sync_attribution"))
+    changes = pages.where((n % 2 == 0) | (n % 7 == 0) | (n % 4 == 1)).select(
+        n.alias("asset_id"), F.when(n % 4 == 0, "").when(n % 4 == 1, "  new ").alias("caption"), F.when(n % 10 == 0, "").alias("target"), F.when(n % 16 == 0, False).when(n % 7 == 0, True).alias("ignore")
+    )
+    return r.patch_captions(assets, changes).drop("sync_attribution")
+
+
+@query("m8_fingerprint", "SELECT 'embedder' AS component, 'warning' AS level, 'embedding model changed (model' || label || ':64 -> model1:64); older vectors are keyword-only until re-embedded' AS message, '' AS detail FROM embeddings WHERE label <> 1")
+def m8(spark, d):
+    state = m.table(spark, d, "embeddings").select(F.concat(F.lit("model"), F.col("label").cast("string"), F.lit(":64")).alias("active_fp"))
+    return r.record_fingerprint(state, "model1:64")[1]
+
+
+@query("s27_embeddings_export", """SELECT 'chunk_embedding' AS type, '{"type":"chunk_embedding","uid":"v' || vec_id || '","embedding_b64":"' || base64(('vector ' || vec_id)::BLOB) || '","embed_fp":"model' || label || ':64"}' AS record
+FROM embeddings WHERE label <> 2""")
+def s27(spark, d):
+    n = F.col("vec_id").cast("string")
+    vectors = m.table(spark, d, "embeddings").select(
+        F.concat(F.lit("v"), n).alias("uid"), F.when(F.col("label") != 2, F.concat(F.lit("vector "), n).cast("binary")).alias("embedding"), F.concat(F.lit("model"), F.col("label").cast("string"), F.lit(":64")).alias("embed_fp")
+    )
+    return r.export_embeddings(vectors)
+
+
+@query("k8_clamped_page", m.with_tables("items") + "x AS (SELECT item_id, count(*) OVER () AS total FROM items ORDER BY external_id, item_id LIMIT 50) SELECT * FROM x")
+def k8(spark, d):
+    return r.page(m.items(spark, d).select("item_id", "external_id"), [F.col("external_id"), F.col("item_id")], r.clamp(400, 1, 50, 10), r.clamp(-3, 0, 1_000, 0)).select("item_id", "total")
+
+
+@query("r12_cosine", """WITH p AS (SELECT a.vec_id, a.embedding AS x, CASE WHEN a.vec_id % 5 = 0 THEN b.embedding[1:8] WHEN a.vec_id % 7 = 0 THEN list_transform(b.embedding, lambda v: 0.0) ELSE b.embedding END AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, CASE WHEN vec_id % 5 = 0 OR vec_id % 7 = 0 THEN 0.0 ELSE round(list_cosine_similarity(x::DOUBLE[], y::DOUBLE[]), 6) END AS cosine FROM p""")
+def r12(spark, d):
+    e = m.table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = F.col("vec_id")
+    other = e.select((n - 1).alias("vec_id"), F.col("embedding").alias("_y"))
+    y = F.when(n % 5 == 0, F.slice("_y", 1, 8)).when(n % 7 == 0, F.transform("_y", lambda v: v * 0)).otherwise(F.col("_y"))
+    return e.join(other, "vec_id").select("vec_id", F.round(fx.cosine(F.col("embedding"), y), 6).alias("cosine"))
+
+
+@query("r32_content_window", """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, length(text) // 2) || chr(10) || '[match ' || doc_id || ']' || chr(10) || substr(text, length(text) // 2 + 1) END AS t FROM documents WHERE text IS NOT NULL),
+e AS (SELECT *, length(t) AS size, strpos(t, '[match ' || doc_id || ']') - 1 AS p FROM b), w AS (SELECT *, least(greatest(0, p - 100) + 200, size) AS stop FROM e), s AS (SELECT *, greatest(0, stop - 200) AS start FROM w)
+SELECT doc_id, CASE WHEN p < 0 THEN NULL WHEN size <= 200 THEN t ELSE CASE WHEN start > 0 THEN '…' ELSE '' END || substr(t, start + 1, 200) || CASE WHEN stop < size THEN '…' ELSE '' END END AS shown FROM s""")
+def r32(spark, d):
+    from ..operators.search import content_window
+
+    n, text, half = F.col("doc_id"), F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    marked = F.concat(F.substring(text, F.lit(1), half), F.lit("\n[match "), n.cast("string"), F.lit("]\n"), F.substring(text, half + 1, F.length(text)))
+    docs = m.table(spark, d, "documents").where("text IS NOT NULL").select(n, F.when(n % 3 == 0, text).otherwise(marked).alias("t"))
+    return docs.select("doc_id", content_window(F.col("t"), n, 200).alias("shown"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions import text as fx
+from ..operators import search as se
 from ..operators import structure as st
 from ..sources import extract, json_map
+from ..storage import Scratch
 from ..streaming import streams
 from .relational import Query
 
@@ -30,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tessella-')}/{uuid.uuid4().hex}"
+    return Scratch(spark, "stream").root
 
 
 _HTML_SQL = "regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g')"
@@ -155,13 +154,23 @@ def c30(spark, d):
     return pairs.where(F.length("term").between(2, 40) & F.length("expansion").between(2, 120) & (F.col("term") != F.col("expansion")))
 
 
-@query("r7_vocabulary_expansion", """WITH v AS (SELECT DISTINCT lower(p_brand) AS term, lower(p_type) AS expansion FROM part)
-SELECT term, expansion FROM v WHERE term IN (SELECT lower(p_brand) FROM part WHERE p_partkey % 7 = 0)""")
+_ASKED = "brand small polished copper steel b11 anodized"
+_WORDS_SQL = f"list_filter(regexp_extract_all(lower(expansion), '[\\p{{L}}\\p{{N}}_§\\-]+'), lambda w: strlen(w) >= 2 AND NOT list_contains({fx.STOPWORDS}, w))"
+
+
+@query("r7_vocabulary_expansion", f"""WITH v AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'steel' WHEN 1 THEN 'brand' ELSE 'b' || p_partkey END AS term,
+  CASE WHEN p_partkey % 7 = 0 THEN 'copper' ELSE lower(p_type) END AS expansion, CASE WHEN p_partkey % 5 = 0 THEN 'rule' ELSE 'manual' END AS origin FROM part WHERE p_partkey % 4 <> 0),
+p AS (SELECT *, origin = 'rule' AS rule FROM v ORDER BY rule, id LIMIT 64), q AS (SELECT {fx.query_terms(_ASKED)} AS t),
+f AS (SELECT rule, id, CASE WHEN list_contains(t, term) THEN expansion WHEN list_contains(t, expansion) OR (len({_WORDS_SQL}) > 0 AND len(list_filter({_WORDS_SQL}, lambda w: NOT list_contains(t, w))) = 0) THEN term END AS word FROM p, q)
+SELECT word, bool_and(rule) AS rule, min(id) FILTER (NOT rule OR only_rule) AS id FROM (SELECT *, bool_and(rule) OVER (PARTITION BY word) AS only_rule FROM f WHERE word IS NOT NULL) GROUP BY word""")
 def r7(spark, d):
-    part = m.table(spark, d, "part")
-    vocabulary = part.select(F.lower("p_brand").alias("term"), F.lower("p_type").alias("expansion")).distinct()
-    asked = part.where("p_partkey % 7 = 0").select(F.lower("p_brand").alias("term")).distinct()
-    return vocabulary.join(asked, "term", "left_semi")
+    n = F.col("p_partkey")
+    vocabulary = m.table(spark, d, "part").select(
+        n.alias("id"), F.when(n % 3 == 0, "steel").when(n % 3 == 1, "brand").otherwise(F.concat(F.lit("b"), n.cast("string"))).alias("term"),
+        F.when(n % 7 == 0, "copper").otherwise(F.lower("p_type")).alias("expansion"), F.when(n % 5 == 0, "rule").otherwise("manual").alias("origin"),
+        F.when(n % 4 == 0, "retired").otherwise("active").alias("status"), F.lit(None).cast("int").alias("source_id"),
+    )
+    return se.expansions(vocabulary, fx.query_terms(_ASKED))
 
 
 @query("c1_document_cleaning")

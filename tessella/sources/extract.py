@@ -124,7 +124,10 @@ def eml(data: bytes) -> str:
     return "\n".join(f"{h}: {m[h]}" for h in ("From", "To", "Cc", "Date", "Subject") if m[h]) + "\n\n" + text.strip()
 
 
-_SKIPPED = "fonttbl colortbl stylesheet info pict object header footer headerl headerr footerl footerr themedata datastore listtable listoverridetable".split()
+# Fixed values, equal to those of the service whose results are matched.
+_SKIPPED = (
+    "fonttbl colortbl stylesheet info pict object generator listtable rsidtbl themedata colorschememapping latentstyles datastore xmlnstbl private blipuid"
+).split()
 _RTF = re.compile(r"\\u(-?\d+) ?|\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?\d+)? ?|\\([^a-zA-Z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
 
 
@@ -260,13 +263,21 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string, generation int")
 
 
-SKIP_DIRS = "node_modules .git .hg .svn target dist build out vendor .venv venv __pycache__ .idea .vscode coverage .next .nuxt .cache .tox .mypy_cache .pytest_cache .gradle Pods DerivedData bower_components .terraform .ruff_cache".split()
+# Fixed values, equal to those of the service whose results are matched.
+SKIP_DIRS = (
+    ".git .hg .svn node_modules bower_components vendor __pycache__ .venv venv target dist build .next .nuxt .svelte-kit .cache .parcel-cache .tox .mypy_cache "
+    ".pytest_cache .gradle .idea .vs .terraform pods deriveddata"
+).split()
 
 
 def folder(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """rel, path, mtime_ms, size, content of the files under root, without skipped folders; content is read only if selected."""
+    """rel, path, mtime_ms, size, content of the files under root, without skipped folders; content is read only if selected.
+
+    The names of folders under the root decide, whatever their case; the root's own path never does.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    parts = F.split("path", "/")
-    kept = files.where(~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in SKIP_DIRS])))
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
-    return kept.select(rel.alias("rel"), "path", (F.unix_millis("modificationTime")).alias("mtime_ms"), F.col("length").alias("size"), "content")
+    parts = F.split(F.lower("rel"), "/")
+    dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    kept = files.withColumn("rel", rel).where(~F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in SKIP_DIRS])))
+    return kept.select("rel", "path", (F.unix_millis("modificationTime")).alias("mtime_ms"), F.col("length").alias("size"), "content")

@@ -1,0 +1,125 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.engine import Engine
+from tessella.operators import retrieval as rt
+from tessella.operators import search as se
+from tessella.operators import trees
+from tessella.operators.index import KeywordIndex
+
+NOW = "2024-02-01"
+
+
+def test_ways_up_deep_trees_cycles_and_orphans(spark):
+    rows = [(i, i - 1 if i else None) for i in range(10)] + [(20, 21), (21, 20), (22, 20), (30, 99), (40, 40)]
+    got = {}
+    for r in trees.ancestors(spark.createDataFrame(rows, "section_id long, parent_id long")).collect():
+        got.setdefault(r.section_id, {})[r.ancestor] = r.distance
+    assert got[9] == {9 - d: d for d in range(10)} and got[0] == {0: 0}
+    assert got[20] == {20: 0, 21: 1} and got[22] == {22: 0, 20: 1, 21: 2} and got[30] == {30: 0} and got[40] == {40: 0}
+
+
+def test_subtrees_and_the_nearest_section_that_fits(spark):
+    sections = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1)], "section_id long, parent_id long")
+    texts = {10: (1, "a" * 50), 11: (2, "b" * 10), 12: (3, "c" * 100), 13: (3, "d" * 5), 14: (4, "e")}
+    rows = [(c, 1, s, "document", t) for c, (s, t) in texts.items()] + [(15, 1, 4, "section_summary", "no leaf" * 99)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, item_id long, section_id long, kind string, content string")
+    ways = trees.ancestors(sections)
+    sizes = trees.subtree_sizes(ways, chunks)
+    assert {r.section_id: (r.chars, r.n_chunks) for r in sizes.collect()} == {1: (166 + 16, 5), 2: (115 + 8, 3), 3: (109, 2), 4: (1, 1)}
+    hits = spark.createDataFrame([(12, 3), (14, 4), (16, None)], "chunk_id long, section_id long")
+    near = lambda limit: {r.chunk_id: r.parent_section for r in trees.parent_return(hits, ways, sizes, limit).collect()}
+    assert near(120) == {12: 3, 14: 4, 16: None} and near(100) == {12: None, 14: 4, 16: None}
+    whole = {r.section_id: r for r in trees.node_texts(ways, chunks, 70).collect()}
+    body = "\n\n".join(t for _, t in texts.values())
+    assert whole[1].body == body[:70] and whole[1].total == len(body) and whole[1].truncated
+    assert whole[4].body == "e" and not whole[4].truncated
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    rng = random.Random(4)
+    rows = [(i, i // 4, None if i % 4 == 3 else i // 4 * 10, "doc_summary" if i % 4 == 3 else "document", [None, "stale"][i % 7 == 0], " ".join(rng.choices(["Direct", "debit", "fee", "Café", "x-1", "zeta"], k=rng.randint(0, 12)))) for i in range(80)]
+    return spark.createDataFrame(rows, "chunk_id long, item_id long, section_id long, kind string, status string, content string")
+
+
+@pytest.mark.parametrize("question", ["fee", "direct-debit fee zeta", "dd", "cafe x-1", "the of", "unknown"])
+def test_an_index_scores_as_a_scan_does(spark, words, tmp_path, question):
+    index = KeywordIndex.build(words, f"{tmp_path}/index", 3)
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(rt.keyword_scores(index, question)) == key(rt.keyword_scores(words, question))
+    scope = spark.createDataFrame([(1,), (5,)], "item_id long")
+    assert {r.item_id for r in rt.keyword_scores(index, question, scope=scope).collect()} <= {1, 5}
+
+
+def test_an_index_follows_its_items(spark, words, tmp_path):
+    index = KeywordIndex.build(words, f"{tmp_path}/a", 2)
+    changed = words.where("item_id = 2").withColumn("content", F.lit("brand new fee"))
+    fresh = KeywordIndex.build(changed, f"{tmp_path}/b", 1)
+    now = index.refreshed(changed.select("item_id"), fresh).save(f"{tmp_path}/c", 2)
+    whole = words.where("item_id <> 2").unionByName(changed).where("length(content) > 0")
+    key = lambda df: sorted((r.chunk_id, r.score) for r in df.collect())
+    assert key(rt.keyword_scores(now, "brand fee")) == key(rt.keyword_scores(whole, "brand fee"))
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    items = [(1, 1, "docs/fees.md", "Fees", "2024-01-01", "prose"), (2, 1, "src/fees.py", "code", "2024-01-01", "code"), (3, 2, "tests/fees_test.py", "t", "2024-01-01", "code"), (4, 2, "notes/other.txt", "o", "2020-01-01", "note")]
+    items = spark.createDataFrame(items, "item_id long, source_id int, external_id string, text string, created_at string, doc_type string")
+    items = items.withColumns({"created_at": F.col("created_at").cast("timestamp"), "sensitive_override": F.lit(False)})
+    sections = spark.createDataFrame([(10, 1, None, 0, "Fees"), (11, 1, 10, 1, "Fees > Refunds"), (20, 2, None, 0, "code"), (30, 3, None, 0, "test"), (40, 4, None, 0, "other")], "section_id long, item_id long, parent_id long, level int, path string")
+    rows = [
+        (100, 1, 10, "document", "intro of the fees", None), (101, 1, 11, "document", "refund fee rules apply to every refund", None), (102, 1, 11, "document", "more about nothing", None),
+        (109, 1, None, "doc_summary", "fees and refund rules", None), (200, 2, 20, "document", "def refund(fee): pass", None), (209, 2, None, "doc_summary", "refund code", None),
+        (300, 3, 30, "document", "refund fee rules test", None), (309, 3, None, "doc_summary", "refund tests", None), (400, 4, 40, "document", "refund long ago " + "x" * 9000, None), (401, 4, 40, "document", "tail of it", None),
+        (402, 4, 40, "document", "refund dropped", "stale"),
+    ]
+    chunks = spark.createDataFrame([(a, b, None, c, d, e, f) for a, b, c, d, e, f in rows], "chunk_id long, item_id long, entity_id long, section_id long, kind string, content string, status string")
+    sources = spark.createDataFrame([(1, "s1", "public"), (2, "s2", "internal")], "source_id int, name string, label string")
+    entities = spark.createDataFrame([(1, 1, "accepted"), (2, 2, None), (3, 3, "stale")], "entity_id long, item_id long, status string")
+    relations = spark.createDataFrame([(1, 2, "conflicts_with"), (1, 3, "conflicts_with")], "from_id long, to_id long, kind string")
+    links = spark.createDataFrame([(101, "refunds"), (101, "fees")], "chunk_id long, name string")
+    pairs = spark.createDataFrame([(1, "repayment", "refund", "manual", "active", None)], "id long, term string, expansion string, origin string, status string, source_id int")
+    return Engine(spark, items, sources, chunks, sections, entities, entities.limit(0), rt.RetrievalConfig(top_k=4), relationships=relations, links=links, vocabulary=pairs)
+
+
+def test_the_whole_search(spark, engine):
+    hits = engine.search("refund fee rules", NOW, whole=True).orderBy("rank").collect()
+    ids = [h.chunk_id for h in hits]
+    assert ids[-1] == 300 and hits[-1].env == "test" and 402 not in ids  # tests go last, stale ones nowhere
+    own = next(h for h in hits if h.chunk_id == 101)
+    assert own.parent_section == 11 and own.content.startswith("[match 101]\nrefund fee rules") and "more about nothing" in own.content
+    old = next(h for h in hits if h.chunk_id == 400)
+    assert old.parent_section is None and old.content.startswith("refund long ago")
+    assert {h.chunk_id for h in engine.search("repayment", NOW).collect()} >= {101, 200}  # by the vocabulary
+    assert engine.search("nothing-like-this", NOW).count() == 0
+    assert {h.item_id for h in engine.search("refund", NOW, public_only=True).collect()} == {1, 2}
+    assert {h.item_id for h in engine.search("refund", NOW, env="test").collect()} == {3}
+    assert [h.rank for h in engine.search("refund fee", NOW, mode="keyword_only").orderBy("rank").collect()][:1] == [1]
+
+
+def test_a_named_file_comes_first(spark, engine):
+    hits = engine.search("what is in other.txt", NOW, whole=True).collect()
+    assert hits[0].item_id == 4 and hits[0].boosted and hits[0].rank == 1
+
+
+def test_citations_and_context(spark, engine):
+    found = engine.ask("refund fee rules", NOW)
+    cited = {r.chunk_id: r for r in found["citations"].collect()}
+    assert cited[101].tags == ["fees", "refunds"] and cited[101].conflicts_with == [2] and cited[101].breadcrumb == "Fees > Refunds"
+    assert cited[200].conflicts_with == [1] and cited[300].conflicts_with == []
+    windows = found["context"].orderBy("rank").collect()
+    assert windows[0].mark == "[S1]" and not any("[match" in w.window for w in windows) and all(w.chars <= 2000 + 2 for w in windows)
+    assert engine.node(10).first().total == len("intro of the fees") + len("refund fee rules apply to every refund") + len("more about nothing") + 4
+    with pytest.raises(ValueError):
+        engine.set_project(spark.createDataFrame([(1, 1)], "project_id int, source_id int"), 1, spark.createDataFrame([(9,)], "source_id int"))
+
+
+def test_vectors_take_part(spark, engine):
+    vectors = engine.chunks.where("kind <> 'caption'").select("chunk_id", "item_id", "section_id", "kind", "status", F.when(F.col("item_id") == 4, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("embedding"))
+    lib = se.Library(engine.items, engine.chunks, engine.sections, engine.with_index().index, vectors)
+    hits = se.search(lib, "zzz", F.lit(NOW).cast("timestamp"), engine.config, [1.0, 0.1], whole=False).collect()
+    assert {h.item_id for h in hits} == {4} and all(h.cosine > 0.9 and not h.keyword for h in hits)
+    assert se.search(lib, "zzz", F.lit(NOW).cast("timestamp"), engine.config, [-1.0, -1.0], whole=False).count() == 0
