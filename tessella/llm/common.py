@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Scratch, shared_dir
+
+__all__ = ["Scratch", "shared_dir"]
+
 #: The bytes that a checked broadcast may have; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
 
@@ -17,98 +18,12 @@ BROADCAST_BYTES = 48 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-            own = spark.sparkContext.getCheckpointDir()
-        return own
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-class Scratch:
-    """Tables of intermediate results as Parquet in the shared folder.
-
-    A written table cuts the lineage and survives lost executors.  ``drop``
-    deletes one that no later step reads; the rest goes with ``drop_since``, or
-    when the driver ends.
-    """
-
-    made: list[Scratch] = []
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.tables = spark, []
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        Scratch.made.append(self)
-
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int, *parts: str) -> DataFrame:
-        """df stored in buckets by key (and in folders by parts): joins and groups on key leave its rows where they are."""
-        table = f"tessella_{uuid.uuid4().hex}"
-        to = df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, key)
-        (to.partitionBy(*parts) if parts else to).saveAsTable(table)
-        self.tables.append(table)
-        return self.spark.table(table)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.root}/{name}")
-
-    def drop_all(self) -> None:
-        try:
-            if self.spark.sparkContext._jsc is not None:
-                for table in self.tables:
-                    self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-                self._delete(self.root)
-        except Exception:  # the JVM may be gone when the driver ends
-            pass
-
-    @staticmethod
-    def drop_since(count: int) -> None:
-        """Drop all but the first count of the folders made so far: no one reads their tables any more."""
-        while len(Scratch.made) > count:
-            Scratch.made.pop().drop_all()
-
-
-atexit.register(Scratch.drop_since, 0)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that no one holds any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """df dealt by key into parts and checkpointed so: later joins on key leave it where it is.
-
-    A plan made adaptively does not tell its partitioning, so this one is made without.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.repartition(parts, key).checkpoint()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
-
-
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it has at most limit bytes, else as it is (the join then shuffles).
 
@@ -123,6 +38,22 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.limit(rows).agg(F.sum(size)).first()[0] or 0) <= limit else df
 
 
+#: Rows of one key that a join leaves where they are.
+HEAVY = 10_000
+
+
+def keyed(rows: DataFrame, keys: DataFrame, on: list[str], n: str, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+    """rows joined with keys (a stored table, a row per key, n: how many rows have it), inner or left_semi.
+
+    The keys of very many rows are few, so they are broadcast (if their size
+    allows) and their rows stay where they are; only the others are dealt by key.
+    """
+    hot = small_side(keys.where(F.col(n) >= heavy).drop(n))
+    few = keys.where(F.col(n) < heavy).drop(n)
+    left = rows.join(hot, on, how)
+    return left.unionByName(rows.join(hot.select(*on), on, "left_anti").join(few, on, how))
+
+
 def width_for(df: DataFrame, each: int) -> int:
     """Partitions of about so many bytes, by Spark's estimate of a scan's size; never fewer than the session's shuffle partitions."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

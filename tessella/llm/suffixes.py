@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, partitions_for, release
+from .common import Scratch, keyed, partitions_for, release, width_for
 from .tokens import mixed, powers
 
 
@@ -314,9 +314,9 @@ def _window_repeats(windows: DataFrame) -> DataFrame:
 def repeats(scratch: Scratch, spark: SparkSession, store: DataFrame, packed: DataFrame, s: Settings) -> DataFrame:
     """row and runs of repeated windows (start, count), from a stored (row, text) and its compressed copy (row, z)."""
     spans = scratch.write(_spans(store, s), "spans")
-    grams = spans.groupBy("gram").agg(F.count("*").alias("_n"), F.min("span").alias("_least"), F.max("span").alias("_most")).where("_n > 1")
-    grams = scratch.write(grams, "grams")  # stored, so that a hot k-gram's side of the join can be split
-    again = scratch.write(spans.join(grams, "gram").withColumn("mixed", F.col("_least") != F.col("_most")).drop("_n", "_least", "_most"), "again")
+    grams = spans.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("_least"), F.max("span").alias("_most")).where("n > 1")
+    grams = scratch.write(grams, "grams")
+    again = scratch.write(keyed(spans, grams, ["gram"], "n").withColumn("mixed", F.col("_least") != F.col("_most")).drop("_least", "_most"), "again")
     scratch.drop("spans")
     scratch.drop("grams")
     release(spark)
@@ -324,31 +324,32 @@ def repeats(scratch: Scratch, spark: SparkSession, store: DataFrame, packed: Dat
         again.where("mixed").groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "count", "offset")).alias("one"))
     )
     kinds = scratch.write(kinds, "kinds")
-    crowds = kinds.groupBy("gram").agg((F.count("*") > s.crowd).alias("hot"))
+    crowds = scratch.write(kinds.groupBy("gram").agg(F.count("*").alias("n"), (F.count("*") > s.crowd).alias("hot")), "crowds")
+    copied = kinds.where("copies > 1").select("gram", "span", "copies")
     whole = again.where("NOT mixed").select("row", "start", "count").unionByName(
-        again.where("mixed").join(kinds.where("copies > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("row", "start", "count")
+        keyed(again.where("mixed"), copied, ["gram", "span"], "copies", "left_semi").select("row", "start", "count")
     )
-    wanted = kinds.join(crowds, "gram").select("one.*", (F.col("copies") == 1).alias("single"), "hot")
+    wanted = keyed(kinds, crowds, ["gram"], "n").select("one.*", (F.col("copies") == 1).alias("single"), "hot")
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "count", "offset", "single", "hot")).alias("wanted"))
     cut = scratch.write(_cut(packed.join(wanted, "row").select("row", "z", "wanted"), s), "cut")
     release(spark)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = cut.where("NOT hot").repartitionByRange(width, "lead").sortWithinPartitions("lead")
+    buckets = cut.where("NOT hot").repartitionByRange(width_for(cut, 64 << 20), "lead").sortWithinPartitions("lead")
     sorted_out = _bucket_repeats(buckets, s)
     kept = ["middle", "whole"]
     blocks = cut.where("hot").groupBy(*kept).agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "count", "single", "digests")).alias("one"))
     blocks = scratch.write(blocks, "blocks")
-    twins = cut.where("hot AND single").join(blocks.where("copies > 1").select(*kept), kept, "left_semi").select("row", "start", "count")
-    apart = blocks.groupBy("middle").agg(F.count("*").alias("_n")).where("_n > 1").select("middle")
-    unsure = blocks.join(apart, "middle", "left_semi").select("one.row", "one.start", "one.count", (F.col("one.single") & (F.col("copies") == 1)).alias("single"), "one.digests")
+    twins = keyed(cut.where("hot AND single"), blocks.where("copies > 1").select(*kept, "copies"), kept, "copies", "left_semi").select("row", "start", "count")
+    apart = scratch.write(blocks.groupBy("middle").agg(F.count("*").alias("n")).where("n > 1"), "apart")
+    unsure = keyed(blocks, apart, ["middle"], "n", "left_semi")
+    unsure = unsure.select("one.row", "one.start", "one.count", (F.col("one.single") & (F.col("copies") == 1)).alias("single"), "one.digests")
     windows = scratch.write(_windows(unsure), "windows")
     most = partitions_for(spark, windows.count(), 1_000_000)
     salted = windows.withColumn("_salt", F.xxhash64("row", "at")).repartitionByRange(most, "high", "low", "_salt")
     edges = scratch.write(_window_repeats(salted), "edges")
     scratch.drop("windows")
-    across = edges.groupBy("high", "low").agg(F.count("*").alias("_n")).where("_n > 1")  # at most what is repeated, and two per bucket
+    across = scratch.write(edges.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1"), "across")  # at most what is repeated, and two per bucket
     hot = edges.where("sure AND single").select("row", F.col("at").alias("start"), F.lit(1).alias("count")).unionByName(
-        edges.where("NOT sure AND single").join(across, ["high", "low"], "left_semi").select("row", F.col("at").alias("start"), F.lit(1).alias("count"))
+        keyed(edges.where("NOT sure AND single"), across, ["high", "low"], "n", "left_semi").select("row", F.col("at").alias("start"), F.lit(1).alias("count"))
     )
     return scratch.write(whole.unionByName(sorted_out).unionByName(twins).unionByName(hot), "runs")
 
@@ -409,16 +410,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", s:
     the length keep all; repeated rows are documents of their own (so each
     loses what they share); an empty table gives no rows.  The digest is of the
     remaining bytes; where a cut falls inside a character, kept leaves out the
-    rest of that character.
+    rest of that character.  Columns of docs that are named like a new one are
+    left out; all other names are free.
     """
     scratch = Scratch(spark, "suffixes")
     kept = [c for c in docs.columns if c not in (text, *REMOVED.replace(",", " ").split()[::2])]
-    store = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), *kept, F.col(text).alias("text")), "store")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = _pack(store).repartition(width, "row").checkpoint()
+    own = F.struct(F.lit(None).cast("int").alias("_"), *[F.col(c) for c in kept]).alias("kept_columns")
+    store = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), own, F.col(text).alias("text")), "store")
+    width = width_for(store, 64 << 20)
+    packed = scratch.bucketed(_pack(store).repartition(width, "row"), "packed", "row", width)
     release(spark)
     runs = repeats(scratch, spark, store, packed, s)
     release(spark)
     per_row = runs.groupBy("row").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     done = _remove(packed.join(per_row, "row", "left").select("row", "z", "runs"), s, payload)
-    return done.join(store.select("row", *kept), "row").drop("row")
+    found = done.columns[1:]
+    return done.join(store.select("row", "kept_columns"), "row").select(*[F.col("kept_columns")[c].alias(c) for c in kept], *found)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tessella.llm import suffixes
+from tessella.llm import common, suffixes
 
 
 def brute(texts, length):
@@ -39,11 +39,12 @@ def corpus(seed):
     return texts + [texts[0], texts[0], "", None, "a" * 300, shared[0] * 4, "é" * 15]
 
 
-@pytest.mark.parametrize("length,gram,crowd,batch", [(20, 8, 256, 1 << 20), (24, 6, 0, 300), (21, 8, 2, 50)])
-def test_against_brute_force(spark, length, gram, crowd, batch):
+@pytest.mark.parametrize("length,gram,crowd,batch,heavy", [(20, 8, 256, 1 << 20, 10_000), (24, 6, 0, 300, 2), (21, 8, 2, 50, 3)])
+def test_against_brute_force(spark, monkeypatch, length, gram, crowd, batch, heavy):
+    monkeypatch.setattr(suffixes, "keyed", lambda *a: common.keyed(*a, *(["inner"] if len(a) == 4 else []), heavy))
     texts = corpus(length)
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").drop("row")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
     s = suffixes.Settings(length, gram, crowd=crowd, block=5, batch=batch)
     got = suffixes.remove_repeats(spark, docs, s=s).collect()
     want = brute([(t or "").encode() for _, t, _ in rows], length)
@@ -61,3 +62,12 @@ def test_multikey_order_is_suffix_order():
     keys = [text[i : i + 64] for i in order]
     assert keys == sorted(keys)
     assert tied.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
+
+
+def test_names_of_other_columns_are_free_and_long_texts_are_cut_whole(spark):
+    long = "".join(chr(97 + k * k % 23) + str(k) for k in range(700))
+    rows = [(1, long, 1, "g", "z", 5, "old"), (2, "pre " + long[900:1400], 2, "g", "z", 6, "old"), (3, "free", 3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, gram string, runs string, kept_columns int, kept string")
+    got = suffixes.remove_repeats(spark, docs, s=suffixes.Settings(batch=64)).orderBy("doc_id").collect()
+    assert got[0].__fields__[:5] == ["doc_id", "row", "gram", "runs", "kept_columns"] and [r.row for r in got] == [1, 2, 3]
+    assert got[0].kept == long[:900] + long[1400:] and got[1].kept == "pre " and got[2].kept == "free"
