@@ -27,12 +27,14 @@ FIT_BATCH = 64
 class Settings:
     """sample: distinct labelled texts per language, at most; sample_chars: longer ones are sampled only where these are too few,
 
-    long_chars characters of them per language at most (all documents are predicted whole).
+    long_chars characters of them per language at most (all documents are predicted whole).  total_chars: of all sampled texts together,
+    shared alike by the languages.
     """
 
     sample: int = 600
     sample_chars: int = 20_000
     long_chars: int = 1_000_000
+    total_chars: int = 64_000_000
     grams: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 15
     dim: int = 16
@@ -179,19 +181,25 @@ def sample(docs: DataFrame, s: Settings) -> list[tuple[str, str]]:
 
     A language with too few texts of at most s.sample_chars takes its shortest longer ones too, of s.long_chars together.
     Where even the only one is longer than that, its beginning is taken, so that no labelled language is left out.
+    Equal texts count once; texts that tie in the hash are taken together; without labelled texts the sample is empty.
     """
-    fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     order, size = F.xxhash64(F.lit(s.seed), F.col("text")), F.length("text")
     longer = F.when(size > s.sample_chars, size).otherwise(0)  # 0 for those that come first
-    distinct = fit_rows.select("lang", longer.alias("_long"), order.alias("_h")).distinct()
-    ranked = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_h"))).where(F.col("_n") <= s.sample)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fit_rows.select("lang", longer.alias("_long"), order.alias("_h"), size.alias("_size"), F.pmod(order, F.lit(parts)).alias("_part")).distinct()
+    of_part, of_lang = Window.partitionBy("lang", "_part").orderBy("_long", "_h"), Window.partitionBy("lang").orderBy("_long", "_h")
+    few = distinct.withColumn("_n", F.row_number().over(of_part)).where(F.col("_n") <= s.sample)  # so that a frequent language does not meet in one task
+    ranked = few.withColumn("_n", F.row_number().over(of_lang)).where(F.col("_n") <= s.sample).select("lang", "_long", "_h", "_size", "_n").collect()
     limits: dict[str, tuple[int, int]] = {}
-    room: dict[str, int] = {}
-    for lang, n, h, _ in sorted(ranked.collect(), key=lambda r: (r["lang"], r["_n"])):
-        left = room.get(lang, s.long_chars) - n
-        if left >= 0 or lang not in limits:
+    long_left, left, ended = {}, {}, set()
+    share = s.total_chars // max(1, len({r["lang"] for r in ranked}))
+    for lang, n, h, chars, _ in sorted(ranked, key=lambda r: (r["lang"], r["_n"])):
+        long_left[lang] = long_left.get(lang, min(s.long_chars, share)) - n
+        left[lang] = left.get(lang, share) - min(chars, s.sample_chars)
+        ended |= {lang} if long_left[lang] < 0 or left[lang] < 0 else set()
+        if lang not in ended or lang not in limits:
             limits[lang] = (n, h)
-        room[lang] = left
     if not limits:
         return []
     wanted = [(F.col("lang") == F.lit(lang)) & ((longer < n) | (longer == n) & (order <= F.lit(h))) for lang, (n, h) in limits.items()]

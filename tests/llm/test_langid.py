@@ -70,3 +70,47 @@ def test_a_language_of_long_texts_only_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(docs, langid.Settings(sample=30, sample_chars=500, buckets=1 << 12, epochs=4))
     assert all(r.lang_pred == r.lang for r in langid.predict(spark, docs, model).collect())
+
+
+def test_scores_are_those_of_every_gram_by_itself():
+    s = langid.Settings(buckets=1 << 9, epochs=2, grams=(1, 2, 3))
+    rng = random.Random(7)
+    texts = [made(rng, letters, 12) for letters in ("abcdef", "ghijkl") for _ in range(30)]
+    model = langid.fit(texts, ["aa"] * 30 + ["gg"] * 30, s)
+    for text in ["Ab, cd 12-ef", "g", "aé", "--", "", "gh" * 300]:
+        flat = "".join(c if c.isalpha() else " " for c in text.lower() + "\n")
+        rows = []
+        for n in s.grams:
+            for k in range(len(flat) - n + 1):
+                gram = flat[k : k + n]
+                if gram.strip():
+                    h = 0
+                    for place, c in enumerate(gram, 1):
+                        h = (h * 0x01000193 + ord(c) * 0x9E3779B1 + place) % (1 << 32)
+                    h ^= h >> 15
+                    rows.append(model.table[((h * 0x85EBCA6B) % (1 << 32) >> 7) % s.buckets])
+        names, score, rejected = model.predict([text])
+        if not rows:
+            assert (names[0], score[0], rejected[0]) == ("und", 0.0, True)
+            continue
+        z = (np.mean(rows, axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert names[0] == model.languages[int(p.argmax())] and abs(p.max() - score[0]) < 1e-6
+
+
+def test_a_step_follows_the_gradient():
+    s = langid.Settings(buckets=1 << 8, dim=4, epochs=1, rate=1e-3, grams=(1,))
+    loss = lambda m, t, y: -np.log(langid.softmax(((langid.mean_scores(m.table, [t], s)[0]) + m.bias))[0, y])
+    before = langid.fit(["abab", "cdcd"], ["x", "y"], langid.Settings(**{**s.__dict__, "epochs": 0}))
+    after = langid.fit(["abab", "cdcd"], ["x", "y"], langid.Settings(**{**s.__dict__, "epochs": 60, "rate": 1.0}))
+    assert loss(after, "abab", 0) < loss(before, "abab", 0) and loss(after, "cdcd", 1) < loss(before, "cdcd", 1)
+
+
+def test_the_sample_is_shared_by_languages_and_counts_equal_texts_once(spark):
+    rows = [("same words here", "aa")] * 50 + [(f"text {i} " + "w" * 90, lang) for i in range(40) for lang in ("aa", "bb")] + [("z" * 500, "cc")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = langid.sample(docs, langid.Settings(sample=1000, sample_chars=200, long_chars=300, total_chars=3000))
+    by = {v: [t for t, w in got if w == v] for v in ("aa", "bb", "cc")}
+    assert len(set(got)) == len(got) and all(sum(map(len, t)) <= 1000 for v, t in by.items() if v != "cc")
+    assert len(by["aa"]) >= 9 and len(by["bb"]) >= 9 and by["cc"] == ["z" * 300]
+    assert langid.sample(docs.where("lang IS NULL"), langid.Settings()) == []
