@@ -7,9 +7,9 @@ Inside a shard the documents stand in a seeded order and the quota takes the
 first blocks of that stream.
 
 Only quotients that can decide anything are made: with S claimants, rounding
-every share misses the total by at most S / 2 seats, and moving the divisor
-moves all seats in one direction, so no claimant ends more than S / 2 + 1 seats
-from its rounded share.
+every share misses the total by at most S / 2 seats, so shares moved by a factor
+of 1 +- (S / 2 + 1) / total enclose the outcome.  A claimant's quotients between
+the two number its share of S and a few more, so all of them number about 6 S.
 """
 
 from __future__ import annotations
@@ -27,7 +27,11 @@ REPEATS = 3
 WEIGHTS = (5, 2, 1)
 #: Each source is cut into so many shards, which are taken from side by side.
 SHARDS = 64
+#: Documents of a shard, about, in sources of more than SHARDS times as many; these have more shards.
+SHARD_ROWS = 1_000_000
 SEED = "mix-1"
+#: The columns that mixing makes.
+NEW = ("size", "source_size", "target", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -44,7 +48,8 @@ def seats(claims: DataFrame, group: list[str], share: str, seats_of: str, out: s
     smaller _id.  Groups of zero seats give 0.
     """
     g = Window.partitionBy(*[F.col(c) for c in group]) if group else Window.partitionBy(F.lit(0))
-    reach = F.floor(F.count(F.lit(1)).over(g) / 2) + 2
+    near = (F.count(F.lit(1)).over(g) / 2 + 1) / F.greatest(F.sum(share).over(g), F.lit(1e-300))
+    reach = F.least(F.ceil(F.col(share) * near), F.ceil(F.count(F.lit(1)).over(g) / 2)) + 2
     base = (
         claims.withColumn("_low", F.greatest(F.lit(0), F.floor(share) - reach).cast("long"))
         .withColumn("_high", (F.floor(share) + reach).cast("long"))
@@ -94,29 +99,32 @@ def mix(
     size: Column,
     weights: tuple[float, ...] = WEIGHTS,
     repeats: int = REPEATS,
-    shards: int = SHARDS,
+    shards: int | None = None,
     blocks: int = BLOCKS,
     seed: str = SEED,
 ) -> DataFrame:
     """docs with size, source_size, target and taken (words of it that the mix takes, repeats counted).
 
-    docs needs doc_id and source; its other columns stay.  A null source is a
+    docs needs doc_id and source; its other columns stay, those named like the
+    four new ones are replaced, and all names are free.  A null source is a
     source of its own, the last.  A target of r sizes takes every document
     floor(r) times, and the rest by quota: per (source, shard) whole blocks in
-    the order of md5(seed, doc_id).  At most the last document of a shard's
-    quota is taken in part.  Empty tables give no rows; if all sizes are 0,
+    the order of md5(seed, doc_id); equal ids stand in the order of their sizes.
+    At most the last document of a shard's quota is taken in part.  Null texts
+    and empty ones have size 0 and are not taken, however long others are;
+    repeated rows count each; empty tables give no rows; if all sizes are 0,
     every target and every taken is 0.  The largest group a task sorts is a
-    shard, 1/64 of a source; the sources and shards themselves are tables of
-    at most sources x shards rows.
+    shard: 64 a source, or as many as the largest source has millions of
+    documents (or shards); the sources and shards themselves are tables of at
+    most sources x shards rows.
     """
+    if shards is None:
+        largest = docs.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        shards = max(SHARDS, -(-largest // SHARD_ROWS))
     order_key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = (
-        docs.withColumn("size", size)
-        .withColumn("_key", order_key)
-        .withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
-        .withColumn("_none", F.col("source").isNull())
-        .withColumn("_shard", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") % shards)
-    )
+    base = docs.select(
+        F.struct("*").alias("doc"), size.alias("size"), order_key.alias("_key"), F.coalesce(F.col("source"), F.lit("")).alias("_source"), F.col("source").isNull().alias("_none")
+    ).withColumn("_shard", F.conv(F.substring("_key", 1, 4 if shards <= 1024 else 8), 16, 10).cast("long") % shards)
     names = ["_source", "_none"]
     by_shard = base.groupBy(*names, "_shard").agg(F.sum("size").alias("_words"))
     by_source = by_shard.groupBy(*names).agg(F.sum("_words").alias("source_size"))
@@ -139,12 +147,10 @@ def mix(
         .withColumn("_id", F.col("_shard"))
     )
     dealt = seats(quota, names, "_part", "_rest", "_quota").select(
-        *names, "_shard", "source_size", "target", "_full", (F.col("_quota") * F.col("_block")).alias("_take")
+        *names, F.col("_id").alias("_shard"), "source_size", "target", "_full", (F.col("_quota") * F.col("_block")).alias("_take")
     )
     stream = Window.partitionBy(*names, "_shard").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        base.withColumn("_before", F.coalesce(F.sum("size").over(stream), F.lit(0)))
-        .join(dealt, [*names, "_shard"])
-        .withColumn("taken", F.col("_full") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_take") - F.col("_before"))))
-        .select(*docs.columns, *[c for c in ("size", "source_size", "target", "taken") if c not in docs.columns])
-    )
+    taken = F.col("_full") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_take") - F.col("_before")))
+    found = base.withColumn("_before", F.coalesce(F.sum("size").over(stream), F.lit(0))).join(dealt, [*names, "_shard"])
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in NEW]
+    return found.select(*kept, "size", "source_size", "target", taken.alias("taken"))

@@ -57,3 +57,27 @@ def test_mix(spark, blocks):
         assert abs(truth[s] - wanted[s]) < 1e-6
         assert abs(taken[s] - truth[s]) <= 2 + (0 if blocks > 50 else 64 * block)
     assert mixing.mix(docs.limit(0), mixing.word_count(F.col("text"))).count() == 0
+
+
+def test_names_of_other_columns_are_free(spark):
+    rows = [(i, f"s{i % 3}", "w " * (i % 5), 1, "t", "s", "d", 9) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, target int, source_size string, _key string, doc string, _share int")
+    got = mixing.mix(docs, mixing.word_count(F.col("text")))
+    assert got.columns == ["doc_id", "source", "text", "_key", "doc", "_share", "size", "source_size", "target", "taken"]
+    plain = mixing.mix(docs.select("doc_id", "source", "text"), mixing.word_count(F.col("text")))
+    assert sorted((r.doc_id, r.taken) for r in got.collect()) == sorted((r.doc_id, r.taken) for r in plain.collect())
+    assert {r._share for r in got.select("_share").distinct().collect()} == {9}
+
+
+@pytest.mark.parametrize("shares,total", [([0.3] * 40, 12), ([1000.4, 0.1, 0.5, 0.5, 2.5], 1004), ([0.0, 0.0], 0), ([0.5] * 9 + [700.5], 705)])
+def test_few_quotients_are_enough(spark, shares, total):
+    rows = [(i, s, total) for i, s in enumerate(shares)]
+    got = mixing.seats(spark.createDataFrame(rows, "_id long, share double, total long"), [], "share", "total", "won").orderBy("_id").collect()
+    assert [r.won for r in got] == sainte_lague(shares, total)
+
+
+def test_very_many_sources(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('s', id % 20000) AS source", "1 + id % 7 AS n")
+    got = mixing.mix(docs, F.col("n"), shards=4)
+    sums = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).agg(F.max(F.abs(F.col("taken") - F.col("target"))), F.count("*")).first()
+    assert sums[0] <= 5 and sums[1] == 20_000
