@@ -303,10 +303,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """docs with one row of every class: that of the smallest doc_id, then by the other columns; rows without words all stay."""
+    """docs with one row of every class: that of the smallest doc_id (null last), then by the other columns; rows without words all stay.
+
+    Repeated rows are copies, of which one stays; an empty table stays empty;
+    the names of other columns are free.
+    """
     _, info = _classes(spark, docs, doc_id, text, s)
-    many = info.where("members > 1").select(F.col("key").alias("_key"), F.col("root").alias("_root"))
-    marked = docs.withColumn("_text_key", text_key(F.col(text))).join(small_side(many), F.col("_text_key") == F.col("_key"), "left")
-    order = Window.partitionBy("_root").orderBy(F.col(doc_id).asc_nulls_last(), *[F.col(c) for c in docs.columns if c not in (doc_id, text)])
-    first = marked.where("_root IS NOT NULL").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return marked.where("_root IS NULL").select(*docs.columns).unionByName(first.select(*docs.columns))
+    many = info.where("members > 1").select(F.col("key").alias("class_key"), "root")
+    rows = docs.select(F.struct("*").alias("doc"), text_key(F.col(text)).alias("key"))
+    marked = rows.join(small_side(many), F.col("key") == F.col("class_key"), "left")
+    others = [F.col("doc")[c] for c in docs.columns if c not in (doc_id, text)]
+    order = Window.partitionBy("root").orderBy(F.col("doc")[doc_id].asc_nulls_last(), *others)
+    first = marked.where("root IS NOT NULL").withColumn("n", F.row_number().over(order)).where("n = 1")
+    return marked.where("root IS NULL").select("doc").unionByName(first.select("doc")).select("doc.*")

@@ -48,3 +48,11 @@ def test_against_brute_force(spark):
     blank = sum(not g for g in sets)
     assert kept.count() == len({v for v, g in zip(label, sets) if g}) + blank
     assert neardup.near_duplicates(spark, docs.limit(0)).count() == 0
+
+
+def test_names_of_other_columns_are_free(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(2, text, "k", 1, 1, "d"), (1, text, "k", 2, 2, "d"), (3, "other words of no one", "k", 3, 3, "d"), (None, text, "k", 4, 4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _root int, n int, doc string")
+    kept = neardup.keep_one(spark, docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r._root) for r in kept.collect()) == [(1, 2), (3, 3)]
