@@ -145,27 +145,116 @@ class Section:
     body: list[str] = field(default_factory=list)
 
 
+#: Lines of a contents page: at least so many entries within so many lines.
+CONTENTS_LEAST, CONTENTS_MOST = 3, 8
+CONTENTS_TITLES = ("contents", "table of contents", "index")
+
+
+def contents_lines(lines: list[str]) -> set[int]:
+    """Numbers of the lines of contents pages, which open no section, with the title line above them.
+
+    An entry is a heading with a page number behind it.  Entries count where at
+    least three make up half of three to eight lines in a row (blank ones aside)
+    that span at most twice as many.
+    """
+    filled = [n for n, v in enumerate(lines) if v.strip()]
+    entry = []
+    for n in filled:
+        m = re.fullmatch(r"(.*\S)\s+\d{1,4}", lines[n].strip())
+        words = re.sub(r"[.·…\s]+$", "", m[1]) if m else ""
+        entry.append(0 < len(words) <= 80 and heading_of(words) is not None)
+    upto = np.append(0, np.cumsum(entry))
+    found: set[int] = set()
+    for size in range(CONTENTS_LEAST, min(CONTENTS_MOST, len(filled)) + 1):
+        starts = np.arange(len(filled) - size + 1)
+        many = upto[starts + size] - upto[starts]
+        span = np.array(filled)[starts + size - 1] - np.array(filled)[starts]
+        for k in starts[(many >= CONTENTS_LEAST) & (2 * many >= size) & (span <= 2 * size)].tolist():
+            found |= {i for i in range(k, k + size) if entry[i]}
+    titles = {i - 1 for i in found if i and lines[filled[i - 1]].strip().lower() in CONTENTS_TITLES}
+    return {filled[i] for i in found | titles}
+
+
 def prose_sections(text: str, title: str) -> list[Section]:
-    """Sections by a stack of headings; the first is the root.  A caps line heads a section only when set off by a blank line before it."""
+    """Sections by a stack of headings; the first is the root.
+
+    A caps line heads a section only when set off by a blank line before it; the
+    lines of contents pages head none.  A long text without headings is cut in
+    windows of whole paragraphs that overlap a little.
+    """
     root = Section(title, 0, title, None, 1, 0)
     out, stack, blank = [root], [0], True
     lines = text.split("\n")
+    listed = contents_lines(lines)
     for n, line in enumerate(lines, 1):
-        found = heading_of(line)
+        found = heading_of(line) if n - 1 not in listed else None
         if found and (found[0] != "caps" or blank):
             _, level, name = found
             while len(stack) > 1 and out[stack[-1]].level >= level:
-                stack.pop()
+                out[stack.pop()].end = n - 1
             above = out[stack[-1]]
             out.append(Section(name, level, f"{above.path} > {name}", stack[-1], n, 0))
             stack.append(len(out) - 1)
         else:
             out[stack[-1]].body.append(line)
         blank = not line.strip()
-    for i, s in enumerate(out):
-        later = [o.start for o in out[i + 1 :] if o.level <= s.level]
-        s.end = later[0] - 1 if later else len(lines)
-    return out
+    for i in stack:
+        out[i].end = len(lines)
+    return out if len(out) > 1 else fallback_windows(root, lines)
+
+
+def fallback_windows(root: Section, lines: list[str], least: int = 2000, most: int = 4000, shared: int = 500) -> list[Section]:
+    """The root as it is, or where it is longer than most characters in several paragraphs, windows of them.
+
+    A window ends before it exceeds most, once it has least; the next begins
+    with the last paragraphs of it that make up shared characters.
+    """
+    parts: list[tuple[int, list[str]]] = []
+    for n, line in enumerate(lines, 1):
+        if line.strip():
+            if parts and parts[-1][0] + len(parts[-1][1]) == n:
+                parts[-1][1].append(line)
+            else:
+                parts.append((n, [line]))
+    sizes = [len("\n".join(p)) + 2 for _, p in parts]
+    if len(parts) < 2 or sum(sizes) <= most:
+        return [root]
+    out, a = [], 0
+    while True:
+        e, size = a + 1, sizes[a]
+        while e < len(parts) and not (size >= least and size + sizes[e] > most):
+            size += sizes[e]
+            e += 1
+        first, last = parts[a][0], parts[e - 1][0] + len(parts[e - 1][1]) - 1
+        out.append(Section("", 0, root.path, None, first, last, lines[first - 1 : last]))
+        if e == len(parts):
+            return out
+        back, held = e, 0
+        while back > a + 1 and held < shared:
+            back -= 1
+            held += sizes[back]
+        a = max(min(back, e - 1), a + 1)
+
+
+def line_pieces(lines: list[str], first: int, last: int, most: int = 3000) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of pieces of whole lines of at most most characters; a longer line alone is cut in windows."""
+    out: list[tuple[int, int, str]] = []
+    held: list[str] = []
+    size, start = 0, first
+    for n in range(first, last + 1):
+        line = lines[n - 1]
+        if held and size + len(line) + 1 > most:
+            out.append((start, n - 1, "\n".join(held)))
+            held, size, start = [], 0, n
+        if len(line) > most:
+            out += [(n, n, w) for w in windows(line, most, 0)]
+            start = n + 1
+            continue
+        held.append(line)
+        size += len(line) + 1
+    if held:
+        out.append((start, last, "\n".join(held)))
+    return [x for x in out if x[2].strip()]
 
 
 def paragraphs(body: list[str], most: int = 1600, least: int = 150) -> list[str]:
@@ -254,15 +343,20 @@ def markdown_chunks(text: str, target: int = 900, cap: int = 1500, least: int =
             out.append((" > ".join(t for _, t in stack), held[0][0], held[-1][1], "\n\n".join(x for _, _, x in held)))
             held.clear()
 
+    alone: tuple[int, int, str] | None = None  # a heading that nothing has followed yet
     for kind, a, b, body in markdown_blocks(text):
         if kind == "heading":
             flush()
+            if alone:
+                out.append((" > ".join(t for _, t in stack), *alone))
+            alone = (a, b, body)
             m = re.match(r"\s*(#{1,6})\s+(.*)", body)
             level, name = (len(m[1]), m[2].strip()) if m else (1 if "=" in body.split("\n")[1] else 2, body.split("\n")[0].strip())
             while stack and stack[-1][0] >= level:
                 stack.pop()
             stack.append((level, name))
             continue
+        alone = None
         limit = code_cap if kind == "code" else cap
         parts = [body] if len(body) <= limit else [body[k : k + limit] for k in range(0, len(body), limit)] if kind == "code" else windows(body, limit, limit // 8)
         for part in parts:
@@ -271,6 +365,8 @@ def markdown_chunks(text: str, target: int = 900, cap: int = 1500, least: int =
                 flush()
             held.append((a, b, part))
     flush()
+    if alone:
+        out.append((" > ".join(t for _, t in stack), *alone))
     return out
 
 

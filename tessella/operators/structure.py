@@ -52,15 +52,18 @@ def chunk(path_kind: str, text: str) -> list[tuple[int, str, int, int, str]]:
     if parsers.is_minified(text):
         rows = [("", 1, len(lines), w) for w in parsers.windows(text, 2000, 0)]
     elif path_kind in ("yml", "yaml", "json", "jsonc", "toml"):
-        rows = [(k, a, b, "\n".join(lines[a - 1 : b])) for k, a, b in parsers.config_entries(text, "yaml" if path_kind == "yml" else path_kind)]
+        rows = [(k, *p) for k, a, b in parsers.config_entries(text, "yaml" if path_kind == "yml" else path_kind) for p in parsers.line_pieces(lines, a, b)]
     elif path_kind in ("md", "markdown"):
         rows = parsers.markdown_chunks(text)
     elif path_kind in ("py", "pyi", "rb", "rs", "ts", "js", "go", "java", "cs", "c", "cpp"):
         style = "indent" if path_kind in ("py", "pyi", "rb") else "brace"
-        rows = [(k, a, b, "\n".join(lines[a - 1 : b])) for k, _, a, b in parsers.code_symbols(text, style)]
+        symbols = parsers.code_symbols(text, style)
+        ends = [a - 1 for _, _, a, _ in symbols[1:]] + [len(lines)] * bool(symbols)  # up to the next symbol, so that no line stands twice
+        rows = [(k, *p) for (k, _, a, _), b in zip(symbols, ends, strict=True) for p in parsers.line_pieces(lines, a, b)]
     if not rows:
         for s in parsers.prose_sections(text, ""):
-            rows += [(s.path, s.start, s.end, p) for p in parsers.paragraphs(s.body)]
+            shown = parsers.paragraphs(s.body) or [s.title]  # a heading without a body is shown itself
+            rows += [(s.path, s.start, s.end, p) for p in shown if p]
     return [(n, *r) for n, r in enumerate(rows)]
 
 

@@ -124,9 +124,9 @@ def f11(spark, d):
     return r.kind_filter(m.chunks(spark, d), "caption, doc_summary, nonsense", known).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("f12_path_prefix", m.with_tables("items") + "x AS (SELECT item_id, external_id FROM items WHERE starts_with(lower(external_id), 'src3/docs')) SELECT * FROM x")
+@query("f12_path_prefix", m.with_tables("items") + "x AS (SELECT item_id, external_id FROM items WHERE starts_with(lower(external_id), 'src3/n')) SELECT * FROM x")
 def f12(spark, d):
-    return r.path_prefix(m.items(spark, d), "SRC3\\docs").select("item_id", "external_id")
+    return r.path_prefix(m.items(spark, d), "SRC3\\N").select("item_id", "external_id")
 
 
 @query("f14_symbol_filter", m.with_tables("sections") + "x AS (SELECT section_id FROM sections WHERE contains(lower(title), 'art 2') OR contains(lower(path), 'art 2')) SELECT * FROM x")

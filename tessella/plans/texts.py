@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions import text as fx
+from ..operators import library as lb
 from ..operators import search as se
 from ..operators import structure as st
 from ..sources import extract, json_map
@@ -193,15 +194,19 @@ def c17(spark, d):
     return st.chunked(m.items(spark, d), "item_id", "external_id")
 
 
-@query("c24_c27_records")
+@query("c24_c27_records", """SELECT doc_id, 'decision' AS kind, 'Item ' || doc_id AS title, 'D' || doc_id AS record_id, 'accepted' AS status, NULL AS owner, NULL AS due, []::VARCHAR[] AS supersedes, NULL::BOOLEAN AS done FROM documents
+UNION ALL SELECT doc_id, 'action', 'check it by 2024-03-01', NULL, NULL, 'Ann', '2024-03-01', []::VARCHAR[], false FROM documents""")
 def c24(spark, d):
+    """Records that stand in front of ordinary text, which adds none."""
     head = F.concat(F.lit("# Decision: Item "), F.col("doc_id").cast("string"), F.lit(" — D"), F.col("doc_id").cast("string"), F.lit("\n\n**Status:** Accepted. Owner: Kim\n\n## Action items\n- Ann: check it by 2024-03-01\n\n## Text\n"))
     return st.parsed_records(m.table(spark, d, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text")), "doc_id")
 
 
-@query("c28_initialisms")
+@query("c28_initialisms", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'abg' ELSE 'dd' END AS term, CASE doc_id % 3 WHEN 0 THEN 'alpha beta of the gamma' ELSE 'direct debit' END AS expansion FROM documents WHERE doc_id % 3 < 2""")
 def c28(spark, d):
-    return st.initialism_pairs(m.table(spark, d, "documents"), "doc_id")
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    said = F.when(n % 3 == 0, " see Alpha Beta of the Gamma (ABG)").when(n % 3 == 1, " by direct debit (DD), or Direct Debit (DD)").otherwise(" no such thing (QQ)")
+    return st.initialism_pairs(m.table(spark, d, "documents").select(n, F.concat(text, F.lit("."), said).alias("text")), "doc_id")
 
 
 @query("c29_glossary_lines", """SELECT doc_id, 'code' || doc_id AS term, 'meaning of ' || doc_id AS expansion FROM labels""")
@@ -211,7 +216,12 @@ def c29(spark, d):
     return st.glossary_pairs(m.table(spark, d, "labels").select("doc_id", text.alias("text")), "doc_id")
 
 
-@query("c32_hash_embedding")
+_FNV = "list_reduce(list_prepend(37, list_transform(range(0, len(hex(encode(t))) // 2), lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::INTEGER, 2))::INTEGER)), lambda h, b: xor(h, b) * 179 % 256)"
+
+
+@query("c32_hash_embedding", f"""WITH w AS (SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM conversations),
+v AS (SELECT id, {_FNV} AS bucket FROM w), c AS (SELECT id, bucket, count(*) AS n FROM v GROUP BY 1, 2), m AS (SELECT id, map_from_entries(list((bucket, n))) AS m, sqrt(sum(n * n)::DOUBLE) AS norm FROM c GROUP BY 1)
+SELECT conv_id * 1000 + turn AS id, list_transform(range(0, 256), lambda i: coalesce(m[i::INTEGER], 0) / coalesce(norm, 1.0)) AS embedding FROM conversations LEFT JOIN m ON m.id = conv_id * 1000 + turn""")
 def c32(spark, d):
     return st.embedded(m.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id")
 
@@ -250,3 +260,32 @@ def t5(spark, d):
 @query("t7_last_queries", "SELECT event_id AS id, ts AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def t7(spark, d):
     return streams.last_queries(m.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at")))
+
+
+@query("s11_text_decode", "SELECT doc_id || '.txt' AS path, md5(text) AS digest FROM documents WHERE length(text) > 0")
+def s11(spark, d):
+    """Texts in five encodings, with marks of byte order and without, come back as they were."""
+    n, text = F.col("doc_id"), F.col("text")
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
+    data = F.when(n % 4 == 0, F.encode(text, "UTF-8")).when(n % 4 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(n % 4 == 2, wide).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE")))
+    files = m.table(spark, d, "documents").where("length(text) > 0").select(F.concat(n.cast("string"), F.lit(".txt")).alias("path"), data.alias("content"))
+    return extract.extracted(files).select("path", F.md5("text").alias("digest"))
+
+
+@query("s2_skipped_files", "SELECT doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.docx' END AS path, CASE WHEN doc_id % 3 = 0 THEN 'binary' ELSE 'BadZipFile' END AS error FROM documents WHERE doc_id % 3 < 2")
+def s2(spark, d):
+    """Files that cannot be read are skipped with the reason, and stop no other."""
+    n = F.col("doc_id")
+    data = F.when(n % 3 == 0, F.unhex(F.lit("0000010200000300"))).otherwise(F.encode(F.concat(F.lit("text "), n.cast("string")), "UTF-8"))
+    files = m.table(spark, d, "documents").select(F.concat(n.cast("string"), F.when(n % 3 == 1, ".docx").otherwise(".txt")).alias("path"), data.alias("content"))
+    return extract.extracted(files).where("text IS NULL").select("path", F.substring_index("error", ":", 1).alias("error"))
+
+
+@query("c38_entity_context", m.with_tables("chunks") + """e AS (SELECT chunk_id AS entity_id, item_id, substr(content, 50, 300) AS text FROM chunks WHERE chunk_id % 37 = 0 AND kind = 'document' AND length(content) >= 300),
+a AS (SELECT chunk_id, item_id, content, lag(chunk_id) OVER w AS before, lead(chunk_id) OVER w AS after FROM chunks WINDOW w AS (PARTITION BY item_id ORDER BY chunk_id)),
+h AS (SELECT entity_id, min(chunk_id) AS chunk_id FROM e JOIN a USING (item_id) WHERE contains(content, substr(text, 1, 160)) GROUP BY 1),
+x AS (SELECT entity_id, h.chunk_id, before, after FROM h JOIN a USING (chunk_id)) SELECT * FROM x""")
+def c38(spark, d):
+    chunks = m.chunks(spark, d)
+    told = chunks.where("chunk_id % 37 = 0 AND kind = 'document' AND length(content) >= 300")
+    return lb.entity_context(told.select(F.col("chunk_id").alias("entity_id"), "item_id", F.substring("content", 50, 300).alias("text")), chunks)

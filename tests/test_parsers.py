@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -92,3 +93,40 @@ def test_chunks_of_code_and_configuration_cover_every_line():
 def test_hash_embedding():
     v = p.hash_embedding("a b a", 16)
     assert abs(sum(x * x for x in v) - 1) < 1e-12 and p.hash_embedding("", 8) == [0.0] * 8
+
+
+def test_contents_pages_open_no_sections():
+    page = ["Contents", "1.1 Scope ........ 3", "", "1.2 Terms and Words 7", "DEFINITIONS 12", "some prose", "", "1.1 Scope", "body", "1.2 Terms and Words", "more"]
+    assert p.contents_lines(page) == {0, 1, 3, 4}
+    assert [s.title for s in p.prose_sections("\n".join(page), "doc")] == ["doc", "1.1 Scope", "1.2 Terms and Words"]
+    assert p.contents_lines(["1.1 Scope 3", "prose", "prose", "prose", "1.2 Terms 4", "x", "x", "x", "x", "x", "1.3 End 9"]) == set()
+
+
+def test_long_texts_without_headings_are_cut_by_paragraphs():
+    text = "\n\n".join(f"para {k} " + "word " * 60 for k in range(30))
+    parts = p.prose_sections(text, "doc")
+    assert len(parts) > 2 and all(len("\n".join(part.body)) <= 4000 for part in parts)
+    assert all(b.start <= a.end for a, b in zip(parts, parts[1:]))  # they overlap
+    assert {line for part in parts for line in part.body} >= set(text.split("\n"))
+    assert len(p.prose_sections("one\n\ntwo", "doc")) == 1
+
+
+@pytest.mark.parametrize("kind", ["py", "rs", "yml", "json", "md", "txt"])
+def test_every_line_is_in_a_chunk_and_no_chunk_is_huge(kind):
+    import random
+
+    rng = random.Random(kind)
+    starts = {
+        "py": ["class A{}:", "def f{}():", "    def g{}(self):", "import x{}", "    return {}", ""], "rs": ["fn f{}() {{", "}}", "use a{};", "impl B{} {{", "    fn g{}() {{}}", ""],
+        "yml": ["key{}: 1", "  sub{}: 2", "# note {}", "", "- item {}"], "json": ['  "k{}": 1,', '    "n{}": 2,', "{{", "}}"],
+        "md": ["# Head {}", "## Under {}", "text {}", "", "- item {}", "| a{} | b |"], "txt": ["1.{} Heading Words", "body line {}", "", "LOUD LINE {}"],
+    }[kind]
+    assert structure.chunk(kind, "plain words only")[0][4] == "plain words only" and structure.chunk(kind, "") == []
+    for _ in range(30):
+        lines = [rng.choice(starts).format(n) for n in range(rng.randint(1, 900))] + ["x" * rng.choice([1, 50, 400])]
+        rows = structure.chunk(kind, "\n".join(lines))
+        shown = "\n".join(r[4] + "\n" + r[1] for r in rows)
+        assert not {w for v in lines for w in v.split()} - set(shown.split()) - {"#", "##", ">"}
+        assert max(len(r[4]) for r in rows) <= 4600
+        if kind in ("py", "rs"):
+            assert [v for r in rows for v in r[4].split("\n") if v.strip()] == [v for v in lines if v.strip()]  # each once, in order
