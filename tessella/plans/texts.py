@@ -10,7 +10,7 @@ from ..functions import text as fx
 from ..operators import library as lb
 from ..operators import search as se
 from ..operators import structure as st
-from ..sources import extract, json_map
+from ..sources import extract, json_map, paged
 from ..storage import Scratch
 from ..streaming import streams
 from .relational import Query
@@ -289,3 +289,36 @@ def c38(spark, d):
     chunks = m.chunks(spark, d)
     told = chunks.where("chunk_id % 37 = 0 AND kind = 'document' AND length(content) >= 300")
     return lb.entity_context(told.select(F.col("chunk_id").alias("entity_id"), "item_id", F.substring("content", 50, 300).alias("text")), chunks)
+
+
+@query("s4_jira_documents", """SELECT 'K-' || event_id AS external_id, event_type AS title, event_type || chr(10) || chr(10) || 'Status: Open' || chr(10) || chr(10) || 'Assignee: u' || user_id || chr(10) || chr(10) || 'first line' || chr(10) || 'of ' || event_id
+  || CASE WHEN event_id % 2 = 0 THEN chr(10) || chr(10) || 'said ' || user_id ELSE '' END AS text, 'Jira:K-' || event_id AS source_ref FROM events""")
+def s4(spark, d):
+    """Pages of one issue each, with rich text."""
+    n, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    adf = F.concat(F.lit('{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"first "},{"type":"text","text":"line"}]},{"type":"paragraph","content":[{"type":"text","text":"of '), n, F.lit('"}]}]}'))
+    comments = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('[{"body":"said '), u, F.lit('"},{"body":""}]'))).otherwise("[]")
+    body = F.concat(
+        F.lit('{"issues":[{"key":"K-'), n, F.lit('","fields":{"summary":"'), "event_type", F.lit('","status":{"name":"Open"},"assignee":{"displayName":"u'), u, F.lit('"},"description":'), adf,
+        F.lit(',"comment":{"comments":'), comments, F.lit('},"updated":"2024-01-02T00:00:00Z"}}]}'),
+    )
+    return paged.jira_documents(m.table(spark, d, "events").select(body.alias("body"))).select("external_id", "title", "text", "source_ref")
+
+
+@query("s5_linear_documents", """SELECT 'T-' || event_id AS external_id, 'Issue ' || event_id AS title, 'Issue ' || event_id || chr(10) || chr(10) || 'State: ' || event_type || chr(10) || chr(10) || 'Assignee: u' || user_id || chr(10) || chr(10) || 'c' AS text, 'u' || user_id AS author FROM events""")
+def s5(spark, d):
+    n, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    body = F.concat(
+        F.lit('{"data":{"issues":{"nodes":[{"id":"x","identifier":"T-'), n, F.lit('","title":"Issue '), n, F.lit('","description":null,"state":{"name":"'), "event_type", F.lit('"},"assignee":{"name":"u'), u,
+        F.lit('"},"comments":{"nodes":[{"body":"c"},{"body":null}]},"updatedAt":"2024-01-02T00:00:00Z"}],"pageInfo":{"hasNextPage":false}}}}'),
+    )
+    return paged.linear_documents(m.table(spark, d, "events").select(body.alias("body"))).select("external_id", "title", "text", "author")
+
+
+@query("s3_drive_plan", """SELECT doc_id::VARCHAR AS external_id, 'f' || doc_id || '.docx' AS title, CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'csv' WHEN 2 THEN 'pdf' ELSE 'docx' END AS kind,
+  CASE doc_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'application/pdf' END AS export FROM documents WHERE doc_id % 8 <> 7""")
+def s3(spark, d):
+    n = F.col("doc_id")
+    mime = F.when(n % 8 == 7, "google-apps.folder").when(n % 4 == 0, "google-apps.document").when(n % 4 == 1, "google-apps.spreadsheet").when(n % 4 == 2, "google-apps.drawing").otherwise("other")
+    body = F.concat(F.lit('{"files":[{"id":"'), n.cast("string"), F.lit('","name":"f'), n.cast("string"), F.lit('.docx","mimeType":"application/vnd.'), mime, F.lit('"}]}'))
+    return paged.drive_plan(m.table(spark, d, "documents").select(body.alias("body"))).select("external_id", "title", "kind", "export")
