@@ -36,7 +36,10 @@ def test_exact_topk_equals_brute_force(spark, table):
     assert exact_topk.search(spark, exact_topk.from_embeddings(df.limit(0))).count() == 0
 
 
-def test_forest_recall_and_order(spark, table):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_forest_recall_and_order(spark, table, monkeypatch, limit):
+    monkeypatch.setattr(forest, "BROADCAST_BYTES", limit)  # the queries' vectors are broadcast, or travel
+    monkeypatch.setattr(forest, "HELD", 100)
     df, rows = table
     vecs = {i: np.array(v, np.float64) for i, v in valid(rows).items() if any(v)}
     got = forest.search(spark, forest.from_embeddings(df), s=forest.Settings(sample=200, leaf=16, block=64)).collect()
