@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 #: Texts that the driver looks at together when it fits.
 FIT_BATCH = 64
+#: How many times the wanted sample of a language is ranked to find it.
+SPARE = 4
 
 
 @dataclass(frozen=True)
@@ -186,11 +188,15 @@ def sample(docs: DataFrame, s: Settings) -> list[tuple[str, str]]:
     fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     order, size = F.xxhash64(F.lit(s.seed), F.col("text")), F.length("text")
     longer = F.when(size > s.sample_chars, size).otherwise(0)  # 0 for those that come first
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = fit_rows.select("lang", longer.alias("_long"), order.alias("_h"), size.alias("_size"), F.pmod(order, F.lit(parts)).alias("_part")).distinct()
-    of_part, of_lang = Window.partitionBy("lang", "_part").orderBy("_long", "_h"), Window.partitionBy("lang").orderBy("_long", "_h")
-    few = distinct.withColumn("_n", F.row_number().over(of_part)).where(F.col("_n") <= s.sample)  # so that a frequent language does not meet in one task
-    ranked = few.withColumn("_n", F.row_number().over(of_lang)).where(F.col("_n") <= s.sample).select("lang", "_long", "_h", "_size", "_n").collect()
+    hashed = fit_rows.select("lang", longer.alias("_long"), order.alias("_h"), size.alias("_size"))
+    # hashes are spread evenly: where short texts abound, those under a hash that leaves SPARE times as many as wanted are enough
+    short = hashed.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("_long") == 0, F.col("_h"))).alias("n")).collect()  # a row per language
+    last = {r["lang"]: int(-(1 << 63) + (1 << 64) * SPARE * s.sample / r["n"]) for r in short if r["n"] > 2 * SPARE * s.sample}
+    if last:
+        cut = F.create_map(*[F.lit(x) for kv in last.items() for x in kv])[F.col("lang")]
+        hashed = hashed.where(cut.isNull() | (F.col("_long") == 0) & (F.col("_h") <= cut))
+    of_lang = Window.partitionBy("lang").orderBy("_long", "_h")
+    ranked = hashed.distinct().withColumn("_n", F.row_number().over(of_lang)).where(F.col("_n") <= s.sample).select("lang", "_long", "_h", "_size", "_n").collect()
     limits: dict[str, tuple[int, int]] = {}
     long_left, left, ended = {}, {}, set()
     share = s.total_chars // max(1, len({r["lang"] for r in ranked}))

@@ -114,3 +114,7 @@ def test_the_sample_is_shared_by_languages_and_counts_equal_texts_once(spark):
     assert len(set(got)) == len(got) and all(sum(map(len, t)) <= 1000 for v, t in by.items() if v != "cc")
     assert len(by["aa"]) >= 9 and len(by["bb"]) >= 9 and by["cc"] == ["z" * 300]
     assert langid.sample(docs.where("lang IS NULL"), langid.Settings()) == []
+    few = langid.Settings(sample=2, sample_chars=200)
+    chosen = [sorted(t for t, v in langid.sample(docs, few) if v == lang) for lang in ("aa", "bb")]
+    h = docs.where("length(text) <= 200").select("lang", "text", F.xxhash64(F.lit(few.seed), "text").alias("h")).distinct().orderBy("h").collect()
+    assert chosen == [sorted([r.text for r in h if r.lang == lang][:2]) for lang in ("aa", "bb")]  # those of the lowest hashes, cut or not
