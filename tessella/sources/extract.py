@@ -193,8 +193,8 @@ def diagram(text: str) -> str:
     return "\n".join([t for r in rows for *_, t in sorted(r, key=lambda n: n[1])] + edges)
 
 
-def image_size(data: bytes) -> tuple[str, int, int] | None:
-    """(kind, width, height) from the header of PNG, GIF, BMP, JPEG or WebP bytes."""
+def image_size(data: bytes) -> tuple[str, int | None, int | None] | None:
+    """(kind, width, height) from the header of PNG, GIF, BMP, JPEG, WebP or SVG bytes (SVG without a size); None for anything else."""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
         return "png", *struct.unpack(">II", data[16:24])
     if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
@@ -202,16 +202,27 @@ def image_size(data: bytes) -> tuple[str, int, int] | None:
     if data[:2] == b"BM" and len(data) >= 26:
         w, h = struct.unpack("<ii", data[18:26])
         return "bmp", abs(w), abs(h)
-    if data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8X" and len(data) >= 30:
-        return "webp", int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8X":
+            return "webp", int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+        if data[12:16] == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return "webp", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        w, h = struct.unpack("<HH", data[26:30])
+        return "webp", w & 0x3FFF, h & 0x3FFF
     if data[:2] == b"\xff\xd8":
         at = 2
-        while at + 9 < len(data) and data[at] == 0xFF:
-            if data[at + 1] in (0xC0, 0xC1, 0xC2):
+        while at + 9 <= len(data) and data[at] == 0xFF:
+            kind = data[at + 1]
+            if kind == 0xFF or kind == 1 or 0xD0 <= kind <= 0xD9:  # filling, and marks without a length
+                at += 1 if kind == 0xFF else 2
+            elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
                 h, w = struct.unpack(">HH", data[at + 5 : at + 9])
                 return "jpeg", w, h
-            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
-    return None
+            else:
+                at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+        return "jpeg", None, None
+    return ("svg", None, None) if b"<svg" in data[:2048].lower() else None
 
 
 def image_refs(text: str) -> list[tuple[str, str]]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,6 +31,42 @@ def in_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watched(spark: SparkSession, root: str, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "10 seconds", pattern: str = "*") -> StreamingQuery:
+    """New files of a folder go through step in batches: every so often until the query is stopped, or with None what is there now.
+
+    Stopping it loses nothing: finished batches are in the checkpoint, and the
+    next run goes on behind them.
+    """
+    writer = folder_stream(spark, root, pattern).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def backfill_step(embed: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], retries: int = 5, wait: float = 60.0) -> Callable[[DataFrame, int], None]:
+    """A step for in_batches that embeds chunks and writes them, tried again so often if the provider fails."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        for turn in range(retries + 1):
+            try:
+                return write(embed(batch))
+            except Exception:
+                if turn == retries:
+                    raise
+                time.sleep(wait)
+
+    return step
+
+
+#: Minutes between two polls of a source, by its kind; others are not polled.
+POLLS = {"jira": 15, "folder": 60}
+
+
+def due_sources(sources: DataFrame, now: Column, polls: dict[str, int] | None = None) -> DataFrame:
+    """Enabled sources (connector, last_sync) whose poll is due; one that never ran is."""
+    every = F.create_map(*[F.lit(x) for kv in (POLLS if polls is None else polls).items() for x in kv])[F.col("connector")]
+    waited = F.unix_timestamp(now) - F.unix_timestamp("last_sync")
+    return sources.where(F.col("enabled") & (every > 0) & (F.col("last_sync").isNull() | (waited >= every * 60)))
+
+
 def changed_listing(now: DataFrame, before: DataFrame) -> DataFrame:
     """rel and change (added, changed, removed) between two listings; an empty new listing changes nothing."""
     a = now.select("rel", F.struct("mtime_ms", "size").alias("_n"))
