@@ -227,24 +227,22 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "tex
     Whole texts, however long.  A null text, an empty one and one without a
     letter give und with score 0 and are rejected; repeated rows each get their
     prediction; an empty table stays empty.  Only the text column is read for a
-    prediction.  Columns of docs named like the three new ones are replaced.
+    prediction.  Columns of docs named like the three new ones are replaced; all
+    other names are free.
     """
     held = spark.sparkContext.broadcast(model)  # buckets x languages numbers
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    base = docs.select(*kept, F.col(text).alias("_text"))
-    out = T.StructType(
-        [*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    )
+    base = docs.select(F.struct(F.lit(None).cast("int").alias("_"), *[F.col(c) for c in kept]).alias("doc"), F.col(text).alias("text"))
+    out = T.StructType([base.schema["doc"], *T.StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
-                texts = [x or "" for x in b.column(len(kept)).to_pylist()]
-                names, score, rejected = held.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=out.names)
+                names, score, rejected = held.value.predict([x or "" for x in b.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=out.names)
 
-    return base.mapInArrow(run, out)
+    return base.mapInArrow(run, out).select(*[F.col("doc")[c].alias(c) for c in kept], "lang_pred", "score", "rejected")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -118,3 +118,9 @@ def test_the_sample_is_shared_by_languages_and_counts_equal_texts_once(spark):
     chosen = [sorted(t for t, v in langid.sample(docs, few) if v == lang) for lang in ("aa", "bb")]
     h = docs.where("length(text) <= 200").select("lang", "text", F.xxhash64(F.lit(few.seed), "text").alias("h")).distinct().orderBy("h").collect()
     assert chosen == [sorted([r.text for r in h if r.lang == lang][:2]) for lang in ("aa", "bb")]  # those of the lowest hashes, cut or not
+
+
+def test_names_of_other_columns_are_free(spark):
+    docs = spark.createDataFrame([(1, "abc", "aa", "q", 3), (2, None, None, "q", 4)], "doc_id long, text string, lang string, _text string, doc int")
+    got = langid.predict(spark, docs, langid.train(docs))
+    assert got.columns == [*docs.columns, "lang_pred", "score", "rejected"] and sorted(r.doc for r in got.collect()) == [3, 4]
