@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..model import LEAF_KINDS
+from ..storage import Scratch
 
 # ---- predicates and scopes -------------------------------------------------
 
@@ -425,8 +426,23 @@ def collect_blobs(blobs: DataFrame, assets: DataFrame) -> DataFrame:
     return blobs.join(assets.select("hash"), "hash", "left_semi")
 
 
+def numbers(rows: DataFrame, order: str) -> DataFrame:
+    """rows with n from 1 on in the order of a column of distinct values, without meeting in one task.
+
+    Rows are range-partitioned by the column; a partition counts its own on top
+    of what the partitions before it have.
+    """
+    scratch = Scratch(rows.sparkSession, "numbers")
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.write(rows.repartitionByRange(width, order).withColumn("_part", F.spark_partition_id()), "dealt")
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))  # a row per partition
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.join(F.broadcast(before), "_part").withColumn("n", own + F.col("_before")).drop("_part", "_before")
+
+
 def pseudonyms(rows: DataFrame, column: str, prefix: str) -> DataFrame:
-    """rows with the column replaced by prefix and the place of its first appearance by id."""
-    first = rows.groupBy(column).agg(F.min("item_id").alias("_first"))
-    named = first.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first")))
-    return rows.join(named.select(F.col(column), F.concat(F.lit(prefix), F.col("_n").cast("string")).alias("pseudonym")), column)
+    """rows with the column replaced by prefix and the place of its first appearance by id, ties by value."""
+    first = rows.groupBy(column).agg(F.min("item_id").alias("_first")).withColumn("_at", F.struct("_first", column))
+    named = numbers(first, "_at").select(F.col(column), F.concat(F.lit(prefix), F.col("n").cast("string")).alias("pseudonym"))
+    return rows.join(named, column)

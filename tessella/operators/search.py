@@ -26,7 +26,13 @@ PAIRS = 64
 
 @dataclass(frozen=True)
 class Library:
-    """What a search reads.  vectors: chunk_id, item_id, section_id, kind, status, embedding; tags: name, section_id; vocabulary: id, term, expansion, origin, status, source_id."""
+    """What a search reads.
+
+    vectors: chunk_id, item_id, section_id, kind, status, embedding; tags: name,
+    section_id; vocabulary: id, term, expansion, origin, status, source_id;
+    suspects: item_id of files whose text is torn, which the fence of a search
+    by sections does not keep out, as their summaries tell little.
+    """
 
     items: DataFrame
     chunks: DataFrame
@@ -35,6 +41,7 @@ class Library:
     vectors: DataFrame | None = None
     tags: DataFrame | None = None
     vocabulary: DataFrame | None = None
+    suspects: DataFrame | None = None
 
 
 def expansions(vocabulary: DataFrame, terms: list[str], scope: DataFrame | None = None, rules: bool = True) -> DataFrame:
@@ -101,16 +108,25 @@ class Search:
 
     def keyword(self, limit: int, kinds: tuple[str, ...] = LEAF_KINDS, fence: DataFrame | None = None) -> DataFrame:
         rows = rt.keyword_scores(self.lib.index, self.question, self.c, kinds, self.extra, self.scope)
-        rows = rows if fence is None else rows.join(F.broadcast(fence), "section_id", "left_semi").select(*rows.columns)
+        rows = rows if fence is None else self.fenced(rows, fence)
         return local(rt.status_filter(rows, self.exclude).orderBy(F.desc("score"), "chunk_id").limit(limit))
 
+    def fenced(self, rows: DataFrame, fence: DataFrame) -> DataFrame:
+        """rows in the sections of the fence (ten), or of suspect items."""
+        inside = rows.join(F.broadcast(fence.select("section_id", F.lit(True).alias("_in"))), "section_id", "left")
+        kept = F.col("_in")
+        if self.lib.suspects is not None:
+            inside = inside.join(self.lib.suspects.select("item_id", F.lit(True).alias("_torn")).distinct(), "item_id", "left")
+            kept = F.coalesce("_in", "_torn")
+        return inside.where(kept).select(*rows.columns)
+
     def by_vector(self, limit: int, kinds: tuple[str, ...] = LEAF_KINDS, fence: DataFrame | None = None) -> DataFrame | None:
         """The vector leg, or None where there is no vector to ask with or nothing is near."""
         if self.vector is None or self.lib.vectors is None:
             return None
         rows = rt.status_filter(self.lib.vectors.where(F.col("kind").isin(*kinds)), self.exclude)
         rows = rows if self.scope is None else rows.join(self.scope.select("item_id").distinct(), "item_id", "left_semi")
-        rows = rows if fence is None else rows.join(F.broadcast(fence), "section_id", "left_semi")
+        rows = rows if fence is None else self.fenced(rows, fence)
         found = local(rt.vector_leg(rows, self.vector, limit, self.c.cosine_floor, key="chunk_id").drop("embedding"))
         return None if found.isEmpty() else found
 

@@ -123,3 +123,14 @@ def test_vectors_take_part(spark, engine):
     hits = se.search(lib, "zzz", F.lit(NOW).cast("timestamp"), engine.config, [1.0, 0.1], whole=False).collect()
     assert {h.item_id for h in hits} == {4} and all(h.cosine > 0.9 and not h.keyword for h in hits)
     assert se.search(lib, "zzz", F.lit(NOW).cast("timestamp"), engine.config, [-1.0, -1.0], whole=False).count() == 0
+
+
+def test_torn_files_are_found_past_the_fence(spark, engine):
+    lib = engine.library()
+    far = [(500 + k, 5, None, 50, "document", f"refund {k}" + " of much else" * k, None) for k in range(3)]
+    more = lib.chunks.unionByName(spark.createDataFrame(far, lib.chunks.schema))
+    items = lib.items.unionByName(spark.createDataFrame([(5, 1, "scan.pdf", "torn", None, "prose", False)], lib.items.schema))
+    index = KeywordIndex.build(more, f"{engine.with_index().index.postings.inputFiles()[0].rsplit('/', 2)[0].removeprefix('file:')}-torn", 2)
+    run = lambda suspects: se.Search(se.Library(items, more, lib.sections, index, suspects=suspects), "refund", F.lit(NOW).cast("timestamp"), engine.config, None, None, False).sections_first()
+    assert not {5} & {r.item_id for r in run(None).collect()}
+    assert {5} <= {r.item_id for r in run(spark.createDataFrame([(5,)], "item_id long")).collect()}
