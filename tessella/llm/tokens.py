@@ -67,19 +67,33 @@ class WordTokenizer:
         self.first, self.count, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32)
         self.used = 0
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of them per word); words stand in one text, a blank between, as the tokenizer parts them there alike."""
+        flat, counts = [], []
+        for a in range(0, len(words), 1024):
+            part = words[a : a + 1024]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            n = np.bincount(np.array([-1 if k is None else k for k in found.word_ids]) + 1, minlength=len(part) + 1)
+            if n[0] or len(n) != len(part) + 1:  # not parted as expected: word by word
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids, n = np.array([i for x in each for i in x], np.uint32), np.array([0, *map(len, each)])
+            flat.append(ids)
+            counts.append(n[1:])
+        return np.concatenate(flat), np.concatenate(counts)
+
     def _learn(self, words: list[str], hashes: list[int]) -> None:
-        parts = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        n, counts = len(self.known), [len(p) for p in parts]
-        while n + len(parts) > len(self.first):
+        ids, counts = self._encoded(words)
+        n, total = len(self.known), len(ids)
+        while n + len(counts) > len(self.first):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
-        total = sum(counts)
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.count[n : n + len(parts)] = counts
-        self.first[n : n + len(parts)] = self.used + np.cumsum(counts) - counts
-        self.flat[self.used : self.used + total] = [i for p in parts for i in p]
+        self.count[n : n + len(counts)] = counts
+        self.first[n : n + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.flat[self.used : self.used + total] = ids
         self.used += total
-        self.known.update(zip(hashes, range(n, n + len(parts)), strict=True))
+        self.known.update(zip(hashes, range(n, n + len(counts)), strict=True))
 
     def _starts(self, codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last + 1 position of every word."""
