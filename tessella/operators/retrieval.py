@@ -60,7 +60,7 @@ def keyword_leg(
 
 
 def keyword_scores(
-    chunks: DataFrame | KeywordIndex, question: str, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = (), scope: DataFrame | None = None
+    chunks: DataFrame | KeywordIndex, question: str, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = (), scope: DataFrame | None = None, stats: DataFrame | None = None
 ) -> DataFrame:
     """BM25 over an OR of quoted phrases; chunk_id, item_id, section_id, kind, status, score, terms (distinct query phrases met).
 
@@ -68,22 +68,18 @@ def keyword_scores(
     chunks without one, a scan makes the counts.  Document frequencies, corpus
     size and average length are those of chunks of every kind; the filters on
     kind and on items in scope come after.  A term with separators inside is a
-    phrase of its parts.  No terms or no chunks give no rows.
+    phrase of its parts.  No terms or no chunks give no rows.  stats: the row of
+    ``keyword_stats``, if several legs of one question share it.
     """
-    asked = [*fx.expanded(fx.query_terms(question)), *extra]
-    phrases = [p for p in dict.fromkeys(tuple(_split(t)) for t in asked) if p]
+    phrases = phrases_of(question, extra)
     indexed = isinstance(chunks, KeywordIndex)
     if not phrases:
         none = chunks.postings if indexed else chunks
         return none.limit(0).select("chunk_id", "item_id", "section_id", "kind", "status", F.lit(0.0).alias("score"), F.lit(0).alias("terms"))
     n = len(phrases)
-    df = [F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"_df{i}") for i in range(n)]
-    if indexed:
-        counted = chunks.counted(phrases)
-        stats = chunks.stats.select(F.col("n").alias("_n"), F.col("average").alias("_avg")).join(F.broadcast(counted.agg(*df)))  # one row each
-    else:
-        counted = _scanned(chunks, phrases)
-        stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *df)
+    counted = chunks.counted(phrases) if indexed else _scanned(chunks, phrases)
+    if stats is None:
+        stats = keyword_stats(chunks, question, extra) if indexed else counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *_frequencies(n))
     joined = counted.where(F.exists("_tf", lambda t: t > 0)).join(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:
@@ -98,6 +94,23 @@ def keyword_scores(
     return out if scope is None else out.join(scope.select("item_id").distinct(), "item_id", "left_semi").select(*out.columns)
 
 
+def phrases_of(question: str, extra: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """The distinct phrases that a question asks for, its synonyms and extra terms among them."""
+    asked = [*fx.expanded(fx.query_terms(question)), *extra]
+    return [p for p in dict.fromkeys(tuple(_split(t)) for t in asked) if p]
+
+
+def _frequencies(n: int) -> list[Column]:
+    return [F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"_df{i}") for i in range(n)]
+
+
+def keyword_stats(index: KeywordIndex, question: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row: chunks, average length, and how many chunks have each phrase of the question."""
+    phrases = phrases_of(question, extra)
+    met = index.counted(phrases).agg(*_frequencies(len(phrases)))
+    return index.stats.select(F.col("n").alias("_n"), F.col("average").alias("_avg")).join(F.broadcast(met))  # one row each
+
+
 def _scanned(chunks: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame:
     """chunk_id, its own columns, _len and _tf of every chunk, without an index."""
     # each step behind a generator: filters on its result are not pushed down and evaluated anew

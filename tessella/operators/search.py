@@ -105,9 +105,10 @@ class Search:
         if lib.vocabulary is not None:
             found = expansions(lib.vocabulary, fx.query_terms(question), scope).orderBy("rule", "id").collect()  # 64 pairs at most
             self.extra = tuple(r["word"] for r in found)
+        self.stats = local(rt.keyword_stats(lib.index, question, self.extra)) if rt.phrases_of(question, self.extra) else None  # all legs share it
 
     def keyword(self, limit: int, kinds: tuple[str, ...] = LEAF_KINDS, fence: DataFrame | None = None) -> DataFrame:
-        rows = rt.keyword_scores(self.lib.index, self.question, self.c, kinds, self.extra, self.scope)
+        rows = rt.keyword_scores(self.lib.index, self.question, self.c, kinds, self.extra, self.scope, self.stats)
         rows = rows if fence is None else self.fenced(rows, fence)
         return local(rt.status_filter(rows, self.exclude).orderBy(F.desc("score"), "chunk_id").limit(limit))
 
