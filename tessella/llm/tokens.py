@@ -3,7 +3,8 @@
 Words repeat, so a word is encoded once per worker and looked up afterwards:
 NumPy finds the words of a batch (as the tokenizer's pattern does), hashes them
 and gathers the ids of the known ones.  Texts with characters outside the plain
-range below go through the tokenizer itself.
+range below, or with the string of a special token, go through the tokenizer
+itself.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that stand for one id wherever a text holds them; such texts go through the tokenizer.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.batch_chars, self.words = batch_chars, words
         points = [chr(i) for i in range(0x2100)]
         self.kind = np.array([0 if c.isspace() else 1 if c.isalpha() else 2 if c.isnumeric() else 3 for c in points], np.uint8)
@@ -157,7 +159,7 @@ class WordTokenizer:
                 plain.clear()
 
         for k, text in enumerate(texts):
-            if _PLAIN.fullmatch(text):
+            if _PLAIN.fullmatch(text) and not any(x in text for x in self.special):
                 plain.append((k, text.lower()))
                 chars += len(text)
                 if chars >= self.batch_chars:

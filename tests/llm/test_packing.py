@@ -55,6 +55,13 @@ def test_word_ids_equal_the_tokenizers():
     assert [x.tolist() for x in words.ids(texts)] == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_strings_of_special_tokens_give_the_ids_of_the_plain_call():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "plain", "é→<|endoftext|>"]
+    assert [x.tolist() for x in WordTokenizer(PATH).ids(texts)] == [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pack_round_trip(spark):
     rows = [(1, "a b c " * 2000, "x"), (2, None, "x"), (3, "", None), (4, "word", "x"), (4, "word", "x"), (None, "other words", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
