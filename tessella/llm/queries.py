@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, forest, langid, mixing, neardup, packing, placement, quality, suffixes
+from . import chat, codes, exact_topk, forest, langid, mixing, neardup, packing, placement, quality, resampling, retrieval_packing, suffixes
 from .common import Scratch, table
 
 
@@ -72,6 +72,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark, codes.from_embeddings(table(spark, sf_dir, "embeddings")))
+
+
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), ["doc_id"], payload=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -83,9 +95,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_chat_format": op9_chat_format,
     "op10_mix_sources": op10_mix_sources,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_retrieval_packing": op13_retrieval_packing,
 }
 
+
+def _codes_twin(rounds: int = 6) -> str:
+    """Each round as two tables: the nearest entry of every part, and the entries after it."""
+    nearest = """n{k} AS MATERIALIZED (
+  SELECT rid, part, min(d * 16 + entry) % 16 AS entry, min(d * 16 + entry) // 16 AS d FROM (
+    SELECT p.rid, p.part, b.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda j: (p.x[j] - b.x[j]) * (p.x[j] - b.x[j])))::BIGINT AS d
+    FROM p JOIN b{k} b ON p.part = b.part) GROUP BY ALL)"""
+    moved = """b{n} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(mean ORDER BY j) AS x FROM (
+      SELECT part, entry, j, floor(sum(v)::DOUBLE / count(*))::BIGINT AS mean FROM (
+        SELECT n.part, n.entry, unnest(p.x) AS v, unnest(range(len(p.x))) AS j FROM n{k} n JOIN p ON n.rid = p.rid AND n.part = p.part) GROUP BY ALL)
+    GROUP BY ALL) m ON b.part = m.part AND b.entry = m.entry)"""
+    steps = ",\n".join(f"{nearest}" .format(k=k) + (",\n" + moved.format(k=k, n=k + 1) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, vec_id, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] AS x FROM e, (SELECT unnest(range(8)) AS part)),
+b0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY dense_rank() OVER (ORDER BY vec_id) <= 16),
+{steps},
+c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM n{rounds} GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN e USING (rid), h
+"""
+
 ORACLE: dict[str, str] = {
+    "op12_vector_codes": _codes_twin(),
     "op4_lookup_sharding": f"""
 WITH d AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {placement.SLOTS})::INTEGER AS slot FROM documents)
 SELECT doc_id, slot, printf('shard-%03d', ({placement.lookup_table()}::INTEGER[])[slot + 1]) AS shard FROM d
