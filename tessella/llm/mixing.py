@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment (DataFrame operations only).
 
-The mix is cut into blocks of equally many words.  Sources take the blocks one
-after another by the highest quotients ``weight / (2 k + 1)``; each source's
-blocks go to its shards by the same rule, so every shard has an integer quota.
+The mix is cut into blocks of equally many words.  A source that its repeats
+stop takes all its documents that often; the other sources take the blocks that
+are left one after another by the highest quotients ``weight / (2 k + 1)``, and
+each source's blocks go to its shards by the same rule, so every shard has an integer quota.
 Inside a shard the documents stand in a seeded order and the quota takes the
 first blocks of that stream.
 
@@ -105,8 +106,10 @@ def mix(
 ) -> DataFrame:
     """docs with size, source_size, target and taken (words of it that the mix takes, repeats counted).
 
-    docs needs doc_id and source; its other columns stay, those named like the
-    four new ones are replaced, and all names are free.  A null source is a
+    docs needs doc_id and source (and what size is made of, so no text if that
+    is a column); its other columns stay, those named like the four new ones are
+    replaced, and all names are free.  No document is taken more than repeats
+    times its size.  A null source is a
     source of its own, the last.  A target of r sizes takes every document
     floor(r) times, and the rest by quota: per (source, shard) whole blocks in
     the order of md5(seed, doc_id); equal ids stand in the order of their sizes.
@@ -133,7 +136,8 @@ def mix(
         targets(by_source, weights, repeats)
         .withColumn("_block", F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(one) / F.lit(blocks))).cast("long"))
         .withColumn("_full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("_share", F.col("target") / F.col("_block"))
+        # sources at their stop get exactly that; the others compete for the blocks that are left
+        .withColumn("_share", F.when(F.col("_full") >= repeats, 0.0).otherwise(F.col("target") / F.col("_block")))
         .withColumn("_seats", F.round(F.sum("_share").over(one)).cast("long"))
         .withColumn("_id", F.row_number().over(one.orderBy("_none", "_source")))
     )

@@ -162,25 +162,14 @@ t AS (SELECT s, n, source_size, weight,
 p AS (SELECT *, greatest(1, ceil(sum(source_size) OVER () / 134217728.0))::BIGINT AS block,
         (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END)::BIGINT AS whole,
         row_number() OVER (ORDER BY n, s) AS id FROM t),
-q AS (SELECT *, target / block AS share, round(sum(target / block) OVER ())::BIGINT AS seats, count(*) OVER () // 2 + 2 AS reach FROM p),
-c AS (SELECT *, greatest(0, floor(share) - reach)::BIGINT AS low, (floor(share) + reach)::BIGINT AS high FROM q),
-c2 AS (SELECT *, sum(low) OVER () AS sure FROM c),
-x AS (SELECT *, unnest(range(low, high + 1)) AS kk FROM c2),
-y AS (SELECT *, share / (2 * kk + 1) AS quotient, row_number() OVER (ORDER BY share / (2 * kk + 1) DESC, id) AS rk FROM x),
-won AS (SELECT s, n, source_size, target, whole, block,
-          any_value(low) + count(*) FILTER (rk <= seats - sure AND quotient > 0) AS blocks FROM y GROUP BY ALL),
-q2 AS (SELECT won.*, shard, words,
-         greatest(0, round(blocks - whole * source_size / block))::BIGINT AS seats FROM won JOIN by_shard USING (s, n)),
-c3 AS (SELECT *, CASE WHEN source_size > 0 THEN seats * words / source_size ELSE 0.0 END AS share,
-         count(*) OVER (PARTITION BY s, n) // 2 + 2 AS reach FROM q2),
-c4 AS (SELECT *, greatest(0, floor(share) - reach)::BIGINT AS low, (floor(share) + reach)::BIGINT AS high FROM c3),
-c5 AS (SELECT *, sum(low) OVER (PARTITION BY s, n) AS sure FROM c4),
-x2 AS (SELECT *, unnest(range(low, high + 1)) AS kk FROM c5),
-y2 AS (SELECT *, share / (2 * kk + 1) AS quotient,
-         row_number() OVER (PARTITION BY s, n ORDER BY share / (2 * kk + 1) DESC, shard) AS rk FROM x2),
-dealt AS (SELECT s, n, shard, source_size, target, whole,
-            (any_value(low) + count(*) FILTER (rk <= seats - sure AND quotient > 0)) * any_value(block) AS take
-          FROM y2 GROUP BY ALL),
+free AS (SELECT *, target / block AS share, count(*) OVER () AS others, round(sum(target / block) OVER ())::BIGINT AS seats FROM p WHERE whole < 3),
+bids AS (SELECT s, n, id, seats, share / (2 * unnest(range(0, ceil(share)::BIGINT + others)) + 1) AS quotient FROM free),
+wins AS (SELECT s, n, count(*) AS blocks FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, id) AS place FROM bids WHERE quotient > 0) WHERE place <= seats GROUP BY ALL),
+rest AS (SELECT free.s, free.n, by_shard.shard, greatest(0, round(coalesce(blocks, 0) - whole * source_size / block))::BIGINT AS seats, words, source_size, count(*) OVER (PARTITION BY free.s, free.n) AS others
+         FROM free LEFT JOIN wins USING (s, n) JOIN by_shard USING (s, n) WHERE source_size > 0),
+bids2 AS (SELECT s, n, shard, seats, seats * words / source_size / (2 * unnest(range(0, ceil(seats * words / source_size)::BIGINT + others)) + 1) AS quotient FROM rest),
+wins2 AS (SELECT s, n, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY s, n ORDER BY quotient DESC, shard) AS place FROM bids2 WHERE quotient > 0) WHERE place <= seats GROUP BY ALL),
+dealt AS (SELECT s, n, shard, source_size, target, whole, coalesce(quota, 0) * block AS take FROM p JOIN by_shard USING (s, n) LEFT JOIN wins2 USING (s, n, shard)),
 f AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY s, n, shard ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
 SELECT doc_id, size, source_size, target,
        (whole * size + greatest(0, least(size, take - before)))::BIGINT AS taken

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -81,3 +82,45 @@ def test_very_many_sources(spark):
     got = mixing.mix(docs, F.col("n"), shards=4)
     sums = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).agg(F.max(F.abs(F.col("taken") - F.col("target"))), F.count("*")).first()
     assert sums[0] <= 5 and sums[1] == 20_000
+
+
+STOPPED = [2136, 1677, 2292, 212, 820, 5033, 1, 9166, 6356, 2414, 4228, 1065]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_sources_at_their_stop_and_fractions_of_others(spark, seed):
+    rng = random.Random(seed)
+    sizes = STOPPED if seed == 0 else [rng.choice([0, 1, 7, rng.randint(1, 10_000)]) for _ in range(rng.randint(1, 14))]
+    rows = []
+    for k, total in enumerate(sizes):
+        while total > 0:
+            n = min(total, rng.choice([1, 50, 400]))
+            rows.append((len(rows), f"s{k:02d}", n))
+            total -= n
+    docs = spark.createDataFrame([*rows, (-1, "s00", 0)], "doc_id long, source string, n int")
+    got = mixing.mix(docs, F.col("n")).collect()
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+    taken, sized, wanted = defaultdict(int), defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        sized[r.source] += r.size
+        wanted[r.source] = r.target
+    for source in sized:
+        assert abs(taken[source] - wanted[source]) <= (0 if wanted[source] == 3 * sized[source] else 2)
+    assert abs(sum(taken.values()) - sum(sized.values())) <= 1
+
+
+def test_seats_of_a_thousand_random_tables(spark):
+    """All tables at once, a group each: the seats of the free sources stay within a seat of a share that does not round."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for table in range(1000):
+        shares = [rng.choice([0.0, rng.random(), rng.random() * 40]) for _ in range(rng.randint(1, 9))]
+        total = round(sum(shares))
+        want[table] = sainte_lague(shares, total) if sum(shares) else [0] * len(shares)
+        rows += [(table, i, s, total) for i, s in enumerate(shares)]
+    got = mixing.seats(spark.createDataFrame(rows, "g int, _id long, share double, total long"), ["g"], "share", "total", "won").orderBy("g", "_id").collect()
+    found = defaultdict(list)
+    for r in got:
+        found[r.g].append(r.won)
+    assert dict(found) == want
