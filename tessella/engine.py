@@ -116,7 +116,7 @@ class Engine:
     def node(self, section_id: int, most: int = 32_000) -> DataFrame:
         """body, total and truncated of one section's subtree."""
         own = self.sections.join(self.sections.where(F.col("section_id") == section_id).select("item_id"), "item_id", "left_semi")
-        ways = trees.ancestors(own).where(F.col("ancestor") == section_id)
+        ways = trees.Tree.of(own).below(section_id).withColumn("ancestor", F.lit(section_id))
         return trees.node_texts(ways, self.chunks, relations.clamp(most, 1, 1_000_000, 32_000))
 
     def node_links(self, section_id: int) -> DataFrame:

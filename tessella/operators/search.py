@@ -242,10 +242,11 @@ def returned(hits: DataFrame, lib: Library, most: int = 8000) -> DataFrame:
     ids = [r["item_id"] for r in hits.select("item_id").distinct().collect()]
     scratch = Scratch(hits.sparkSession, "page")
     chunks = scratch.write(lib.chunks.where(F.col("item_id").isin(ids)).select("chunk_id", "item_id", "section_id", "kind", "content"), "chunks")  # of the page's items
-    ways = trees.ancestors(lib.sections.where(F.col("item_id").isin(ids)))
+    tree = trees.Tree.of(lib.sections.where(F.col("item_id").isin(ids)))
+    ways = scratch.write(tree.ways(), "ways")
     leaves = chunks.where(F.col("kind").isin(*LEAF_KINDS))
     own = hits.drop("section_id").join(leaves.select("chunk_id", "section_id"), "chunk_id", "left")
-    parents = local(trees.parent_return(own, ways, trees.subtree_sizes(ways, chunks), most))
+    parents = local(trees.parent_return(own, ways.where(F.col("distance") < trees.WAY), trees.subtree_sizes(tree, chunks), most))
     placed = own.join(parents.select("chunk_id", "parent_section"), "chunk_id")
     by = Window.partitionBy("parent_section").orderBy("rank")
     first = placed.withColumn("_n", F.row_number().over(by)).where("_n = 1 OR parent_section IS NULL").drop("_n")

@@ -1,8 +1,18 @@
-"""The tree of sections: ways up, subtrees and what they hold, at any depth."""
+"""The tree of sections: ways up, subtrees and what they hold, at any depth.
+
+Everything rests on jumps: ``jumps[k]`` says where 2**k steps up lead from each
+section.  A jump joined with itself gives the next one, so a chain of d sections
+takes log2(d) rounds, and what a subtree holds is added up along the jumps, one
+row per section and round, without the pairs of sections and ancestors.
+
+Parents that run in a circle are found by jumps longer than any way could be.
+The sections of a ring are cut from each other, so that the rest is a forest;
+what one of them holds is what all of them hold together.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,38 +20,144 @@ from pyspark.sql import functions as F
 from ..model import LEAF_KINDS
 from ..storage import Scratch
 
-#: Sections on a way up, at most; it ends a way that runs into a cycle.
+#: Sections on a way up to a result's parent, at most.
 WAY = 64
 
 
-def ancestors(sections: DataFrame, most: int = WAY) -> DataFrame:
-    """section_id, ancestor and distance, itself at distance 0.
+def _doubled(scratch: Scratch, links: DataFrame, label: str, most: int) -> tuple[list[DataFrame], bool]:
+    """(jumps of links (_s, _p) by 1, 2, 4, ... steps, stored, until they pass most or end; whether they went on to most)."""
+    found, steps = [scratch.write(links, f"{label}-0")], 1
+    if found[0].isEmpty():
+        return [], False
+    while steps < most:
+        last = found[-1]
+        onward = last.select(F.col("_s").alias("_from"), F.col("_p").alias("_at")).join(last.withColumnRenamed("_p", "_to"), F.col("_at") == F.col("_s"))
+        longer = scratch.write(onward.select(F.col("_from").alias("_s"), F.col("_to").alias("_p")), f"{label}-{len(found)}")
+        if longer.isEmpty():
+            return found, False
+        found.append(longer)
+        steps *= 2
+    return found, True
+
+
+@dataclass(frozen=True)
+class Tree:
+    """nodes: section_id; jumps: (_s, _p) by 2**k steps over the forest; rings: section_id, ring (its smallest id), step (place on it), size, or None."""
+
+    scratch: Scratch
+    nodes: DataFrame
+    jumps: list[DataFrame]
+    rings: DataFrame | None
+
+    @staticmethod
+    def of(sections: DataFrame) -> Tree:
+        """From section_id, parent_id.  A parent that is no section, or the section itself, ends its way."""
+        scratch = Scratch(sections.sparkSession, "tree")
+        nodes = sections.select("section_id")
+        up = sections.where("parent_id IS NOT NULL AND parent_id <> section_id").select(F.col("section_id").alias("_s"), F.col("parent_id").alias("_p"))
+        links = scratch.write(up.join(nodes.select(F.col("section_id").alias("_p")), "_p", "left_semi").select("_s", "_p"), "links")
+        jumps, circular = _doubled(scratch, links, "jump", links.count() + 1)  # no way has more steps than there are links
+        if not circular:
+            return Tree(scratch, nodes, jumps, None)
+        on_ring = scratch.write(jumps[-1].select(F.col("_p").alias("section_id")).distinct(), "on-ring")
+        rings = _ring_places(scratch, on_ring, links)
+        cut = links.join(on_ring.withColumnRenamed("section_id", "_s"), "_s", "left_anti")
+        forest, _ = _doubled(scratch, cut, "cut", cut.count() + 1)
+        return Tree(scratch, nodes, forest, rings)
+
+    def ways(self) -> DataFrame:
+        """section_id, ancestor, distance of every section and all above it, itself at 0; on a ring each other section once."""
+        now = self.nodes.select("section_id", F.col("section_id").alias("ancestor"), F.lit(0).alias("distance"))
+        for k, jump in enumerate(self.jumps):
+            now = _lifted(now, jump, 1 << k)
+        if self.rings is None:
+            return now
+        here = self.rings.select(F.col("section_id").alias("ancestor"), "ring", "step", "size")
+        there = self.rings.select(F.col("section_id").alias("_to"), "ring", F.col("step").alias("_step"))
+        around = now.join(here, "ancestor").join(there, "ring").where("_to <> ancestor")
+        turn = F.pmod(F.col("_step") - F.col("step"), F.col("size")).cast("int")
+        return now.unionByName(around.select("section_id", F.col("_to").alias("ancestor"), (F.col("distance") + turn).alias("distance")))
+
+    def added_up(self, values: DataFrame, columns: list[str]) -> DataFrame:
+        """section_id and columns: sums of values (section_id, columns) over whole subtrees, for every section."""
+        zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns]
+        now = self.nodes.join(values, "section_id", "left").select("section_id", *zero)
+        for k, jump in enumerate(self.jumps):
+            both = F.array(F.struct("section_id", *columns), F.struct(F.col("_p").alias("section_id"), *columns))
+            told = now.join(jump, F.col("section_id") == F.col("_s"), "left").select(F.inline(both)).where("section_id IS NOT NULL")
+            now = told.groupBy("section_id").agg(*[F.sum(c).alias(c) for c in columns])
+            now = self.scratch.write(now, f"sums-{k}-{columns[0]}") if k % 4 == 3 else now
+        if self.rings is None:
+            return now
+        own = self.rings.select("section_id", "ring")
+        whole = now.join(own, "section_id").groupBy("ring").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+        placed = now.join(own.join(whole, "ring"), "section_id", "left")
+        return placed.select("section_id", *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in columns])
+
+    def below(self, section_id: int) -> DataFrame:
+        """section_id of one section's subtree, itself included: it doubles downwards from there."""
+        now = self.nodes.where(F.col("section_id") == section_id)
+        if self.rings is not None:
+            own = self.rings.where(F.col("section_id") == section_id).select("ring")
+            now = now.unionByName(self.rings.join(own, "ring").select("section_id")).distinct()
+        for k, jump in enumerate(self.jumps):
+            under = jump.join(now.withColumnRenamed("section_id", "_p"), "_p", "left_semi").select(F.col("_s").alias("section_id"))
+            now = self.scratch.write(now.unionByName(under), f"below-{k}-{section_id}")
+        return now
 
-    A round is one join that lifts every way by a level, stored; the rounds end
-    when no way goes on.  A parent that is no section ends its way.
+
+def _lifted(ways: DataFrame, jump: DataFrame, steps: int) -> DataFrame:
+    """ways and, where a jump goes on from their end, the same ways with that many steps more."""
+    longer = F.struct("section_id", F.col("_p").alias("ancestor"), (F.col("distance") + steps).alias("distance"))
+    both = F.array(F.struct("section_id", "ancestor", "distance"), longer)
+    return ways.join(jump, F.col("ancestor") == F.col("_s"), "left").select(F.inline(both)).where("ancestor IS NOT NULL")
+
+
+def _ring_places(scratch: Scratch, on_ring: DataFrame, links: DataFrame) -> DataFrame:
+    """section_id, ring (the smallest id on it), step (steps up from that one) and size of the sections on rings."""
+    step = scratch.write(links.join(on_ring.withColumnRenamed("section_id", "_s"), "_s", "left_semi"), "ring-links")
+    jumps, _ = _doubled(scratch, step, "ring", on_ring.count())
+    least = on_ring.select("section_id", F.col("section_id").alias("ring"))
+    for k, jump in enumerate(jumps):
+        over = jump.join(least.toDF("_p", "_ring"), "_p").select(F.col("_s").alias("section_id"), "_ring")
+        least = scratch.write(least.join(over, "section_id").select("section_id", F.least("ring", "_ring").alias("ring")), f"least-{k}")
+    # steps from a section up to the smallest one of its ring: the ring's link out of that one is cut
+    ended = step.join(least.where("section_id = ring").select(F.col("section_id").alias("_s")), "_s", "left_anti")
+    open_jumps, _ = _doubled(scratch, ended, "open", on_ring.count() + 1)
+    far = least.select("section_id", F.col("section_id").alias("ancestor"), F.lit(0).alias("distance"))
+    for k, jump in reversed(list(enumerate(open_jumps))):  # the furthest only: one row a section
+        on = far.join(jump, F.col("ancestor") == F.col("_s"), "left")
+        far = on.select("section_id", F.coalesce("_p", "ancestor").alias("ancestor"), (F.col("distance") + F.when(F.col("_p").isNull(), 0).otherwise(1 << k)).alias("distance"))
+    sizes = least.groupBy("ring").agg(F.count("*").alias("size"))
+    left = least.join(far, "section_id").join(sizes, "ring")
+    return scratch.write(left.select("section_id", "ring", F.pmod(-F.col("distance"), F.col("size")).alias("step"), "size"), "rings")
+
+
+def ancestors(sections: DataFrame, most: int | None = WAY) -> DataFrame:
+    """section_id, ancestor and distance, itself at distance 0; with most, ways of at most so many sections; None: whole ways.
+
+    A way that runs into a ring has each of its sections once.
     """
+    if most is None:
+        return Tree.of(sections).ways()
     scratch = Scratch(sections.sparkSession, "ways")
     known = sections.select("section_id", "parent_id")
     up = known.where("parent_id IS NOT NULL").join(known.select(F.col("section_id").alias("parent_id")), "parent_id", "left_semi")
-    up = scratch.write(up.select(F.col("section_id").alias("_s"), F.col("parent_id").alias("_p")), "up")
+    jumps, on = _doubled(scratch, up.select(F.col("section_id").alias("_s"), F.col("parent_id").alias("_p")), "up", -(-most // 2))
     now = known.select("section_id", F.col("section_id").alias("ancestor"), F.lit(0).alias("distance"))
-    rounds = [now]
-    for d in range(1, most):
-        lifted = now.join(up, F.col("ancestor") == F.col("_s")).where("_p <> section_id")
-        now = scratch.write(lifted.select("section_id", F.col("_p").alias("ancestor"), F.lit(d).alias("distance")), f"level-{d}")
-        if now.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-        rounds.append(now)
-    every = reduce(DataFrame.unionByName, rounds)  # some way runs into a cycle and meets its sections again
-    return every.groupBy("section_id", "ancestor").agg(F.min("distance").alias("distance"))
-
-
-def subtree_sizes(ways: DataFrame, chunks: DataFrame) -> DataFrame:
-    """section_id, chars, n_chunks of the leaves of whole subtrees: characters, and four more for every leaf but the first."""
+    for k, jump in enumerate(jumps):
+        now = _lifted(now, jump, 1 << k)
+    now = now.where(F.col("distance") < most)
+    return now.groupBy("section_id", "ancestor").agg(F.min("distance").alias("distance")) if on else now  # the way may be a ring
+
+
+def subtree_sizes(tree: Tree | DataFrame, chunks: DataFrame) -> DataFrame:
+    """section_id, chars, n_chunks of the leaves of whole subtrees, of any depth: characters, and four more for every leaf but the first."""
+    tree = tree if isinstance(tree, Tree) else Tree.of(tree)
     own = chunks.where(F.col("kind").isin(*LEAF_KINDS) & F.col("section_id").isNotNull())
-    own = own.groupBy("section_id").agg(F.sum(F.length("content")).alias("_chars"), F.count("*").alias("_n"))
-    total = ways.join(own, "section_id", "left").groupBy("ancestor").agg(F.coalesce(F.sum("_chars"), F.lit(0)).alias("_chars"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_chunks"))
-    return total.select(F.col("ancestor").alias("section_id"), (F.col("_chars") + 4 * F.greatest(F.lit(0), F.col("n_chunks") - 1)).alias("chars"), "n_chunks")
+    own = own.groupBy("section_id").agg(F.sum(F.length("content")).alias("_chars"), F.count("*").alias("n_chunks"))
+    total = tree.added_up(own, ["_chars", "n_chunks"])
+    return total.select("section_id", (F.col("_chars") + 4 * F.greatest(F.lit(0), F.col("n_chunks") - 1)).alias("chars"), "n_chunks")
 
 
 def parent_return(hits: DataFrame, ways: DataFrame, sizes: DataFrame, limit: int = 8000) -> DataFrame:
@@ -53,7 +169,7 @@ def parent_return(hits: DataFrame, ways: DataFrame, sizes: DataFrame, limit: int
 
 
 def node_texts(ways: DataFrame, chunks: DataFrame, most: int = 32_000) -> DataFrame:
-    """section_id, body, total, truncated: the leaves of a subtree in document order, a blank line between, cut at most characters.
+    """section_id, body, total, truncated for the ancestors of ways: the leaves of a subtree in document order, a blank line between, cut at most characters.
 
     Leaves past the cut are left out before their texts are brought together.
     """
@@ -62,7 +178,8 @@ def node_texts(ways: DataFrame, chunks: DataFrame, most: int = 32_000) -> DataFr
     before = Window.partitionBy("ancestor").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = under.withColumn("_before", F.coalesce(F.sum(F.col("_size") + 2).over(before), F.lit(0)))
     total = placed.groupBy("ancestor").agg((F.sum("_size") + 2 * (F.count("*") - 1)).alias("total"))
-    texts = placed.where(F.col("_before") < most).select("ancestor", "chunk_id").join(leaves.select("chunk_id", "content"), "chunk_id")
+    texts = placed.where(F.col("_before") < most + 2).select("ancestor", "chunk_id")  # the cut may fall into the blank line before a leaf
+    texts = texts.join(leaves.select("chunk_id", "content"), "chunk_id")
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "content"))), lambda x: x["content"]), "\n\n")
     joined = texts.groupBy("ancestor").agg(F.substring(body, 1, most).alias("body")).join(total, "ancestor")
     return joined.select(F.col("ancestor").alias("section_id"), "body", "total", (F.col("total") > most).alias("truncated"))

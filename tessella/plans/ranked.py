@@ -212,8 +212,36 @@ x AS (SELECT chunk_id, up.section_id, arg_min(node, step) FILTER (chars <= 8000)
 )
 def r29(spark, d):
     chunks, sections = m.chunks(spark, d), m.sections(spark, d)
-    ways = trees.ancestors(sections)
-    return trees.parent_return(rt.exact_leg(chunks, NEEDLE, 200), ways, trees.subtree_sizes(ways, chunks))
+    hits = rt.exact_leg(chunks, NEEDLE, 200)
+    own = sections.join(hits.select("section_id").distinct().join(sections.select("section_id", "item_id"), "section_id").select("item_id"), "item_id", "left_semi")  # sections of the hits' items
+    return trees.parent_return(hits, trees.ancestors(own), trees.subtree_sizes(own, chunks))
+
+
+#: Documents as the leaves of one chain of sections per 150, deeper than any way up to a result's parent may be.
+_CHAIN = "chain AS (SELECT doc_id AS section_id, CASE WHEN doc_id % 150 > 0 THEN doc_id - 1 END AS parent_id, doc_id AS chunk_id, coalesce(text, '') AS content FROM documents)"
+
+
+def _chain(spark, d):
+    n = F.col("doc_id")
+    return m.table(spark, d, "documents").select(n.alias("section_id"), F.when(n % 150 > 0, n - 1).alias("parent_id"), n.alias("chunk_id"), F.lit("document").alias("kind"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+@query("r29_deep_parent_return", f"""WITH RECURSIVE {_CHAIN}, down(root, node) AS (SELECT section_id, section_id FROM chain UNION ALL SELECT root, s.section_id FROM down JOIN chain s ON s.parent_id = node),
+sz AS (SELECT root, (sum(length(content)) + 4 * (count(*) - 1))::BIGINT AS chars FROM down JOIN chain ON section_id = node GROUP BY 1),
+up(chunk_id, section_id, node, step) AS (SELECT chunk_id, section_id, section_id, 0 FROM chain UNION ALL SELECT up.chunk_id, up.section_id, s.parent_id, step + 1 FROM up JOIN chain s ON s.section_id = node WHERE s.parent_id IS NOT NULL AND step < 63)
+SELECT chunk_id, up.section_id, arg_min(node, step) FILTER (chars <= 8000) AS parent_section, arg_min(chars, step) FILTER (chars <= 8000) AS chars FROM up JOIN sz ON root = node GROUP BY chunk_id, up.section_id""")
+def r29_deep(spark, d):
+    chain = _chain(spark, d)
+    return trees.parent_return(chain, trees.ancestors(chain), trees.subtree_sizes(chain, chain))
+
+
+@query("r44_deep_node_text", f"""WITH RECURSIVE {_CHAIN}, down(root, node) AS (SELECT section_id, section_id FROM chain UNION ALL SELECT root, s.section_id FROM down JOIN chain s ON s.parent_id = node),
+t AS (SELECT root, string_agg(content, chr(10) || chr(10) ORDER BY chunk_id) AS body FROM down JOIN chain c ON c.section_id = node GROUP BY 1)
+SELECT root AS section_id, length(body) AS total, length(body) > 32000 AS truncated, md5(substr(body, 1, 32000)) AS digest FROM t""")
+def r44_deep(spark, d):
+    chain = _chain(spark, d)
+    texts = trees.node_texts(trees.ancestors(chain, None), chain)
+    return texts.select("section_id", "total", "truncated", F.md5("body").alias("digest"))
 
 
 @query(

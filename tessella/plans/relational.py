@@ -245,7 +245,7 @@ x AS (SELECT root AS section_id, (coalesce(sum(length(content)), 0) + 4 * greate
   FROM down LEFT JOIN chunks c ON c.section_id = node GROUP BY 1) SELECT * FROM x""",
 )
 def j14(spark, d):
-    return trees.subtree_sizes(trees.ancestors(m.sections(spark, d)), m.chunks(spark, d))
+    return trees.subtree_sizes(m.sections(spark, d), m.chunks(spark, d))
 
 
 @query(
@@ -277,7 +277,31 @@ def j15_deep(spark, d):
 SELECT root AS section_id, (sum(chars) + 4 * (count(*) - 1))::BIGINT AS chars, count(*) AS n_chunks FROM down JOIN deep ON section_id = node GROUP BY 1""")
 def j14_deep(spark, d):
     deep = _deep(spark, d)
-    return trees.subtree_sizes(trees.ancestors(deep), deep)
+    return trees.subtree_sizes(deep, deep)
+
+
+#: Customers as the sections of one chain, as deep as there are customers.
+_WHOLE = "whole AS (SELECT c_custkey AS section_id, CASE WHEN c_custkey > (SELECT min(c_custkey) FROM customer) THEN c_custkey - 1 END AS parent_id, c_nationkey AS weight FROM customer)"
+
+
+@query("j14_chain_subtree", f"""WITH {_WHOLE} SELECT section_id, (sum(10 + weight) OVER later + 4 * (count(*) OVER later - 1))::BIGINT AS chars, count(*) OVER later AS n_chunks
+FROM whole WINDOW later AS (ORDER BY section_id DESC ROWS UNBOUNDED PRECEDING)""")
+def j14_chain(spark, d):
+    c = m.table(spark, d, "customer")
+    first = c.agg(F.min("c_custkey")).first()[0]
+    n = F.col("c_custkey")
+    rows = c.select(n.alias("section_id"), F.when(n > first, n - 1).alias("parent_id"), F.lit("document").alias("kind"), F.repeat(F.lit("x"), (10 + F.col("c_nationkey")).cast("int")).alias("content"))
+    return trees.subtree_sizes(rows, rows)
+
+
+@query("j14_ring_subtree", """SELECT doc_id AS section_id, (CASE WHEN doc_id % 50 < 5 THEN sum(length(coalesce(text, ''))) OVER g + 4 * (count(*) OVER g - 1) ELSE length(coalesce(text, '')) END)::BIGINT AS chars,
+  CASE WHEN doc_id % 50 < 5 THEN count(*) OVER g ELSE 1 END AS n_chunks FROM documents WINDOW g AS (PARTITION BY doc_id // 50)""")
+def j14_ring(spark, d):
+    """Rings of five documents, from which the other 45 of fifty hang."""
+    n = F.col("doc_id")
+    parent = F.when(n % 50 < 5, n - n % 50 + (n % 50 + 1) % 5).otherwise(n - n % 50 + n % 5)
+    rows = m.table(spark, d, "documents").select(n.alias("section_id"), parent.alias("parent_id"), F.lit("document").alias("kind"), F.coalesce("text", F.lit("")).alias("content"))
+    return trees.subtree_sizes(rows, rows)
 
 
 @query(
@@ -623,7 +647,7 @@ t AS (SELECT root, string_agg(content, chr(10) || chr(10) ORDER BY chunk_id) AS
 x AS (SELECT root AS section_id, length(body) AS total, length(body) > 32000 AS truncated, md5(substr(body, 1, 32000)) AS digest FROM t) SELECT * FROM x""",
 )
 def r44(spark, d):
-    texts = trees.node_texts(trees.ancestors(m.sections(spark, d)), m.chunks(spark, d))
+    texts = trees.node_texts(trees.ancestors(m.sections(spark, d), None), m.chunks(spark, d))
     return texts.select("section_id", "total", "truncated", F.md5("body").alias("digest"))
 
 

@@ -21,13 +21,47 @@ def test_ways_up_deep_trees_cycles_and_orphans(spark):
     assert got[20] == {20: 0, 21: 1} and got[22] == {22: 0, 20: 1, 21: 2} and got[30] == {30: 0} and got[40] == {40: 0}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_whole_trees_of_any_depth_with_rings(spark, seed):
+    rng = random.Random(seed)
+    n = [1, 30, 100, 400, 60, 200][seed]
+    parents = {i: rng.choice([None, i, 10_000, i - 1, i - 1, i - 1, i - 1, rng.randrange(n)]) if seed % 2 else i - 1 for i in range(n)}
+    parents[0] = n // 2 if seed > 2 else None  # a long ring
+    got, sections = {}, spark.createDataFrame(list(parents.items()), "section_id long, parent_id long")
+    for r in trees.ancestors(sections, None).collect():
+        assert r.ancestor not in got.setdefault(r.section_id, {})
+        got[r.section_id][r.ancestor] = r.distance
+    for i in parents:
+        way, at = {}, i
+        while at is not None and at in parents and at not in way:
+            way[at] = len(way)
+            at = parents[at]
+        assert got[i] == way
+    chunks = spark.createDataFrame([(i, i % 3, "x" * (i % 7)) for i in range(n)], "section_id long, n int, content string")
+    chunks = chunks.withColumn("kind", F.when(F.col("n") == 0, "section_summary").otherwise("document"))
+    tree = trees.Tree.of(sections)
+    sizes = {r.section_id: (r.chars, r.n_chunks) for r in trees.subtree_sizes(tree, chunks).collect()}
+    for i in parents:
+        own = [j % 7 for j in parents if i in got[j] and j % 3]
+        assert sizes[i] == (sum(own) + 4 * max(0, len(own) - 1), len(own))
+    for i in (0, n // 2, n - 1):
+        assert sorted(r.section_id for r in tree.below(i).collect()) == [j for j in parents if i in got[j]]
+
+
+def test_a_chain_of_five_thousand(spark):
+    sections = spark.range(5000).selectExpr("id AS section_id", "nullif(id - 1, -1) AS parent_id")
+    chunks = spark.range(5000).selectExpr("id AS section_id", "'document' AS kind", "'abc' AS content")
+    sizes = {r.section_id: r.n_chunks for r in trees.subtree_sizes(sections, chunks).collect()}
+    assert sizes == {i: 5000 - i for i in range(5000)}
+
+
 def test_subtrees_and_the_nearest_section_that_fits(spark):
     sections = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1)], "section_id long, parent_id long")
     texts = {10: (1, "a" * 50), 11: (2, "b" * 10), 12: (3, "c" * 100), 13: (3, "d" * 5), 14: (4, "e")}
     rows = [(c, 1, s, "document", t) for c, (s, t) in texts.items()] + [(15, 1, 4, "section_summary", "no leaf" * 99)]
     chunks = spark.createDataFrame(rows, "chunk_id long, item_id long, section_id long, kind string, content string")
     ways = trees.ancestors(sections)
-    sizes = trees.subtree_sizes(ways, chunks)
+    sizes = trees.subtree_sizes(sections, chunks)
     assert {r.section_id: (r.chars, r.n_chunks) for r in sizes.collect()} == {1: (166 + 16, 5), 2: (115 + 8, 3), 3: (109, 2), 4: (1, 1)}
     hits = spark.createDataFrame([(12, 3), (14, 4), (16, None)], "chunk_id long, section_id long")
     near = lambda limit: {r.chunk_id: r.parent_section for r in trees.parent_return(hits, ways, sizes, limit).collect()}
