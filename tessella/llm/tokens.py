@@ -2,7 +2,7 @@
 
 Words repeat, so a word is encoded once per worker and looked up afterwards:
 NumPy finds the words of a batch (as the tokenizer's pattern does), hashes them
-and gathers the ids of the known ones.  Texts with characters outside the plain
+and gathers the ids of the known ones through a hash table of arrays.  Texts with characters outside the plain
 range below, or with the string of a special token, go through the tokenizer
 itself.
 """
@@ -24,11 +24,17 @@ _CONTRACTED = {ord("s"): 1, ord("t"): 1, ord("m"): 1, ord("d"): 1}
 _CONTRACTED_2 = {(ord("r"), ord("e")), (ord("v"), ord("e")), (ord("l"), ord("l"))}
 
 
+_POWERS: tuple[np.ndarray, np.ndarray] | None = None
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i under n."""
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[:1] = down[:1] = 1
-    return np.cumprod(up), np.cumprod(down)
+    """B**i and B**-i modulo 2**64 for i under n (kept for the next batch)."""
+    global _POWERS
+    if _POWERS is None or len(_POWERS[0]) < n:
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+        up[:1] = down[:1] = 1
+        _POWERS = np.cumprod(up), np.cumprod(down)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -37,6 +43,53 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class HashTable:
+    """64-bit keys (not 0) to their numbers 0, 1, ...: open addressing in two arrays, all keys of a call at once."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.n = bits, 0
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
+        out, mask = np.full(len(keys), -1, np.int64), np.uint64((1 << self.bits) - 1)
+        slot = keys & mask
+        there = self.keys[slot]
+        hit = there == keys
+        out[hit] = self.rows[slot[hit]]
+        left = np.flatnonzero(~hit & (there != 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + np.uint64(1)) & mask
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.rows[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], slot[on]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number unknown, distinct keys in their order."""
+        if 2 * (self.n + len(keys)) > 1 << self.bits:
+            old = np.flatnonzero(self.keys)
+            held, rows = self.keys[old], self.rows[old]
+            self.bits = max(self.bits + 1, (4 * (self.n + len(keys))).bit_length() - 1)
+            self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(held, rows)
+        self._put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def _put(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        mask = np.uint64((1 << self.bits) - 1)
+        slot = keys & mask
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]  # of several keys for a slot one stays
+            won = free & (self.keys[slot] == keys)
+            self.rows[slot[won]] = rows[won]
+            keys, rows, slot = keys[~won], rows[~won], (slot[~won] + np.uint64(1)) & mask
+
+
 _HELD: dict[str, "WordTokenizer"] = {}
 
 
@@ -50,10 +103,10 @@ def word_tokenizer(path: str) -> "WordTokenizer":
 class WordTokenizer:
     """ids(texts) for a vocabulary that lower-cases, drops white space and merges within words.
 
-    Memory is bounded: batch_chars characters at a time, at most words known words.
+    Memory is bounded: batch_chars characters at a time, and about so many known words.
     """
 
-    def __init__(self, path: str, batch_chars: int = 1 << 19, words: int = 300_000):
+    def __init__(self, path: str, batch_chars: int = 1 << 19, words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,8 +118,8 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first, self.count, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32)
+        self.known = HashTable()
+        self.first, self.count, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(8192, np.uint32)
         self.used = 0
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +137,9 @@ class WordTokenizer:
             counts.append(n[1:])
         return np.concatenate(flat), np.concatenate(counts)
 
-    def _learn(self, words: list[str], hashes: list[int]) -> None:
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
         ids, counts = self._encoded(words)
-        n, total = len(self.known), len(ids)
+        n, total = self.known.n, len(ids)
         while n + len(counts) > len(self.first):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
         while self.used + total > len(self.flat):
@@ -95,7 +148,7 @@ class WordTokenizer:
         self.first[n : n + len(counts)] = self.used + np.cumsum(counts) - counts
         self.flat[self.used : self.used + total] = ids
         self.used += total
-        self.known.update(zip(hashes, range(n, n + len(counts)), strict=True))
+        self.known.add(hashes)
 
     def _starts(self, codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last + 1 position of every word."""
@@ -129,17 +182,19 @@ class WordTokenizer:
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * down[:-1], out=sums[1:])
         hashes = mixed((sums[stops] - sums[at]) * up[at]) ^ (stops - at).astype(np.uint64)
-        unique, index, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > max(self.words, len(unique)):
-            self._forget()
-        listed = unique.tolist()
-        known = self.known
-        missing = [k for k, h in enumerate(listed) if h not in known]
-        if missing:
-            a, b = at[index].tolist(), stops[index].tolist()
-            self._learn([joined[a[k] : b[k]] for k in missing], [listed[k] for k in missing])
-        row = np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))[back]
-        count = self.count[row]
+        hashes[hashes == 0] = 1
+        row = self.known.find(hashes)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            unique, index = np.unique(hashes[new], return_index=True)
+            if self.known.n + len(unique) > self.words:
+                self._forget()
+                row, new = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+                unique, index = np.unique(hashes, return_index=True)
+            a, b = at[new[index]].tolist(), stops[new[index]].tolist()
+            self._learn([joined[i:j] for i, j in zip(a, b, strict=True)], unique)
+            row[new] = self.known.find(hashes[new])
+        count = self.count[row].astype(np.int64)
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.first[row] - (ends - count), count) + np.arange(total)]
