@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..model import LEAF_KINDS, SUMMARY_KINDS
+from .cells import VectorIndex
 from .index import KeywordIndex
 
 
@@ -131,18 +132,22 @@ def _split(term: str) -> list[str]:
     return regex.findall(r"[\p{L}\p{N}]+", term.lower().translate(table))
 
 
-def vector_leg(vectors: DataFrame, query: list[float], limit: int, floor: float = 0.2, key: str = "vec_id", family_of: str | None = None) -> DataFrame:
+def vector_leg(vectors: DataFrame | VectorIndex, query: list[float], limit: int, floor: float = 0.2, key: str = "vec_id", family_of: str | None = None) -> DataFrame:
     """vectors with score: cosine above the floor, best first; of the query's width, and of a family if one is given.
 
-    A stored norm is used where vectors have one (``with_norms``); the query's is a literal, so a row costs one product.
+    Over an index only the cells that can hold the best are read.  Without one
+    all are scanned: a stored norm is used where vectors have one
+    (``with_norms``); the query's is a literal, so a row costs one product.
     """
+    if isinstance(vectors, VectorIndex):
+        return vectors.near(query, limit, floor, key, None if family_of is None else lambda rows: rows.where(family(F.col("fp")) == family_of))
     q = F.array(*[F.lit(float(x)) for x in query])
     size = sum(x * x for x in query) ** 0.5
     own = vectors if family_of is None else vectors.where(family(F.col("fp")) == family_of)
     norm = F.col("norm") if "norm" in vectors.columns else fx.norm(F.col("embedding"))
     fits = (F.size("embedding") == len(query)) & (norm > 0) & F.lit(size > 0)
     score = F.when(fits, fx.dot(F.col("embedding"), q) / (norm * size)).otherwise(0.0)
-    scored = own.withColumn("score", F.round(score, 6))
+    scored = own.withColumn("score", F.round(F.nanvl(score, F.lit(0.0)), 6))  # what is no number is no match
     return scored.where(F.col("score") > floor).orderBy(F.desc("score"), key).limit(limit)
 
 

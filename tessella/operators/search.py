@@ -18,6 +18,7 @@ from ..storage import Scratch, local
 from . import library as lb
 from . import retrieval as rt
 from . import trees
+from .cells import VectorIndex
 from .index import KeywordIndex
 
 #: Vocabulary pairs that a question looks at.
@@ -28,7 +29,7 @@ PAIRS = 64
 class Library:
     """What a search reads.
 
-    vectors: chunk_id, item_id, section_id, kind, status, embedding; tags: name,
+    vectors: chunk_id, item_id, section_id, kind, status, embedding, or an index of them; tags: name,
     section_id; vocabulary: id, term, expansion, origin, status, source_id;
     suspects: item_id of files whose text is torn, which the fence of a search
     by sections does not keep out, as their summaries tell little.
@@ -38,7 +39,7 @@ class Library:
     chunks: DataFrame
     sections: DataFrame
     index: KeywordIndex
-    vectors: DataFrame | None = None
+    vectors: DataFrame | VectorIndex | None = None
     tags: DataFrame | None = None
     vocabulary: DataFrame | None = None
     suspects: DataFrame | None = None
@@ -125,10 +126,16 @@ class Search:
         """The vector leg, or None where there is no vector to ask with or nothing is near."""
         if self.vector is None or self.lib.vectors is None:
             return None
-        rows = rt.status_filter(self.lib.vectors.where(F.col("kind").isin(*kinds)), self.exclude)
-        rows = rows if self.scope is None else rows.join(self.scope.select("item_id").distinct(), "item_id", "left_semi")
-        rows = rows if fence is None else self.fenced(rows, fence)
-        found = local(rt.vector_leg(rows, self.vector, limit, self.c.cosine_floor, key="chunk_id").drop("embedding"))
+
+        def narrow(rows: DataFrame) -> DataFrame:
+            rows = rt.status_filter(rows.where(F.col("kind").isin(*kinds)), self.exclude)
+            rows = rows if self.scope is None else rows.join(self.scope.select("item_id").distinct(), "item_id", "left_semi").select(*rows.columns)
+            return rows if fence is None else self.fenced(rows, fence)
+
+        if isinstance(self.lib.vectors, VectorIndex):
+            found = self.lib.vectors.near(self.vector, limit, self.c.cosine_floor, narrow=narrow)
+        else:
+            found = local(rt.vector_leg(narrow(self.lib.vectors), self.vector, limit, self.c.cosine_floor, key="chunk_id").drop("embedding"))
         return None if found.isEmpty() else found
 
     def sections_first(self) -> DataFrame | None:

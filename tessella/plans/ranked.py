@@ -11,6 +11,7 @@ from ..operators import relations as r
 from ..operators import retrieval as rt
 from ..operators import search as se
 from ..operators import trees
+from ..operators.cells import VectorIndex
 from ..operators.index import KeywordIndex
 from ..storage import Scratch
 from .relational import _ENV_SQL, _TIER_SQL, LEAF, Query
@@ -95,6 +96,34 @@ def r10(spark, d):
     return rt.vector_leg(e.where("label <> 3"), asked, 100).select("vec_id", "score")
 
 
+_CELLS: dict[tuple[str, str], VectorIndex] = {}
+
+
+def cells_of(spark, d: str) -> VectorIndex:
+    """The vector index of the embeddings of a folder, built once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CELLS:
+        vectors = m.table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.concat(F.lit("model"), F.col("label").cast("string"), F.lit(":64")).alias("fp"))
+        _CELLS[key] = VectorIndex.build(vectors, f"{Scratch(spark, 'index').root}/cells", key="vec_id")
+    return _CELLS[key]
+
+
+def _asked(spark, d, vec_id: int) -> list[float]:
+    return m.table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]  # the query vector, one row
+
+
+@query("r11_indexed_vector_leg", """WITH s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings WHERE label <> 3)
+SELECT vec_id, label, score FROM s WHERE score > 0.2 ORDER BY score DESC, vec_id LIMIT 100""")
+def r11(spark, d):
+    return cells_of(spark, d).near(_asked(spark, d, 0), 100, key="vec_id", narrow=lambda rows: rows.where("label <> 3")).select("vec_id", "label", "score")
+
+
+@query("r11_indexed_family", """WITH s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 7)::DOUBLE[]), 6) AS score FROM embeddings WHERE label = 2)
+SELECT vec_id, score FROM s WHERE score > 0.2 ORDER BY score DESC, vec_id LIMIT 10""")
+def r11_family(spark, d):
+    return rt.vector_leg(cells_of(spark, d), _asked(spark, d, 7), 10, family_of="model2").select("vec_id", "score")
+
+
 @query(
     "f5_vector_family",
     """SELECT vec_id, 'model' || label || ':64' AS fp FROM embeddings WHERE label IN (1, 2)""",
