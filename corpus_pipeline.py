@@ -14,12 +14,23 @@ from tessella.llm.common import WORD, Scratch, table
 from tessella.llm.queries import WORD_VOCABULARY, vocabulary
 
 
+def _carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct, so that what a stage makes cannot replace a column of theirs."""
+    others = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(F.lit(None).cast("int").alias("_"), *others).alias("_carried"))
+
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows of a stage with the columns of docs."""
+    return rows.select(*[F.col(c) if c in rows.columns and c not in rows.schema["_carried"].dataType.fieldNames() else F.col("_carried")[c].alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language identification rejects: no text (null or empty), no letter, or no language likely enough.
 
-    Whole texts count, however long; repeated rows are judged alike; all columns stay as they are.
+    Whole texts count, however long; repeated rows are judged alike; all columns stay as they are, whatever their names.
     """
-    return langid.predict(spark, docs, langid.train(docs)).where("NOT rejected").select(*docs.columns)
+    return _restored(langid.predict(spark, _carried(docs, "text"), langid.train(docs.select("text", "lang"))).where("NOT rejected"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,25 +44,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every passage of 200 bytes or more that occurs again; documents of which nothing is left go.
 
-    Null and empty texts stay, as empty ones; a text of any length is read whole; repeated rows lose what they share.
+    Null and empty texts stay, as empty ones; a text of any length is read whole; repeated rows lose what they share.  Columns but
+    text and n_chars stay as they are.
     """
-    done = suffixes.remove_repeats(spark, docs)
+    done = suffixes.remove_repeats(spark, _carried(docs, "text", "n_chars"))
     done = done.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
-    return done.where("n_removed < n_bytes OR n_bytes = 0").select(*docs.columns)
+    return _restored(done.where("n_removed < n_bytes OR n_bytes = 0"), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; one that is taken in part is cut after so many words (with single blanks).
 
-    A null source is the last one; documents without words (null and empty texts) are not taken; repeated rows count each.
+    A null source is the last one; documents without words (null and empty texts) are not taken; repeated rows count each.  Columns
+    but text and n_chars stay as they are.
     """
-    mixed = mixing.mix(docs, mixing.word_count(F.col("text"))).where("taken > 0")
+    mixed = mixing.mix(_carried(docs, "doc_id", "source", "text", "n_chars"), mixing.word_count(F.col("text"))).where("taken > 0")
     turns = mixed.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("_turn") - 1) * F.col("size"))
     blank = WORD.replace("^", "")
     cut = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{blank}", ""), blank), F.lit(1), words.cast("int")), " ")
     text = F.when(words < F.col("size"), cut).otherwise(F.col("text"))
-    return turns.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return _restored(turns.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,14 +88,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents; every stage but the last is a stored table for the next.
 
     An empty table gives no rows.  Columns of documents beyond doc_id, text,
-    lang, source and n_chars stay up to the last stage.
+    lang, source and n_chars stay up to the last stage, whatever their names
+    (but for _carried).
     """
     scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        mine = len(Scratch.made)
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-        Scratch.drop_since(mine)  # the stage's own tables, and the one that it read
+        with Scratch.passing():  # the stage's own tables go once its result is stored
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
         if before:
-            scratch.drop(before)
+            scratch.drop(before)  # the one that it read
         before = name
     return STAGES[-1][1](spark, docs, sf_dir)

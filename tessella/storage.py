@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: The folders that the calls inside of ``Scratch.passing`` have made, in this thread.
+_PASSING: ContextVar[list[Scratch] | None] = ContextVar("passing", default=None)
+
+
 class Scratch:
     """Tables of intermediate results as Parquet in the shared folder.
 
     A written table cuts the lineage and survives lost executors.  ``drop``
-    deletes one that no later step reads; the rest goes with ``drop_since``, or
-    when the driver ends.
+    deletes one that no later step reads; the rest goes at the end of
+    ``passing``, or when the driver ends.
     """
 
     made: list[Scratch] = []
@@ -39,6 +46,8 @@ class Scratch:
         self.spark, self.tables = spark, []
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         Scratch.made.append(self)
+        if (mine := _PASSING.get()) is not None:
+            mine.append(self)
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
@@ -71,13 +80,26 @@ class Scratch:
             pass
 
     @staticmethod
-    def drop_since(count: int) -> None:
-        """Drop all but the first count of the folders made so far: no one reads their tables any more."""
-        while len(Scratch.made) > count:
+    @contextmanager
+    def passing() -> Iterator[None]:
+        """What is made inside, by this thread, is dropped at the end: no one reads it any more.  Other threads' tables stay."""
+        mine: list[Scratch] = []
+        before = _PASSING.set(mine)
+        try:
+            yield
+        finally:
+            _PASSING.reset(before)
+            for scratch in mine:
+                scratch.drop_all()
+                Scratch.made.remove(scratch)
+
+    @staticmethod
+    def drop_rest() -> None:
+        while Scratch.made:
             Scratch.made.pop().drop_all()
 
 
-atexit.register(Scratch.drop_since, 0)
+atexit.register(Scratch.drop_rest)
 
 
 def local(df: DataFrame) -> DataFrame:
