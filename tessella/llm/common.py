@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,21 @@ BROADCAST_BYTES = 48 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is written inside: texts of thousands of rows at once would fill a worker twice over.
+
+    The session's setting comes back at the end.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that no one holds any more."""
     gc.collect()

@@ -232,17 +232,17 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "tex
     """
     held = spark.sparkContext.broadcast(model)  # buckets x languages numbers
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    base = docs.select(F.struct(F.lit(None).cast("int").alias("_"), *[F.col(c) for c in kept]).alias("doc"), F.col(text).alias("text"))
-    out = T.StructType([base.schema["doc"], *T.StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])
+    base = docs.select(F.struct(F.lit(None).cast("int").alias("_"), *[F.col(c) for c in kept if c != text]).alias("doc"), F.col(text).alias("text"))  # texts pass once
+    out = T.StructType([*base.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
                 names, score, rejected = held.value.predict([x or "" for x in b.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=out.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=out.names)
 
-    return base.mapInArrow(run, out).select(*[F.col("doc")[c].alias(c) for c in kept], "lang_pred", "score", "rejected")
+    return base.mapInArrow(run, out).select(*[F.col("text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in kept], "lang_pred", "score", "rejected")
 
 
 def held_out(doc_id: Column) -> Column:

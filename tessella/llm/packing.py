@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small_side
+from .common import Scratch, small_batches, small_side
 
 CAPACITY = 2048
 #: Bytes of token ids that leave a Python worker at a time, about.
@@ -193,5 +193,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: list[str],
     keep = [c for c in keep if c not in MADE]
     scratch = Scratch(spark, "pack")
     cut = pieces(docs, tokenizer, keep, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    placed = place(scratch, scratch.write(cut if payload else cut.drop("ids"), "pieces"), capacity)
+    with small_batches(spark):
+        stored = scratch.write(cut if payload else cut.drop("ids"), "pieces")
+    placed = place(scratch, stored, capacity)
     return placed.select(*[F.col("kept")[c].alias(c) for c in keep], "piece", "start", "length", *(["ids"] if payload else []), "ids_crc32", "sequence_id", "offset")

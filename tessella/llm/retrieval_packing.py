@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, partitions_for
+from .common import Scratch, partitions_for, small_batches
 
 #: The columns that packing makes; columns of the documents with these names are left out.
 MADE = ("start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -272,7 +272,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: list[str],
     keep = [c for c in keep if c not in MADE]
     scratch = Scratch(spark, "related")
     numbered = tokenised(docs, tokenizer, keep, text, s).withColumn("rid", F.monotonically_increasing_id())
-    stored = scratch.write(numbered, "ids")
+    with small_batches(spark):
+        stored = scratch.write(numbered, "ids")
     weights = Weights.counted(stored, s)
     tokens = stored.agg(F.sum("n")).first()[0] or 0
     order = [*[f"key_{k}" for k in range(s.keys)], "rid"]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tessella.llm import mixing
+from tessella.storage import Scratch
 
 pytest.importorskip("public_tokenizers")
 
@@ -70,3 +71,29 @@ def test_stages(spark, docs, tmp_path):
 def test_run_on_an_empty_table(spark, docs, tmp_path):
     docs[0].limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_named_like_what_the_stages_make_stay(spark, docs, tmp_path):
+    rows, _ = docs
+    names = ["score", "lang_pred", "rejected", "target", "size", "source_size", "taken", "_turn", "kept", "removed", "n_bytes", "n_removed", "key", "root", "doc", "row"]
+    own = rows.where("doc_id < 40").select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    kept = own
+    for k, (_, stage) in enumerate(pipeline.STAGES[:4]):
+        out = stage(spark, kept, "")
+        assert out.columns == own.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        kept = spark.read.parquet(f"{tmp_path}/{k}")
+    left = kept.collect()
+    assert left and all(r[c] == f"{c}{r.doc_id}" for r in left for c in names)
+
+
+def test_a_run_drops_its_own_tables_only(spark):
+    other = Scratch(spark, "other")
+    table = other.write(spark.range(3).toDF("x"), "t")
+    with Scratch.passing():
+        mine = Scratch(spark, "mine")
+        own = mine.write(spark.range(4).toDF("x"), "t")
+        assert own.count() == 4
+    assert table.count() == 3 and mine not in Scratch.made and other in Scratch.made
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{mine.root}/t")
