@@ -40,6 +40,9 @@ class Engine:
     links: DataFrame | None = None
     vocabulary: DataFrame | None = None
     assets: DataFrame | None = None
+    #: item_id of files whose text is torn.
+    suspects: DataFrame | None = None
+    facts: DataFrame | None = None
 
     @classmethod
     def over_tables(cls, spark: SparkSession, sf_dir: str, config: retrieval.RetrievalConfig | None = None) -> Engine:
@@ -55,7 +58,9 @@ class Engine:
 
     def library(self) -> search.Library:
         tags = self.links.join(self.chunks.select("chunk_id", "section_id"), "chunk_id").select("name", "section_id") if self.links is not None else None
-        return search.Library(self.items, self.chunks, self.sections, self.with_index().index, self.vectors, tags, self.vocabulary)
+        if self.facts is None:
+            self.facts = search.item_store(self.items, f"{Scratch(self.spark, 'items').root}/facts")
+        return search.Library(self.items, self.chunks, self.sections, self.with_index().index, self.vectors, tags, self.vocabulary, self.suspects, self.facts)
 
     def _scoped(self, project: DataFrame | None, public_only: bool) -> tuple[DataFrame, DataFrame]:
         items = relations.public_items(self.items, self.sources) if public_only else self.items

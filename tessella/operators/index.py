@@ -1,63 +1,222 @@
-"""The keyword index: postings sorted by term, so that a question reads the row groups of its own terms."""
+"""The keyword index: segments of postings sorted by term, so that a question reads the row groups of its own terms.
+
+An index is a list of segments.  Each holds, for the items that it was written
+for, the postings of their chunks (sorted by term), the chunks' texts (sorted by
+item) and a row per item: how many chunks and words it has now, which may be
+none.  An item counts in the last segment that names it; in all earlier ones it
+is dead.  So an edit writes one segment of the items it touches, and corpus
+statistics are sums that each edit corrects by what its items had before.
+Segments of one size class are merged when there are enough of them.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as fx
 from ..storage import Scratch
 
 #: What a posting carries of its chunk, so that a leg filters without a join.
 OWN = ("item_id", "section_id", "kind", "status")
+#: Segments of one size class that are merged into one; a class spans sizes up to so many times its smallest.
+FAN = 4
+#: Postings and texts of a partition, about.
+PART_ROWS, PART_CHARS = 2_000_000, 128 << 20
+#: Row groups of the text store: small, so that few are read for a page of hits.
+TEXT_GROUP = 4 << 20
+#: Items of later segments that are broadcast to tell what is dead in earlier ones; beyond that the join shuffles.
+BROADCAST_ITEMS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Segment:
+    """number: later ones override earlier ones; folder: under the index; chunks, items: how many it was written with."""
+
+    number: int
+    folder: str
+    chunks: int
+    items: int
+
+    @property
+    def size_class(self) -> int:
+        n, found = max(1, self.chunks), 0
+        while n >= FAN:
+            n, found = n // FAN, found + 1
+        return found
+
+
+def postings_of(words: DataFrame) -> DataFrame:
+    """term, chunk_id, OWN, length, tf, positions from chunk_id, OWN and words: grouped within each chunk, without a shuffle."""
+    own = [words.schema[c] for c in ("chunk_id", *OWN)]
+    schema = T.StructType([T.StructField("term", T.StringType()), *own, *T.StructType.fromDDL("length int, tf int, positions array<int>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(len(own))
+            size = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            coded = column.flatten().dictionary_encode()
+            terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+            key = row * max(1, len(terms)) + code
+            order = np.argsort(key, kind="stable")  # positions of a term stay in their order
+            heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+            first, ends = order[heads], np.append(heads, len(order))
+            rows = pa.array(row[first])
+            positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[order].astype(np.int32)))
+            kept = [c.take(rows) for c in b.columns[: len(own)]]
+            cells = [terms.take(pa.array(code[first])), *kept, pa.array(size[row[first]].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), positions]
+            yield pa.RecordBatch.from_arrays(cells, names=schema.names)
+
+    return words.select("chunk_id", *OWN, "words").mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings: term, chunk_id, OWN, length, tf, positions; stats: one row of n (chunks of every kind) and average (words per chunk)."""
+    """An open index.  n and words: live chunks of every kind and their words, those without words included."""
 
-    postings: DataFrame
-    stats: DataFrame
+    spark: SparkSession
+    path: str
+    version: int
+    segments: tuple[Segment, ...]
+    n: int
+    words: int
+    scratch: Scratch | None = field(default=None, compare=False, repr=False)
 
     @staticmethod
-    def build(chunks: DataFrame, path: str, partitions: int | None = None) -> KeywordIndex:
-        """The index of all chunks, stored under path: each is split into words once, and postings are range-partitioned by term and chunk.
-
-        A term with very many chunks spreads over several partitions.
-        """
-        spark, scratch = chunks.sparkSession, Scratch(chunks.sparkSession, "words")
-        words = scratch.write(chunks.select("chunk_id", *OWN, fx.tokens(F.col("content")).alias("words")), "words")
-        words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average")).coalesce(1).write.parquet(f"{path}/stats")
-        at = words.select("chunk_id", *OWN, F.size("words").alias("length"), F.posexplode("words").alias("pos", "term"))
-        rows = at.groupBy("term", "chunk_id", *OWN, "length").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartitionByRange(width, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.option("compression", "zstd").parquet(f"{path}/postings")
-        scratch.drop_all()
-        return KeywordIndex.open(spark, path)
+    def build(chunks: DataFrame, path: str) -> KeywordIndex:
+        """The index of all chunks, stored under path: each is split into words once, and the postings are shuffled once."""
+        empty = KeywordIndex(chunks.sparkSession, path, 0, (), 0, 0)
+        segment, n, words = empty._written(chunks, chunks.select("item_id").distinct(), 0)
+        return empty._committed((segment,), n, words)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> KeywordIndex:
-        return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
-
-    def refreshed(self, items: DataFrame, fresh: KeywordIndex) -> KeywordIndex:
-        """The index after items (item_id) changed: their postings go and those of fresh, the index of their chunks now, come.  A plan; store it with ``save``."""
-        kept = self.postings.join(items.select("item_id").distinct(), "item_id", "left_anti")
-        rows = kept.unionByName(fresh.postings)
-        one = rows.select("chunk_id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-        return KeywordIndex(rows, one)
-
-    def save(self, path: str, partitions: int) -> KeywordIndex:
-        self.stats.coalesce(1).write.parquet(f"{path}/stats")
-        self.postings.repartitionByRange(partitions, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.option("compression", "zstd").parquet(f"{path}/postings")
-        return KeywordIndex.open(self.postings.sparkSession, path)
-
-    def counted(self, phrases: list[tuple[str, ...]]) -> DataFrame:
-        """chunk_id, OWN, _len, _tf: how often each phrase stands in a chunk with any of them; only the phrases' words are read."""
+        """The last version under path."""
+        told = spark.read.parquet(f"{path}/manifest")
+        rows = told.join(told.agg(F.max("version").alias("version")), "version").orderBy("number").collect()  # a row a segment
+        return KeywordIndex(spark, path, rows[0]["version"], tuple(Segment(r["number"], r["folder"], r["chunks"], r["items"]) for r in rows), rows[0]["n"], rows[0]["words"])
+
+    def replaced(self, items: DataFrame, chunks: DataFrame, merge: bool = True) -> KeywordIndex:
+        """The index after items (item_id) changed; chunks: all that they have now (none: an item is gone).
+
+        One segment of these items is written, whatever the index holds.  Two
+        writers of one version cannot both commit.
+        """
+        named = items.select("item_id").distinct()
+        before = self._live_items(named).agg(F.sum("chunks"), F.sum("words")).first()
+        segment, n, words = self._written(chunks.join(named, "item_id", "left_semi").select(*chunks.columns), named, self.segments[-1].number + 1)
+        now = self._committed((*self.segments, segment), self.n - (before[0] or 0) + n, self.words - (before[1] or 0) + words)
+        return now.merged() if merge else now
+
+    def merged(self) -> KeywordIndex:
+        """The index with its last FAN segments brought together, as long as the oldest of them is in no larger size class than the others."""
+        now = self
+        while len(now.segments) >= FAN and now.segments[-FAN].size_class <= max(s.size_class for s in now.segments[1 - FAN :]):
+            now = now._merge(FAN)
+        return now
+
+    def _merge(self, most: int) -> KeywordIndex:
+        last = self.segments[-most:]
+        parts, whole = replace(self, segments=last), len(last) == len(self.segments)
+        folder = f"segment-{uuid.uuid4().hex}"
+        rows = parts._live_items(None)
+        rows = rows.where("chunks > 0") if whole else rows  # with nothing older, no one needs to know what is gone
+        rows.write.parquet(f"{self.path}/{folder}/items")
+        told = self.spark.read.parquet(f"{self.path}/{folder}/items").agg(F.count("*"), F.coalesce(F.sum("chunks"), F.lit(0))).first()
+        self._store(parts.postings, parts.texts, folder)
+        return self._committed((*self.segments[:-most], Segment(last[-1].number, folder, told[1], told[0])), self.n, self.words)
+
+    def _written(self, chunks: DataFrame, items: DataFrame, number: int) -> tuple[Segment, int, int]:
+        """(segment, its chunks, their words)."""
+        folder, scratch = f"segment-{uuid.uuid4().hex}", Scratch(self.spark, "words")
+        texts = chunks.select("chunk_id", *OWN, "content")
+        words = scratch.write(texts.select("chunk_id", *OWN, fx.tokens(F.col("content")).alias("words")), "words")
+        per_item = words.groupBy("item_id").agg(F.count("*").alias("chunks"), F.sum(F.greatest(F.lit(0), F.size("words"))).alias("words"))
+        zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "words")]
+        items.join(per_item, "item_id", "left").select("item_id", *zero).write.parquet(f"{self.path}/{folder}/items")
+        told = self.spark.read.parquet(f"{self.path}/{folder}/items").agg(F.count("*"), F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+        self._store(scratch.write(postings_of(words), "postings"), texts, folder)
+        scratch.drop_all()
+        return Segment(number, folder, told[1], told[0]), told[1], told[2]
+
+    def _store(self, postings: DataFrame, texts: DataFrame, folder: str) -> None:
+        parts = max(1, -(-postings.count() // PART_ROWS))
+        parts = max(parts, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), postings.count() * FAN // PART_ROWS + 1))
+        by_term = postings.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+        by_term.write.option("compression", "zstd").parquet(f"{self.path}/{folder}/postings")
+        chars = texts.agg(F.sum(F.length("content"))).first()[0] or 0
+        by_item = texts.repartitionByRange(max(1, -(-chars // PART_CHARS)), "item_id", "chunk_id").sortWithinPartitions("item_id", "chunk_id")
+        by_item.write.option("compression", "zstd").option("parquet.block.size", TEXT_GROUP).parquet(f"{self.path}/{folder}/texts")
+
+    def _committed(self, segments: tuple[Segment, ...], n: int, words: int) -> KeywordIndex:
+        rows = [(s.number, s.folder, s.chunks, s.items, n, words) for s in segments]
+        told = self.spark.createDataFrame(rows, "number int, folder string, chunks long, items long, n long, words long")
+        told.coalesce(1).write.parquet(f"{self.path}/manifest/version={self.version + 1}")  # fails if another writer was first
+        return KeywordIndex(self.spark, self.path, self.version + 1, segments, n, words)
+
+    def _read(self, what: str, only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """Live rows of all segments; only: a filter, which reaches the scans."""
+        tables = [only(self.spark.read.parquet(f"{self.path}/{s.folder}/{what}")).withColumn("_number", F.lit(s.number)) for s in self.segments]
+        rows = reduce(DataFrame.unionByName, tables)
+        if len(self.segments) == 1:
+            return rows.drop("_number")
+        later = [self.spark.read.parquet(f"{self.path}/{s.folder}/items").select("item_id", F.lit(s.number).alias("_last")) for s in self.segments[1:]]
+        last = reduce(DataFrame.unionByName, later).groupBy("item_id").agg(F.max("_last").alias("_last"))
+        last = F.broadcast(last) if sum(s.items for s in self.segments[1:]) <= BROADCAST_ITEMS else last
+        columns = [c for c in rows.columns if c != "_number"]
+        return rows.join(last, "item_id", "left").where("_last IS NULL OR _number >= _last").select(*columns)
+
+    def _live_items(self, named: DataFrame | None) -> DataFrame:
+        """item_id, chunks, words of the items as the segments have them last; those named, or all."""
+        return self._read("items", (lambda rows: rows) if named is None else lambda rows: rows.join(named, "item_id", "left_semi").select(*rows.columns))
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, chunk_id, OWN, length, tf, positions of live chunks."""
+        return self._read("postings")
+
+    @property
+    def texts(self) -> DataFrame:
+        """chunk_id, OWN, content of live chunks."""
+        return self._read("texts")
+
+    def texts_of(self, items: list[int], chunk_ids: list[int] | None = None) -> DataFrame:
+        """The live chunks of a few items, or some of them: only row groups with these items are read."""
+        found = self._read("texts", lambda rows: rows.where(F.col("item_id").isin(items)))
+        return found if chunk_ids is None else found.where(F.col("chunk_id").isin(chunk_ids))
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row: n and average (words per chunk)."""
+        return self.spark.createDataFrame([(self.n, self.words / self.n if self.n else None)], "n long, average double")
+
+    def vacuum(self) -> None:
+        """Delete the folders that this version does not name; readers of older versions must be done."""
+        known = {s.folder for s in self.segments}
+        told = self.spark.read.parquet(f"{self.path}/manifest").select("folder").distinct().collect()
+        jvm = self.spark.sparkContext._jvm
+        for folder in {r["folder"] for r in told} - known:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def counted(self, phrases: list[tuple[str, ...]], narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """chunk_id, OWN, _len, _tf: how often each phrase stands in a chunk with any of them; only the phrases' words are read.
+
+        narrow filters postings before they are brought together.
+        """
         words = sorted({w for p in phrases for w in p})
-        met = self.postings.where(F.col("term").isin(words))
+        met = self._read("postings", lambda rows: rows.where(F.col("term").isin(words)))
+        met = narrow(met) if narrow else met
         loose = {w for p in phrases if len(p) > 1 for w in p}
         tf = [F.coalesce(F.max(F.when(F.col("term") == p[0], F.col("tf"))), F.lit(0)) if len(p) == 1 else F.lit(0) for p in phrases]
         at = {w: f"_at{k}" for k, w in enumerate(sorted(loose))}
@@ -75,3 +234,14 @@ class KeywordIndex:
         if loose:
             one = one.withColumn("_tf", F.array(*[F.col("_tf")[k] if len(p) == 1 else often(p) for k, p in enumerate(phrases)]))
         return one.select("chunk_id", *OWN, "_len", "_tf").where(F.exists("_tf", lambda t: t > 0))
+
+    def frequencies(self, phrases: list[tuple[str, ...]]) -> list[int]:
+        """How many live chunks have each phrase."""
+        single = {p[0] for p in phrases if len(p) == 1}
+        plain = self._read("postings", lambda rows: rows.where(F.col("term").isin(sorted(single)))).groupBy("term").count().collect() if single else []  # a row a word
+        found = {(r["term"],): r["count"] for r in plain}
+        loose = [p for p in phrases if len(p) > 1]
+        if loose:
+            sums = self.counted(loose).agg(*[F.sum((F.col("_tf")[k] > 0).cast("long")) for k in range(len(loose))]).first()
+            found |= {p: sums[k] or 0 for k, p in enumerate(loose)}
+        return [found.get(p, 0) for p in phrases]

@@ -6,6 +6,7 @@ chunk_id.  Nothing is collected; only the last page leaves the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..model import LEAF_KINDS, SUMMARY_KINDS
+from ..storage import local
 from .cells import VectorIndex
 from .index import KeywordIndex
 
@@ -57,12 +59,13 @@ def keyword_leg(
     chunks: DataFrame | KeywordIndex, question: str, limit: int, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = (), scope: DataFrame | None = None
 ) -> DataFrame:
     """The best of keyword_scores."""
-    return keyword_scores(chunks, question, c, kinds, extra, scope).orderBy(F.desc("score"), "chunk_id").limit(limit)
+    return keyword_scores(chunks, question, c, kinds, extra, scope, narrow=None).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
 def keyword_scores(
-    chunks: DataFrame | KeywordIndex, question: str, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = (), scope: DataFrame | None = None, stats: DataFrame | None = None
-) -> DataFrame:
+    chunks: DataFrame | KeywordIndex, question: str, c: RetrievalConfig = RetrievalConfig(), kinds: tuple[str, ...] | None = LEAF_KINDS, extra: tuple[str, ...] = (), scope: DataFrame | None = None,
+    stats: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """BM25 over an OR of quoted phrases; chunk_id, item_id, section_id, kind, status, score, terms (distinct query phrases met).
 
     Over an index only the postings of the question's words are read.  Over
@@ -70,7 +73,9 @@ def keyword_scores(
     size and average length are those of chunks of every kind; the filters on
     kind and on items in scope come after.  A term with separators inside is a
     phrase of its parts.  No terms or no chunks give no rows.  stats: the row of
-    ``keyword_stats``, if several legs of one question share it.
+    ``keyword_stats``, if several legs of one question share it.  narrow: a
+    filter on item_id, section_id and status; like kinds and scope it is put
+    before the postings of an index are brought together.
     """
     phrases = phrases_of(question, extra)
     indexed = isinstance(chunks, KeywordIndex)
@@ -78,7 +83,13 @@ def keyword_scores(
         none = chunks.postings if indexed else chunks
         return none.limit(0).select("chunk_id", "item_id", "section_id", "kind", "status", F.lit(0.0).alias("score"), F.lit(0).alias("terms"))
     n = len(phrases)
-    counted = chunks.counted(phrases) if indexed else _scanned(chunks, phrases)
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        rows = rows if kinds is None else rows.where(F.col("kind").isin(*kinds))
+        rows = rows if scope is None else rows.join(scope.select("item_id").distinct(), "item_id", "left_semi").select(*rows.columns)
+        return narrow(rows) if narrow else rows
+
+    counted = chunks.counted(phrases, wanted) if indexed else _scanned(chunks, phrases)
     if stats is None:
         stats = keyword_stats(chunks, question, extra) if indexed else counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *_frequencies(n))
     joined = counted.where(F.exists("_tf", lambda t: t > 0)).join(F.broadcast(stats))  # one row
@@ -91,8 +102,7 @@ def keyword_scores(
 
     score = reduce(lambda a, b: a + b, [part(i) for i in range(n)])
     out = joined.select("chunk_id", "item_id", "section_id", "kind", "status", F.round(score, 9).alias("score"), F.size(F.filter("_tf", lambda t: t > 0)).alias("terms"))
-    out = out if kinds is None else out.where(F.col("kind").isin(*kinds))
-    return out if scope is None else out.join(scope.select("item_id").distinct(), "item_id", "left_semi").select(*out.columns)
+    return out if indexed else wanted(out)
 
 
 def phrases_of(question: str, extra: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
@@ -107,9 +117,9 @@ def _frequencies(n: int) -> list[Column]:
 
 def keyword_stats(index: KeywordIndex, question: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """One row: chunks, average length, and how many chunks have each phrase of the question."""
-    phrases = phrases_of(question, extra)
-    met = index.counted(phrases).agg(*_frequencies(len(phrases)))
-    return index.stats.select(F.col("n").alias("_n"), F.col("average").alias("_avg")).join(F.broadcast(met))  # one row each
+    found = index.frequencies(phrases_of(question, extra))
+    one = [(index.n, index.words / index.n if index.n else None, *found)]
+    return index.spark.createDataFrame(one, "_n long, _avg double" + "".join(f", _df{i} long" for i in range(len(found))))
 
 
 def _scanned(chunks: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame:
@@ -229,7 +239,9 @@ def status_filter(rows: DataFrame, exclude_disputed: bool = False, status: str =
 
 
 def item_facts(hits: DataFrame, items: DataFrame) -> DataFrame:
-    """hits with created_at, env and tier of their items; only the candidates' paths and heads are classified."""
+    """hits with created_at, env and tier of their items; where items do not have env and tier, the candidates' paths and heads are classified."""
+    if "env" in items.columns and "tier" in items.columns:
+        return F.broadcast(hits).join(items.select("item_id", "created_at", "env", "tier"), "item_id")  # hits are limited per leg
     own = items.select("item_id", "created_at", F.col("external_id").alias("_path"), F.col("text").alias("_text"))
     facts = F.broadcast(hits).join(own, "item_id")  # hits are limited per leg
     return facts.withColumns({"env": fx.env_class(F.col("_path"), F.col("_text")), "tier": fx.authority_tier(F.col("_path"))}).drop("_path", "_text")
@@ -286,8 +298,12 @@ def toc_fence(summaries: DataFrame, sections: DataFrame) -> DataFrame:
 
 def toc_search(chunks: DataFrame | KeywordIndex, sections: DataFrame, question: str, c: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """Summaries by keyword, sections admitted from the items they name, leaves fenced to those sections, five times top_k."""
-    fence = toc_fence(keyword_leg(chunks, question, SUMMARIES, c, SUMMARY_KINDS), sections)
-    leaves = keyword_scores(chunks, question, c).join(F.broadcast(fence), "section_id", "left_semi")  # ten sections
+    stats = keyword_stats(chunks, question) if isinstance(chunks, KeywordIndex) and phrases_of(question) else None  # both legs share it
+    summaries = keyword_scores(chunks, question, c, SUMMARY_KINDS, stats=stats).orderBy(F.desc("score"), "chunk_id").limit(SUMMARIES)
+    best = local(summaries)  # fifteen at most, so that their sections are a pushed filter
+    ids = [r["item_id"] for r in best.collect()]
+    fence = [r["section_id"] for r in toc_fence(best, sections.where(F.col("item_id").isin(ids))).collect()]  # ten sections
+    leaves = keyword_scores(chunks, question, c, stats=stats, narrow=lambda rows: rows.where(F.col("section_id").isin(fence)))
     return leaves.orderBy(F.desc("score"), "chunk_id").limit(c.top_k * 5)
 
 

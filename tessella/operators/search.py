@@ -32,7 +32,8 @@ class Library:
     vectors: chunk_id, item_id, section_id, kind, status, embedding, or an index of them; tags: name,
     section_id; vocabulary: id, term, expansion, origin, status, source_id;
     suspects: item_id of files whose text is torn, which the fence of a search
-    by sections does not keep out, as their summaries tell little.
+    by sections does not keep out, as their summaries tell little; facts: the
+    items as ``item_store`` keeps them.  Texts of chunks come from the index.
     """
 
     items: DataFrame
@@ -43,6 +44,23 @@ class Library:
     tags: DataFrame | None = None
     vocabulary: DataFrame | None = None
     suspects: DataFrame | None = None
+    facts: DataFrame | None = None
+
+    def items_of(self, ids: list[int]) -> DataFrame:
+        """A few items: from the stored facts (row groups with their ids only), or else from the items."""
+        return (self.items if self.facts is None else self.facts).where(F.col("item_id").isin(ids))
+
+
+def item_store(items: DataFrame, path: str) -> DataFrame:
+    """What searches ask of items (item_id, external_id, created_at, env, tier and doc_type where there is one), stored by item_id.
+
+    Paths and heads of texts are classified once, here.
+    """
+    facts = {"env": fx.env_class(F.col("external_id"), F.col("text")), "tier": fx.authority_tier(F.col("external_id"))}
+    kind = ["doc_type"] if "doc_type" in items.columns else []
+    rows = items.withColumns(facts).select("item_id", "external_id", "created_at", "env", "tier", *kind)
+    rows.repartitionByRange("item_id").sortWithinPartitions("item_id").write.option("parquet.block.size", 4 << 20).parquet(path)
+    return items.sparkSession.read.parquet(path)
 
 
 def expansions(vocabulary: DataFrame, terms: list[str], scope: DataFrame | None = None, rules: bool = True) -> DataFrame:
@@ -106,12 +124,15 @@ class Search:
         if lib.vocabulary is not None:
             found = expansions(lib.vocabulary, fx.query_terms(question), scope).orderBy("rule", "id").collect()  # 64 pairs at most
             self.extra = tuple(r["word"] for r in found)
-        self.stats = local(rt.keyword_stats(lib.index, question, self.extra)) if rt.phrases_of(question, self.extra) else None  # all legs share it
+        self.stats = rt.keyword_stats(lib.index, question, self.extra) if rt.phrases_of(question, self.extra) else None  # all legs share it
 
     def keyword(self, limit: int, kinds: tuple[str, ...] = LEAF_KINDS, fence: DataFrame | None = None) -> DataFrame:
-        rows = rt.keyword_scores(self.lib.index, self.question, self.c, kinds, self.extra, self.scope, self.stats)
-        rows = rows if fence is None else self.fenced(rows, fence)
-        return local(rt.status_filter(rows, self.exclude).orderBy(F.desc("score"), "chunk_id").limit(limit))
+        def narrow(rows: DataFrame) -> DataFrame:  # postings, before they are brought together
+            rows = rt.status_filter(rows, self.exclude)
+            return rows if fence is None else self.fenced(rows, fence)
+
+        rows = rt.keyword_scores(self.lib.index, self.question, self.c, kinds, self.extra, self.scope, self.stats, narrow)
+        return local(rows.orderBy(F.desc("score"), "chunk_id").limit(limit))
 
     def fenced(self, rows: DataFrame, fence: DataFrame) -> DataFrame:
         """rows in the sections of the fence (ten), or of suspect items."""
@@ -151,7 +172,7 @@ class Search:
             tagged = tagged_sections(self.lib.tags, self.question)
             if not tagged.isEmpty():
                 sections = sections.join(tagged, "section_id", "left_semi").select(*sections.columns)
-        facts = rt.item_facts(summaries, self.lib.items.where(F.col("item_id").isin(ids)))
+        facts = rt.item_facts(summaries, self.lib.items_of(ids))
         fence = local(rt.toc_fence(facts.withColumn("test", F.lit(self.live_first) & (F.col("env") == "test")), sections))
         if fence.isEmpty():
             return None
@@ -162,8 +183,8 @@ class Search:
     def candidates(self, legs: list[tuple[str, DataFrame, float]]) -> DataFrame:
         """All fused candidates in their order, with rank."""
         seen = {r["chunk_id"]: r["item_id"] for _, df, _ in legs for r in df.select("chunk_id", "item_id").collect()}  # what limits have left
-        chunks = self.lib.chunks.where(F.col("chunk_id").isin(list(seen)))
-        items = self.lib.items.where(F.col("item_id").isin(sorted(set(seen.values()))))
+        ids = sorted(set(seen.values()))
+        chunks, items = self.lib.index.texts_of(ids, sorted(seen)), self.lib.items_of(ids)
         ranked = rt.fuse_and_rank(legs, chunks, items, self.now, self.c, self.live_first, self.tiers, self.exclude, cut=False)
         types = items.select("item_id", F.nullif("doc_type", F.lit(""))) if "doc_type" in items.columns else items.select("item_id", F.lit(None).cast("string"))
         return local(ranked.join(types.toDF("item_id", "doc_type"), "item_id", "left"))
@@ -198,7 +219,7 @@ class Search:
         """The keyword hits that the page lacks, in its columns, decayed."""
         slots = rt.keyword_slots(page, floor, self.c).join(rt._told(floor, "keyword", self.c).drop("score", "item_id"), "chunk_id")
         ids = [r["item_id"] for r in slots.select("item_id").distinct().collect()]
-        facts = rt.item_facts(slots, self.lib.items.where(F.col("item_id").isin(ids)))
+        facts = rt.item_facts(slots, self.lib.items_of(ids))
         score = F.round(F.col("score") * rt.age_decay(F.col("created_at"), self.now, self.c), 9)
         facts = facts.withColumns({"score": score, "legs": F.lit("keyword"), "rank": F.col("leg_rank"), "doc_type": F.lit(None).cast("string")})
         return local(facts.select(*page.columns))
@@ -210,10 +231,10 @@ class Search:
         items = self.lib.items if self.scope is None else self.lib.items.join(self.scope.select("item_id").distinct(), "item_id", "left_semi")
         named = local(lb.named_items(items, self.question))
         ids = [r["item_id"] for r in named.collect()]
-        own = self.lib.chunks.where(F.col("item_id").isin(ids))
+        own = self.lib.index.texts_of(ids)
         marks = lb.boosted(page.select("chunk_id", "item_id", "score"), named, own, self.question, self.lib.index, self.extra).where("boosted")
         up = rt.status_filter(marks.join(own.select("chunk_id", "section_id", "status"), "chunk_id"), self.exclude)
-        up = rt.item_facts(up, self.lib.items.where(F.col("item_id").isin(ids)))
+        up = rt.item_facts(up, self.lib.items_of(ids))
         blank = {"rank": F.lit(0), "legs": F.lit("filename"), "keyword": F.lit(False), "rich": F.lit(False), "cosine": F.lit(None).cast("double"), "doc_type": F.lit(None).cast("string")}
         up = local(up.withColumns({k: v for k, v in blank.items() if k not in up.columns}).select(*page.columns, "boosted"))
         rest = page.join(up.select("chunk_id"), "chunk_id", "left_anti").withColumn("boosted", F.lit(False)).select(*page.columns, "boosted")
@@ -248,7 +269,7 @@ def returned(hits: DataFrame, lib: Library, most: int = 8000) -> DataFrame:
     """
     ids = [r["item_id"] for r in hits.select("item_id").distinct().collect()]
     scratch = Scratch(hits.sparkSession, "page")
-    chunks = scratch.write(lib.chunks.where(F.col("item_id").isin(ids)).select("chunk_id", "item_id", "section_id", "kind", "content"), "chunks")  # of the page's items
+    chunks = scratch.write(lib.index.texts_of(ids).select("chunk_id", "item_id", "section_id", "kind", "content"), "chunks")  # of the page's items
     tree = trees.Tree.of(lib.sections.where(F.col("item_id").isin(ids)))
     ways = scratch.write(tree.ways(), "ways")
     leaves = chunks.where(F.col("kind").isin(*LEAF_KINDS))

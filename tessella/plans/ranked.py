@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as m
@@ -13,7 +14,7 @@ from ..operators import search as se
 from ..operators import trees
 from ..operators.cells import VectorIndex
 from ..operators.index import KeywordIndex
-from ..storage import Scratch
+from ..storage import Scratch, local
 from .relational import _ENV_SQL, _TIER_SQL, LEAF, Query
 
 QUERIES: dict[str, Query] = {}
@@ -288,7 +289,9 @@ run AS (SELECT *, sum(length(w)) OVER (ORDER BY rank) AS used FROM top) SELECT r
 def r36(spark, d):
     from pyspark.sql import Window
 
-    hits = F.broadcast(rt.fuse(_legs(spark, d))).join(m.chunks(spark, d).select("chunk_id", "content"), "chunk_id")  # candidates are limited per leg
+    fused = local(rt.fuse(_legs(spark, d)))  # candidates are limited per leg
+    told = fused.select("chunk_id", "item_id").collect()
+    hits = fused.join(index_of(spark, d).texts_of(sorted({r["item_id"] for r in told}), [r["chunk_id"] for r in told]).select("chunk_id", "content"), "chunk_id")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "chunk_id")))
     return an.answer_context(ranked).drop("window")
 
@@ -388,7 +391,15 @@ SELECT row_number() OVER (ORDER BY env = 'test', NOT rich, tier, rank)::INTEGER
 
 
 def library_of(spark, d: str) -> se.Library:
-    return se.Library(m.items(spark, d), m.chunks(spark, d), m.sections(spark, d), index_of(spark, d), _vectors(spark, d))
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:  # built once per session, as the index
+        root = Scratch(spark, "index").root
+        _STORES[key] = (VectorIndex.build(_vectors(spark, d), f"{root}/chunk-cells"), se.item_store(m.items(spark, d), f"{root}/items"))
+    vectors, facts = _STORES[key]
+    return se.Library(m.items(spark, d), m.chunks(spark, d), m.sections(spark, d), index_of(spark, d), vectors, facts=facts)
+
+
+_STORES: dict[tuple[str, str], tuple[VectorIndex, DataFrame]] = {}
 
 
 @query("r33_hybrid_search", _SEARCH_SQL)

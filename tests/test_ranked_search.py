@@ -81,21 +81,73 @@ def words(spark):
 
 @pytest.mark.parametrize("question", ["fee", "direct-debit fee zeta", "dd", "cafe x-1", "the of", "unknown"])
 def test_an_index_scores_as_a_scan_does(spark, words, tmp_path, question):
-    index = KeywordIndex.build(words, f"{tmp_path}/index", 3)
+    index = KeywordIndex.build(words, f"{tmp_path}/index")
     key = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert key(rt.keyword_scores(index, question)) == key(rt.keyword_scores(words, question))
     scope = spark.createDataFrame([(1,), (5,)], "item_id long")
     assert {r.item_id for r in rt.keyword_scores(index, question, scope=scope).collect()} <= {1, 5}
 
 
+def _same_scores(index, chunks, question="brand fee zeta debit"):
+    key = lambda df: sorted((r.chunk_id, r.score, r.terms, r.status) for r in df.collect())
+    assert key(rt.keyword_scores(index, question)) == key(rt.keyword_scores(chunks, question))
+
+
 def test_an_index_follows_its_items(spark, words, tmp_path):
-    index = KeywordIndex.build(words, f"{tmp_path}/a", 2)
+    index = KeywordIndex.build(words, f"{tmp_path}/a")
     changed = words.where("item_id = 2").withColumn("content", F.lit("brand new fee"))
-    fresh = KeywordIndex.build(changed, f"{tmp_path}/b", 1)
-    now = index.refreshed(changed.select("item_id"), fresh).save(f"{tmp_path}/c", 2)
-    whole = words.where("item_id <> 2").unionByName(changed).where("length(content) > 0")
-    key = lambda df: sorted((r.chunk_id, r.score) for r in df.collect())
-    assert key(rt.keyword_scores(now, "brand fee")) == key(rt.keyword_scores(whole, "brand fee"))
+    _same_scores(index.replaced(changed.select("item_id"), changed), words.where("item_id <> 2").unionByName(changed))
+
+
+def test_chunks_without_words_count(spark, tmp_path):
+    rows = [(i, i // 2, None, "document", None, ["fee zeta", "", "debit fee", None][i % 4]) for i in range(8)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, item_id long, section_id long, kind string, status string, content string")
+    index = KeywordIndex.build(chunks, f"{tmp_path}/a")
+    assert index.n == 8
+    edited = chunks.where("item_id = 1")
+    _same_scores(index.replaced(edited.select("item_id"), edited), chunks, "fee")
+
+
+def test_twenty_random_edits_equal_a_rebuild(spark, words, tmp_path):
+    rng = random.Random(8)
+    now = {}
+    for r in words.collect():
+        now.setdefault(r.item_id, []).append(tuple(r))
+    index, next_chunk, written = KeywordIndex.build(words, f"{tmp_path}/a"), 1000, []
+    for edit in range(20):
+        touched = rng.sample(range(24), rng.choice([1, 1, 2]))
+        fresh = []
+        for item in touched:
+            rows = []
+            for _ in range(rng.choice([0, 1, 3])):
+                text = " ".join(rng.choices(["direct", "debit", "fee", "zeta", "brand"], k=rng.choice([0, 0, 4, 9])))
+                rows.append((next_chunk, item, item, rng.choice(["document", "doc_summary"]), rng.choice([None, "stale"]), text))
+                next_chunk += 1
+            now[item] = rows
+            fresh += rows
+        items, chunks = spark.createDataFrame([(i,) for i in touched], "item_id long"), spark.createDataFrame(fresh, words.schema)
+        before = index
+        index = index.replaced(items, chunks)
+        written.append(len(index.segments))
+        assert len(index.segments) <= len(before.segments) + 1
+    whole = spark.createDataFrame([r for rows in now.values() for r in rows], words.schema)
+    assert (index.n, index.words) == (whole.count(), sum(len((r.content or "").replace("-", " ").split()) for r in whole.collect()))
+    for question in ("brand fee zeta debit", "direct-debit fee", "brand"):
+        _same_scores(index, whole, question)
+    _same_scores(KeywordIndex.open(spark, f"{tmp_path}/a"), whole)
+    key = lambda df: sorted((r.chunk_id, r.content) for r in df.collect())
+    assert key(index.texts) == key(whole) and key(index.texts_of([3, 5])) == key(whole.where("item_id IN (3, 5)"))
+    assert max(written) < 10 and len(index.segments) < 10  # merged by size class
+    index.vacuum()
+    _same_scores(KeywordIndex.open(spark, f"{tmp_path}/a"), whole)
+
+
+def test_two_writers_of_one_version(spark, words, tmp_path):
+    index = KeywordIndex.build(words, f"{tmp_path}/a")
+    one = words.where("item_id = 1")
+    index.replaced(one.select("item_id"), one)
+    with pytest.raises(Exception):
+        index.replaced(one.select("item_id"), one)
 
 
 @pytest.fixture(scope="module")
@@ -164,7 +216,7 @@ def test_torn_files_are_found_past_the_fence(spark, engine):
     far = [(500 + k, 5, None, 50, "document", f"refund {k}" + " of much else" * k, None) for k in range(3)]
     more = lib.chunks.unionByName(spark.createDataFrame(far, lib.chunks.schema))
     items = lib.items.unionByName(spark.createDataFrame([(5, 1, "scan.pdf", "torn", None, "prose", False)], lib.items.schema))
-    index = KeywordIndex.build(more, f"{engine.with_index().index.postings.inputFiles()[0].rsplit('/', 2)[0].removeprefix('file:')}-torn", 2)
+    index = KeywordIndex.build(more, f"{engine.with_index().index.path}-torn")
     run = lambda suspects: se.Search(se.Library(items, more, lib.sections, index, suspects=suspects), "refund", F.lit(NOW).cast("timestamp"), engine.config, None, None, False).sections_first()
     assert not {5} & {r.item_id for r in run(None).collect()}
     assert {5} <= {r.item_id for r in run(spark.createDataFrame([(5,)], "item_id long")).collect()}
