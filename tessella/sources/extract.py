@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsers
+from . import pdf
 
 MAX_ROWS, MAX_COLUMNS = 5000, 64  # of a sheet
 TEXT_EXTENSIONS = "txt md markdown rst adoc py rs ts tsx js jsx go java kt c h cpp hpp cs rb php swift sh sql yml yaml json jsonc toml ini cfg conf xml log tex".split()
@@ -245,6 +246,8 @@ def extract(kind: str, data: bytes) -> tuple[str | None, str | None]:
             return office(data, kind), None
         if kind == "eml":
             return eml(data), None
+        if kind == "pdf":
+            return dehyphenated(pdf.pdf_text(data)), None
         text = decode(data)
         if text is None:
             return None, "binary"
