@@ -56,8 +56,16 @@ class Engine:
             self.index = KeywordIndex.build(self.chunks, path or f"{Scratch(self.spark, 'index').root}/keyword")
         return self
 
+    def with_suspects(self) -> Engine:
+        """The engine with its torn files, by the words of the library's own other files; a search by sections then looks through them too."""
+        if self.suspects is None:
+            found = library.suspects(self.items, library.lexicon(self.items))
+            self.suspects = Scratch(self.spark, "suspects").write(found, "suspects")
+        return self
+
     def library(self) -> search.Library:
         tags = self.links.join(self.chunks.select("chunk_id", "section_id"), "chunk_id").select("name", "section_id") if self.links is not None else None
+        self.with_suspects()
         if self.facts is None:
             self.facts = search.item_store(self.items, f"{Scratch(self.spark, 'items').root}/facts")
         return search.Library(self.items, self.chunks, self.sections, self.with_index().index, self.vectors, tags, self.vocabulary, self.suspects, self.facts)

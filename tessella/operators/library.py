@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,59 @@ def propose_tags(sections_text: DataFrame, key: str, text: str) -> DataFrame:
     return top_terms(sections_text, key, text, 4).select(key, F.col("term").alias("tag"), "place")
 
 
+#: Cosine of two names' words over which a new name of several words means a known tag.
+SAME_TAG = 0.82
+TOKENS = r"[\p{L}\p{N}]+"
+
+
+def tag_links(sections: DataFrame, chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """chunk_id and tag: the top four words of each titled section for its chunks, the top two of a whole text for its document summaries.
+
+    sections: section_id, title; items: item_id, text.  A section without text
+    goes by its title; untitled ones have no tags.
+    """
+    titled = sections.where(F.coalesce(F.length("title"), F.lit(0)) > 0).select("section_id", "title")
+    own = chunks.where("section_id IS NOT NULL").groupBy("section_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "content"))), lambda x: x["content"]), "\n\n").alias("_text"))
+    text = F.concat("title", F.lit("\n"), F.coalesce("_text", F.lit("")))
+    of_sections = propose_tags(titled.join(own, "section_id", "left").select("section_id", text.alias("text")), "section_id", "text")
+    of_items = propose_tags(items.select("item_id", "text"), "item_id", "text").where("place <= 2")
+    first = of_sections.join(chunks.select("chunk_id", "section_id"), "section_id").select("chunk_id", "tag")
+    return first.unionByName(of_items.join(chunks.where("kind = 'doc_summary'").select("chunk_id", "item_id"), "item_id").select("chunk_id", "tag")).distinct()
+
+
+def reuse_tags(wanted: DataFrame, tags: DataFrame, least: float = SAME_TAG) -> DataFrame:
+    """name, tag: what each wanted name (trimmed, lower case) is called among the tags (name).
+
+    A known name is itself, and so is a single word.  A name of several words
+    takes the tag whose words have the highest cosine with its own, if that is
+    over least (ties: the smaller name), else it is new.  Only names and tags
+    that share one of the name's rarer words meet: its most frequent words that
+    are too few to reach least by themselves are left out of the join.
+    """
+    norm = F.lower(F.trim("name"))
+    asked = wanted.select(norm.alias("name")).where("name <> ''").distinct()
+    known = tags.select(norm.alias("tag")).where("tag <> ''").distinct()
+
+    def bags(rows: DataFrame, name: str) -> DataFrame:
+        words = rows.select(name, F.explode(F.regexp_extract_all(F.col(name), F.lit(TOKENS), 0)).alias("word"))
+        counted = words.groupBy(name, "word").agg(F.count("*").alias("n"))
+        return counted.withColumn("size", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(name)))
+
+    have = bags(known, "tag")
+    several = asked.join(known, F.col("name") == F.col("tag"), "left_anti").where(F.size(F.regexp_extract_all("name", F.lit(TOKENS), 0)) > 1)
+    frequent = have.groupBy("word").agg(F.count("*").alias("_tags"))
+    own = bags(several, "name").join(frequent, "word")  # a word that no tag has joins nothing
+    rest = Window.partitionBy("name").orderBy(F.desc("_tags"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    # the most frequent words, as long as they alone could not reach the bar
+    rare = own.withColumn("_most", F.sum(F.col("n") * F.col("n")).over(rest)).where(F.col("_most") >= least * least * F.col("size"))
+    pairs = rare.select("name", "word").join(have.select("tag", "word"), "word").select("name", "tag").distinct()
+    product = pairs.join(own.select("name", "word", F.col("n").alias("_n"), F.col("size").alias("_size")), "name").join(have, ["tag", "word"])
+    cosine = F.sum(F.col("_n") * F.col("n")) / F.sqrt(F.first("_size") * F.first("size"))
+    best = product.groupBy("name", "tag").agg(F.round(cosine, 9).alias("cosine")).where(F.col("cosine") > least)
+    found = best.groupBy("name").agg(F.min_by("tag", F.struct(-F.col("cosine"), F.col("tag"))).alias("_tag"))
+    return asked.join(found, "name", "left").select("name", F.coalesce("_tag", "name").alias("tag"))
+
+
 def ensure_tags(tags: DataFrame, used: DataFrame) -> DataFrame:
     """tags (name, usage) after use: known names add to their usage, new names come in with theirs."""
     new = used.groupBy("name").agg(F.count("*").alias("_n"))
@@ -142,15 +197,39 @@ def split_suspects(text: str, known: frozenset[str]) -> tuple[int, int]:
     return found, len(words)
 
 
+#: Words that a lexicon has, at most: the most frequent ones.
+LEXICON = 200_000
+
+
+def lexicon(items: DataFrame, least: int = 3, most: int = LEXICON) -> frozenset[str]:
+    """The words of ASCII letters that at least so many items have, counted over all items that are no PDF files.
+
+    It stands in for a word list: torn words come from PDF files, so these do
+    not vote.  At most LEXICON words, so it may be broadcast.
+    """
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    told = items.where(~F.coalesce(is_pdf(F.col("external_id")), F.lit(False))).select(F.explode(words).alias("word"))
+    counted = told.where(F.col("word").rlike("^[a-z]{2,40}$")).groupBy("word").agg(F.count("*").alias("n"))
+    return frozenset(r["word"] for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def is_pdf(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, r"[/\\\\]"), -1)).endswith(".pdf")
+
+
+def suspects(items: DataFrame, known: frozenset[str]) -> DataFrame:
+    """item_id of PDF files whose whole text is torn, by these words."""
+    return items.where(is_pdf(F.col("external_id"))).where(split_words(F.col("text"), known)).select("item_id")
+
+
 def split_words(text: Column, known: frozenset[str]) -> Column:
     """Six split words at least, and six in a thousand tokens; known: all words that are no fragments."""
 
-    @F.udf("boolean")
-    def trips(t: str | None) -> bool:
-        found, n = split_suspects(t or "", known)
-        return found >= 6 and found * 1000 >= n * 6
+    def trips(texts: pd.Series) -> pd.Series:
+        found = [split_suspects(t or "", known) for t in texts]
+        return pd.Series([k >= 6 and k * 1000 >= n * 6 for k, n in found], dtype=bool)
 
-    return trips(text)
+    return F.pandas_udf(trips, "boolean")(text)
 
 
 def quality_flags(items: DataFrame, events: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
@@ -160,18 +239,37 @@ def quality_flags(items: DataFrame, events: DataFrame, known: frozenset[str] | N
     """
     fixed = events.select("item_id").distinct().withColumn("_fixed", F.lit(True))
     suspect = shredded(F.col("text")) if known is None else split_words(F.col("text"), known)
-    pdf = F.lower(F.element_at(F.split("external_id", r"[/\\\\]"), -1)).endswith(".pdf")
-    flag = F.when(F.coalesce(pdf, F.lit(False)), F.when(suspect, "suspect").when(F.col("_fixed"), "repaired"))
+    flag = F.when(F.coalesce(is_pdf(F.col("external_id")), F.lit(False)), F.when(suspect, "suspect").when(F.col("_fixed"), "repaired"))
     return items.join(fixed, "item_id", "left").select("item_id", flag.alias("flag"))
 
 
 def entity_context(entities: DataFrame, chunks: DataFrame, width: int = 160) -> DataFrame:
-    """entity_id with the chunk that holds its first characters and that chunk's neighbours (ids)."""
-    by = Window.partitionBy("item_id").orderBy("chunk_id")
-    around = chunks.withColumn("before", F.lag("chunk_id").over(by)).withColumn("after", F.lead("chunk_id").over(by))
-    needle = F.substring(F.col("e.text"), 1, width)
-    hit = entities.alias("e").join(around.alias("c"), (F.col("e.item_id") == F.col("c.item_id")) & F.col("c.content").contains(needle))
-    return hit.groupBy("e.entity_id").agg(F.min_by(F.struct("c.chunk_id", "c.before", "c.after"), "c.chunk_id").alias("x")).select("entity_id", "x.*")
+    """entity_id with the first chunk of its item that holds its first characters, and that chunk's neighbours (ids).
+
+    The texts of one item's chunks are searched as one, once for each of its
+    entities, so no pairs of entities and chunks are made.
+    """
+    schema = "entity_id long, chunk_id long, before long, after long"
+
+    def search(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("chunk_id")
+        ids, texts = parts["chunk_id"].tolist(), parts["content"].tolist()
+        ends, end = [], 0
+        for t in texts:
+            end += len(t) + 1
+            ends.append(end)
+        whole, rows = "\0".join(texts), []
+        for entity, text in zip(own["entity_id"], own["text"], strict=True):
+            at = whole.find(text[:width])
+            if at >= 0 and "\0" not in text[:width]:
+                k = bisect.bisect_right(ends, at)
+                rows.append((entity, ids[k], ids[k - 1] if k else None, ids[k + 1] if k + 1 < len(ids) else None))
+        return pd.DataFrame(rows, columns=["entity_id", "chunk_id", "before", "after"]).astype("Int64")
+
+    told = entities.where("text IS NOT NULL AND item_id IS NOT NULL").select("entity_id", "item_id", F.substring("text", 1, width).alias("text"))
+    parts = chunks.where("content IS NOT NULL").select(F.col("item_id").alias("_item"), "chunk_id", "content")
+    parts = parts.join(told.select(F.col("item_id").alias("_item")).distinct(), "_item", "left_semi")
+    return told.groupBy("item_id").cogroup(parts.groupBy("_item")).applyInPandas(search, schema)
 
 
 def claimed_neighbours(hits: DataFrame, around: DataFrame) -> DataFrame:

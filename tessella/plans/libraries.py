@@ -208,3 +208,50 @@ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tag)::IN
 def c22(spark, d):
     titled = m.table(spark, d, "documents").select("doc_id", F.concat(F.lit("Item "), F.col("doc_id").cast("string"), F.lit(" "), F.col("text")).alias("text"))
     return lb.propose_tags(titled, "doc_id", "text")
+
+
+@query("c22_tag_reuse", """WITH k AS (SELECT DISTINCT lower(p_name) AS tag FROM part WHERE p_partkey % 3 = 0), w AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS name FROM part WHERE p_partkey % 3 = 1),
+kb AS (SELECT tag, word, count(*) AS n FROM (SELECT tag, unnest(regexp_extract_all(tag, '[\\p{L}\\p{N}]+')) AS word FROM k) GROUP BY ALL),
+wb AS (SELECT name, word, count(*) AS n FROM (SELECT name, unnest(regexp_extract_all(name, '[\\p{L}\\p{N}]+')) AS word FROM w) GROUP BY ALL),
+ks AS (SELECT tag, sum(n * n) AS s FROM kb GROUP BY 1), ws AS (SELECT name, sum(n * n) AS s FROM wb GROUP BY 1),
+d AS (SELECT name, tag, sum(wb.n * kb.n) AS dot FROM wb JOIN kb USING (word) GROUP BY ALL),
+c AS (SELECT name, tag, round(dot / sqrt(ws.s * ks.s), 9) AS cosine FROM d JOIN ws USING (name) JOIN ks USING (tag)),
+b AS (SELECT name, tag FROM c WHERE cosine > 0.82 AND name NOT IN (SELECT tag FROM k) QUALIFY row_number() OVER (PARTITION BY name ORDER BY cosine DESC, tag) = 1)
+SELECT name, coalesce(tag, name) AS tag FROM w LEFT JOIN b USING (name)""")
+def c22_reuse(spark, d):
+    part = m.table(spark, d, "part")
+    named = part.select("p_partkey", F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_brand").alias("longer"))
+    return lb.reuse_tags(named.where("p_partkey % 3 = 1").select(F.col("longer").alias("name")), named.where("p_partkey % 3 = 0"))
+
+
+#: Every fifth document as a PDF file, every tenth of them with its words torn.
+_TORN = """p AS (SELECT doc_id AS item_id, doc_id % 5 = 0 AS pdf, CASE WHEN doc_id % 10 = 0 THEN regexp_replace(text, '([a-z]{3})([a-z]{3})', '\\1 \\2', 'g') ELSE text END AS text FROM documents)"""
+
+
+@query("r16_torn_files", f"""WITH {_TORN},
+lex AS (SELECT word FROM (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM p WHERE NOT pdf) WHERE regexp_full_match(word, '[a-z]{{2,40}}') GROUP BY word HAVING count(*) >= 3 ORDER BY count(*) DESC, word LIMIT 200000),
+w0 AS (SELECT item_id, lower(regexp_replace(regexp_replace(unnest(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')), '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}]+$', '')) AS w, generate_subscripts(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+'), 1) AS i FROM p WHERE pdf),
+w1 AS (SELECT item_id, i, w, lag(w) OVER o AS before, lead(w) OVER o AS after FROM w0 WHERE w <> '' WINDOW o AS (PARTITION BY item_id ORDER BY i)),
+w2 AS (SELECT *, w IN (SELECT word FROM lex) AS known, coalesce(after IN (SELECT word FROM lex), false) AS next, coalesce(w || after IN (SELECT word FROM lex), false) AS joined,
+  regexp_full_match(w, '[a-z]+') AS plain, coalesce(regexp_full_match(after, '[a-z]+'), false) AS after_plain FROM w1),
+f AS (SELECT item_id, count(*) AS n, sum((plain AND length(w) BETWEEN 2 AND 4 AND NOT known AND (coalesce(regexp_matches(before, '[a-z]$'), false) OR coalesce(regexp_matches(after, '^[a-z]'), false)))::INTEGER)
+  + sum((plain AND after_plain AND length(w) >= 2 AND length(after) >= 2 AND length(w) + length(after) >= 5 AND joined AND NOT (known AND next))::INTEGER) AS k FROM w2 GROUP BY 1)
+SELECT item_id FROM f WHERE k >= 6 AND k * 1000 >= n * 6""")
+def r16(spark, d):
+    n = F.col("item_id")
+    items = m.items(spark, d).withColumn("text", F.when(n % 10 == 0, F.regexp_replace("text", "([a-z]{3})([a-z]{3})", "$1 $2")).otherwise(F.col("text")))
+    items = items.withColumn("external_id", F.when(n % 5 == 0, F.concat("external_id", F.lit(".pdf"))).otherwise(F.col("external_id")))
+    return lb.suspects(items, lb.lexicon(items))
+
+
+_IGNORES = [(".gitignore", "*.lock\n!keep_*.lock\nbuild/\n/src1/docs/**/readme_*.md\n# note\n"), ("src2/.gitignore", "!*.lock\nspec_?[0-9].py\n"), ("src2/app/.gitignore", "main_*\n!main_*.rs\n")]
+
+
+@query("s1_ignored_paths", m.with_tables("items") + """f AS (SELECT item_id, external_id AS rel, split_part(external_id, '/', 1) AS top, split_part(external_id, '/', 2) AS dir, split_part(external_id, '/', 3) AS name FROM items),
+x AS (SELECT item_id, rel FROM f WHERE dir <> 'build' AND NOT (top = 'src1' AND dir = 'docs' AND regexp_matches(name, '^readme_.*\\.md$'))
+  AND NOT (top <> 'src2' AND suffix(name, '.lock')) AND NOT (top = 'src2' AND regexp_matches(name, '^spec_.[0-9]\\.py$')) AND NOT (top = 'src2' AND dir = 'app' AND starts_with(name, 'main_') AND NOT suffix(name, '.rs'))) SELECT * FROM x""")
+def s1(spark, d):
+    from ..sources import extract
+
+    files = m.items(spark, d).select("item_id", F.col("external_id").alias("rel"))
+    return extract.not_ignored(files, spark.createDataFrame(_IGNORES, "rel string, text string"))

@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import parsers
 from . import pdf
@@ -284,14 +285,102 @@ SKIP_DIRS = (
 ).split()
 
 
-def folder(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def ignore_files(spark: SparkSession, root: str, depth: int) -> list[tuple[str, str]]:
+    """(place under the root, text) of the .gitignore files in folders of less than this depth; Spark's own listings leave dot files out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for level in range(depth):
+        pattern = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*" * level + "/.gitignore")
+        fs = pattern.getFileSystem(conf)
+        for status in fs.globStatus(pattern) or []:
+            with_root = status.getPath().toString()
+            stream = fs.open(status.getPath())
+            try:
+                found.append(("/".join(with_root.rsplit("/", level + 1)[1:]), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return found
+
+
+def folder(spark: SparkSession, root: str, pattern: str = "*", ignore: bool = True) -> DataFrame:
     """rel, path, mtime_ms, size, content of the files under root, without skipped folders; content is read only if selected.
 
-    The names of folders under the root decide, whatever their case; the root's own path never does.
+    The names of folders under the root decide, whatever their case; the root's own path never does.  With ignore, what the
+    .gitignore files under the root keep out stays out.
     """
+    if ignore:
+        files = folder(spark, root, pattern, ignore=False)
+        rules = ignore_files(spark, root, files.agg(F.max(F.size(F.split("rel", "/")))).first()[0] or 0)
+        return not_ignored(files, spark.createDataFrame(rules, "rel string, text string")) if rules else files
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
     parts = F.split(F.lower("rel"), "/")
     dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
     kept = files.withColumn("rel", rel).where(~F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in SKIP_DIRS])))
     return kept.select("rel", "path", (F.unix_millis("modificationTime")).alias("mtime_ms"), F.col("length").alias("size"), "content")
+
+
+def ignore_rule(line: str) -> tuple[str, bool, bool] | None:
+    """(pattern of paths below the rule's folder, negated, folders only) of a line of an ignore file; None for blanks and comments."""
+    line = re.sub(r"(?<!\\)[ \t]+$", "", line.rstrip("\r\n"))
+    if not line or line.startswith("#"):
+        return None
+    negated = line.startswith("!")
+    line = line[negated:]
+    folders = line.endswith("/")
+    line = line.rstrip("/") if folders else line
+    anchored = "/" in line
+    line = line.removeprefix("/")
+    if not line:
+        return None
+    out, k = "" if anchored else "(?:.*/)?", 0
+    while k < len(line):
+        rest = line[k:]
+        if rest.startswith("**/") and (k == 0 or line[k - 1] == "/"):
+            out, k = out + "(?:.*/)?", k + 3
+        elif rest == "**" and k and line[k - 1] == "/":
+            out, k = out + ".+", k + 2
+        elif m := re.match(r"\[([!^]?)(\]?[^\]]*)\]", rest):
+            out, k = out + "[" + ("^/" if m[1] else "") + re.sub(r"([\\\[&])", r"\\\1", m[2]) + "]", k + m.end()
+        elif rest[0] == "\\" and len(rest) > 1:
+            out, k = out + re.escape(rest[1]), k + 2
+        elif rest[0] in "*?":
+            run = len(rest) - len(rest.lstrip("*")) if rest[0] == "*" else 1
+            out, k = out + ("[^/]*" if rest[0] == "*" else "[^/]"), k + run
+        else:
+            out, k = out + re.escape(rest[0]), k + 1
+    return f"^{out}$", negated, folders
+
+
+def not_ignored(files: DataFrame, ignores: DataFrame, rel: str = "rel") -> DataFrame:
+    """files that no ignore file keeps out; ignores: rel (the place of an ignore file under the same root) and its text.
+
+    Every folder above a file and the file itself is held against the rules of
+    the ignore files above it.  The last rule that matches decides, those of
+    deeper folders later; what lies in a folder that is kept out stays out,
+    whatever rules below say.  Folders are judged once, not once per file.
+    """
+    rules = T.StructType.fromDDL("base string, level int, place int, pattern string, negated boolean, folders boolean")
+
+    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for at, text in zip(f["rel"], f["text"], strict=True):
+                base = at.rpartition("/")[0]
+                for k, line in enumerate((text or "").split("\n")):
+                    if (rule := ignore_rule(line)) is not None:
+                        rows.append((base, base.count("/") + 1 if base else 0, k, *rule))
+            yield pd.DataFrame(rows, columns=rules.names)
+
+    ruled = ignores.select("rel", "text").mapInPandas(lines, rules)
+    parts = F.split(F.col(rel), "/")
+    ways = files.select(F.col(rel).alias("_file"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("_n"), parts.alias("_parts"))
+    entries = ways.select("_file", F.array_join(F.slice("_parts", 1, F.col("_n")), "/").alias("entry"), (F.col("_n") < F.size("_parts")).alias("folder"), "_n", "_parts")
+    judged = entries.select("entry", "folder", "_n", F.slice("_parts", F.lit(1), F.col("_n")).alias("_parts")).distinct()
+    bases = judged.select("entry", "folder", "_parts", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_depth"))
+    below = F.array_join(F.slice("_parts", F.col("_depth") + 1, F.size("_parts")), "/")
+    placed = bases.select("entry", "folder", F.array_join(F.slice("_parts", F.lit(1), F.col("_depth")), "/").alias("base"), below.alias("_below"))
+    met = placed.join(ruled, "base").where("(folder OR NOT folders) AND _below RLIKE pattern")
+    out = met.groupBy("entry", "folder").agg(F.max_by("negated", F.struct("level", "place")).alias("_again")).where("NOT _again")
+    gone = entries.join(out, ["entry", "folder"], "left_semi").select(F.col("_file").alias(rel)).distinct()
+    return files.join(gone, rel, "left_anti").select(*files.columns)
