@@ -332,41 +332,124 @@ def markdown_blocks(text: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
-def markdown_chunks(text: str, target: int = 900, cap: int = 1500, least: int = 150, code_cap: int = 3000) -> list[tuple[str, int, int, str]]:
-    """(path, first line, last line, text): blocks packed within a section to the target, never over the cap (code: its own cap)."""
-    out: list[tuple[str, int, int, str]] = []
-    stack: list[tuple[int, str]] = []
-    held: list[tuple[int, int, str]] = []
-
-    def flush() -> None:
-        if held:
-            out.append((" > ".join(t for _, t in stack), held[0][0], held[-1][1], "\n\n".join(x for _, _, x in held)))
-            held.clear()
-
-    alone: tuple[int, int, str] | None = None  # a heading that nothing has followed yet
-    for kind, a, b, body in markdown_blocks(text):
-        if kind == "heading":
-            flush()
-            if alone:
-                out.append((" > ".join(t for _, t in stack), *alone))
-            alone = (a, b, body)
-            m = re.match(r"\s*(#{1,6})\s+(.*)", body)
-            level, name = (len(m[1]), m[2].strip()) if m else (1 if "=" in body.split("\n")[1] else 2, body.split("\n")[0].strip())
-            while stack and stack[-1][0] >= level:
-                stack.pop()
-            stack.append((level, name))
+def sentences(text: str) -> list[str]:
+    """Cut after . ! ? before white space."""
+    return [x.strip() for x in re.split(r"(?<=[.!?])\s+", text) if x.strip()]
+
+
+def _gathered(units: list[str], most: int, glue: str) -> list[str]:
+    """Units joined in order as long as they stay within most."""
+    out: list[str] = []
+    for u in units:
+        if out and len(out[-1]) + len(glue) + len(u) <= most:
+            out[-1] += glue + u
+        else:
+            out.append(u)
+    return out
+
+
+def _fitting(lines: list[str], most: int) -> list[str]:
+    return [x for line in lines for x in (windows(line, most, 0) if len(line) > most else [line])]
+
+
+def block_pieces(kind: str, body: str, cap: int = 1500, code_cap: int = 3000) -> list[str]:
+    """A block over its cap in pieces: code by lines with its fences, tables by rows with their header, lists by items, prose by sentences with one of overlap."""
+    lines = body.split("\n")
+    if len(body) <= (code_cap if kind == "code" else cap):
+        return [body]
+    if kind == "code":
+        closed = len(lines) > 1 and _FENCE.match(lines[-1])
+        head, inner, tail = lines[0], lines[1 : -1 if closed else None], lines[-1] if closed else _FENCE.match(lines[0])[1]
+        room = max(1, code_cap - len(head) - len(tail) - 2)
+        return [f"{head}\n{x}\n{tail}" for x in _gathered(_fitting(inner, room), room, "\n")]
+    if kind == "table":
+        head = lines[:2] if len(lines) > 2 and re.fullmatch(r"[\s|:-]+", lines[1]) else []
+        room = cap - len("\n".join(head)) - 1
+        if head and room > 0:
+            return ["\n".join([*head, x]) for x in _gathered(_fitting(lines[2:], room), room, "\n")]
+        return _gathered(_fitting(lines, cap), cap, "\n")
+    if kind == "list":
+        starts = [k for k, x in enumerate(lines) if re.match(r"([-*+]|\d+[.)])\s", x)] or [0]
+        items = ["\n".join(lines[a:b]) for a, b in zip([0, *starts[1:]], [*starts[1:], len(lines)], strict=True)]
+        return _gathered([x for i in items for x in (_gathered(_fitting(i.split("\n"), cap), cap, "\n") if len(i) > cap else [i])], cap, "\n")
+    words = [x for v in sentences(body) for x in (_gathered(_fitting(v.split(), cap), cap, " ") if len(v) > cap else [v])]
+    pieces = _gathered(words, cap, " ")
+    for k in range(len(pieces) - 1, 0, -1):
+        last = sentences(pieces[k - 1])[-1]
+        if len(last) + 1 + len(pieces[k]) <= cap:
+            pieces[k] = f"{last} {pieces[k]}"
+    return pieces
+
+
+def front_pairs(body: str) -> dict[str, str]:
+    """The plain pairs of a front matter block, keys in lower case."""
+    found = [re.match(r"([A-Za-z][\w -]*?)\s*:\s*(.*)", x) for x in body.split("\n")[1:-1]]
+    return {m[1].lower(): m[2].strip().strip("\"'") for m in found if m}
+
+
+def markdown_sections(text: str, stem: str = "") -> list[dict]:
+    """The sections of a markdown text: title, path, level, parent, kind, meta and blocks ((kind, first line, last line, text)).
+
+    The root is named by the front matter's title, else by the first heading of
+    level 1 (which then opens no section of its own), else by stem.  Front
+    matter is a section below it.  The root's meta tells status, date and number
+    of a decision record.
+    """
+    blocks = markdown_blocks(text)
+    front = front_pairs(blocks[0][3]) if blocks and blocks[0][0] == "front" else {}
+
+    def heading(body: str) -> tuple[int, str]:
+        m = re.match(r"\s*(#{1,6})\s+(.*)", body)
+        return (len(m[1]), re.sub(r"\s+#+\s*$", "", m[2]).strip()) if m else (1 if "=" in body.split("\n")[1] else 2, body.split("\n")[0].strip())
+
+    top = next((k for k, b in enumerate(blocks) if b[0] == "heading" and heading(b[3])[0] == 1 and heading(b[3])[1]), None)
+    first = heading(blocks[top][3])[1] if top is not None else ""
+    title = front.get("title") or first or stem
+    donated = top if top is not None and first.lower() == title.lower() else None
+    meta = {k: front[k] for k in ("status", "date") if front.get(k)}
+    if m := re.match(r"(?i)adr[-_ ]?0*(\d+)", title) or re.match(r"(?i)adr[-_ ]?0*(\d+)", stem):
+        meta["number"] = m[1]
+    out = [{"title": title, "path": title, "level": 0, "parent": None, "kind": "section", "meta": meta, "blocks": []}]
+    if front or blocks and blocks[0][0] == "front":
+        path = f"{title} > Front matter" if title else "Front matter"
+        out.append({"title": "Front matter", "path": path, "level": 1, "parent": 0, "kind": "front_matter", "meta": front, "blocks": [blocks[0]]})
+    way = [(0, 0)]  # (level of the heading, section)
+    for k, block in enumerate(blocks):
+        if block[0] == "front":
             continue
-        alone = None
-        limit = code_cap if kind == "code" else cap
-        parts = [body] if len(body) <= limit else [body[k : k + limit] for k in range(0, len(body), limit)] if kind == "code" else windows(body, limit, limit // 8)
-        for part in parts:
-            size = sum(len(x) + 2 for _, _, x in held)
-            if held and (size + len(part) > cap or size >= target and len(part) >= least):
-                flush()
-            held.append((a, b, part))
-    flush()
-    if alone:
-        out.append((" > ".join(t for _, t in stack), *alone))
+        if k == donated:
+            out[0]["blocks"].append(("paragraph", *block[1:]))
+        elif block[0] == "heading":
+            level, name = heading(block[3])
+            while len(way) > 1 and way[-1][0] >= level:
+                way.pop()
+            above = out[way[-1][1]]
+            out.append({"title": name, "path": f"{above['path']} > {name}" if above["path"] else name, "level": level, "parent": way[-1][1], "kind": "section", "meta": {}, "blocks": [("paragraph", *block[1:])]})
+            way.append((level, len(out) - 1))
+        else:
+            out[way[-1][1]]["blocks"].append(block)
+    return out
+
+
+def markdown_chunks(text: str, stem: str = "", target: int = 900, cap: int = 1500, least: int = 150, code_cap: int = 3000) -> list[tuple[str, int, int, str]]:
+    """(path, first line, last line, text): whole blocks packed within a section to the target; longer ones in pieces of their kind; short chunks join the one before."""
+    out: list[tuple[str, int, int, str]] = []
+    for section in markdown_sections(text, stem):
+        mine: list[tuple[int, int, str, bool]] = []  # whether more may follow
+        for kind, a, b, body in section["blocks"]:
+            if len(body) > cap:
+                mine += [(a, b, x, False) for x in block_pieces(kind, body, cap, code_cap)]
+            elif mine and mine[-1][3] and len(mine[-1][2]) + 2 + len(body) + 2 <= target:
+                mine[-1] = (mine[-1][0], b, f"{mine[-1][2]}\n\n{body}", True)
+            else:
+                mine.append((a, b, body, True))
+        done: list[tuple[str, int, int, str]] = []
+        for a, b, body, _ in mine:
+            if done and len(body) < least and len(done[-1][3]) + 2 + len(body) <= code_cap:
+                done[-1] = (section["path"], done[-1][1], b, f"{done[-1][3]}\n\n{body}")
+            else:
+                done.append((section["path"], a, b, body))
+        out += done
     return out
 
 
@@ -417,56 +500,6 @@ def is_minified(text: str) -> bool:
     return size > 50_000 and breaks < 10 or size > 2000 * (breaks + 1)
 
 
-def config_entries(text: str, kind: str) -> list[tuple[str, int, int]]:
-    """(key, first line, last line) of the top-level entries of YAML, JSON or TOML text, by structure alone; the first takes the lines above it."""
-    lines, starts = text.split("\n"), []
-    if kind in ("json", "jsonc"):
-        depth, quoted, escaped, comment = 0, False, False, False
-        for n, line in enumerate(lines, 1):
-            m = re.match(r'\s*"((?:[^"\\]|\\.)*)"\s*:', line)
-            if depth == 1 and m and not comment:
-                starts.append((m[1], n))
-            k = 0
-            while k < len(line):
-                two, c = line[k : k + 2], line[k]
-                if comment:
-                    comment = two != "*/"
-                    k += 1 if comment else 2
-                    continue
-                if quoted:
-                    quoted = escaped or c != '"'
-                    escaped = c == "\\" and not escaped
-                elif two == "//":
-                    break
-                elif two == "/*":
-                    comment = True
-                elif c == '"':
-                    quoted = True
-                elif c in "{[":
-                    depth += 1
-                elif c in "}]":
-                    depth -= 1
-                k += 1
-            quoted = escaped = False
-    elif kind == "toml":
-        starts = [(m[1].strip(), n) for n, line in enumerate(lines, 1) if (m := re.match(r"\s*\[\[?([^\]]+)\]\]?", line))]
-    else:
-        scalar = None
-        for n, line in enumerate(lines, 1):
-            indent = len(line) - len(line.lstrip(" "))
-            if scalar is not None and (not line.strip() or indent > scalar):
-                continue
-            scalar = None
-            if line.strip() in ("---", "...") or line.lstrip().startswith("#"):
-                continue
-            m = re.match(r"(- )?([^\s#:][^:]*):(?=\s|$)(.*)", line)
-            if m and indent == 0:
-                starts.append((m[2].strip().strip("\"'"), n))
-            if re.search(r":\s*[|>][+-]?\s*$", line):
-                scalar = indent
-    return [(k, n if i else 1, starts[i + 1][1] - 1 if i + 1 < len(starts) else len(lines)) for i, (k, n) in enumerate(starts)]
-
-
 _FIELD = re.compile(r"\s*(?:\*\*([A-Za-z ]+):\*\*|\*\*([A-Za-z ]+)\*\*:|([A-Z][a-z]+):)\s*(.*)")
 _ID = re.compile(r"\b((?:D|ADR)-?\d{1,5})\b")
 _BULLET = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+(.*)")

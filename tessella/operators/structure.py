@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import parsers
+from ..functions import configs, parsers
 
 
 def per_document(docs: DataFrame, key: str, text: str, schema: str, parse: Callable[[str], list[tuple]]) -> DataFrame:
@@ -45,16 +47,20 @@ def _kind(path: str) -> str:
     return path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
 
 
-def chunk(path_kind: str, text: str) -> list[tuple[int, str, int, int, str]]:
-    """(idx, path, first line, last line, content): configuration by entries, markdown by blocks, code by symbols, other text by sections."""
+def _stem(path: str) -> str:
+    return re.sub(r"(?<=.)\.[^.]*$", "", re.split(r"[/\\]", path)[-1]).strip() or "Untitled document"
+
+
+def chunk(path_kind: str, text: str, stem: str = "") -> list[tuple[int, str, int, int, str]]:
+    """(idx, path, first line, last line, content): configuration by keys and list entries, markdown by blocks, code by symbols, other text by sections."""
     rows: list[tuple[str, int, int, str]] = []
     lines = text.split("\n")
     if parsers.is_minified(text):
         rows = [("", 1, len(lines), w) for w in parsers.windows(text, 2000, 0)]
     elif path_kind in ("yml", "yaml", "json", "jsonc", "toml"):
-        rows = [(k, *p) for k, a, b in parsers.config_entries(text, "yaml" if path_kind == "yml" else path_kind) for p in parsers.line_pieces(lines, a, b)]
+        rows = configs.config_chunks(text, path_kind)
     elif path_kind in ("md", "markdown"):
-        rows = parsers.markdown_chunks(text)
+        rows = parsers.markdown_chunks(text, stem)
     elif path_kind in ("py", "pyi", "rb", "rs", "ts", "js", "go", "java", "cs", "c", "cpp"):
         style = "indent" if path_kind in ("py", "pyi", "rb") else "brace"
         symbols = parsers.code_symbols(text, style)
@@ -69,17 +75,26 @@ def chunk(path_kind: str, text: str) -> list[tuple[int, str, int, int, str]]:
 
 def chunked(items: DataFrame, key: str, path: str, text: str = "text") -> DataFrame:
     """Chunks of every item by the rules of its file kind."""
-    from pyspark.sql import functions as F
-
     tagged = items.select(key, F.concat(F.col(path), F.lit("\0"), F.col(text)).alias("_t"))
 
     def parse(t: str) -> list[tuple]:
         p, _, body = t.partition("\0")
-        return chunk(_kind(p), body)
+        return chunk(_kind(p), body, _stem(p))
 
     return per_document(tagged, key, "_t", "idx int, path string, first_line int, last_line int, content string", parse)
 
 
+def config_sections(docs: DataFrame, key: str, path: str, text: str = "text") -> DataFrame:
+    """idx, title, path, level, parent, lines and promoted pairs of the sections of configuration texts."""
+    tagged = docs.select(key, F.concat(F.col(path), F.lit("\0"), F.col(text)).alias("_t"))
+
+    def parse(t: str) -> list[tuple]:
+        p, _, body = t.partition("\0")
+        return [(n, s.title, s.path, s.level, s.parent, s.first, s.last, list(s.promoted.items())) for n, s in enumerate(configs.sections(body, _kind(p)))]
+
+    return per_document(tagged, key, "_t", "idx int, title string, path string, level int, parent int, first_line int, last_line int, promoted map<string,string>", parse)
+
+
 def sectioned(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     def parse(t: str) -> list[tuple]:
         return [(n, s.title, s.level, s.path, s.parent, s.start, s.end) for n, s in enumerate(parsers.prose_sections(t, "root"))]

@@ -322,3 +322,32 @@ def s3(spark, d):
     mime = F.when(n % 8 == 7, "google-apps.folder").when(n % 4 == 0, "google-apps.document").when(n % 4 == 1, "google-apps.spreadsheet").when(n % 4 == 2, "google-apps.drawing").otherwise("other")
     body = F.concat(F.lit('{"files":[{"id":"'), n.cast("string"), F.lit('","name":"f'), n.cast("string"), F.lit('.docx","mimeType":"application/vnd.'), mime, F.lit('"}]}'))
     return paged.drive_plan(m.table(spark, d, "documents").select(body.alias("body"))).select("external_id", "title", "kind", "export")
+
+
+@query("c13_config_sections", """WITH t AS (SELECT doc_id, lang, source FROM documents),
+x AS (SELECT doc_id, 0 AS idx, 'rules' AS title, 'rules' AS path, 1 AS level, NULL::INTEGER AS parent, 1 AS first_line, 11 AS last_line, 0 AS pairs FROM t
+UNION ALL SELECT doc_id, 1, 'id: r' || doc_id || ', langCode: ' || lang, 'rules > id: r' || doc_id || ', langCode: ' || lang, 2, 0, 1, 6, 2 FROM t
+UNION ALL SELECT doc_id, 2, 'when: ' || source, 'rules > when: ' || source, 2, 0, 7, 10, 0 FROM t
+UNION ALL SELECT doc_id, 3, '#3', 'rules > #3', 2, 0, 11, 11, 0 FROM t
+UNION ALL SELECT doc_id, 4, 'version, owner', 'version, owner', 1, NULL, 12, 13, 0 FROM t
+UNION ALL SELECT doc_id, 5, 'source (name: ' || source || ')', 'source (name: ' || source || ')', 1, NULL, 15, 18, 1 FROM t) SELECT * FROM x""")
+def c13(spark, d):
+    lines = ["# rules of a document", "rules:", "  - id: 'r%s'", "    langCode: %s", "    note: |", "      id: not a key", "  # the second", "  - when: %s  # where", "    then:", "      - stop", "  - [1, 2]", "version: 3", 'owner: "a: b"', "", "source:", "  name: %s", "  weights:", "    - 5"]
+    text = F.format_string("\n".join(lines), F.col("doc_id").cast("string"), "lang", "source", "source")
+    files = m.table(spark, d, "documents").select("doc_id", F.lit("a/rules.yml").alias("path"), text.alias("text"))
+    found = st.config_sections(files.withColumnRenamed("path", "_path"), "doc_id", "_path")
+    return found.select("doc_id", "idx", "title", "path", "level", "parent", "first_line", "last_line", F.size("promoted").alias("pairs"))
+
+
+@query("c15_c16_markdown_chunks", """WITH t AS (SELECT doc_id, lang, source FROM documents),
+x AS (SELECT doc_id, 0 AS idx, 'Item ' || doc_id AS path, 5 AS first_line, 7 AS last_line, '# Item ' || doc_id || chr(10) || chr(10) || 'About ' || source || '.' AS content FROM t
+UNION ALL SELECT doc_id, 1, 'Item ' || doc_id || ' > Front matter', 1, 4, '---' || chr(10) || 'title: Item ' || doc_id || chr(10) || 'status: draft' || chr(10) || '---' FROM t
+UNION ALL SELECT doc_id, 2, 'Item ' || doc_id || ' > Table', 9, 9, '## Table' FROM t
+UNION ALL SELECT doc_id, 3 + k, 'Item ' || doc_id || ' > Table', 10, 91, '| key | value |' || chr(10) || '|---|---|' || chr(10) || list_aggregate(list_transform(range(1 + 24 * k, least(81, 25 + 24 * k)), lambda i: '| ' || lpad(i::VARCHAR, 3, '0') || ' | ' || lang || repeat('x', 47) || ' |'), 'string_agg', chr(10))
+  FROM t, (SELECT unnest(range(4)) AS k)) SELECT * FROM x WHERE idx < 99""")
+def c16(spark, d):
+    """A front matter, a heading of the same name, and a table of eighty rows, which goes into pieces with its header."""
+    row = F.transform(F.sequence(F.lit(1), F.lit(80)), lambda i: F.concat(F.lit("| "), F.lpad(i.cast("string"), 3, "0"), F.lit(" | "), F.col("lang"), F.lit("x" * 47 + " |")))
+    head = F.format_string("---\ntitle: Item %s\nstatus: draft\n---\n# Item %s\n\nAbout %s.\n\n## Table\n| key | value |\n|---|---|\n", F.col("doc_id").cast("string"), F.col("doc_id").cast("string"), "source")
+    files = m.table(spark, d, "documents").select("doc_id", F.lit("notes/item.md").alias("_path"), F.concat(head, F.array_join(row, "\n")).alias("text"))
+    return st.chunked(files, "doc_id", "_path")

@@ -1,7 +1,10 @@
+import random
+import json
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from tessella.functions import configs
 from tessella.functions import parsers as p
 from tessella.operators import structure
 
@@ -63,9 +66,10 @@ def test_glossary_and_initialisms():
 def test_code_and_configuration():
     assert [x[0] for x in p.code_symbols("class A:\n    def f(self):\n        def deep():\n            pass\ndef g():\n    pass", "indent")] == ["A", "A.f", "g"]
     assert [x[0] for x in p.code_symbols("export class A {\n  x\n}\nconst f = (a) => 1\npub fn g() {}", "brace")] == ["A", "f", "g"]
-    assert p.config_entries("a: 1\nurl: http://x\nb:\n  c: 2\nd: |\n  x: y\n", "yaml")[-1][0] == "d"
-    assert [k for k, *_ in p.config_entries('{\n "a": {"x": 1},\n // c\n "b": [\n 1]\n}', "jsonc")] == ["a", "b"]
-    assert [k for k, *_ in p.config_entries("[one]\nx=1\n[[two]]\ny=2", "toml")] == ["one", "two"]
+    titles = lambda *a: [s.title for s in configs.sections(*a)]
+    assert titles("a: 1\nurl: http://x\nb:\n  c: 2\nd: |\n  x: y\n", "yaml") == ["a, url", "b", "d"]
+    assert titles('{\n "a": {"x": 1},\n // c\n "b": [\n 1]\n}', "jsonc") == ["a", "b"]
+    assert titles("[one]\nx=1\n[[two]]\ny=2", "toml") == ["one", "two"]
     assert p.is_minified("x" * 3000) and not p.is_minified("x\n" * 3000)
 
 
@@ -82,7 +86,7 @@ def test_chunks_of_code_and_configuration_cover_every_line():
     }
     for kind, text in cases.items():
         lines, rows = text.split("\n"), structure.chunk(kind, text)
-        assert {n for _, _, a, b, _ in rows for n in range(a, b + 1)} == set(range(1, len(lines) + 1)), kind
+        assert {n for _, _, a, b, _ in rows for n in range(a, b + 1)} >= {n for n, x in enumerate(lines, 1) if x.strip()}, kind  # blank lines at the edges of a chunk stay out
         assert all(content == "\n".join(lines[a - 1 : b]) for _, _, a, b, content in rows), kind
     assert p.code_symbols(cases["py"], "indent")[0] == ("", "preamble", 1, 4)
     assert len(p.code_symbols(cases["py"], "indent")) == 601
@@ -130,3 +134,83 @@ def test_every_line_is_in_a_chunk_and_no_chunk_is_huge(kind):
         assert max(len(r[4]) for r in rows) <= 4600
         if kind in ("py", "rs"):
             assert [v for r in rows for v in r[4].split("\n") if v.strip()] == [v for v in lines if v.strip()]  # each once, in order
+
+
+def test_entries_of_a_list_are_sections_named_by_what_identifies_them():
+    text = "# the rules\nrules:\n  - id: r1\n    tenantName: 'north'\n    on: true\n    body: |\n      id: no key\n\n      more\n  # second\n  - when: x # note\n    then:\n      - a\n      - b\n  - [1, 2]\nversion: 3\nname: \"n: 1\"\n\nlast:\n  code: c9\n"
+    got = configs.sections(text, "yml")
+    assert [(s.path, s.level, s.parent, s.first, s.last) for s in got] == [
+        ("rules", 1, None, 1, 15), ("rules > id: r1, tenantName: north", 2, 0, 1, 9), ("rules > when: x", 2, 0, 10, 14), ("rules > #3", 2, 0, 15, 15), ("version, name", 1, None, 16, 17), ("last (code: c9)", 1, None, 19, 20),
+    ]
+    assert got[1].promoted == {"id": "r1", "tenantName": "north"} and got[0].chunks == [] and got[1].chunks == [(1, 9)]
+    rows = '[\n  {"id": 1, "type": "a"},\n  {\n    "settle_code": "x",\n    "deep": {\n      "id": 2\n    }\n  }, // c\n  3\n]'
+    assert [s.title for s in configs.sections(rows, "jsonc")] == ["id: 1, type: a", "settle_code: x", "#3"]
+    tables = 'title = "t"\n[[job]]\nname = "one"\n[[job]]\nname = "two"\ntext = """\nname = 3\n"""\n[other.part]\nx = 1'
+    assert [s.path for s in configs.sections(tables, "toml")] == ["title", "job", "job > name: one", "job > name: two", "other.part"]
+    assert [s.path for s in configs.sections("[1, 2]\n# only", "json")] == [""] and [s.title for s in configs.sections("- a\n- b\n", "yaml")] == ["list"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_configuration_chunks_hold_every_line_once_and_in_order(seed):
+    rng = random.Random(seed)
+
+    def value(depth):
+        if depth < 4 and rng.random() < 0.5:
+            return {f"{rng.choice(['id', 'name', 'k'])}{i if rng.random() < 0.7 else ''}": value(depth + 1) for i in range(rng.randint(0, 5))}
+        if depth < 4 and rng.random() < 0.4:
+            return [value(depth + 1) for _ in range(rng.randint(0, 6))]
+        return rng.choice([1, "x", "word " * rng.choice([1, 40, 400]), None, True])
+
+    tree = {f"top{i}": value(1) for i in range(rng.randint(1, 6))}
+    texts = {"json": json.dumps(tree, indent=rng.choice([1, 2, 4])), "yaml": as_yaml(tree, rng), "toml": "\n".join(f"[{k}]\nx = {json.dumps(str(v))}\n# c" for k, v in tree.items())}
+    for kind, text in texts.items():
+        lines = text.split("\n")
+        chunks = configs.config_chunks(text, kind)
+        seen = [n for _, a, b, _ in chunks for n in range(a, b + 1)]
+        assert seen == sorted(set(seen)) and {n for n, x in enumerate(lines, 1) if x.strip()} <= set(seen)
+        assert all("\n".join(lines[a - 1 : b]) == body for _, a, b, body in chunks)
+        assert all(len(body) <= configs.CAP or a == b for _, a, b, body in chunks)
+
+
+def as_yaml(tree, rng, indent=0):
+    pad, out = " " * indent, []
+    for k, v in tree.items() if isinstance(tree, dict) else [(None, v) for v in tree]:
+        head = pad + (f"{k}:" if k is not None else "-")
+        if rng.random() < 0.2:
+            out += ["", pad + "# note"]
+        if isinstance(v, (dict, list)) and v:
+            below = as_yaml(v, rng, indent + 2)
+            out += [head + " " + below.lstrip()] if k is None and below.lstrip() and not below.lstrip().startswith("#") else [head, below]
+        elif isinstance(v, str) and rng.random() < 0.4:
+            out += [head + " |", *[pad + "    id: " + x for x in v.split(" ")[:9]]]
+        else:
+            out.append(f"{head} {json.dumps(v)}")
+    return "\n".join(out)
+
+
+def test_markdown_sections_have_a_root_and_front_matter():
+    text = "---\ntitle: 'ADR 007'\nStatus: accepted\n---\n# adr 007\n\nintro\n\n## One ##\ntext\n\nTwo\n---\nmore"
+    got = p.markdown_sections(text, "file")
+    assert [(s["path"], s["level"], s["parent"]) for s in got] == [("ADR 007", 0, None), ("ADR 007 > Front matter", 1, 0), ("ADR 007 > One", 2, 0), ("ADR 007 > Two", 2, 0)]
+    assert got[0]["meta"] == {"status": "accepted", "number": "7"} and [b[3] for b in got[0]["blocks"]] == ["# adr 007", "intro"]
+    assert [s["path"] for s in p.markdown_sections("para\n\n# Other\nx", "file")] == ["Other"]
+    assert [s["path"] for s in p.markdown_sections("para", "file")] == ["file"]
+
+
+def test_long_blocks_are_cut_by_their_kind():
+    table = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | {'x' * 40} |" for i in range(100))
+    parts = p.block_pieces("table", table)
+    assert len(parts) > 2 and all(x.startswith("| a | b |\n|---|---|\n| ") and len(x) <= 1500 for x in parts)
+    assert [r for x in parts for r in x.split("\n")[2:]] == table.split("\n")[2:]
+    code = "```py\n" + "\n".join(f"    line_{i} = {i}" for i in range(400)) + "\n```"
+    parts = p.block_pieces("code", code)
+    assert all(x.startswith("```py\n") and x.endswith("\n```") and len(x) <= 3000 for x in parts) and [r for x in parts for r in x.split("\n")[1:-1]] == code.split("\n")[1:-1]
+    items = "\n".join(f"- item {i} {'y' * 60}\n  below" for i in range(60))
+    parts = p.block_pieces("list", items)
+    assert all(x.startswith("- item") and len(x) <= 1500 for x in parts) and "\n".join(parts) == items
+    prose = " ".join(f"Sentence number {i} is {'long ' * 8}here." for i in range(80))
+    parts = p.block_pieces("paragraph", prose)
+    assert all(len(x) <= 1500 for x in parts) and all(p.sentences(b)[0] == p.sentences(a)[-1] or len(p.sentences(a)[-1]) + 1 + len(b) > 1500 for a, b in zip(parts, parts[1:], strict=False))
+    parts = p.block_pieces("paragraph", " ".join(f"Number {i} " + "w" * 700 + "." for i in range(5)))
+    assert [x.count("Number") for x in parts] == [2, 2, 2] and parts[2].startswith("Number 3")  # the last one has room for a sentence before
+    assert all(len(x) <= 1500 for x in p.block_pieces("paragraph", "z" * 4000)) and "".join(p.block_pieces("paragraph", "z" * 4000)) == "z" * 4000
