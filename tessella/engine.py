@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import model
-from .operators import answers, library, relations, retrieval, search, structure, trees
+from .operators import answers, library, portability, relations, retrieval, search, structure, trees
 from .operators.index import KeywordIndex
 from .sources import extract
 from .storage import Scratch
@@ -162,6 +162,10 @@ class Engine:
         """The entities after disputes (entity_id)."""
         return relations.dispute(self.entities, disputes)
 
+    def import_bundle(self, tables: dict[str, DataFrame], path: str, replace: bool = False, dry_run: bool = False) -> portability.Imported:
+        """tables after the import of a bundle that ``portability.write_bundle`` wrote, and what it changed."""
+        return portability.import_lines(self.spark, tables, portability.read_bundle(self.spark, path), replace, dry_run)
+
     def import_items(self, incoming: DataFrame, stamp: str = "created_at") -> DataFrame:
         """The items after an import: by id, the later stamp wins."""
         return relations.merge_last_writer(self.items, incoming, "item_id", stamp)

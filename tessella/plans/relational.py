@@ -744,3 +744,62 @@ def r32(spark, d):
     marked = F.concat(F.substring(text, F.lit(1), half), F.lit("\n[match "), n.cast("string"), F.lit("]\n"), F.substring(text, half + 1, F.length(text)))
     docs = m.table(spark, d, "documents").where("text IS NOT NULL").select(n, F.when(n % 3 == 0, text).otherwise(marked).alias("t"))
     return docs.select("doc_id", content_window(F.col("t"), n, 200).alias("shown"))
+
+
+def _portable(spark, d):
+    """Items and sections of the documents with uids, stamps and sources."""
+    n = F.col("item_id")
+    stamp = F.date_format(F.col("created_at"), "yyyy-MM-dd HH:mm:ss").alias("updated_at")
+    sources = m.sources(spark, d).select("source_id", F.col("name").alias("uid"), "name", F.lit("2024-01-01").alias("updated_at"))
+    items = m.items(spark, d).select("item_id", F.concat(F.lit("i"), n.cast("string")).alias("uid"), "source_id", F.col("external_id").alias("path"), stamp)
+    sections = m.sections(spark, d).select("section_id", F.concat(F.lit("s"), F.col("section_id").cast("string")).alias("uid"), "item_id", "parent_id", "title", F.lit("2024-01-01").alias("updated_at"))
+    return {"source": sources, "item": items, "section": sections}
+
+
+def _other_library(spark, d):
+    """Another installation's library: every second item with ids of its own, paths of every third changed later, of the others earlier."""
+    from ..operators import portability
+
+    t = _portable(spark, d)
+    n = F.col("item_id")
+    items = t["item"].where(n % 2 == 0).withColumn("path", F.concat(F.lit("new/"), "path")).withColumn("updated_at", F.when(n % 3 == 0, "2099-01-01").otherwise("1999-01-01"))
+    moved = {"source": t["source"], "item": items.withColumn("item_id", n + 7_000_000), "section": t["section"].where(n % 2 == 0).withColumn("item_id", n + 7_000_000).withColumns({"section_id": F.col("section_id") + 5, "parent_id": F.col("parent_id") + 5})}
+    return portability.export(moved)
+
+
+@query("s25_export_scope", m.with_tables("items", "sections") + """k AS (SELECT item_id FROM items WHERE source_id IN (1, 2)),
+x AS (SELECT 'source' AS kind, 'src' || s AS uid, NULL AS refs FROM (SELECT unnest([1, 2]) AS s) WHERE s IN (SELECT source_id FROM items)
+UNION ALL SELECT 'item', 'i' || item_id, '{"source_id":"src' || source_id || '"}' FROM items WHERE item_id IN (SELECT item_id FROM k)
+UNION ALL SELECT 'section', 's' || section_id, '{"item_id":"i' || item_id || '"' || CASE WHEN parent_id IS NULL THEN '' ELSE ',"parent_id":"s' || parent_id || '"' END || '}' FROM sections WHERE item_id IN (SELECT item_id FROM k)) SELECT * FROM x""")
+def s25_scope(spark, d):
+    from ..operators import portability
+
+    t = _portable(spark, d)
+    lines = portability.export(t, t["source"].where("source_id IN (1, 2)").select("source_id"))
+    return lines.select("kind", "uid", F.get_json_object("line", "$.refs").alias("refs"))
+
+
+@query("s26_import_uids", m.with_tables("items", "sections") + """here AS (SELECT item_id FROM items WHERE item_id % 5 <> 0), there AS (SELECT item_id FROM items WHERE item_id % 2 = 0),
+i AS (SELECT item_id, CASE WHEN h.item_id IS NULL OR t.item_id % 3 = 0 AND t.item_id IS NOT NULL THEN 'new/' || external_id ELSE external_id END AS path FROM items LEFT JOIN here h USING (item_id) LEFT JOIN there t USING (item_id) WHERE h.item_id IS NOT NULL OR t.item_id IS NOT NULL),
+x AS (SELECT 's' || section_id AS uid, 'i' || item_id AS item_uid, path, 's' || parent_id AS parent_uid FROM sections JOIN i USING (item_id)) SELECT * FROM x""".replace("path, 's'", "i.path AS path, 's'"))
+def s26_uids(spark, d):
+    """Sections after an import of another library, with what their ids lead to."""
+    from ..operators import portability
+
+    t = _portable(spark, d)
+    own = {"source": t["source"], "item": t["item"].where("item_id % 5 <> 0"), "section": t["section"].where("item_id % 5 <> 0")}
+    now = portability.import_lines(spark, own, _other_library(spark, d)).tables
+    items = now["item"].select("item_id", F.col("uid").alias("item_uid"), "path")
+    parents = now["section"].select(F.col("section_id").alias("parent_id"), F.col("uid").alias("parent_uid"))
+    return now["section"].select("uid", "item_id", "parent_id").join(items, "item_id").join(parents, "parent_id", "left").select("uid", "item_uid", "path", "parent_uid")
+
+
+@query("s26_dry_run", m.with_tables("items", "sections") + """x AS (SELECT 'source' AS kind, 0::BIGINT AS added, 0::BIGINT AS updated, count(DISTINCT source_id) AS kept, 0::BIGINT AS removed, 0::BIGINT AS unresolved FROM items
+UNION ALL SELECT 'item', count(*) FILTER (item_id % 5 = 0), count(*) FILTER (item_id % 5 <> 0 AND item_id % 3 = 0), count(*) FILTER (item_id % 5 <> 0 AND item_id % 3 <> 0), 0, 0 FROM items WHERE item_id % 2 = 0
+UNION ALL SELECT 'section', count(*) FILTER (item_id % 5 = 0), 0, count(*) FILTER (item_id % 5 <> 0), 0, 0 FROM sections WHERE item_id % 2 = 0) SELECT * FROM x""")
+def s26_dry_run(spark, d):
+    from ..operators import portability
+
+    t = _portable(spark, d)
+    own = {"source": t["source"], "item": t["item"].where("item_id % 5 <> 0"), "section": t["section"].where("item_id % 5 <> 0")}
+    return portability.import_lines(spark, own, _other_library(spark, d), dry_run=True).report
