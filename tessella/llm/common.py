@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ BROADCAST_BYTES = 48 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at the end of a task its memory goes back to the system: workers are kept between tasks, and theirs counts on."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library cannot
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     """Arrow batches of at most so many rows for what is written inside: texts of thousands of rows at once would fill a worker twice over.

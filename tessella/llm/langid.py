@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 UNKNOWN = "und"
 #: Texts that the driver looks at together when it fits.
 FIT_BATCH = 64
@@ -242,7 +244,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "tex
                 names, score, rejected = held.value.predict([x or "" for x in b.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=out.names)
 
-    return base.mapInArrow(run, out).select(*[F.col("text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in kept], "lang_pred", "score", "rejected")
+    return base.mapInArrow(tidy(run), out).select(*[F.col("text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in kept], "lang_pred", "score", "rejected")
 
 
 def held_out(doc_id: Column) -> Column:

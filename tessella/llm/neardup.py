@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import Scratch, release, small_side
+from .common import Scratch, release, small_side, tidy
 
 #: The rows of a band: four 16-bit values make the 64 bits of a bucket's key.
 ROWS = 4
@@ -81,7 +81,7 @@ def _signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 lists = pa.array([x if ok else None for x, ok in zip(lists.to_pylist(), some, strict=True)], pa.list_(pa.int64())) if not some.all() else lists
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def _sets(texts: DataFrame, s: Settings) -> DataFrame:
@@ -95,7 +95,7 @@ def _sets(texts: DataFrame, s: Settings) -> DataFrame:
                 found = shingles.sets([(x or "").encode() for x in b.column(1).to_pylist()], s.words)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.tobytes() for f in found], pa.binary())], names=out.names)
 
-    return texts.select("rid", "text").mapInArrow(run, out)
+    return texts.select("rid", "text").mapInArrow(tidy(run), out)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def _sift(members: DataFrame, s: Settings) -> DataFrame:
             if seen.any():
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(seen)) for c in g.columns[:-1]], names=out.names)
 
-    return members.mapInArrow(run, out)
+    return members.mapInArrow(tidy(run), out)
 
 
 def _verify(members: DataFrame, s: Settings) -> DataFrame:
@@ -218,7 +218,7 @@ def _verify(members: DataFrame, s: Settings) -> DataFrame:
                 root = rid[order][_rooted(len(rid), [(int(back[i]), back[o]) for i, o in pairs])][back]
                 yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(root[some]), pa.array(links[some])], names=out.names)
 
-    return members.mapInArrow(run, out)
+    return members.mapInArrow(tidy(run), out)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

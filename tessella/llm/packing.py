@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small_batches, small_side
+from .common import Scratch, small_batches, small_side, tidy
 
 CAPACITY = 2048
 #: Bytes of token ids that leave a Python worker at a time, about.
@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str], capacity: int = CAP
                 if row:
                     yield out(b, row, piece, start, ids)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def place(scratch: Scratch, parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, partitions_for, small_batches
+from .common import Scratch, partitions_for, small_batches, tidy
 
 #: The columns that packing makes; columns of the documents with these names are left out.
 MADE = ("start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -69,7 +69,7 @@ def tokenised(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "tex
                         yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(ids)), n, pa.array(ids, pa.binary())], names=schema.names)
                         first, ids, size = k + 1, [], 0
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:
@@ -123,7 +123,7 @@ class Weights:
             there = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(held[there])], names=["term", "n"])
 
-        rows = stored.select("ids", "n").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect()
+        rows = stored.select("ids", "n").mapInArrow(tidy(run), "term int, n long").groupBy("term").agg(F.sum("n")).collect()
         docs, average = stored.agg(F.count("*"), F.avg("n")).first()
         df = np.zeros(max([r[0] for r in rows], default=-1) + 1)
         for term, n in rows:
@@ -151,7 +151,7 @@ def with_keys(stored: DataFrame, weights: Weights, s: Settings = Settings()) ->
             keys[turn[few], doc[few]] = term[order][few]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(k) for k in keys]], names=schema.names)
 
-    return stored.mapInArrow(run, schema)
+    return stored.mapInArrow(tidy(run), schema)
 
 
 class InvertedIndex:
@@ -255,7 +255,7 @@ def place(rows: DataFrame, weights: Weights, payload: bool, s: Settings = Settin
         if ids:
             yield from shard(True)
 
-    return rows.select("kept", "n", "ids").mapInArrow(run, schema)
+    return rows.select("kept", "n", "ids").mapInArrow(tidy(run), schema)
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: list[str], payload: bool = True, text: str = "text", s: Settings = Settings(), ranges: int | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, keyed, partitions_for, release, width_for
+from .common import Scratch, keyed, partitions_for, release, small_batches, tidy, width_for
 from .tokens import mixed, powers
 
 
@@ -181,7 +181,7 @@ def _spans(store: DataFrame, s: Settings) -> DataFrame:
                     [row, pa.array(start), pa.array(count, pa.int32()), pa.array(offset, pa.int32()), pa.array(gram.view(np.int64)), pa.array(span.view(np.int64))], names=out.names
                 )
 
-    return store.select("row", "text").mapInArrow(run, out)
+    return store.select("row", "text").mapInArrow(tidy(run), out)
 
 
 CUT = "row long, start long, count int, single boolean, hot boolean, lead binary, body binary, digests binary, whole binary, middle binary"
@@ -227,7 +227,7 @@ def _cut(texts: DataFrame, s: Settings) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=out.names)
 
-    return texts.mapInArrow(run, out)
+    return texts.mapInArrow(tidy(run), out)
 
 
 FOUND = "row long, start long, count int"
@@ -261,7 +261,7 @@ def _bucket_repeats(spans: DataFrame, s: Settings) -> DataFrame:
         if held:
             yield flush(held)
 
-    return spans.select("row", "start", "count", "single", "lead", "body").mapInArrow(run, out)
+    return spans.select("row", "start", "count", "single", "lead", "body").mapInArrow(tidy(run), out)
 
 
 def _windows(blocks: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _windows(blocks: DataFrame) -> DataFrame:
                     [b.column(0).take(take), pa.array(at), b.column(3).take(take), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=out.names
                 )
 
-    return blocks.select("row", "start", "count", "single", "digests").mapInArrow(run, out)
+    return blocks.select("row", "start", "count", "single", "digests").mapInArrow(tidy(run), out)
 
 
 EDGE = "high long, low long, row long, at long, single boolean, sure boolean"
@@ -308,12 +308,13 @@ def _window_repeats(windows: DataFrame) -> DataFrame:
         rows = t.select(["high", "low", "row", "at", "single"]).take(pick).combine_chunks()
         yield pa.RecordBatch.from_arrays([*[c.chunk(0) for c in rows.columns], pa.array(again[keep])], names=out.names)
 
-    return windows.select("high", "low", "row", "at", "single").mapInArrow(run, out)
+    return windows.select("high", "low", "row", "at", "single").mapInArrow(tidy(run), out)
 
 
 def repeats(scratch: Scratch, spark: SparkSession, store: DataFrame, packed: DataFrame, s: Settings) -> DataFrame:
     """row and runs of repeated windows (start, count), from a stored (row, text) and its compressed copy (row, z)."""
-    spans = scratch.write(_spans(store, s), "spans")
+    with small_batches(spark):
+        spans = scratch.write(_spans(store, s), "spans")
     grams = spans.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("_least"), F.max("span").alias("_most")).where("n > 1")
     grams = scratch.write(grams, "grams")
     again = scratch.write(keyed(spans, grams, ["gram"], "n").withColumn("mixed", F.col("_least") != F.col("_most")).drop("_least", "_most"), "again")
@@ -366,7 +367,7 @@ def _pack(store: DataFrame) -> DataFrame:
                 b = big.slice(top, 512)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress((x or "").encode()) for x in b.column(1).to_pylist()], pa.binary())], names=out.names)
 
-    return store.select("row", "text").mapInArrow(run, out)
+    return store.select("row", "text").mapInArrow(tidy(run), out)
 
 
 REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, removed array<long>"
@@ -400,7 +401,7 @@ def _remove(texts: DataFrame, s: Settings, payload: bool) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())][: len(fields)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=out.names)
 
-    return texts.mapInArrow(run, out)
+    return texts.mapInArrow(tidy(run), out)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", s: Settings = Settings(), payload: bool = True) -> DataFrame:
@@ -418,7 +419,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", s:
     own = F.struct(F.lit(None).cast("int").alias("_"), *[F.col(c) for c in kept]).alias("kept_columns")
     store = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), own, F.col(text).alias("text")), "store")
     width = width_for(store, 64 << 20)
-    packed = scratch.bucketed(_pack(store).repartition(width, "row"), "packed", "row", width)
+    with small_batches(spark):
+        packed = scratch.bucketed(_pack(store).repartition(width, "row"), "packed", "row", width)
     release(spark)
     runs = repeats(scratch, spark, store, packed, s)
     release(spark)

@@ -24,17 +24,22 @@ _CONTRACTED = {ord("s"): 1, ord("t"): 1, ord("m"): 1, ord("d"): 1}
 _CONTRACTED_2 = {(ord("r"), ord("e")), (ord("v"), ord("e")), (ord("l"), ord("l"))}
 
 
+#: Powers that a worker keeps, at most.
+_KEPT = 600_000
 _POWERS: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i under n (kept for the next batch)."""
+    """B**i and B**-i modulo 2**64 for i under n (kept for the next batch, unless they are many)."""
     global _POWERS
-    if _POWERS is None or len(_POWERS[0]) < n:
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-        up[:1] = down[:1] = 1
-        _POWERS = np.cumprod(up), np.cumprod(down)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    if _POWERS is not None and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    up[:1] = down[:1] = 1
+    made = np.cumprod(up), np.cumprod(down)
+    if n <= _KEPT:
+        _POWERS = made
+    return made
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
