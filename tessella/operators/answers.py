@@ -13,6 +13,10 @@ from .search import content_window, without_marks
 CITED = 5
 
 
+#: The answer where nothing is found; a fixed value.
+NOTHING_FOUND = "No relevant knowledge found yet. Ingest sources first."
+
+
 def conflicts(chunks: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
     """chunk_id and conflicts_with: sorted ids of what contradicts the chunk's entity, or live entities of its item; stale ones do not count."""
     live = entities.where("status IS NULL OR status <> 'stale'").select("entity_id", "item_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +44,10 @@ def snapped_windows(docs: DataFrame, key: str, text: str = "text", size: int = 8
     return per_document(docs, key, text, "idx int, window string", lambda t: list(enumerate(parsers.windows(t, size, overlap))))
 
 
+#: Files that are cut by their symbols.
+CODE = ("py", "pyi", "rb", "rs", "ts", "js", "go", "java", "cs", "c", "cpp")
+
+
 def _kind(path: str) -> str:
     return path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
 
@@ -61,7 +66,7 @@ def chunk(path_kind: str, text: str, stem: str = "") -> list[tuple[int, str, int
         rows = configs.config_chunks(text, path_kind)
     elif path_kind in ("md", "markdown"):
         rows = parsers.markdown_chunks(text, stem)
-    elif path_kind in ("py", "pyi", "rb", "rs", "ts", "js", "go", "java", "cs", "c", "cpp"):
+    elif path_kind in CODE:
         style = "indent" if path_kind in ("py", "pyi", "rb") else "brace"
         symbols = parsers.code_symbols(text, style)
         ends = [a - 1 for _, _, a, _ in symbols[1:]] + [len(lines)] * bool(symbols)  # up to the next symbol, so that no line stands twice
@@ -73,6 +78,45 @@ def chunk(path_kind: str, text: str, stem: str = "") -> list[tuple[int, str, int
     return [(n, *r) for n, r in enumerate(rows)]
 
 
+def parts(path: str, text: str) -> list[tuple]:
+    """(section, title, path, level, parent, first line, last line, chunks) of a file's sections in order; chunks: (first line, last line, content).
+
+    A section without chunks of its own (a parent, a bare heading) is there too.
+    """
+    kind, stem, lines = _kind(path), _stem(path), text.split("\n")
+    if kind in ("yml", "yaml", "json", "jsonc", "toml") and not parsers.is_minified(text):
+        return [(n, s.title, s.path, s.level, s.parent, s.first, s.last, [(a, b, "\n".join(lines[a - 1 : b])) for a, b in s.chunks]) for n, s in enumerate(configs.sections(text, kind))]
+    if kind in ("md", "markdown") and not parsers.is_minified(text):
+        out = []
+        for n, s in enumerate(parsers.markdown_sections(text, stem)):
+            own = parsers.markdown_packed(s)
+            out.append((n, s["title"], s["path"], s["level"], s["parent"], own[0][1] if own else 1, own[-1][2] if own else 1, [x[1:] for x in own]))
+        return out
+    rows = chunk(kind, text, stem)
+    if kind in CODE or parsers.is_minified(text):
+        root = (0, stem, stem, 0, None, 1, len(lines), [x[2:] for x in rows if not x[1]])
+        named = [(x[1], x[2:]) for x in rows if x[1]]
+        groups = [(name, [v for _, v in run]) for name, run in groupby(named, lambda x: x[0])]
+        return [root] + [(n, name, f"{stem} > {name}", 1, 0, run[0][0], run[-1][1], run) for n, (name, run) in enumerate(groups, 1)]
+    out = []
+    for n, s in enumerate(parsers.prose_sections(text, stem)):
+        own = [(s.start, s.end, x) for x in parsers.paragraphs(s.body) or ([s.title] if n else []) if x]
+        out.append((n, s.title, s.path, s.level, s.parent, s.start, s.end, own))
+    return out
+
+
+def structured(items: DataFrame, key: str, path: str, text: str = "text") -> DataFrame:
+    """A row per section of every file, its chunks in a list; see ``parts``."""
+    tagged = items.select(key, F.concat(F.col(path), F.lit("\0"), F.col(text)).alias("_t"))
+
+    def parse(t: str) -> list[tuple]:
+        p, _, body = t.partition("\0")
+        return [(*x[:7], [{"first_line": a, "last_line": b, "content": c} for a, b, c in x[7]]) for x in parts(p, body)]
+
+    schema = "section int, title string, path string, level int, parent int, first_line int, last_line int, chunks array<struct<first_line:int,last_line:int,content:string>>"
+    return per_document(tagged, key, "_t", schema, parse)
+
+
 def chunked(items: DataFrame, key: str, path: str, text: str = "text") -> DataFrame:
     """Chunks of every item by the rules of its file kind."""
     tagged = items.select(key, F.concat(F.col(path), F.lit("\0"), F.col(text)).alias("_t"))
@@ -123,5 +167,6 @@ def initialism_pairs(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     return per_document(docs, key, text, "term string, expansion string", parsers.initialisms)
 
 
-def embedded(docs: DataFrame, key: str, text: str = "text", dim: int = 256) -> DataFrame:
-    return per_document(docs, key, text, "embedding array<double>", lambda t: [(parsers.hash_embedding(t, dim),)])
+def embedded(docs: DataFrame, key: str, text: str = "text", dim: int = 768, stopwords: frozenset[str] | None = None) -> DataFrame:
+    """key and embedding: hash vectors; with stopwords as evaluations make them (256 dimensions there)."""
+    return per_document(docs, key, text, "embedding array<double>", lambda t: [(parsers.hash_embedding(t, dim, stopwords),)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions import text as fx
+from ..operators import ingest as ig
 from ..operators import library as lb
 from ..operators import search as se
 from ..operators import structure as st
@@ -80,7 +81,7 @@ def s9(spark, d):
 
 @query("s10_cursor_max", "SELECT event_type, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS cursor FROM events GROUP BY 1")
 def s10(spark, d):
-    return m.table(spark, d, "events").groupBy("event_type").agg(F.max(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("cursor"))
+    return ig.cursor(m.table(spark, d, "events"), ["event_type"], F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
 
 
 _PAGE_SQL = "regexp_matches(line, '(?i)^(?:page\\s*)?\\d{1,4}(?:\\s*of\\s*\\d{1,4})?\\s*$') OR regexp_matches(line, '^[-–—]\\s*\\d{1,4}\\s*[-–—]$')"
@@ -98,9 +99,7 @@ def c2(spark, d):
 @query("c4_classify_windows", """WITH w AS (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 16000) / 8000.0))::BIGINT + 1)) AS idx FROM documents)
 SELECT doc_id, idx::INTEGER AS idx, length(substr(text, idx * 8000 + 1, 16000)) AS chars FROM w""")
 def c4(spark, d):
-    docs = m.table(spark, d, "documents")
-    last = F.greatest(F.lit(0), F.ceil((F.length("text") - 16_000) / 8000)).cast("int")
-    return docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("idx")).select("doc_id", "idx", F.length(F.substring(F.col("text"), F.col("idx") * 8000 + 1, F.lit(16_000))).alias("chars"))
+    return ig.classify_windows(m.table(spark, d, "documents"), "doc_id").select("doc_id", "idx", F.length("window").alias("chars"))
 
 
 @query("c5_marker_headings", """WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line FROM (SELECT page_id, trim(%s, ' ') AS text FROM pages))
@@ -122,20 +121,21 @@ def c12(spark, d):
 x AS (SELECT chunk_id, CASE WHEN a = b THEN '(p. ' || a || ')' ELSE '(pp. ' || a || '-' || b || ')' END AS crumb FROM p) SELECT * FROM x""")
 def c18(spark, d):
     i = F.col("chunk_id") % m.ITEM_SPAN
-    a, b = (F.floor(i / 3) + 1).cast("string"), (F.floor((i + 1) / 3) + 1).cast("string")
-    crumb = F.when(a == b, F.concat(F.lit("(p. "), a, F.lit(")"))).otherwise(F.concat(F.lit("(pp. "), a, F.lit("-"), b, F.lit(")")))
-    return m.chunks(spark, d).where("section_id IS NOT NULL").select("chunk_id", crumb.alias("crumb"))
+    return m.chunks(spark, d).where("section_id IS NOT NULL").select("chunk_id", ig.page_crumb(F.floor(i / 3) + 1, F.floor((i + 1) / 3) + 1).alias("crumb"))
 
 
-@query("c20_section_summary", "SELECT page_id, substr(array_to_string(string_split(trim(%s, ' '), chr(10) || chr(10))[1:2], chr(10) || chr(10)), 1, 1200) AS summary FROM pages" % _HTML_SQL.replace("%", "%%"))
+_EDGES = "regexp_replace({}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+
+
+@query("c20_section_summary", "WITH t AS (SELECT page_id, %s AS text FROM pages), two AS (SELECT *, %s AS two FROM t) SELECT page_id, CASE WHEN two = '' THEN %s ELSE %s END AS summary FROM two" % (
+    _HTML_SQL.replace("%", "%%").replace("%%", "%"), _EDGES.format("array_to_string(string_split(trim(text, ' '), chr(10) || chr(10))[1:2], chr(10) || chr(10))"), _EDGES.format("substr(text, 1, 800)"), _EDGES.format("substr(two, 1, 1200)")))
 def c20(spark, d):
-    first = F.array_join(F.slice(F.split("text", "\n\n"), 1, 2), "\n\n")
-    return s13(spark, d).select("page_id", F.substring(first, 1, 1200).alias("summary"))
+    return s13(spark, d).select("page_id", ig.section_summary(F.col("text")).alias("summary"))
 
 
-@query("c21_document_summary", "SELECT doc_id, substr(trim(text, ' '), 1, 1200) AS summary FROM documents")
+@query("c21_document_summary", "SELECT doc_id, %s AS summary FROM documents" % _EDGES.format("substr(" + _EDGES.format("text") + ", 1, 1200)"))
 def c21(spark, d):
-    return m.table(spark, d, "documents").select("doc_id", F.substring(F.trim("text"), 1, 1200).alias("summary"))
+    return m.table(spark, d, "documents").select("doc_id", ig.document_summary(F.col("text")).alias("summary"))
 
 
 _RECORD_SQL = " OR ".join(f"regexp_matches(head, '{p}')" for p in fx.RECORD_PATTERNS)
@@ -151,8 +151,7 @@ def c23(spark, d):
 @query("c30_pair_normalisation", """WITH p AS (SELECT p_partkey, lower(trim(p_brand)) AS term, lower(trim(p_type)) AS expansion FROM part)
 SELECT * FROM p WHERE length(term) BETWEEN 2 AND 40 AND length(expansion) BETWEEN 2 AND 120 AND term <> expansion""")
 def c30(spark, d):
-    pairs = m.table(spark, d, "part").select("p_partkey", F.lower(F.trim("p_brand")).alias("term"), F.lower(F.trim("p_type")).alias("expansion"))
-    return pairs.where(F.length("term").between(2, 40) & F.length("expansion").between(2, 120) & (F.col("term") != F.col("expansion")))
+    return ig.valid_pairs(m.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("term"), F.col("p_type").alias("expansion")))
 
 
 _ASKED = "brand small polished copper steel b11 anodized"
@@ -219,11 +218,13 @@ def c29(spark, d):
 _FNV = "list_reduce(list_prepend(37, list_transform(range(0, len(hex(encode(t))) // 2), lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::INTEGER, 2))::INTEGER)), lambda h, b: xor(h, b) * 179 % 256)"
 
 
-@query("c32_hash_embedding", f"""WITH w AS (SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM conversations),
-v AS (SELECT id, {_FNV} AS bucket FROM w), c AS (SELECT id, bucket, count(*) AS n FROM v GROUP BY 1, 2), m AS (SELECT id, map_from_entries(list((bucket, n))) AS m, sqrt(sum(n * n)::DOUBLE) AS norm FROM c GROUP BY 1)
+@query("c32_hash_embedding", f"""WITH w AS (SELECT conv_id * 1000 + turn AS id, unnest(CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') ELSE [text] END) AS t0 FROM conversations),
+w1 AS (SELECT id, CASE WHEN t0 IN ('car', 'automobile', 'auto') THEN 'vehicle' WHEN t0 IN ('fast', 'quick', 'velocity', 'rapid') THEN 'speed' WHEN t0 IN ('database', 'db', 'store') THEN 'storage'
+  WHEN t0 IN ('red', 'crimson', 'scarlet') THEN 'color' WHEN t0 IN ('large', 'huge') THEN 'big' WHEN t0 IN ('tiny', 'little') THEN 'small' ELSE t0 END AS t FROM w),
+v AS (SELECT id, {_FNV} AS bucket FROM w1), c AS (SELECT id, bucket, count(*) AS n FROM v GROUP BY 1, 2), m AS (SELECT id, map_from_entries(list((bucket, n))) AS m, sqrt(sum(n * n)::DOUBLE) AS norm FROM c GROUP BY 1)
 SELECT conv_id * 1000 + turn AS id, list_transform(range(0, 256), lambda i: coalesce(m[i::INTEGER], 0) / coalesce(norm, 1.0)) AS embedding FROM conversations LEFT JOIN m ON m.id = conv_id * 1000 + turn""")
 def c32(spark, d):
-    return st.embedded(m.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id")
+    return st.embedded(m.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id", dim=256)
 
 
 @query("t1_event_stream_folding", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL")
@@ -351,3 +352,26 @@ def c16(spark, d):
     head = F.format_string("---\ntitle: Item %s\nstatus: draft\n---\n# Item %s\n\nAbout %s.\n\n## Table\n| key | value |\n|---|---|\n", F.col("doc_id").cast("string"), F.col("doc_id").cast("string"), "source")
     files = m.table(spark, d, "documents").select("doc_id", F.lit("notes/item.md").alias("_path"), F.concat(head, F.array_join(row, "\n")).alias("text"))
     return st.chunked(files, "doc_id", "_path")
+
+
+def _synced(spark, d) -> ig.Ingested:
+    """The documents as files that come in twice: every fourth has changed, every fifth is gone."""
+    n = F.col("item_id")
+    files = m.items(spark, d).select("item_id", "external_id", "text", "mtime_ms", "size")
+    first = ig.ingest(spark, files.drop("item_id"), ig.Library.empty(spark), 1)
+    changed = files.where(n % 5 != 0).withColumns({"text": F.when(n % 4 == 0, F.concat(F.lit("Changed. "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")), "mtime_ms": F.when(n % 4 == 0, F.col("mtime_ms") + 1).otherwise(F.col("mtime_ms"))})
+    return ig.ingest(spark, changed.drop("item_id"), first.library, 1)
+
+
+@query("i1_i8_ingest_report", """SELECT action, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'purge' WHEN doc_id % 4 = 0 THEN 'update' ELSE 'skip' END AS action FROM documents) GROUP BY 1""")
+def ingest_report(spark, d):
+    return _synced(spark, d).report
+
+
+@query("c21_ingest_summaries", m.with_tables("items") + f"""t AS (SELECT external_id, CASE WHEN item_id % 4 = 0 THEN 'Changed. ' || coalesce(text, '') ELSE text END AS text FROM items WHERE item_id % 5 <> 0),
+x AS (SELECT external_id, {_EDGES.format("substr(" + _EDGES.format("text") + ", 1, 1200)")} AS summary FROM t WHERE trim(coalesce(text, '')) <> '' AND NOT regexp_matches(lower(external_id), '\\.(pdf|txt|docx|odt|rtf|html?|eml)$')) SELECT * FROM x WHERE summary <> ''""")
+def ingest_summaries(spark, d):
+    """Summaries of whole texts after the two syncs, of files whose text is not cleaned first."""
+    library = _synced(spark, d).library
+    names = library.items.where("NOT lower(external_id) RLIKE '\\\\.(pdf|txt|docx|odt|rtf|html?|eml)$'").select("item_id", "external_id")
+    return library.chunks.where("kind = 'doc_summary'").join(names, "item_id").select("external_id", F.col("content").alias("summary"))

@@ -96,7 +96,10 @@ def test_chunks_of_code_and_configuration_cover_every_line():
 
 def test_hash_embedding():
     v = p.hash_embedding("a b a", 16)
-    assert abs(sum(x * x for x in v) - 1) < 1e-12 and p.hash_embedding("", 8) == [0.0] * 8
+    assert abs(sum(x * x for x in v) - 1) < 1e-12 and sorted(p.hash_embedding("", 8)) == [0.0] * 7 + [1.0]
+    assert p.hash_embedding("Fast car, in scarlet", 768) == p.hash_embedding("speed automobile in red", 768) != p.hash_embedding("slow car in red", 768)
+    few = frozenset(["the", "in"])
+    assert p.hash_embedding("the car in x", 256, few) == p.hash_embedding("car", 256, few) != p.hash_embedding("vehicle", 256, few) and p.hash_embedding("the", 8, few) == [0.0] * 8
 
 
 def test_contents_pages_open_no_sections():
