@@ -139,7 +139,7 @@ class KeywordIndex:
     def _written(self, chunks: DataFrame, items: DataFrame, number: int) -> tuple[Segment, int, int]:
         """(segment, its chunks, their words)."""
         folder, scratch = f"segment-{uuid.uuid4().hex}", Scratch(self.spark, "words")
-        texts = chunks.select("chunk_id", *OWN, "content")
+        texts = scratch.write(chunks.select("chunk_id", *OWN, "content"), "texts")  # however dear chunks are to make, once
         words = scratch.write(texts.select("chunk_id", *OWN, fx.tokens(F.col("content")).alias("words")), "words")
         per_item = words.groupBy("item_id").agg(F.count("*").alias("chunks"), F.sum(F.greatest(F.lit(0), F.size("words"))).alias("words"))
         zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "words")]
@@ -150,8 +150,8 @@ class KeywordIndex:
         return Segment(number, folder, told[1], told[0]), told[1], told[2]
 
     def _store(self, postings: DataFrame, texts: DataFrame, folder: str) -> None:
-        parts = max(1, -(-postings.count() // PART_ROWS))
-        parts = max(parts, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), postings.count() * FAN // PART_ROWS + 1))
+        rows = postings.count()
+        parts = max(-(-rows // PART_ROWS), min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows * FAN // PART_ROWS + 1))
         by_term = postings.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "chunk_id")
         by_term.write.option("compression", "zstd").parquet(f"{self.path}/{folder}/postings")
         chars = texts.agg(F.sum(F.length("content"))).first()[0] or 0
@@ -235,6 +235,13 @@ class KeywordIndex:
             one = one.withColumn("_tf", F.array(*[F.col("_tf")[k] if len(p) == 1 else often(p) for k, p in enumerate(phrases)]))
         return one.select("chunk_id", *OWN, "_len", "_tf").where(F.exists("_tf", lambda t: t > 0))
 
+    def scored(self, words: list[str], part: Callable[[str], Column], narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """chunk_id, OWN, score and terms of the chunks with any of the words: part says what one posting of a word adds (tf, length)."""
+        met = self._read("postings", lambda rows: rows.where(F.col("term").isin(words)))
+        met = narrow(met) if narrow else met
+        of_word = F.coalesce(*[F.when(F.col("term") == w, part(w)) for w in words])
+        return met.select("chunk_id", *OWN, of_word.alias("_part")).groupBy("chunk_id", *OWN).agg(F.sum("_part").alias("score"), F.count("*").cast("int").alias("terms"))
+
     def frequencies(self, phrases: list[tuple[str, ...]]) -> list[int]:
         """How many live chunks have each phrase."""
         single = {p[0] for p in phrases if len(p) == 1}

@@ -6,6 +6,7 @@ chunk_id.  Nothing is collected; only the last page leaves the cluster.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -89,9 +90,21 @@ def keyword_scores(
         rows = rows if scope is None else rows.join(scope.select("item_id").distinct(), "item_id", "left_semi").select(*rows.columns)
         return narrow(rows) if narrow else rows
 
+    if indexed and stats is None:
+        stats = keyword_stats(chunks, question, extra)
+    if indexed and all(len(p) == 1 for p in phrases):  # words alone: what each posting adds is known, and adds up
+        row = stats.first()  # a local table of one row
+
+        def of(w: str) -> Column:
+            df = row[f"_df{phrases.index((w,))}"]
+            idf = math.log((row["_n"] - df + 0.5) / (df + 0.5)) if df < row["_n"] + 0.5 else 0.0
+            return F.lit(idf if idf > 0 else 1e-6) * F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("length") / F.lit(row["_avg"] or 1.0)))
+
+        found = chunks.scored([p[0] for p in phrases], of, wanted)
+        return found.select("chunk_id", "item_id", "section_id", "kind", "status", F.round("score", 9).alias("score"), "terms")
     counted = chunks.counted(phrases, wanted) if indexed else _scanned(chunks, phrases)
     if stats is None:
-        stats = keyword_stats(chunks, question, extra) if indexed else counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *_frequencies(n))
+        stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *_frequencies(n))
     joined = counted.where(F.exists("_tf", lambda t: t > 0)).join(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:

@@ -7,6 +7,7 @@ the library is read again for those candidates only, by their ids.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -202,8 +203,9 @@ class Search:
 
     def page(self) -> DataFrame:
         c, wide = self.c, self.c.top_k * 10
-        first = self.sections_first()
-        floor, near = self.keyword(wide), self.by_vector(wide)
+        with ThreadPoolExecutor(3) as pool:  # jobs that do not wait for each other
+            legs_of = [pool.submit(f, *a) for f, *a in ((self.sections_first,), (self.keyword, wide), (self.by_vector, wide))]
+            first, floor, near = (x.result() for x in legs_of)
         if first is not None:
             legs = [("toc", local(first), 1.0), *([("vector", near, 0.5)] if near is not None else []), *([("keyword", floor, 0.5)] if not floor.isEmpty() else [])]
         else:
