@@ -38,7 +38,7 @@ class Settings:
     window: int = 4096
     end_id: int = 2
     #: A shard has so many tokens, about, and at most so many documents.
-    shard_tokens: int = 1 << 21
+    shard_tokens: int = 1 << 20
     shard_docs: int = 1 << 15
     #: Tokens of a range of the sort, about; shards are cut inside.
     range_tokens: int = 1 << 24
@@ -134,11 +134,34 @@ class Weights:
         return self.idf[term] * times * (self.k1 + 1) / (times + self.k1 * (1 - self.b + self.b * length / self.average))
 
 
-def with_keys(stored: DataFrame, weights: Weights, s: Settings = Settings()) -> DataFrame:
-    """stored with key_0, key_1, ...: the heaviest terms of each document, heaviest first (-1: it has no more)."""
-    names = [f"key_{k}" for k in range(s.keys)]
+#: Documents that tell where ranges begin, at most, and per range.
+SAMPLE, PER_RANGE = 1 << 20, 64
+
+
+def with_keys(stored: DataFrame, weights: Weights, s: Settings = Settings(), bounds: list[tuple[int, ...]] | None = None) -> DataFrame:
+    """stored with key_0, key_1, ...: the heaviest terms of each document, heaviest first (-1: it has no more).
+
+    With bounds (keys and rid of the first document of every range but the
+    first, ascending) also the range that each document falls into.
+    """
+    names = [*[f"key_{k}" for k in range(s.keys)], *(["range"] if bounds is not None else [])]
     schema = T.StructType([*stored.schema.fields, *[T.StructField(c, T.IntegerType()) for c in names]])
-    at_ids, at_n = stored.columns.index("ids"), stored.columns.index("n")
+    at_ids, at_n, at_rid = (stored.columns.index(c) for c in ("ids", "n", "rid"))
+    edges = [np.array([b[k] for b in bounds or []], np.int64) for k in range(s.keys + 1)]
+
+    def ranges(keys: np.ndarray) -> np.ndarray:
+        """How many bounds are at or below each row of keys (columns: documents), compared column after column."""
+        low, high = np.zeros(keys.shape[1], np.int64), np.full(keys.shape[1], len(bounds or []))
+        while (open_ := np.flatnonzero(low < high)).size:  # all documents halve their own stretch of bounds at once
+            middle = (low[open_] + high[open_]) // 2
+            above, same = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+            for edge, key in zip(edges, keys, strict=True):
+                e, k = edge[middle], key[open_]
+                above |= same & (e > k)
+                same &= e == k
+            high[open_] = np.where(above, middle, high[open_])
+            low[open_] = np.where(above, low[open_], middle + 1)
+        return low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, ids in _some(batches, at_ids, at_n):
@@ -149,11 +172,24 @@ def with_keys(stored: DataFrame, weights: Weights, s: Settings = Settings()) ->
             keys = np.full((s.keys, len(ids)), -1, np.int32)
             few = turn < s.keys
             keys[turn[few], doc[few]] = term[order][few]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(k) for k in keys]], names=schema.names)
+            cells = [*keys, *([ranges(np.vstack([keys, b.column(at_rid).to_numpy()])).astype(np.int32)] if bounds is not None else [])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(k) for k in cells]], names=schema.names)
 
     return stored.mapInArrow(tidy(run), schema)
 
 
+def range_bounds(stored: DataFrame, weights: Weights, n: int, docs: int, s: Settings = Settings()) -> list[tuple[int, ...]]:
+    """Where n ranges of about as many documents begin, by a sample by hash of about PER_RANGE documents a range, SAMPLE at most.
+
+    The sample decides where ranges begin and nothing else: every document is
+    in the range of its own keys.
+    """
+    share = max(1, docs // min(SAMPLE, PER_RANGE * n))
+    some = with_keys(stored.where(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0), weights, s)
+    told = sorted(tuple(r) for r in some.select(*[f"key_{k}" for k in range(s.keys)], "rid").collect())
+    return sorted({told[k * len(told) // n] for k in range(1, n)}) if told else []
+
+
 class InvertedIndex:
     """BM25 postings of a shard's documents: per term the documents that have it and what it adds to their scores."""
 
@@ -275,8 +311,10 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: list[str],
     with small_batches(spark):
         stored = scratch.write(numbered, "ids")
     weights = Weights.counted(stored, s)
-    tokens = stored.agg(F.sum("n")).first()[0] or 0
+    tokens, many = stored.agg(F.sum("n"), F.count("*")).first()
+    n = ranges or partitions_for(spark, tokens or 0, s.range_tokens)
     order = [*[f"key_{k}" for k in range(s.keys)], "rid"]
-    dealt = with_keys(stored, weights, s).repartitionByRange(ranges or partitions_for(spark, tokens, s.range_tokens), *order).sortWithinPartitions(*order)
+    keyed = with_keys(stored, weights, s, range_bounds(stored, weights, n, many, s))
+    dealt = keyed.repartitionById(n, F.col("range")).sortWithinPartitions(*order)
     placed = place(dealt, weights, payload, s)
     return placed.select(*[F.col("kept")[c].alias(c) for c in keep], "start", "length", *(["ids"] if payload else []), "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -112,9 +112,13 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, batch_chars: int = 1 << 19, words: int = 500_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same merges for words that are found and normalised already.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         #: Strings that stand for one id wherever a text holds them; such texts go through the tokenizer.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.batch_chars, self.words = batch_chars, words
@@ -132,14 +136,15 @@ class WordTokenizer:
         flat, counts = [], []
         for a in range(0, len(words), 1024):
             part = words[a : a + 1024]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            found = self.of_words.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(found.ids, np.uint32)
-            n = np.bincount(np.array([-1 if k is None else k for k in found.word_ids]) + 1, minlength=len(part) + 1)
-            if n[0] or len(n) != len(part) + 1:  # not parted as expected: word by word
+            of = found.word_ids
+            n = np.bincount(np.array(of, np.int64) if None not in of else np.zeros(0, np.int64), minlength=len(part))
+            if len(n) != len(part) or not n.all():  # not parted as expected: word by word
                 each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                ids, n = np.array([i for x in each for i in x], np.uint32), np.array([0, *map(len, each)])
+                ids, n = np.array([i for x in each for i in x], np.uint32), np.array([*map(len, each)])
             flat.append(ids)
-            counts.append(n[1:])
+            counts.append(n)
         return np.concatenate(flat), np.concatenate(counts)
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:

@@ -126,3 +126,16 @@ def test_windows_hold_documents_alike(spark):
 
 def test_empty_table(spark):
     assert rp.pack(spark, spark.createDataFrame([], "doc_id long, text string"), PATH, ["doc_id"]).count() == 0
+
+
+def test_ranges_hold_all_documents_in_order(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.choice([3, 3, 3, 4, 9, 11]) for _ in range(rng.randint(0, 4))] + [2]) for k in range(300)]
+    stored = spark.createDataFrame([(k, bytearray(np.array(ids, "<u4").tobytes()), len(ids)) for k, ids in rows], "rid long, ids binary, n long").repartition(3)
+    weights = rp.Weights.counted(stored)
+    keys = {r.rid: (r.key_0, r.key_1, r.key_2, r.rid) for r in rp.with_keys(stored, weights).collect()}
+    bounds = rp.range_bounds(stored, weights, 7, 300)
+    assert len(bounds) == 6 and bounds == sorted(bounds)
+    got = {r.rid: r.range for r in rp.with_keys(stored, weights, bounds=bounds).collect()}
+    assert got == {rid: sum(b <= key for b in bounds) for rid, key in keys.items()}
+    assert max(sum(v == k for v in got.values()) for k in range(7)) < 80  # one key holds many documents, no range does
