@@ -58,6 +58,11 @@ def test_records():
     assert p.record("nothing here") is None
 
 
+def test_record_ids_of_six_digits():
+    r = p.record("# Decision: Item 123456 — D123456\n\n**Status:** Accepted\n**Supersedes:** D100000, ADR-2345678\n")
+    assert (r["title"], r["record_id"], r["supersedes"]) == ("Item 123456", "D123456", ["D100000", "ADR-2345678"])
+
+
 def test_glossary_and_initialisms():
     assert p.glossary('| Term | Meaning |\n|--|--|\n| **DD** | direct debit |\nKYC - know your customer\n"a, b",c d\nx') == [("dd", "direct debit"), ("kyc", "know your customer"), ("a, b", "c d")]
     assert ("dd", "direct debit") in p.initialisms("Direct Debit (DD)")
