@@ -53,8 +53,12 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), MARKED, PLAIN)
 
 
+def words(folded_text: Column) -> Column:
+    return F.regexp_extract_all(folded_text, F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return words(folded(F.coalesce(text, F.lit(""))))
 
 
 def query_terms(question: str) -> list[str]:

@@ -1,8 +1,8 @@
-"""The keyword index: segments of postings sorted by term, so that a question reads the row groups of its own terms.
+"""The keyword index: segments of postings sorted by term, so that a question reads the pages of its own terms.
 
 An index is a list of segments.  Each holds, for the items that it was written
-for, the postings of their chunks (sorted by term), the chunks' texts (sorted by
-item) and a row per item: how many chunks and words it has now, which may be
+for, the postings of their chunks (in runs sorted by term), the chunks' texts (in
+runs sorted by item) and a row per item: how many chunks and words it has now, which may be
 none.  An item counts in the last segment that names it; in all earlier ones it
 is dead.  So an edit writes one segment of the items it touches, and corpus
 statistics are sums that each edit corrects by what its items had before.
@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,30 +55,67 @@ class Segment:
         return found
 
 
-def postings_of(words: DataFrame) -> DataFrame:
-    """term, chunk_id, OWN, length, tf, positions from chunk_id, OWN and words: grouped within each chunk, without a shuffle."""
-    own = [words.schema[c] for c in ("chunk_id", *OWN)]
+#: The bytes that are letters or digits.
+_WORD = np.zeros(256, bool)
+_WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+
+
+def _cut(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """(the words of ASCII texts, one after the other; the text that each is of)."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    chars = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    ends = ends.astype(np.int64) - ends[0]
+    word = _WORD[chars]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = ends[1:-1]
+    inner = inner[(inner > 0) & (inner < len(chars))]
+    first[inner], last[inner - 1] = word[inner], word[inner - 1]  # a word ends with its text
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sizes = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(sizes), pa.py_buffer(chars[word])), np.searchsorted(ends, start, "right") - 1
+
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, OWN, length, tf, positions from chunk_id, OWN and content, without a shuffle: batch by batch sorted by term and chunk's place.
+
+    Spark folds the texts and cuts those that are not all ASCII; the others are
+    cut by their bytes.
+    """
+    own = [chunks.schema[c] for c in ("chunk_id", *OWN)]
     schema = T.StructType([T.StructField("term", T.StringType()), *own, *T.StructType.fromDDL("length int, tf int, positions array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(len(own))
-            size = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            coded = column.flatten().dictionary_encode()
-            terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-            key = row * max(1, len(terms)) + code
+            text, words = b.column(len(own)), b.column(len(own) + 1)
+            wide = np.asarray(words.is_valid().to_numpy(zero_copy_only=False))
+            plain, of = _cut(text.filter(pa.array(~wide)))
+            size = np.asarray(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            row = np.concatenate([np.flatnonzero(~wide)[of], np.repeat(np.arange(len(size)), size)])
+            if not len(row):
+                continue
+            coded = pa.concat_arrays([plain, words.flatten()]).dictionary_encode()
+            by_name = pc.sort_indices(coded.dictionary).to_numpy()
+            place = np.empty(len(by_name), np.int64)
+            place[by_name] = np.arange(len(by_name))
+            size = np.bincount(row, minlength=b.num_rows)
+            begins = np.flatnonzero(np.diff(row, prepend=-1))  # the words of a chunk stand together
+            at = np.arange(len(row)) - np.repeat(begins, np.diff(begins, append=len(row)))
+            key = place[coded.indices.to_numpy()] * b.num_rows + row
             order = np.argsort(key, kind="stable")  # positions of a term stay in their order
-            heads = np.flatnonzero(np.diff(key[order], prepend=-1))
-            first, ends = order[heads], np.append(heads, len(order))
-            rows = pa.array(row[first])
-            positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[order].astype(np.int32)))
-            kept = [c.take(rows) for c in b.columns[: len(own)]]
-            cells = [terms.take(pa.array(code[first])), *kept, pa.array(size[row[first]].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), positions]
+            key = key[order]
+            heads = np.flatnonzero(np.diff(key, prepend=-1))
+            ends, at = np.append(heads, len(key)).astype(np.int32), at[order].astype(np.int32)
+            name, which = np.divmod(key[heads], b.num_rows)
+            rows = pa.array(which)
+            cells = [coded.dictionary.take(pa.array(by_name[name])), *[c.take(rows) for c in b.columns[: len(own)]], pa.array(size[which].astype(np.int32)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(at))]
             yield pa.RecordBatch.from_arrays(cells, names=schema.names)
 
-    return words.select("chunk_id", *OWN, "words").mapInArrow(run, schema)
+    folded = chunks.select("chunk_id", *OWN, fx.folded(F.coalesce("content", F.lit(""))).alias("_text"))
+    cut = F.when(F.octet_length("_text") != F.length("_text"), fx.words(F.col("_text")))
+    return folded.withColumn("_words", cut).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -94,9 +132,9 @@ class KeywordIndex:
 
     @staticmethod
     def build(chunks: DataFrame, path: str) -> KeywordIndex:
-        """The index of all chunks, stored under path: each is split into words once, and the postings are shuffled once."""
+        """The index of all chunks, stored under path: each is split into words once, and neither texts nor postings are shuffled."""
         empty = KeywordIndex(chunks.sparkSession, path, 0, (), 0, 0)
-        segment, n, words = empty._written(chunks, chunks.select("item_id").distinct(), 0)
+        segment, n, words = empty._written(chunks, None, 0)
         return empty._committed((segment,), n, words)
 
     @staticmethod
@@ -136,17 +174,22 @@ class KeywordIndex:
         self._store(parts.postings, parts.texts, folder)
         return self._committed((*self.segments[:-most], Segment(last[-1].number, folder, told[1], told[0])), self.n, self.words)
 
-    def _written(self, chunks: DataFrame, items: DataFrame, number: int) -> tuple[Segment, int, int]:
-        """(segment, its chunks, their words)."""
-        folder, scratch = f"segment-{uuid.uuid4().hex}", Scratch(self.spark, "words")
-        texts = scratch.write(chunks.select("chunk_id", *OWN, "content"), "texts")  # however dear chunks are to make, once
-        words = scratch.write(texts.select("chunk_id", *OWN, fx.tokens(F.col("content")).alias("words")), "words")
-        per_item = words.groupBy("item_id").agg(F.count("*").alias("chunks"), F.sum(F.greatest(F.lit(0), F.size("words"))).alias("words"))
-        zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "words")]
-        items.join(per_item, "item_id", "left").select("item_id", *zero).write.parquet(f"{self.path}/{folder}/items")
-        told = self.spark.read.parquet(f"{self.path}/{folder}/items").agg(F.count("*"), F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-        self._store(scratch.write(postings_of(words), "postings"), texts, folder)
-        scratch.drop_all()
+    def _written(self, chunks: DataFrame, items: DataFrame | None, number: int) -> tuple[Segment, int, int]:
+        """(segment, its chunks, their words); items (item_id): those that may have no chunks."""
+        folder = f"segment-{uuid.uuid4().hex}"
+        at = f"{self.path}/{folder}"
+        own = chunks.select("chunk_id", *OWN, "content")
+        # each partition by itself: an item's or a term's rows are found by the bounds of pages, wherever they stand
+        own.sortWithinPartitions("item_id", "chunk_id").write.option("compression", "zstd").option("parquet.block.size", TEXT_GROUP).parquet(f"{at}/texts")
+        texts = self.spark.read.schema(own.schema).parquet(f"{at}/texts")  # however dear chunks are to make, once
+        found = postings_of(texts)
+        found.write.option("compression", "zstd").parquet(f"{at}/postings")
+        postings = self.spark.read.schema(found.schema).parquet(f"{at}/postings")
+        none, one = F.lit(0).alias("chunks"), F.lit(0).alias("words")
+        counts = texts.select("item_id", F.lit(1).alias("chunks"), one).unionByName(postings.select("item_id", none, F.col("tf").alias("words")))
+        counts = counts if items is None else counts.unionByName(items.select("item_id", none, one))
+        counts.groupBy("item_id").agg(F.sum("chunks").alias("chunks"), F.sum("words").alias("words")).write.parquet(f"{at}/items")
+        told = self.spark.read.parquet(f"{at}/items").agg(F.count("*"), F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
         return Segment(number, folder, told[1], told[0]), told[1], told[2]
 
     def _store(self, postings: DataFrame, texts: DataFrame, folder: str) -> None:

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.engine import Engine
+from tessella.functions import text as fx
 from tessella.operators import retrieval as rt
 from tessella.operators import search as se
 from tessella.operators import trees
-from tessella.operators.index import KeywordIndex
+from tessella.operators.index import KeywordIndex, postings_of
 
 NOW = "2024-02-01"
 
@@ -88,6 +89,23 @@ def test_an_index_scores_as_a_scan_does(spark, words, tmp_path, question):
     assert {r.item_id for r in rt.keyword_scores(index, question, scope=scope).collect()} <= {1, 5}
 
 
+def test_an_index_is_built_without_a_shuffle_of_its_postings(spark, tmp_path):
+    texts = ["Zeta fee", "", None, "fee", "-- x --", "Straße naïve ÉCOLE fee", "9z", "日本 fee_fee"]
+    rows = [(i, i // 2, None, "document", None, t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, item_id long, section_id long, kind string, status string, content string")
+    made = postings_of(chunks)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    index = KeywordIndex.build(chunks, f"{tmp_path}/a")
+    want = {}
+    for r in chunks.select("chunk_id", fx.tokens(F.col("content")).alias("w")).collect():
+        for k, w in enumerate(r.w):
+            want.setdefault((w, r.chunk_id), []).append(k)
+    got = {(r.term, r.chunk_id): (r.positions, r.tf, r.length) for r in index.postings.collect()}
+    sizes = {c: sum(len(at) for (_, k), at in want.items() if k == c) for c in range(len(texts))}
+    assert got == {k: (at, len(at), sizes[k[1]]) for k, at in want.items()} and ("ecole", 5) in got
+    assert (index.n, index.words) == (len(texts), sum(sizes.values()))
+
+
 def _same_scores(index, chunks, question="brand fee zeta debit"):
     key = lambda df: sorted((r.chunk_id, r.score, r.terms, r.status) for r in df.collect())
     assert key(rt.keyword_scores(index, question)) == key(rt.keyword_scores(chunks, question))
