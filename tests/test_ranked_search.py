@@ -56,6 +56,16 @@ def test_a_chain_of_five_thousand(spark):
     assert sizes == {i: 5000 - i for i in range(5000)}
 
 
+def test_trees_take_no_table_through_the_driver(spark):
+    n = 3000
+    sections = spark.range(n).selectExpr("id AS section_id", "IF(id % 50 < 5, id - id % 50 + (id % 50 + 1) % 5, id - 1) AS parent_id")
+    tree = trees.Tree.of(sections)
+    chunks = sections.selectExpr("section_id", "section_id AS chunk_id", "'document' AS kind", "'abc' AS content")
+    hits, sizes = chunks.select("chunk_id", "section_id"), trees.subtree_sizes(tree, chunks)
+    for made in (sizes, tree.ways(), trees.ancestors(sections), trees.parent_return(hits, tree.ways(), sizes)):
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_subtrees_and_the_nearest_section_that_fits(spark):
     sections = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1)], "section_id long, parent_id long")
     texts = {10: (1, "a" * 50), 11: (2, "b" * 10), 12: (3, "c" * 100), 13: (3, "d" * 5), 14: (4, "e")}
