@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as fx
 from ..model import LEAF_KINDS
@@ -196,13 +203,37 @@ def idf_signal(chunks: DataFrame, key: str = "item_id") -> DataFrame:
 
     df counts every occurrence in the item's chunks; n is their number.
     """
-    words = chunks.select(key, "chunk_id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"[a-z0-9_]{3,}"), 0)).alias("w"))
-    per = words.groupBy(key, "chunk_id", "w").agg(F.count("*").alias("_tf"))
-    df = F.sum("_tf").over(Window.partitionBy(key, "w"))
-    n = chunks.groupBy(key).agg(F.count("*").alias("_n"))
-    idf = F.greatest(F.lit(0.0), F.ln((F.col("_n") + 1.0) / (F.col("_df") + 1.0)))
-    scored = per.withColumn("_df", df).join(n, key).groupBy("chunk_id").agg(F.round(F.avg(idf), 6).alias("signal"))
-    return chunks.select("chunk_id").join(scored, "chunk_id", "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
+    return _signals(chunks, key).drop(key)
+
+
+def _signals(chunks: DataFrame, key: str) -> DataFrame:
+    """key, chunk_id, signal: texts are dealt by item once, and an item's words are counted where its chunks meet."""
+    schema = T.StructType([chunks.schema[key], chunks.schema["chunk_id"], T.StructField("signal", T.DoubleType())])
+    word = re.compile(r"[a-z0-9_]{3,}")
+
+    def rated(item, texts: list[str | None]) -> list[float]:
+        own = [word.findall(t or "") for t in texts]
+        df = Counter(w for words in own for w in words)
+        idf = {w: max(0.0, math.log((len(own) + 1.0) / (n + 1.0))) for w, n in df.items()}
+        once = [set(words) for words in own]
+        return [sum(idf[w] for w in words) / len(words) if words and item is not None else 0.0 for words in once]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        items, ids, found = [], [], []
+        for item, group in groupby(rows, lambda r: r[0]):
+            own = list(group)
+            items += [item] * len(own)
+            ids += [r[1] for r in own]
+            found += rated(item, [r[2] for r in own])
+            if len(ids) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip((items, ids, found), kinds, strict=True)], names=schema.names)
+                items, ids, found = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip((items, ids, found), kinds, strict=True)], names=schema.names)
+
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    dealt = chunks.select(key, "chunk_id", F.lower("content").alias("_text")).repartition(key).sortWithinPartitions(key)
+    return dealt.mapInArrow(run, schema).withColumn("signal", F.round("signal", 6))
 
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -319,7 +350,7 @@ IMAGE_HOSTS = r"\.(html|htm|docx|docm|pptx|pptm|odt|odp|pdf|md|markdown)$"
 def embedding_gate(chunks: DataFrame, items: DataFrame, sources: DataFrame, least: float = 0.15, trusted: bool = False) -> DataFrame:
     """chunk_id and embed: whether a chunk's raw text says enough, and may be shown to the provider (sensitive text only to a trusted one)."""
     free = sensitivity(items, sources).select("item_id", (F.lit(trusted) | F.col("blocked_by").isNull()).alias("_free"))
-    rated = idf_signal(chunks).join(chunks.select("chunk_id", "item_id"), "chunk_id").join(free, "item_id", "left")
+    rated = _signals(chunks, "item_id").join(free, "item_id", "left")
     return rated.select("chunk_id", ((F.col("signal") >= least) & F.coalesce("_free", F.lit(False))).alias("embed"))
 
 

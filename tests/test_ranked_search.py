@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.engine import Engine
 from tessella.functions import text as fx
+from tessella.operators import relations as r
 from tessella.operators import retrieval as rt
 from tessella.operators import search as se
 from tessella.operators import trees
@@ -66,6 +68,18 @@ def test_trees_take_no_table_through_the_driver(spark):
         assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_idf_signal_deals_its_texts_once(spark):
+    texts = {1: ["fee fee zeta", "zeta x", None], 2: ["Fee_1 fee_1 ab", ""], 3: ["one two three"], None: ["lost words"]}
+    rows = [(10 * n + k, i, t) for n, (i, own) in enumerate(texts.items()) for k, t in enumerate(own)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, item_id long, content string")
+    rated = r.idf_signal(chunks)
+    plan = rated._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    a, b = math.log(4 / 3), math.log(4 / 3)  # fee and zeta stand twice each in three chunks
+    want = {0: (a + b) / 2, 1: b, 2: 0.0, 10: 0.0, 11: 0.0, 20: 0.0, 30: 0.0}
+    assert {x.chunk_id: x.signal for x in rated.collect()} == {k: round(v, 6) for k, v in want.items()}
+
+
 def test_subtrees_and_the_nearest_section_that_fits(spark):
     sections = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1)], "section_id long, parent_id long")
     texts = {10: (1, "a" * 50), 11: (2, "b" * 10), 12: (3, "c" * 100), 13: (3, "d" * 5), 14: (4, "e")}
