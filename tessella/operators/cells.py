@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,14 +41,22 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], fits[good]
 
 
-def _centroids(vectors: DataFrame, width: int, cells: int, seed: int) -> np.ndarray:
+def _lowest(vectors: DataFrame, n: int, most: int, seed: int) -> tuple[DataFrame, Column]:
+    """(about twice most of n vectors, those of the lowest hashes; the hash): what one task orders does not grow with the input."""
+    hashed = F.xxhash64(F.lit(seed), "embedding")
+    share = 2 * most / max(n, 1)
+    return (vectors.where(hashed < int((share - 0.5) * 2**64)) if share < 1 else vectors), hashed
+
+
+def _centroids(vectors: DataFrame, width: int, cells: int, seed: int, n: int) -> np.ndarray:
     """Unit centroids by k-means under cosines, on a sample by hash of at most SAMPLE_PER_CELL vectors a cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     usable = vectors.where((F.size("embedding") == width) & (length > 0) & (length < F.lit(float("inf")))).select("embedding")
-    few = usable.orderBy(F.xxhash64(F.lit(seed), "embedding")).limit(cells * SAMPLE_PER_CELL)
+    low, hashed = _lowest(usable, n, cells * SAMPLE_PER_CELL, seed)
+    few = low.orderBy(hashed).limit(cells * SAMPLE_PER_CELL)
     points = few.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     if points.isEmpty():
         return np.zeros((0, width))
@@ -98,7 +106,7 @@ class VectorIndex:
         widths = vectors.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
         width, n = (widths[0]["w"], widths[0]["count"]) if widths else (0, 0)
         k = cells or min(CELLS, max(1, math.isqrt(n)))
-        centroids = _centroids(vectors, width, k, seed) if width else np.zeros((0, 0))
+        centroids = _centroids(vectors, width, k, seed, n) if width else np.zeros((0, 0))
         rows = _assigned(vectors, centroids, width)
         parts = max(1, -(-n * width * 4 // PART_BYTES), min(k, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         rows.repartitionByRange(parts, "cell", key).sortWithinPartitions("cell", key).write.parquet(f"{path}/vectors")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import cells
 from tessella.operators import retrieval as rt
 from tessella.operators.cells import VectorIndex
 
@@ -65,3 +66,12 @@ def test_few_odd_and_no_vectors(spark, tmp_path):
     assert index.near([1.0, 0.1], 3, probes=1).count() >= 1
     none = VectorIndex.build(some.limit(0), f"{tmp_path}/b")
     assert none.near([1.0, 0.1], 3).count() == 0
+
+
+def test_the_sample_is_cut_before_one_task_orders_it(spark):
+    vectors = spark.range(20_000).selectExpr("array(id, id * 7 % 13) AS embedding")
+    low, hashed = cells._lowest(vectors, 20_000, 100, 7)
+    assert 100 <= low.count() < 400
+    whole = vectors.orderBy(hashed).limit(100).collect()
+    assert low.orderBy(hashed).limit(100).collect() == whole
+    assert cells._lowest(vectors, 150, 100, 7)[0] is vectors
