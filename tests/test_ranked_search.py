@@ -130,6 +130,41 @@ def test_an_index_is_built_without_a_shuffle_of_its_postings(spark, tmp_path):
     assert (index.n, index.words) == (len(texts), sum(sizes.values()))
 
 
+def test_an_index_stores_blocks_and_not_a_row_a_posting(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["fee", "Größe", "ÉTÉ", "naïve", "x×y", "øre", "日本語", "ſoft", "a1", "Straße", "ÿ", "İz"]
+    rows = [(i, i // 3, None, "document", None, rng.choice([" ", "-", ""]).join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(600)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, item_id long, section_id long, kind string, status string, content string")
+    index = KeywordIndex.build(chunks, f"{tmp_path}/a")
+    stored = spark.read.parquet(f"{tmp_path}/a/{index.segments[0].folder}/postings").count()
+    assert stored < index.postings.count() / 20
+    told = chunks.select("chunk_id", fx.tokens(F.col("content")).alias("w")).collect()
+    want = {(w, r.chunk_id): [k for k, x in enumerate(r.w) if x == w] for r in told for w in set(r.w)}
+    assert {(r.term, r.chunk_id): r.positions for r in index.postings.collect()} == want
+    for k in range(3):  # the third edit merges the segments
+        index = index.replaced(chunks.where(F.col("item_id") == k).select("item_id"), chunks.where(F.col("item_id") == k))
+    assert len(index.segments) == 1 or index.segments[-1].number == 3
+    merged = index._merge(len(index.segments))
+    assert {(r.term, r.chunk_id): r.positions for r in merged.postings.collect()} == want
+    _same_scores(merged, chunks, "fee grosse ete strasse")
+
+
+def test_legs_and_pages_read_the_stored_chunks(spark, tmp_path):
+    from tessella import model as m
+    from tessella.plans import ranked
+
+    documents = [(i, "src1", "de", "".join(chr(97 + (i * k) % 26) if k % 7 else "é " for k in range(n)), n) for i, n in enumerate([0, 1, 800, 801, 1500, 11_300, 11_301, 23_000])] + [(9, "src1", "de", None, 0)]
+    spark.createDataFrame(documents, "doc_id long, source string, lang string, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, _, _, text, _ in documents[:-1]:
+        for k in range(max(0, -(-(len(text) - m.WINDOW) // m.STEP)) + 1):
+            want[i * m.ITEM_SPAN + k] = text[k * m.STEP : k * m.STEP + m.WINDOW]
+    leaves = m.chunks(spark, str(tmp_path)).where("kind <> 'doc_summary'").collect()
+    assert len(leaves) == len(want) and {r.chunk_id: r.content for r in leaves} == want
+    exact = ranked._legs(spark, str(tmp_path))[1][1]
+    assert exact.inputFiles() and all("/texts/" in f for f in exact.inputFiles())
+
+
 def _same_scores(index, chunks, question="brand fee zeta debit"):
     key = lambda df: sorted((r.chunk_id, r.score, r.terms, r.status) for r in df.collect())
     assert key(rt.keyword_scores(index, question)) == key(rt.keyword_scores(chunks, question))
