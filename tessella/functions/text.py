@@ -38,6 +38,10 @@ RECORD_PATTERNS = (
     r"\bstatus:\s*accepted\b", r"\bagreed\b", r"\bdecided\b", r"\bapproved\b", r"\*\*status:\*\*\s*(confirmed|accepted|approved)",
     r"(?m)^#{1,6}\s+decision\b", r"\brevisit triggers?\b", r"(?m)^#{1,6}\s+action items?\s*:?\s*$", r"(?m)^\*\*action items?:?\*\*:?\s*$",
 )
+#: What every match of the pattern of the same place holds.
+RECORD_PARTS = (
+    "attendees", "agenda", "meeting notes", "minutes of", "retro", "decision log", "decision:", "adr-", "status:", "agreed", "decided", "approved", "**status:**", "decision", "revisit trigger", "action item", "**action item",
+)
 TAG_STOPWORDS = (
     "the and for with this that from have will would about which when where what their there been also "
     "into more than some such only other could should a an the and or but of in on at to for"
@@ -120,8 +124,9 @@ def authority_tier(path: Column) -> Column:
 def bucket(text: Column) -> Column:
     """record if a record pattern is in the lower-cased first 12000 characters, else reference."""
     head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 12_000))
-    found = [F.lit(False)] + [head.rlike(p) for p in RECORD_PATTERNS]
-    return F.when(reduce(lambda a, b: a | b, found), "record").otherwise("reference")
+    # made once per text; a pattern is tried where what it cannot do without is there
+    found = F.exists(F.array(head), lambda h: reduce(lambda a, b: a | b, [h.contains(w) & h.rlike(p) for p, w in zip(RECORD_PATTERNS, RECORD_PARTS, strict=True)]))
+    return F.when(found, "record").otherwise("reference")
 
 
 def dot(x: Column, y: Column) -> Column:

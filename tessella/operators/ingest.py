@@ -107,9 +107,9 @@ def cursor(rows: DataFrame, by: list[str], updated: Column) -> DataFrame:
 # ---- the call ------------------------------------------------------------------------
 
 
-def _made(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sections, leaves) of items (item_id, external_id, text)."""
-    rows = structure.structured(items, "item_id", "external_id")
+def _made(scratch: Scratch, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, leaves) of items (item_id, external_id, text), each of which is parsed once."""
+    rows = scratch.write(structure.structured(items, "item_id", "external_id"), "parsed")
     first = F.col("item_id") * ROOM
     sections = rows.select((first + F.col("section")).alias("section_id"), "item_id", (first + F.col("parent")).alias("parent_id"), "title", "path", "level", "first_line", "last_line")
     each = rows.select("item_id", "section", F.col("path").alias("_path"), F.posexplode("chunks").alias("_k", "c"))
@@ -176,8 +176,8 @@ def ingest(spark: SparkSession, listing: DataFrame, state: Library, source_id: i
 
     told = items.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     clean = scratch.write(told.join(structure.cleaned(told, "item_id"), "item_id").select("item_id", "external_id", F.col("clean").alias("text")), "clean")
-    whole = told.join(clean.select("item_id", F.col("text").alias("_clean")), "item_id").select("item_id", "external_id", F.when(F.lower("external_id").rlike(r"\.(pdf|txt|docx|odt|rtf|html?|eml)$"), F.col("_clean")).otherwise(F.col("text")).alias("text"))
-    sections, leaves = _made(scratch.write(whole, "whole"))
+    whole = scratch.write(told.join(clean.select("item_id", F.col("text").alias("_clean")), "item_id").select("item_id", "external_id", F.when(F.lower("external_id").rlike(r"\.(pdf|txt|docx|odt|rtf|html?|eml)$"), F.col("_clean")).otherwise(F.col("text")).alias("text")), "whole")
+    sections, leaves = _made(scratch, whole)
     sections, leaves = _paged(scratch.write(sections, "sections-0"), scratch.write(leaves, "leaves-0"))
     sections, leaves = scratch.write(sections, "sections"), scratch.write(leaves, "leaves")
     chunks = scratch.write(leaves.unionByName(_summaries(whole, sections, leaves)), "chunks")

@@ -24,6 +24,23 @@ def first(spark):
     return ig.ingest(spark, listed(spark, FILES), ig.Library.empty(spark), 3)
 
 
+def test_texts_are_parsed_once_and_records_told_as_before(spark, monkeypatch):
+    from tessella.functions import text as fx
+    from tessella.operators import structure
+
+    made, stored = [], []
+    parsed, write = structure.structured, ig.Scratch.write
+    monkeypatch.setattr(structure, "structured", lambda *a, **k: made.append(parsed(*a, **k)) or made[-1])
+    monkeypatch.setattr(ig.Scratch, "write", lambda self, df, name, *a: stored.append((df, name)) or write(self, df, name, *a))
+    ig.ingest(spark, listed(spark, FILES[:3]), ig.Library.empty(spark), 3)
+    assert [n for df, n in stored if df is made[0]] == ["parsed"] and all("MapInArrow" not in df._jdf.queryExecution().executedPlan().toString() for df, n in stored if n in ("sections-0", "leaves-0"))
+    texts = ["The Agenda of", "agendas", "retro", "retrospect", "# Decision one", "a decision", "Status:\n accepted", "**Status:** Approved", "## Action items:\nx", "**action item**", "ADR-1", "quadr-1", "revisit triggers", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    head = F.lower(F.substring(F.coalesce("t", F.lit("")), 1, 12_000))
+    for r in rows.select(fx.bucket(F.col("t")).alias("b"), F.array(*[head.rlike(p) for p in fx.RECORD_PATTERNS]).alias("m")).collect():
+        assert (r.b == "record") == any(r.m)
+
+
 def by_path(done):
     items = {r.item_id: r.external_id for r in done.library.items.collect()}
     out = {}
