@@ -97,6 +97,52 @@ def test_subtrees_and_the_nearest_section_that_fits(spark):
     assert whole[4].body == "e" and not whole[4].truncated
 
 
+@pytest.mark.parametrize(("seed", "most"), [(0, 1), (1, 9), (2, 40), (3, 40), (4, 1000)])
+def test_node_texts_of_any_tree_and_order_of_leaves(spark, monkeypatch, seed, most):
+    rng = random.Random(seed)
+    monkeypatch.setattr(trees, "TOGETHER", 7 * most)  # many sets
+    n = 80
+    parents = {i: rng.choice([None, i - 1, i - 1, i - 1, rng.randrange(n)]) if i else None for i in range(n)}
+    numbers = list(range(3 * n)) if seed % 2 else rng.sample(range(10_000), 3 * n)  # of the tree's order, or of none
+    rows = [(c, k // 3, rng.choice(["document", "caption", "document", "doc_summary"]), "".join(rng.choices("aé\n😀 ", k=rng.choice([0, 1, 3, 30])))) for k, c in enumerate(numbers) if k % 5]
+    chunks = spark.createDataFrame(rows, "chunk_id long, section_id long, kind string, content string")
+    ways = trees.ancestors(spark.createDataFrame(list(parents.items()), "section_id long, parent_id long"), None)
+    under = {}
+    for r in ways.collect():
+        under.setdefault(r.ancestor, set()).add(r.section_id)
+    want = {}
+    for i, own in under.items():
+        leaves = [t for _, s, kind, t in sorted(rows) if s in own and kind != "doc_summary"]
+        if leaves:
+            body = "\n\n".join(leaves)
+            want[i] = (body[:most], len(body), len(body) > most)
+    got = trees.node_texts(ways, chunks, most).collect()
+    assert len(got) == len(want) and {r.section_id: (r.body, r.total, r.truncated) for r in got} == want
+
+
+def test_node_texts_deals_a_text_once_and_not_once_a_section(spark):
+    rng = random.Random(1)
+    n, size = 1000, 2000
+    sections = spark.range(n).selectExpr("id AS section_id", "IF(id % 50 > 0, id - 1, NULL) AS parent_id")
+    rows = [(i, i, "document", "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+-", k=size))) for i in range(n)]
+    chunks = spark.createDataFrame(rows, "section_id long, chunk_id long, kind string, content string")
+    ways = trees.ancestors(sections, None)
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before, threshold = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with more texts than a broadcast may have
+    try:
+        got = {r.section_id: r for r in trees.node_texts(ways, chunks).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert shuffled() - before < 4 * n * size  # by chunk and by set; each section has 16 texts
+    assert len(got) == n and all(got[i].body == "\n\n".join(t for _, _, _, t in rows[i : i // 50 * 50 + 50])[:32_000] for i in range(n))
+
+
 @pytest.fixture(scope="module")
 def words(spark):
     rng = random.Random(4)
