@@ -8,21 +8,22 @@ as plans over stored tables; nothing is half done if it fails, as an item's
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as fx
-from ..storage import Scratch
-from . import library, relations, structure
+from ..functions.text import document_summary, page_crumb, section_summary
+from ..storage import Scratch, small_side
+from . import relations, structure
+
+__all__ = ["document_summary", "page_crumb", "section_summary"]
 
 #: Ids that an item has for its sections and for its chunks; summaries of sections stand in the upper half.
 ROOM = 1 << 24
 #: Rules that chunks are made by; items of older ones are made anew.
 CHUNKER = 3
 # Fixed values, equal to those of the service whose results are matched.
-SUMMARY_CHARS, FALLBACK_CHARS = 1200, 800
 CLASSIFY_WINDOW, CLASSIFY_STEP = 16_000, 8000
 TERM_CHARS, EXPANSION_CHARS = (2, 40), (2, 120)
 
@@ -64,27 +65,6 @@ class Ingested:
 # ---- what the steps are made of ----------------------------------------------------
 
 
-def _trimmed(text: Column, n: int) -> Column:
-    return F.regexp_replace(F.substring(text, 1, n), r"^\s+|\s+$", "")
-
-
-def section_summary(text: Column) -> Column:
-    """The first two paragraphs, trimmed, at most 1200 characters; where they are blank the first 800 of the text."""
-    two = F.regexp_replace(F.array_join(F.slice(F.split(text, "\n\n"), 1, 2), "\n\n"), r"^\s+|\s+$", "")
-    return F.when(two == "", _trimmed(text, FALLBACK_CHARS)).otherwise(_trimmed(two, SUMMARY_CHARS))
-
-
-def document_summary(text: Column) -> Column:
-    """The head of the trimmed text, at most 1200 characters."""
-    return _trimmed(F.regexp_replace(text, r"^\s+", ""), SUMMARY_CHARS)
-
-
-def page_crumb(first: Column, last: Column) -> Column:
-    """(p. N) or (pp. A-B); null without pages."""
-    a, b = first.cast("string"), last.cast("string")
-    return F.when(first == last, F.concat(F.lit("(p. "), a, F.lit(")"))).when(first.isNotNull() & last.isNotNull(), F.concat(F.lit("(pp. "), a, F.lit("-"), b, F.lit(")")))
-
-
 def classify_windows(docs: DataFrame, key: str, text: str = "text", window: int = CLASSIFY_WINDOW, step: int = CLASSIFY_STEP) -> DataFrame:
     """key, idx, window and hash: overlapping windows of a text, for a classifier and for telling which of them changed."""
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - window) / step)).cast("int")
@@ -107,42 +87,37 @@ def cursor(rows: DataFrame, by: list[str], updated: Column) -> DataFrame:
 # ---- the call ------------------------------------------------------------------------
 
 
-def _made(scratch: Scratch, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sections, leaves) of items (item_id, external_id, text), each of which is parsed once."""
-    rows = scratch.write(structure.structured(items, "item_id", "external_id"), "parsed")
-    first = F.col("item_id") * ROOM
-    sections = rows.select((first + F.col("section")).alias("section_id"), "item_id", (first + F.col("parent")).alias("parent_id"), "title", "path", "level", "first_line", "last_line")
-    each = rows.select("item_id", "section", F.col("path").alias("_path"), F.posexplode("chunks").alias("_k", "c"))
-    turn = F.row_number().over(Window.partitionBy("item_id").orderBy("section", "_k")) - 1
-    leaves = each.withColumn("_n", turn).select(
-        (first + F.col("_n")).alias("chunk_id"), "item_id", F.lit(None).cast("long").alias("entity_id"), (first + F.col("section")).alias("section_id"),
-        F.lit("document").alias("kind"), F.lit(None).cast("string").alias("status"), F.col("_path").alias("path"), F.col("c.content").alias("content"),
-    )
-    return sections, leaves
+def _first() -> Column:
+    """The first id of an item's room."""
+    return F.col("item_id") * ROOM
+
+
+def _head() -> Column:
+    """The id of the summary of a section, or of a whole text, that has one."""
+    return F.when(F.col("summary").isNotNull(), F.coalesce(_first() + F.col("section") + ROOM // 2, _first() + ROOM - 1))
 
 
-def _paged(sections: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paths with their pages, and leaves without the lines of page marks, where a text has them."""
-    pages = relations.running_pages(leaves)
-    spread = leaves.join(pages, "chunk_id", "left")
-    crumb = page_crumb(F.col("first_page"), F.col("last_page"))
-    path = F.when((F.col("path") != "") & crumb.isNotNull(), F.concat("path", F.lit(" "), crumb)).otherwise(F.col("path"))
-    bare = F.regexp_replace("content", r"(?m)^[ \t]*\[page [1-9][0-9]*\][ \t]*\n?", "")
-    marked = spread.select(*[path.alias("path") if c == "path" else bare.alias("content") if c == "content" else F.col(c) for c in leaves.columns])
-    span = spread.groupBy("section_id").agg(F.min("first_page").alias("_a"), F.max("last_page").alias("_b"))
-    whole = F.concat_ws(" ", F.nullif("path", F.lit("")), page_crumb(F.col("_a"), F.col("_b")))
-    return sections.join(span, "section_id", "left").select(*[whole.alias("path") if c == "path" else F.col(c) for c in sections.columns]), marked.where(F.trim("content") != "")
+def _sections(read: DataFrame) -> DataFrame:
+    own = read.where("section IS NOT NULL")
+    return own.select((_first() + F.col("section")).alias("section_id"), "item_id", (_first() + F.col("parent")).alias("parent_id"), "title", "path", "level", "first_line", "last_line")
 
 
-def _summaries(items: DataFrame, sections: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Summary chunks of titled sections below the root with text, and of every text."""
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "content"))), lambda x: x["content"]), "\n\n")
-    texts = leaves.groupBy("section_id").agg(joined.alias("_text"))
-    titled = sections.where((F.col("title") != "") & ((F.col("level") > 0) | (F.col("first_line") > 1))).join(texts, "section_id")
-    none = [F.lit(None).cast("long").alias("entity_id")]
-    of_sections = titled.select((F.col("section_id") + ROOM // 2).alias("chunk_id"), "item_id", *none, "section_id", F.lit("section_summary").alias("kind"), F.lit(None).cast("string").alias("status"), "path", section_summary(F.col("_text")).alias("content"))
-    of_items = items.select((F.col("item_id") * ROOM + ROOM - 1).alias("chunk_id"), "item_id", *none, F.lit(None).cast("long").alias("section_id"), F.lit("doc_summary").alias("kind"), F.lit(None).cast("string").alias("status"), F.lit("").alias("path"), document_summary(F.col("text")).alias("content"))
-    return of_sections.unionByName(of_items).where(F.col("content") != "")
+def _chunks(read: DataFrame) -> DataFrame:
+    """Leaves, and summary chunks of titled sections below the root with text and of every text."""
+    whole = F.col("section").isNull()
+    leaves = F.transform("leaves", lambda c: F.struct((_first() + c["at"]).alias("chunk_id"), F.lit("document").alias("kind"), c["path"].alias("path"), c["content"].alias("content")))
+    head = F.struct(_head().alias("chunk_id"), F.when(whole, "doc_summary").otherwise("section_summary").alias("kind"), F.col("path"), F.col("summary").alias("content"))
+    each = read.select("item_id", "section", F.explode(F.filter(F.concat(leaves, F.array(head)), lambda c: c["chunk_id"].isNotNull())).alias("c"))
+    return each.select(
+        "c.chunk_id", "item_id", F.lit(None).cast("long").alias("entity_id"), (_first() + F.col("section")).alias("section_id"),
+        "c.kind", F.lit(None).cast("string").alias("status"), "c.path", "c.content",
+    )
+
+
+def _links(read: DataFrame) -> DataFrame:
+    """chunk_id and tag: those of a section for its chunks, those of a whole text for its summary."""
+    ids = F.array_compact(F.concat(F.transform("leaves.at", lambda n: _first() + n), F.array(_head())))
+    return read.select("tags", F.explode(ids).alias("chunk_id")).select("chunk_id", F.explode("tags").alias("tag"))
 
 
 def ingest(spark: SparkSession, listing: DataFrame, state: Library, source_id: int, extractor: int = 2, connector: str = "folder", protected: DataFrame | None = None) -> Ingested:
@@ -154,52 +129,53 @@ def ingest(spark: SparkSession, listing: DataFrame, state: Library, source_id: i
     of the source that are not listed go (protected: external_id of files that
     could not be read, which stay).  Null and blank texts give an item without
     sections; a file listed twice counts once (the later one).  At most one item
-    is in a task at a time, and one item's sections are one row each.
+    is in a task at a time, and one item's sections are one row each.  A text is
+    dealt once, by its file's name; all that is made from it is made where it
+    is, and is stored once.
     """
     scratch = Scratch(spark, "ingest")
     last = Window.partitionBy("external_id").orderBy(F.desc("mtime_ms"), F.desc("size"))
-    files = listing.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("external_id", "text", "mtime_ms", "size")
+    latest = lambda df: df.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    times = scratch.write(latest(listing.select("external_id", "mtime_ms", "size")), "times")
     mine = state.items.where(F.col("source_id") == source_id)
     current = mine.where((F.col("extractor") >= extractor) & (F.col("chunker_version") >= CHUNKER))
-    fresh = relations.upsert(relations.to_extract(files, current, extractor), mine)
-    old_rules = mine.where(F.col("chunker_version") < CHUNKER).select("external_id", F.lit(True).alias("_old"))
-    fresh = fresh.join(old_rules, "external_id", "left").withColumn("action", F.when(F.col("_old") & (F.col("action") == "skip"), "update").otherwise(F.col("action"))).drop("_old")
-    fresh = scratch.write(fresh.join(mine.select("external_id", "item_id"), "external_id", "left"), "fresh")
+    due = scratch.write(relations.to_extract(times, current, extractor).select("external_id"), "due")
     none = spark.createDataFrame([], "external_id string")
-    gone = scratch.write(relations.purge(mine, files, none if protected is None else protected, connector).select("item_id"), "gone")
+    gone = scratch.write(relations.purge(mine, times, none if protected is None else protected, connector).select("item_id"), "gone")
 
     top = state.items.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0]
-    new = relations.numbers(fresh.where("action = 'insert'").select("external_id"), "external_id").select("external_id", (F.lit(top) + F.col("n")).alias("_new"))
-    todo = fresh.where("action <> 'skip'").join(new, "external_id", "left").withColumn("item_id", F.coalesce("item_id", "_new"))
-    fixed = {"source_id": F.lit(source_id), "extractor": F.lit(extractor), "processed_hash": F.col("content_hash"), "chunker_version": F.lit(CHUNKER)}
-    items = scratch.write(todo.withColumns(fixed).select(*state.items.columns), "items")
-
-    told = items.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    clean = scratch.write(told.join(structure.cleaned(told, "item_id"), "item_id").select("item_id", "external_id", F.col("clean").alias("text")), "clean")
-    whole = scratch.write(told.join(clean.select("item_id", F.col("text").alias("_clean")), "item_id").select("item_id", "external_id", F.when(F.lower("external_id").rlike(r"\.(pdf|txt|docx|odt|rtf|html?|eml)$"), F.col("_clean")).otherwise(F.col("text")).alias("text")), "whole")
-    sections, leaves = _made(scratch, whole)
-    sections, leaves = _paged(scratch.write(sections, "sections-0"), scratch.write(leaves, "leaves-0"))
-    sections, leaves = scratch.write(sections, "sections"), scratch.write(leaves, "leaves")
-    chunks = scratch.write(leaves.unionByName(_summaries(whole, sections, leaves)), "chunks")
-    links = scratch.write(library.tag_links(sections, chunks, whole), "links")
-    records = whole.where(fx.bucket(F.col("text")) == "record")
-    entities = structure.parsed_records(records, "item_id").select(*state.entities.columns)
-    named = structure.glossary_pairs(whole.where(F.lower("external_id").rlike("glossary|vocabulary")), "item_id").withColumn("origin", F.lit("glossary"))
-    pairs = named.unionByName(structure.initialism_pairs(whole, "item_id").withColumn("origin", F.lit("rule")))
-    vocabulary = valid_pairs(pairs).groupBy("item_id", "term", "expansion").agg(F.min("origin").alias("origin"))
-
-    left = items.select("item_id").unionByName(gone).distinct()
+    new = relations.numbers(due.join(mine.select("external_id"), "external_id", "left_anti"), "external_id").select("external_id", (F.lit(top) + F.col("n")).alias("_new"))
+    ids = due.join(mine.select("external_id", "item_id", (F.col("chunker_version") < CHUNKER).alias("_old")), "external_id", "left").join(new, "external_id", "left")
+    ids = scratch.write(ids.select("external_id", F.coalesce("item_id", "_new").alias("item_id"), "_old"), "ids")
+    # texts are dealt once, by external_id, and those of files that are not due only where due is too large to be sent to all
+    side = small_side(due)
+    files = latest(listing.select("external_id", "text", "mtime_ms", "size").join(side, "external_id", "left_semi") if side is not due else listing.select("external_id", "text", "mtime_ms", "size"))
+    told = relations.upsert(files, mine).join(ids, "external_id")
+    told = told.withColumn("action", F.when(F.col("_old") & (F.col("action") == "skip"), "update").otherwise(F.col("action")))
+    fixed = {"source_id": F.lit(source_id), "extractor": F.lit(extractor), "processed_hash": F.col("content_hash"), "chunker_version": F.lit(CHUNKER), "text": F.when(F.col("action") != "skip", F.col("text"))}
+    fresh = scratch.write(told.withColumns(fixed).select(*state.items.columns, "action"), "fresh")
+    items = fresh.where("action <> 'skip'").select(*state.items.columns)
+
+    read = scratch.write(structure.structured(items.where(F.trim("text") != ""), "item_id", "external_id"), "parsed")
+    sections, chunks, links = scratch.write(_sections(read), "sections"), scratch.write(_chunks(read), "chunks"), scratch.write(_links(read), "links")
+    of_texts = read.where("section IS NULL")
+    entities = scratch.write(of_texts.select("item_id", F.inline("records")).select(*state.entities.columns), "entities")
+    pairs = valid_pairs(of_texts.select("item_id", F.inline("pairs"))).groupBy("item_id", "term", "expansion").agg(F.min("origin").alias("origin"))
+    vocabulary = scratch.write(pairs.select(*state.vocabulary.columns), "vocabulary")
+    scratch.drop("parsed")
+
+    # what is new is stored as it is, and of the state what stays
+    left = scratch.write(items.select("item_id").unionByName(gone), "left")
+    left = small_side(left)
     # files that were skipped keep their rows, but their new time and size
-    seen = fresh.where("action = 'skip'").select("item_id", F.col("mtime_ms").alias("_m"), F.col("size").alias("_s"))
+    seen = small_side(scratch.write(fresh.where("action = 'skip'").select("item_id", F.col("mtime_ms").alias("_m"), F.col("size").alias("_s")), "seen"))
     kept = state.items.join(left, "item_id", "left_anti").join(seen, "item_id", "left")
     kept = kept.withColumns({"mtime_ms": F.coalesce("_m", "mtime_ms"), "size": F.coalesce("_s", "size"), "extractor": F.when(F.col("_m").isNotNull(), extractor).otherwise(F.col("extractor"))}).select(*state.items.columns)
+    old_links = state.links.join(state.chunks.select("chunk_id", "item_id").join(left, "item_id", "left_anti"), "chunk_id").select("chunk_id", "tag")
     stay = lambda df: df.join(left, "item_id", "left_anti").select(*df.columns)
-    old_links = state.links.join(state.chunks.select("chunk_id", "item_id"), "chunk_id").join(left, "item_id", "left_anti").select("chunk_id", "tag")
-    after = Library(
-        kept.unionByName(items), stay(state.sections).unionByName(sections), stay(state.chunks).unionByName(chunks.select(*state.chunks.columns)), old_links.unionByName(links),
-        stay(state.entities).unionByName(entities), stay(state.vocabulary).unionByName(vocabulary.select(*state.vocabulary.columns)),
-    )
-    untouched = files.join(fresh.select("external_id"), "external_id", "left_anti").select(F.lit("skip").alias("action"))
+    old = Library(kept, stay(state.sections), stay(state.chunks), old_links, stay(state.entities), stay(state.vocabulary)).stored(scratch, "kept")
+    made = Library(items, sections, chunks, links, entities, vocabulary)
+    after = Library(**{k: v.unionByName(made.__dict__[k]) for k, v in old.__dict__.items()})
+    untouched = times.join(fresh.select("external_id"), "external_id", "left_anti").select(F.lit("skip").alias("action"))
     report = fresh.select("action").unionByName(untouched).unionByName(gone.select(F.lit("purge").alias("action"))).groupBy("action").agg(F.count("*").alias("n"))
-    after = after.stored(scratch, "after")
-    return Ingested(replace(after), scratch.write(report, "report"))
+    return Ingested(after, scratch.write(report, "report"))

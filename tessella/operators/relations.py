@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -188,6 +189,23 @@ def top_terms(texts: DataFrame, key: str, text: str, most: int = 4) -> DataFrame
     return counts.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
 
 
+def top_words(text: Column, most: int = 4) -> Column:
+    """The terms that top_terms finds in a text in lower case, counted where the text is; null texts have none."""
+    word, out = re.compile(r"[^\W_]{4,}"), frozenset(fx.TAG_STOPWORDS)
+
+    def first(text: str | None) -> list[str]:
+        counts = Counter(word.findall(text or ""))
+        for w in out & counts.keys():
+            del counts[w]
+        least = sorted(counts.values(), reverse=True)[:most][-1:]  # only words as frequent as the last of them are compared
+        return sorted((w for w, n in counts.items() if [n] >= least), key=lambda w: (-counts[w], w))[:most]
+
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(first)
+
+    return F.pandas_udf(counted, "array<string>")(text)
+
+
 def repeated_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, line, n of lines of at most 120 characters that repeat at least max(3, 1 % of the lines, half to even) times."""
     lines = texts.select(key, F.explode(F.split(text, "\n")).alias("_l")).select(key, fx.repeat_key(F.col("_l")).alias("line"))

@@ -7,16 +7,21 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import configs, parsers
+from ..functions import text as fx
+from . import relations
 
 
-def per_document(docs: DataFrame, key: str, text: str, schema: str, parse: Callable[[str], list[tuple]]) -> DataFrame:
-    """key and the fields of schema: a row for everything that parse finds in a document; null texts give none."""
+def per_document(docs: DataFrame, key: str, text: str, schema: str, parse: Callable[..., list[tuple]], *given: str) -> DataFrame:
+    """key and the fields of schema: a row for everything that parse finds in a document; null texts give none.
+
+    parse gets the columns given behind the text.
+    """
     fields = T.StructType.fromDDL(schema).fields
     out = T.StructType([docs.schema[key], *fields])
     kinds = [to_arrow_type(f.dataType) for f in fields]
@@ -26,14 +31,14 @@ def per_document(docs: DataFrame, key: str, text: str, schema: str, parse: Calla
             for top in range(0, big.num_rows, 256):
                 b = big.slice(top, 256)
                 rows, which = [], []
-                for k, t in enumerate(b.column(1).to_pylist()):
-                    found = parse(t) if t is not None else []
+                for k, (t, *more) in enumerate(zip(*[c.to_pylist() for c in b.columns[1:]], strict=True)):
+                    found = parse(t, *more) if t is not None else []
                     rows += found
                     which += [k] * len(found)
                 columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=out.names)
 
-    return docs.select(key, text).mapInArrow(run, out)
+    return docs.select(key, text, *given).mapInArrow(run, out)
 
 
 def cleaned(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -105,16 +110,64 @@ def parts(path: str, text: str) -> list[tuple]:
     return out
 
 
-def structured(items: DataFrame, key: str, path: str, text: str = "text") -> DataFrame:
-    """A row per section of every file, its chunks in a list; see ``parts``."""
-    tagged = items.select(key, F.concat(F.col(path), F.lit("\0"), F.col(text)).alias("_t"))
+#: Files whose text is cleaned before it is parsed.
+CLEANED = r"\.(pdf|txt|docx|odt|rtf|html?|eml)$"
+#: The tags that a section and a whole text have.
+SECTION_TAGS, TEXT_TAGS = 4, 2
+RECORDS = "kind string, title string, record_id string, status string, owner string, due string, supersedes array<string>, done boolean"
+_FOUND = f"""section int, title string, path string, level int, parent int, first_line int, last_line int, chunks array<struct<at:int,content:string,first_page:int,last_page:int>>,
+whole string, pairs array<struct<term:string,expansion:string,origin:string>>, records array<struct<{RECORDS.replace(" ", ":").replace(",:", ",")}>>"""
+
+
+def _found(text: str, path: str, is_record: bool, is_glossary: bool) -> list[tuple]:
+    """Rows of _FOUND: the sections, whose chunks are numbered and paged through the file, and one of the whole text with its pairs and records."""
+    rows, at, page = [], 0, None
+    for section, title, name, level, parent, first, last, own in parts(path, text):
+        chunks = []
+        for _, _, content in own:
+            begins, page = parsers.pages(content, page)
+            chunks.append({"at": at, "content": content, "first_page": begins, "last_page": page})
+            at += 1
+        rows.append((section, title, name, level, parent, first, last, chunks, None, [], []))
+    pairs = [(*p, "glossary") for p in (parsers.glossary(text) if is_glossary else [])] + [(*p, "rule") for p in parsers.initialisms(text)]
+    names = [f.split()[0] for f in RECORDS.split(", ")]
+    records = [dict(zip(names, r, strict=True)) for r in (_records(text) if is_record else [])]
+    return [*rows, (None, None, "", None, None, None, None, [], text, [dict(zip(("term", "expansion", "origin"), p, strict=True)) for p in pairs], records)]
 
-    def parse(t: str) -> list[tuple]:
-        p, _, body = t.partition("\0")
-        return [(*x[:7], [{"first_line": a, "last_line": b, "content": c} for a, b, c in x[7]]) for x in parts(p, body)]
 
-    schema = "section int, title string, path string, level int, parent int, first_line int, last_line int, chunks array<struct<first_line:int,last_line:int,content:string>>"
-    return per_document(tagged, key, "_t", schema, parse)
+def structured(items: DataFrame, key: str, path: str, text: str = "text") -> DataFrame:
+    """What one pass over the files finds, without a shuffle: a row per section and, where section is null, one per file.
+
+    Sections have title, path, level, parent, first_line, last_line and leaves
+    (at: their number in the file, path, content), in order; both have their
+    summary (null: none) and tags; files have pairs (of terms) and records.
+    Texts of some kinds are cleaned first.  Paths have their pages, and leaves
+    stand without the lines of page marks, where a text has them.
+    """
+    name = F.lower(path)
+    taken = items.select(key, path, text, name.rlike(CLEANED).alias("_clean"))
+    whole = per_document(taken, key, text, f"{path} string, _text string", lambda t, p, dirty: [(p, parsers.clean(t) if dirty else t)], path, "_clean")
+    told = whole.select(key, path, "_text", (fx.bucket(F.col("_text")) == "record").alias("_record"), name.rlike("glossary|vocabulary").alias("_glossary"))
+    rows = per_document(told, key, "_text", _FOUND, _found, path, "_record", "_glossary")
+
+    def leaf(c: Column) -> Column:
+        crumb = fx.page_crumb(c["first_page"], c["last_page"])
+        paged = F.when((F.col("path") != "") & crumb.isNotNull(), F.concat("path", F.lit(" "), crumb)).otherwise(F.col("path"))
+        bare = F.regexp_replace(c["content"], r"(?m)^[ \t]*\[page [1-9][0-9]*\][ \t]*\n?", "")
+        return F.struct(c["at"].alias("at"), paged.alias("path"), F.when(c["content"].contains("[page "), bare).otherwise(c["content"]).alias("content"))
+
+    leaves = F.filter(F.transform("chunks", leaf), lambda c: F.trim(c["content"]) != "")
+    span = fx.page_crumb(F.array_min("chunks.first_page"), F.array_max("chunks.last_page"))
+    # not in one step: in a lambda function Spark takes a column that is made beside it for the one from below
+    rows = rows.withColumn("leaves", leaves).withColumn("path", F.concat_ws(" ", F.nullif("path", F.lit("")), span))
+    headed = (F.col("title") != "") & ((F.col("level") > 0) | (F.col("first_line") > 1)) & (F.size("leaves") > 0)
+    summary = F.when(F.col("section").isNull(), fx.document_summary(F.col("whole"))).when(headed, fx.section_summary(F.array_join("leaves.content", "\n\n")))
+    rows = rows.withColumn("summary", F.nullif(summary, F.lit("")))
+    # a section without text goes by its title, untitled ones have no tags
+    own = F.array_join(F.concat("leaves.content", F.array_compact(F.array("summary"))), "\n\n")
+    rows = rows.withColumn("_own", F.lower(F.when(F.col("section").isNull(), F.col("whole")).when(F.col("title") != "", F.concat("title", F.lit("\n"), own))))
+    tags = F.slice(relations.top_words(F.col("_own"), max(SECTION_TAGS, TEXT_TAGS)), F.lit(1), F.when(F.col("section").isNull(), TEXT_TAGS).otherwise(SECTION_TAGS))
+    return rows.select(key, "section", "title", "path", "level", "parent", "first_line", "last_line", "leaves", "summary", tags.alias("tags"), "pairs", "records")
 
 
 def chunked(items: DataFrame, key: str, path: str, text: str = "text") -> DataFrame:
@@ -146,17 +199,17 @@ def sectioned(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return per_document(docs, key, text, "idx int, title string, level int, path string, parent int, first_line int, last_line int", parse)
 
 
-def parsed_records(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """A row per decision and per action of every record text."""
+def _records(text: str) -> list[tuple]:
+    r = parsers.record(text)
+    if not r:
+        return []
+    rows = [("decision", r["title"], r["record_id"], r["status"], r["owner"], r["date"], r["supersedes"], None)] if r["decision"] else []
+    return rows + [("action", a["text"], None, None, a["owner"], a["due"], [], a["done"]) for a in r["actions"]]
 
-    def parse(t: str) -> list[tuple]:
-        r = parsers.record(t)
-        if not r:
-            return []
-        rows = [("decision", r["title"], r["record_id"], r["status"], r["owner"], r["date"], r["supersedes"], None)] if r["decision"] else []
-        return rows + [("action", a["text"], None, None, a["owner"], a["due"], [], a["done"]) for a in r["actions"]]
 
-    return per_document(docs, key, text, "kind string, title string, record_id string, status string, owner string, due string, supersedes array<string>, done boolean", parse)
+def parsed_records(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """A row per decision and per action of every record text."""
+    return per_document(docs, key, text, RECORDS, _records)
 
 
 def glossary_pairs(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

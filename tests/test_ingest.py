@@ -97,3 +97,41 @@ def test_older_rules_are_made_anew(spark, first):
     aged = ig.Library(**{**first.library.__dict__, "items": first.library.items.withColumn("chunker_version", F.when(F.col("external_id") == "src/m.py", 1).otherwise(F.col("chunker_version")))})
     done = ig.ingest(spark, listed(spark, FILES), aged, 3)
     assert {r.action: r.n for r in done.report.collect()} == {"update": 1, "skip": 7} and by_path(done) == by_path(first)
+
+
+#: What holds texts in the plans of an ingest.
+TEXTS = r"\b(?:text|content|_text|_own|whole|leaves|chunks|summary)#"
+
+
+def watched(spark, monkeypatch, made):
+    """From now on what is stored, as (name, whether its rows hold texts, how many of its shuffles hold texts)."""
+    import re
+
+    write = ig.Scratch.write
+
+    def told(self, df, name, *a):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        dealt = [re.search(r"^Input \[\d+\]: (.*)$", p, re.M)[1] for p in re.split(r"\n(?=\(\d+\) )", plan) if re.match(r"\(\d+\) Exchange\b", p)]
+        made.append((name, bool(set(df.columns) & {"text", "content", "leaves", "clean"}), sum(bool(re.search(TEXTS, x)) for x in dealt)))
+        return write(self, df, name, *a)
+
+    monkeypatch.setattr(ig.Scratch, "write", told)
+
+
+def test_texts_are_dealt_once_and_stored_once_a_step(spark, monkeypatch):
+    made = []
+    watched(spark, monkeypatch, made)
+    ig.ingest(spark, listed(spark, FILES), ig.Library.empty(spark), 3)
+    assert sum(n for *_, n in made) == 1
+    assert [name for name, holds, _ in made if holds and not name.startswith("kept-")] == ["fresh", "parsed", "chunks"]
+
+
+def test_leaves_and_sections_have_their_own_pages(spark):
+    text = "1.1 Intro\n\n[page 1]\nSome words of the first page.\n\n[page 2]\n1.2 Scope\n\nMore words here, of [page 0003] too.\n\n1.3 Rest\n\nNone."
+    done = ig.ingest(spark, listed(spark, [("docs/a.log", text, 1)]), ig.Library.empty(spark), 3)
+    chunks = {(r.kind, r.content.strip()): r.path for r in done.library.chunks.collect()}
+    assert {c: p for (k, c), p in chunks.items() if k == "document"} == {
+        "Some words of the first page.": "a > 1.1 Intro (pp. 1-2)", "More words here, of [page 0003] too.": "a > 1.2 Scope (pp. 2-3)", "None.": "a > 1.3 Rest (p. 3)",
+    }
+    assert {r.title: r.path for r in done.library.sections.collect()} == {"a": "a", "1.1 Intro": "a > 1.1 Intro (pp. 1-2)", "1.2 Scope": "a > 1.2 Scope (pp. 2-3)", "1.3 Rest": "a > 1.3 Rest (p. 3)"}
+    assert chunks["section_summary", "More words here, of [page 0003] too."] == "a > 1.2 Scope (pp. 2-3)"
