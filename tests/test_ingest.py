@@ -135,3 +135,12 @@ def test_leaves_and_sections_have_their_own_pages(spark):
     }
     assert {r.title: r.path for r in done.library.sections.collect()} == {"a": "a", "1.1 Intro": "a > 1.1 Intro (pp. 1-2)", "1.2 Scope": "a > 1.2 Scope (pp. 2-3)", "1.3 Rest": "a > 1.3 Rest (p. 3)"}
     assert chunks["section_summary", "More words here, of [page 0003] too."] == "a > 1.2 Scope (pp. 2-3)"
+
+
+def test_a_second_sync_moves_no_text_that_stays(spark, first, monkeypatch):
+    made = []
+    watched(spark, monkeypatch, made)
+    files = [("notes/a.md", "# Refunds\n\nAll new.", 2), *FILES[1:6]]
+    now = ig.ingest(spark, listed(spark, files), first.library, 3)
+    assert {r.action: r.n for r in now.report.collect()} == {"update": 1, "skip": 5, "purge": 2}
+    assert {n for name, _, n in made if name.startswith("kept-")} == {0} and sum(n for *_, n in made) == 1

@@ -222,3 +222,30 @@ def test_long_blocks_are_cut_by_their_kind():
     parts = p.block_pieces("paragraph", " ".join(f"Number {i} " + "w" * 700 + "." for i in range(5)))
     assert [x.count("Number") for x in parts] == [2, 2, 2] and parts[2].startswith("Number 3")  # the last one has room for a sentence before
     assert all(len(x) <= 1500 for x in p.block_pieces("paragraph", "z" * 4000)) and "".join(p.block_pieces("paragraph", "z" * 4000)) == "z" * 4000
+
+
+def test_windows_start_where_a_list_of_all_word_starts_says(monkeypatch):
+    import bisect
+    import re
+
+    r = random.Random(3)
+    for size, overlap in ((30, 5), (80, 15), (200, 0)):
+        for _ in range(100):
+            text = "".join(r.choice(["a", "bc", "def ", " ", ". ", "\n", "? ", "\t", "x" * r.randrange(1, 90)]) for _ in range(r.randrange(300)))
+            starts = [m.start() for m in re.finditer(r"(?<!\S)\S", text)]
+            from_ = lambda n: starts[bisect.bisect_left(starts, n)] if starts and n <= starts[-1] else min(n, len(text))  # noqa: E731, B023
+            want, start = [], from_(0)
+            while len(text) > size:
+                end = min(start + size, len(text))
+                if end < len(text):
+                    low = end - min(overlap, size - 1)
+                    stops, blanks = list(re.finditer(r"[.?!]\s+", text[low:end])), list(re.finditer(r"\s", text[low:end]))
+                    end = low + stops[-1].end() if stops else low + blanks[-1].start() if blanks else end
+                want += [text[start:end].rstrip()] * bool(text[start:end].rstrip())
+                if end == len(text):
+                    break
+                start = min(from_(start + size - overlap), end)
+            assert p.windows(text, size, overlap) == (want or [text if len(text) <= size else ""])
+    # no array is made of all starts for each window
+    monkeypatch.setattr(p.np, "searchsorted", None)
+    assert len(p.windows("word " * 1000, 800, 100)) > 6
