@@ -23,6 +23,8 @@ __all__ = ["document_summary", "page_crumb", "section_summary"]
 ROOM = 1 << 24
 #: Rules that chunks are made by; items of older ones are made anew.
 CHUNKER = 3
+#: Names of due files that are sent to all, in bytes; they take about three times that in memory.
+NAMES_BYTES = 16 << 20
 # Fixed values, equal to those of the service whose results are matched.
 CLASSIFY_WINDOW, CLASSIFY_STEP = 16_000, 8000
 TERM_CHARS, EXPANSION_CHARS = (2, 40), (2, 120)
@@ -147,9 +149,11 @@ def ingest(spark: SparkSession, listing: DataFrame, state: Library, source_id: i
     new = relations.numbers(due.join(mine.select("external_id"), "external_id", "left_anti"), "external_id").select("external_id", (F.lit(top) + F.col("n")).alias("_new"))
     ids = due.join(mine.select("external_id", "item_id", (F.col("chunker_version") < CHUNKER).alias("_old")), "external_id", "left").join(new, "external_id", "left")
     ids = scratch.write(ids.select("external_id", F.coalesce("item_id", "_new").alias("item_id"), "_old"), "ids")
-    # texts are dealt once, by external_id, and those of files that are not due only where due is too large to be sent to all
-    side = small_side(due)
-    files = latest(listing.select("external_id", "text", "mtime_ms", "size").join(side, "external_id", "left_semi") if side is not due else listing.select("external_id", "text", "mtime_ms", "size"))
+    # texts are dealt once, by external_id; files that are not due are left out before, where the names of those that are can be sent to all
+    found = listing.select("external_id", "text", "mtime_ms", "size")
+    if due.count() < times.count() and (side := small_side(due, NAMES_BYTES)) is not due:
+        found = found.join(side, "external_id", "left_semi")
+    files = latest(found)
     told = relations.upsert(files, mine).join(ids, "external_id")
     told = told.withColumn("action", F.when(F.col("_old") & (F.col("action") == "skip"), "update").otherwise(F.col("action")))
     fixed = {"source_id": F.lit(source_id), "extractor": F.lit(extractor), "processed_hash": F.col("content_hash"), "chunker_version": F.lit(CHUNKER), "text": F.when(F.col("action") != "skip", F.col("text"))}
@@ -165,8 +169,7 @@ def ingest(spark: SparkSession, listing: DataFrame, state: Library, source_id: i
     scratch.drop("parsed")
 
     # what is new is stored as it is, and of the state what stays
-    left = scratch.write(items.select("item_id").unionByName(gone), "left")
-    left = small_side(left)
+    left = small_side(scratch.write(items.select("item_id").unionByName(gone), "left"))
     # files that were skipped keep their rows, but their new time and size
     seen = small_side(scratch.write(fresh.where("action = 'skip'").select("item_id", F.col("mtime_ms").alias("_m"), F.col("size").alias("_s")), "seen"))
     kept = state.items.join(left, "item_id", "left_anti").join(seen, "item_id", "left")
